@@ -185,6 +185,7 @@ def followers_table(model: DataFrame, vocab: DataFrame, k: int, key_cols: list[s
     m = (model.join(v, "w3", "left")
          .withColumn("cacheable", F.coalesce("cacheable", F.lit(False)))
          .withColumn("piece", F.when(F.col("w3") == K.EOS_ID, F.lit(K.EOS_PIECE))
+                     .when(F.col("w3") == K.UNK_ID, F.lit(K.UNK_SURFACE))
                      .otherwise(F.coalesce("piece", F.lit(K.UNK_SURFACE))))
          .withColumn("_elig", (F.col("w3") == K.EOS_ID) | F.col("cacheable")))
     w = Window.partitionBy(*key_cols, "_elig").orderBy(F.col("cnt").desc(), F.col("w3").asc())

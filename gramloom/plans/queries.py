@@ -11,8 +11,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gramloom import constants as K
+from gramloom.functions import text as T
 from gramloom.operators import counts as C
+from gramloom.operators import lookup as LK
+from gramloom.operators import score as SC
 from gramloom.operators import vocab as VO
+from gramloom.plans import prompts as PR
 from gramloom.plans import sqlparts as S
 from gramloom.sources import lines as L
 
@@ -91,6 +95,202 @@ def q_ngram4_counts(spark, sf):
                           vocab_bound=VOCAB_SIZE)
 
 
+# ------------------------------------------------------------- B8 B12
+
+def requests(spark, sf):
+    return PR.conversation_requests(L.read_table(spark, sf, "conversations"))
+
+
+REQ_COLS = "prompt_id, prompt, max_tokens, top_k, temperature, min_len_before_eos, cache_alpha, cache_recent_window"
+
+
+@register("prompt_requests", f"""
+WITH req AS (SELECT (conv_id * 1000 + turn)::BIGINT AS prompt_id, text AS prompt FROM conversations WHERE role = 'user')
+SELECT prompt_id, prompt, {K.GEN_MAX_TOKENS} AS max_tokens, {K.GEN_TOP_K} AS top_k,
+       {K.GEN_TEMPERATURE}::DOUBLE AS temperature, {K.GEN_MIN_LEN_BEFORE_EOS} AS min_len_before_eos,
+       {K.CACHE_ALPHA}::DOUBLE AS cache_alpha, {K.CACHE_RECENT_WINDOW} AS cache_recent_window
+FROM req WHERE prompt IS NOT NULL AND length({S.strip('prompt')}) > 0""")
+def q_prompt_requests(spark, sf):
+    return PR.split_requests(requests(spark, sf))[0]
+
+
+@register("prompt_rejects", f"""
+WITH req AS (SELECT (conv_id * 1000 + turn)::BIGINT AS prompt_id, text AS prompt FROM conversations WHERE role = 'user')
+SELECT prompt_id, prompt, '{K.REJECT_REASON_PROMPT}' AS reason
+FROM req WHERE prompt IS NULL OR length({S.strip('prompt')}) = 0""")
+def q_prompt_rejects(spark, sf):
+    return PR.split_requests(requests(spark, sf))[1]
+
+
+# ------------------------------------------------------------- C2 C4
+
+@register("tokens_word", f"""
+WITH {S.VOCAB},
+t0 AS (SELECT conv_id, turn, {S.words(S.strip('text'))} AS ws FROM conversations),
+t1 AS (SELECT conv_id, turn, unnest(ws) AS token, generate_subscripts(ws, 1) - 1 AS pos FROM t0)
+SELECT conv_id, turn, CAST(pos AS INTEGER) AS pos, token, coalesce(v.id, 0) AS id
+FROM t1 LEFT JOIN (SELECT piece, id FROM vocab WHERE id >= 3) v ON v.piece = t1.token""")
+def q_tokens_word(spark, sf):
+    conv = L.read_table(spark, sf, "conversations").select("conv_id", "turn", "text")
+    toks = conv.select("conv_id", "turn", F.posexplode(T.word_tokens(T.strip("text"))).alias("pos", "token"))
+    v = VO.learned_pieces(vocab(spark, sf)).select(F.col("piece").alias("token"), "id")
+    return (toks.join(F.broadcast(v), "token", "left")
+            .select("conv_id", "turn", F.col("pos").cast("int").alias("pos"), "token",
+                    F.coalesce("id", F.lit(K.UNK_ID)).alias("id")))
+
+
+@register("tokens_char", f"""
+WITH t0 AS (SELECT conv_id, turn, regexp_extract_all({S.strip('text')}, '(?s).', 0) AS cs FROM conversations),
+t1 AS (SELECT conv_id, turn, unnest(cs) AS ch, generate_subscripts(cs, 1) - 1 AS pos FROM t0)
+SELECT conv_id, turn, CAST(pos AS INTEGER) AS pos, ch FROM t1""")
+def q_tokens_char(spark, sf):
+    conv = L.read_table(spark, sf, "conversations").select("conv_id", "turn", "text")
+    return conv.select("conv_id", "turn", F.posexplode(T.char_tokens(T.strip("text"))).alias("pos", "ch")) \
+        .select("conv_id", "turn", F.col("pos").cast("int").alias("pos"), "ch")
+
+
+@register("prefix_tokens", f"""
+WITH l0 AS (SELECT conv_id, turn, regexp_split_to_array(text, '{S.NL}') AS parts FROM conversations),
+l1 AS (SELECT conv_id, turn, parts, unnest(generate_series(1, len(parts))) AS i FROM l0),
+l2 AS (SELECT conv_id, turn, CAST(i - 1 AS INTEGER) AS line_no, {S.strip('parts[i]')} AS s FROM l1),
+p0 AS (SELECT conv_id, turn, line_no, s, unnest(generate_series(1, length(s))) AS plen FROM l2 WHERE length(s) > 0),
+p1 AS (SELECT conv_id, turn, line_no, CAST(plen AS INTEGER) AS plen, substring(s, 1, plen) AS prefix FROM p0)
+SELECT conv_id, turn, line_no, plen, len({S.words(S.strip('prefix'))}) AS n_tokens,
+       {S.words(S.strip('prefix'))}[-1] AS last_token FROM p1""")
+def q_prefix_tokens(spark, sf):
+    conv = L.read_table(spark, sf, "conversations").select("conv_id", "turn", "text")
+    lines = conv.select("conv_id", "turn", F.posexplode(T.split_lines("text")).alias("line_no", "line")) \
+        .withColumn("line_no", F.col("line_no").cast("int"))
+    pre = VO.prefix_rows(lines, ["conv_id", "turn", "line_no"])
+    toks = T.word_tokens(T.strip("prefix"))
+    return pre.select("conv_id", "turn", "line_no", "plen",
+                      F.size(toks).alias("n_tokens"), F.element_at(toks, -1).alias("last_token"))
+
+
+# ------------------------------------------------------------- E1-E6
+
+TOP_K = K.GEN_TOP_K
+
+
+def prompt_contexts(spark, sf, v):
+    acc, _ = PR.split_requests(requests(spark, sf))
+    return LK.encode_prompts(acc, v, VOCAB_SIZE)
+
+
+def bigram_ids(spark, sf, v):
+    return VO.bigram_to_ids(C.bigram_counts(L.corpus_lines(spark, sf, normalize=False)), v, VOCAB_SIZE)
+
+
+PROMPTS_SQL = f"{S.VOCAB}, {S.prompts_sql()}"
+
+
+@register("next_exact", f"""
+WITH {PROMPTS_SQL}, {S.TRIGRAM}
+SELECT pw.prompt_id, t.w1, t.w2, t.w3, t.cnt FROM pw JOIN trigram t ON t.w1 = pw.w1 AND t.w2 = pw.w2""")
+def q_next_exact(spark, sf):
+    v = vocab(spark, sf)
+    ctx = prompt_contexts(spark, sf, v)
+    return ctx.select("prompt_id", "w1", "w2").join(trigram(spark, sf, v), ["w1", "w2"]) \
+        .select("prompt_id", "w1", "w2", "w3", "cnt")
+
+
+@register("next_top_k", f"""
+WITH {PROMPTS_SQL}, {S.TRIGRAM},
+r AS (SELECT pw.prompt_id, t.w3, t.cnt, row_number() OVER (PARTITION BY pw.prompt_id ORDER BY t.cnt DESC, t.w3 ASC) AS rank
+      FROM pw JOIN trigram t ON t.w1 = pw.w1 AND t.w2 = pw.w2)
+SELECT prompt_id, CAST(rank AS INTEGER) AS rank, w3, cnt FROM r WHERE rank <= {TOP_K}""")
+def q_next_top_k(spark, sf):
+    v = vocab(spark, sf)
+    ctx = prompt_contexts(spark, sf, v)
+    fol = C.followers_table(trigram(spark, sf, v), v, TOP_K, ["w1", "w2"], VOCAB_SIZE)
+    j = ctx.select("prompt_id", "w1", "w2").join(fol, ["w1", "w2"])
+    return j.select("prompt_id", F.posexplode(LK.top_k_of("followers", TOP_K)).alias("rank", "f")) \
+        .select("prompt_id", (F.col("rank") + 1).cast("int").alias("rank"),
+                F.col("f.w3").alias("w3"), F.col("f.cnt").alias("cnt"))
+
+
+@register("next_bigram", f"""
+WITH {PROMPTS_SQL}, {S.BIGRAM_IDS}
+SELECT pw.prompt_id, b.w1, b.w2, b.cnt FROM pw JOIN bigram_ids b ON b.w1 = pw.w2""")
+def q_next_bigram(spark, sf):
+    v = vocab(spark, sf)
+    ctx = prompt_contexts(spark, sf, v).select("prompt_id", F.col("w2").alias("w1"))
+    return ctx.join(bigram_ids(spark, sf, v), "w1").select("prompt_id", "w1", "w2", "cnt")
+
+
+def backoff_long(ctx, tri, bi):
+    """E4 in long form: trigram followers where the context exists, else
+    the bigram followers of the last token."""
+    c = ctx.select("prompt_id", "w1", "w2")
+    hit = c.join(tri, ["w1", "w2"]).select("prompt_id", F.lit("trigram").alias("source"), "w3", "cnt")
+    miss = c.join(tri.select("w1", "w2").distinct(), ["w1", "w2"], "left_anti")
+    bo = miss.select("prompt_id", F.col("w2").alias("w1")).join(bi, "w1") \
+        .select("prompt_id", F.lit("bigram").alias("source"), F.col("w2").alias("w3"), "cnt")
+    return hit.unionByName(bo)
+
+
+@register("next_backoff", f"""
+WITH {PROMPTS_SQL}, {S.TRIGRAM}, {S.BIGRAM_IDS}, {S.BACKOFF}
+SELECT prompt_id, source, w3, cnt FROM fol""")
+def q_next_backoff(spark, sf):
+    v = vocab(spark, sf)
+    return backoff_long(prompt_contexts(spark, sf, v), trigram(spark, sf, v), bigram_ids(spark, sf, v))
+
+
+# ------------------------------------------------------------- F1-F4 F6
+
+@register("cache_scores", f"""
+WITH {PROMPTS_SQL}, {S.cache_scores_sql(K.CACHE_RECENT_WINDOW)}
+SELECT prompt_id, token_id, round(score, 6) AS score FROM cs""")
+def q_cache_scores(spark, sf):
+    v = vocab(spark, sf)
+    ctx = prompt_contexts(spark, sf, v)
+    c = ctx.select("prompt_id", "ctx").withColumn(
+        "recent", SC.recent_cacheable(F.col("ctx"), K.CACHE_RECENT_WINDOW))
+    ids = F.array_distinct(F.transform(F.filter("ctx", lambda x: x["cacheable"]), lambda x: x["id"]))
+    return c.select("prompt_id", F.explode(F.transform(ids, lambda t: F.struct(
+        t.alias("token_id"), SC.cache_score(F.col("ctx"), F.col("recent"), t).alias("score")))).alias("s")) \
+        .select("prompt_id", "s.token_id", F.round("s.score", 6).alias("score"))
+
+
+def ranked_frame(spark, sf, k=TOP_K, alpha=K.CACHE_ALPHA, window=K.CACHE_RECENT_WINDOW,
+                 temperature=K.GEN_TEMPERATURE, gen_len=0, min_len=K.GEN_MIN_LEN_BEFORE_EOS):
+    v = vocab(spark, sf)
+    ctx = prompt_contexts(spark, sf, v)
+    tri = C.followers_table(trigram(spark, sf, v), v, k, ["w1", "w2"], VOCAB_SIZE)
+    bi = C.followers_table(bigram_ids(spark, sf, v).withColumnRenamed("w2", "w3"), v, k, ["w1"], VOCAB_SIZE)
+    j = LK.backoff_followers(ctx, tri, bi).filter(F.col("followers").isNotNull())
+    j = j.withColumn("recent", SC.recent_cacheable(F.col("ctx"), window)) \
+        .withColumn("cands", SC.tree_candidates(F.col("followers"), k))
+    j = j.withColumn("scored", SC.scored(F.col("cands"), F.col("ctx"), F.col("recent"), alpha,
+                                         gen_len, min_len, temperature))
+    return j.filter(F.size("scored") > 0).withColumn("ranked", SC.normalise(F.col("scored")))
+
+
+@register("ranked_candidates", f"""
+WITH {PROMPTS_SQL}, {S.TRIGRAM}, {S.BIGRAM_IDS}, {S.BACKOFF}, {S.cache_scores_sql(K.CACHE_RECENT_WINDOW)},
+{S.ranked_sql(TOP_K, K.CACHE_ALPHA, K.GEN_TEMPERATURE, 0, K.GEN_MIN_LEN_BEFORE_EOS)}
+SELECT prompt_id, rank, token_id, cnt, round(probability, 6) AS probability FROM ranked""")
+def q_ranked_candidates(spark, sf):
+    r = ranked_frame(spark, sf)
+    return r.select("prompt_id", F.explode("ranked").alias("c")).select(
+        "prompt_id", F.col("c.rank").alias("rank"), F.col("c.w3").alias("token_id"),
+        F.col("c.cnt").alias("cnt"), F.round("c.probability", 6).alias("probability"))
+
+
+@register("greedy_next", f"""
+WITH {PROMPTS_SQL}, {S.TRIGRAM}, {S.BIGRAM_IDS}, {S.BACKOFF}, {S.cache_scores_sql(K.CACHE_RECENT_WINDOW)},
+{S.ranked_sql(TOP_K, K.CACHE_ALPHA, K.GEN_TEMPERATURE, 0, K.GEN_MIN_LEN_BEFORE_EOS)}
+SELECT prompt_id, token_id, cnt, round(probability, 6) AS probability FROM ranked WHERE rank = 1""")
+def q_greedy_next(spark, sf):
+    r = ranked_frame(spark, sf)
+    best = SC.greedy_pick(F.col("scored"))
+    r = r.withColumn("best", best)
+    p = F.element_at(F.filter("ranked", lambda c: c["rank"] == 1), 1)
+    return r.select("prompt_id", F.col("best.w3").alias("token_id"), F.col("best.cnt").alias("cnt"),
+                    F.round(p["probability"], 6).alias("probability"))
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 

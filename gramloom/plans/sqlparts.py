@@ -82,3 +82,72 @@ padded AS (SELECT {ex}{parts} AS p FROM {src}),
 pidx AS (SELECT {ex}p, unnest(generate_series(1, len(p) - {n - 1})) AS i FROM padded WHERE len(p) >= {n}),
 g0 AS (SELECT {ex}{sel} FROM pidx),
 g AS (SELECT {ex}{cols} FROM g0 {joins})"""
+
+
+def prompts_sql(vocab_ready: bool = True) -> str:
+    """Accepted user-turn requests, encoded: ``pctx(prompt_id, ids)`` with
+    ids = [-1, -1] ++ word ids, and ``pw`` adding w1, w2 and the last id;
+    ``ctxpos(prompt_id, pos, id, cacheable)`` lists the context by position
+    (1-based, the two start markers first)."""
+    return f"""
+req AS (SELECT (conv_id * 1000 + turn)::BIGINT AS prompt_id, text AS prompt FROM conversations WHERE role = 'user'),
+acc AS (SELECT * FROM req WHERE prompt IS NOT NULL AND length({strip('prompt')}) > 0),
+ptok0 AS (SELECT prompt_id, {words(strip('prompt'))} AS ws FROM acc),
+ptok AS (SELECT prompt_id, unnest(ws) AS piece, generate_subscripts(ws, 1) AS pos FROM ptok0),
+penc AS (SELECT prompt_id, pos, coalesce(v.id, 0) AS id FROM ptok LEFT JOIN (SELECT piece, id FROM vocab WHERE id >= 3) v USING (piece)),
+pctx AS (SELECT prompt_id, list_concat([{K.BOS_ID}, {K.BOS_ID}], list(id ORDER BY pos)) AS ids FROM penc GROUP BY prompt_id),
+pw AS (SELECT prompt_id, ids, ids[len(ids) - 1] AS w1, ids[len(ids)] AS w2, len(ids) AS n FROM pctx),
+ctxpos AS (SELECT prompt_id, 1 AS pos, {K.BOS_ID} AS id, false AS cacheable FROM pw
+           UNION ALL SELECT prompt_id, 2, {K.BOS_ID}, false FROM pw
+           UNION ALL SELECT e.prompt_id, e.pos + 2, e.id, v.cacheable FROM penc e JOIN vocab v ON v.id = e.id)"""
+
+
+def cache_scores_sql(window: int) -> str:
+    """``cs(prompt_id, token_id, score)``: F1 + F2 over ``ctxpos``."""
+    return f"""
+recent AS (SELECT c.prompt_id, c.pos, c.id FROM ctxpos c JOIN pw USING (prompt_id)
+           WHERE c.cacheable AND c.pos > pw.n - {window}),
+recent_r AS (SELECT prompt_id, id, row_number() OVER (PARTITION BY prompt_id ORDER BY pos)::DOUBLE
+                    / count(*) OVER (PARTITION BY prompt_id) AS share FROM recent),
+rec AS (SELECT prompt_id, id, sum(share) AS r FROM recent_r GROUP BY 1, 2),
+freq AS (SELECT prompt_id, id, count(*) AS f FROM ctxpos WHERE cacheable GROUP BY 1, 2),
+cs AS (SELECT f.prompt_id, f.id AS token_id, coalesce(rec.r, 0.0) + sqrt(f.f::DOUBLE) AS score
+       FROM freq f LEFT JOIN rec USING (prompt_id, id))"""
+
+
+BIGRAM_IDS = f"""
+bpad AS (SELECT list_concat(['{K.BOS_PIECE}'], {words('line')}, ['{K.EOS_PIECE}']) AS p FROM clean_lines),
+bidx AS (SELECT p, unnest(generate_series(1, len(p) - 1)) AS i FROM bpad),
+bstr AS (SELECT p[i] AS s1, p[i + 1] AS s2, count(*) AS cnt FROM bidx GROUP BY 1, 2),
+bigram_ids AS (
+  SELECT CASE WHEN s1 = '{K.BOS_PIECE}' THEN {K.BOS_ID} WHEN s1 = '{K.EOS_PIECE}' THEN {K.EOS_ID} ELSE coalesce(v1.id, 0) END AS w1,
+         CASE WHEN s2 = '{K.BOS_PIECE}' THEN {K.BOS_ID} WHEN s2 = '{K.EOS_PIECE}' THEN {K.EOS_ID} ELSE coalesce(v2.id, 0) END AS w2,
+         sum(cnt)::BIGINT AS cnt
+  FROM bstr LEFT JOIN (SELECT piece, id FROM vocab WHERE id >= 3) v1 ON bstr.s1 = v1.piece
+            LEFT JOIN (SELECT piece, id FROM vocab WHERE id >= 3) v2 ON bstr.s2 = v2.piece
+  GROUP BY 1, 2)"""
+
+TRIGRAM = ngram_ids(3, 2, True, 'norm_lines') + """,
+trigram AS (SELECT w1, w2, w3, count(*)::BIGINT AS cnt FROM g GROUP BY 1, 2, 3)"""
+
+BACKOFF = """
+tri_hit AS (SELECT pw.prompt_id, 'trigram' AS source, t.w3, t.cnt FROM pw JOIN trigram t ON t.w1 = pw.w1 AND t.w2 = pw.w2),
+bi_hit AS (SELECT pw.prompt_id, 'bigram' AS source, b.w2 AS w3, b.cnt FROM pw JOIN bigram_ids b ON b.w1 = pw.w2
+           WHERE NOT EXISTS (SELECT 1 FROM trigram t WHERE t.w1 = pw.w1 AND t.w2 = pw.w2)),
+fol AS (SELECT * FROM tri_hit UNION ALL SELECT * FROM bi_hit)"""
+
+
+def ranked_sql(k: int, alpha: float, temperature: float, gen_len: int, min_len: int) -> str:
+    """``ranked(prompt_id, rank, token_id, cnt, probability)``: F3 + F4."""
+    return f"""
+elig AS (SELECT f.prompt_id, f.w3, f.cnt FROM fol f LEFT JOIN vocab v ON v.id = f.w3
+         WHERE f.w3 <> {K.BOS_ID} AND (f.w3 = {K.EOS_ID} OR coalesce(v.cacheable, false))),
+topk AS (SELECT *, row_number() OVER (PARTITION BY prompt_id ORDER BY cnt DESC, w3 ASC) AS pos FROM elig),
+sc AS (SELECT t.prompt_id, t.w3, t.cnt, t.pos,
+              ln(greatest(t.cnt::DOUBLE * (CASE WHEN t.w3 = {K.EOS_ID} THEN
+                    (CASE WHEN {gen_len} < {min_len} THEN {K.EOS_EARLY_FACTOR} ELSE {K.EOS_LATE_FACTOR} END) ELSE 1.0 END)
+                    * (1.0 + {alpha} * coalesce(cs.score, 0.0)), {K.MIN_WEIGHT})) / greatest({temperature}, {K.MIN_TEMPERATURE}) AS lw
+       FROM topk t LEFT JOIN cs ON cs.prompt_id = t.prompt_id AND cs.token_id = t.w3 WHERE t.pos <= {k}),
+sc2 AS (SELECT *, exp(lw - max(lw) OVER (PARTITION BY prompt_id)) AS e FROM sc),
+ranked AS (SELECT prompt_id, CAST(row_number() OVER (PARTITION BY prompt_id ORDER BY lw DESC, pos ASC) AS INTEGER) AS rank,
+                  w3 AS token_id, cnt, e / sum(e) OVER (PARTITION BY prompt_id) AS probability FROM sc2)"""
