@@ -44,8 +44,8 @@ def last_context(ctx, bos: int = K.BOS_ID) -> tuple[Column, Column]:
 
 def shard_of(w1, w2, num_shards: int) -> Column:
     """((w1 * 1000003) XOR w2) floor-mod n, on 64-bit integers."""
-    x = F.bitwise_xor(_c(w1).cast("bigint") * F.lit(K.SHARD_MULTIPLIER).cast("bigint"),
-                      _c(w2).cast("bigint"))
+    x = (_c(w1).cast("bigint") * F.lit(K.SHARD_MULTIPLIER).cast("bigint")).bitwiseXOR(
+        _c(w2).cast("bigint"))
     return F.pmod(x, F.lit(num_shards).cast("bigint")).cast("int")
 
 

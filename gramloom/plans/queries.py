@@ -8,6 +8,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from gramloom import constants as K
@@ -291,6 +292,120 @@ def q_greedy_next(spark, sf):
                     F.round(p["probability"], 6).alias("probability"))
 
 
+# ------------------------------------------------------------- B4 B6 B7 C1b C5
+
+@register("strip_symbols_docs", f"""
+SELECT page_id, {S.strip_symbols('html')} AS stripped FROM pages""")
+def q_strip_symbols_docs(spark, sf):
+    pages = L.read_table(spark, sf, "pages").select("page_id", "html")
+    return pages.select("page_id", T.strip_symbols("html").alias("stripped"))
+
+
+@register("word_like", f"""
+WITH {S.CLEAN_LINES},
+w AS (SELECT DISTINCT unnest({S.words('line')}) AS token FROM clean_lines)
+SELECT token, CASE WHEN length(token) = 0 THEN false
+                   WHEN token IN ({", ".join(S.sql_str(x) for x in K.SINGLE_CHAR_WORDS)}) THEN true
+                   WHEN length(token) >= 2 THEN true
+                   ELSE regexp_matches(token, '^[^\\p{{L}}\\p{{N}}]$') END AS word_like FROM w""")
+def q_word_like(spark, sf):
+    lines = L.corpus_lines(spark, sf, normalize=False)
+    w = lines.select(F.explode(T.word_tokens("line")).alias("token")).distinct()
+    return w.select("token", T.is_word_like("token").alias("word_like"))
+
+
+@register("char_coverage", f"""
+WITH {S.CLEAN_LINES},
+c AS (SELECT unnest(regexp_extract_all(line, '(?s).', 0)) AS ch FROM clean_lines),
+cc AS (SELECT ch, count(*)::BIGINT AS cnt FROM c GROUP BY ch),
+r AS (SELECT ch, cnt, CAST(row_number() OVER (ORDER BY cnt DESC, ch ASC) AS INTEGER) AS rank,
+             sum(cnt) OVER (ORDER BY cnt DESC, ch ASC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cum,
+             sum(cnt) OVER () AS total FROM cc)
+SELECT ch, cnt, rank, round(cum::DOUBLE / total, 9) AS cum_share, ((cum - cnt)::DOUBLE / total < 1.0) AS kept FROM r""")
+def q_char_coverage(spark, sf):
+    cov = VO.char_coverage(L.corpus_lines(spark, sf, normalize=False), 1.0)
+    return cov.withColumn("cum_share", F.round("cum_share", 9))
+
+
+@register("cacheable_vocab", f"""
+WITH {S.VOCAB}
+SELECT id, piece, cacheable, {S.strip_symbols("replace(piece, '" + K.SPACE_MARK + "', '')")} AS clean,
+       count(*) OVER () AS vocab_size FROM vocab""")
+def q_cacheable_vocab(spark, sf):
+    v = vocab(spark, sf)
+    return v.select("id", "piece", "cacheable", T.clean_piece("piece").alias("clean"),
+                    F.count(F.lit(1)).over(W.partitionBy()).alias("vocab_size"))
+
+
+# ------------------------------------------------------------- C6 D4-D9
+
+@register("bigram_by_id", f"""
+WITH {S.VOCAB}, {S.BIGRAM_IDS}
+SELECT w1, w2, cnt FROM bigram_ids""")
+def q_bigram_by_id(spark, sf):
+    return bigram_ids(spark, sf, vocab(spark, sf))
+
+
+TRIGRAM_SQL = f"WITH {S.VOCAB}, {S.TRIGRAM}"
+SHARDS = K.DEFAULT_NUM_SHARDS
+
+
+@register("shard_sizes", f"""
+{TRIGRAM_SQL},
+s AS (SELECT ((xor(w1::BIGINT * {K.SHARD_MULTIPLIER}, w2::BIGINT) % {SHARDS}) + {SHARDS}) % {SHARDS} AS shard, w1, w2, cnt FROM trigram),
+c AS (SELECT shard, w1, w2, count(*) AS nf, sum(cnt) AS c FROM s GROUP BY 1, 2, 3)
+SELECT CAST(shard AS INTEGER) AS shard, count(*)::BIGINT AS contexts, sum(nf)::BIGINT AS rows, sum(c)::BIGINT AS total
+FROM c GROUP BY 1""")
+def q_shard_sizes(spark, sf):
+    return C.shard_sizes(trigram(spark, sf), SHARDS)
+
+
+@register("model_nested_roundtrip", f"""
+{TRIGRAM_SQL}
+SELECT w1, w2, w3, cnt FROM trigram""")
+def q_model_nested_roundtrip(spark, sf):
+    return C.to_long(C.to_nested(trigram(spark, sf))).select("w1", "w2", "w3", "cnt")
+
+
+@register("corpus_stats", f"""
+{TRIGRAM_SQL},
+ls AS (SELECT count(*)::BIGINT AS total_lines, count(*) FILTER (WHERE length({S.normalize('line')}) > 0)::BIGINT AS valid_lines FROM raw_lines),
+ms AS (SELECT count(DISTINCT (w1, w2))::BIGINT AS contexts, count(*)::BIGINT AS model_rows, sum(cnt)::BIGINT AS total_count FROM trigram)
+SELECT * FROM ls, ms""")
+def q_corpus_stats(spark, sf):
+    return C.corpus_stats(docs(spark, sf), trigram(spark, sf))
+
+
+PART_LINES = 1000
+
+
+@register("trigram_partials", f"""
+WITH {S.VOCAB},
+chunked AS (SELECT CAST((row_number() OVER (ORDER BY doc_id, line_no) - 1) // {PART_LINES} AS INTEGER) AS part_id, line FROM norm_lines),
+{S.ngram_ids(3, 2, True, 'chunked', extra='part_id')}
+SELECT part_id, w1, w2, w3, count(*)::BIGINT AS cnt FROM g GROUP BY 1, 2, 3, 4""")
+def q_trigram_partials(spark, sf):
+    return C.partial_counts(docs(spark, sf), vocab(spark, sf), PART_LINES, vocab_bound=VOCAB_SIZE)
+
+
+@register("trigram_merged", f"""
+{TRIGRAM_SQL}
+SELECT w1, w2, w3, cnt FROM trigram""")
+def q_trigram_merged(spark, sf):
+    return C.merge_partials(C.partial_counts(docs(spark, sf), vocab(spark, sf), PART_LINES,
+                                             vocab_bound=VOCAB_SIZE))
+
+
+MAX_LINES = 5000
+
+
+@register("limit_lines", f"""
+WITH {S.RAW_LINES}
+SELECT doc_id, line_no, line FROM raw_lines ORDER BY doc_id, line_no LIMIT {MAX_LINES}""")
+def q_limit_lines(spark, sf):
+    return L.limit_lines(docs(spark, sf), MAX_LINES)
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 
