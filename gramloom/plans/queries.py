@@ -406,6 +406,38 @@ def q_limit_lines(spark, sf):
     return L.limit_lines(docs(spark, sf), MAX_LINES)
 
 
+# ------------------------------------------------------------- G1
+
+def generation(spark, sf, mode, model_type="trigram", seed=K.NEURAL_SEED):
+    from gramloom.plans.generate import generate, prepare_model
+    v = vocab(spark, sf)
+    acc, _ = PR.split_requests(requests(spark, sf))
+    enc = LK.encode_prompts(acc, v, VOCAB_SIZE)
+    k = max(TOP_K, enc.agg(F.max("top_k")).first()[0] or TOP_K)
+    if model_type == "bigram":
+        model = C.followers_table(bigram_ids(spark, sf, v).withColumnRenamed("w2", "w3"), v, k, ["w1"], VOCAB_SIZE)
+        model = prepare_model(model, ["w1"])
+    else:
+        model = prepare_model(C.followers_table(trigram(spark, sf, v), v, k, ["w1", "w2"], VOCAB_SIZE),
+                              ["w1", "w2"])
+    return generate(enc, model, model_type, mode, seed)
+
+
+@register("greedy_text")
+def q_greedy_text(spark, sf):
+    return generation(spark, sf, "greedy")
+
+
+@register("sampled_text")
+def q_sampled_text(spark, sf):
+    return generation(spark, sf, "sample")
+
+
+@register("sampled_text_bigram")
+def q_sampled_text_bigram(spark, sf):
+    return generation(spark, sf, "sample", model_type="bigram")
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 
