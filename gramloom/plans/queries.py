@@ -20,6 +20,7 @@ from gramloom.operators import vocab as VO
 from gramloom.plans import prompts as PR
 from gramloom.plans import sqlparts as S
 from gramloom.sources import lines as L
+from gramloom.session import cut_lineage
 
 VOCAB_SIZE = K.DEFAULT_VOCAB_SIZE
 
@@ -40,11 +41,13 @@ def register(name: str, sql: str | None = None):
 # --------------------------------------------------------------------- shared
 
 def docs(spark, sf):
-    return L.read_table(spark, sf, "documents").select("doc_id", "text")
+    return L.spread(L.read_table(spark, sf, "documents").select("doc_id", "text"))
 
 
 def vocab(spark, sf):
-    return VO.build_vocab(L.corpus_lines(spark, sf, normalize=False), "word", VOCAB_SIZE)
+    """The word vocabulary (bounded by VOCAB_SIZE rows), built once and
+    checkpointed so every lookup against it reuses the stored rows."""
+    return cut_lineage(VO.build_vocab(L.corpus_lines(spark, sf, normalize=False), "word", VOCAB_SIZE))
 
 
 def trigram(spark, sf, vocab_df=None):

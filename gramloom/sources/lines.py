@@ -20,6 +20,16 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
+    """Round-robin the rows only when the scan yields fewer partitions than
+    the cluster can run at once (e.g. a single-row-group file).  A corpus of
+    many files already scans in parallel and is left alone (no shuffle)."""
+    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < target:
+        return df.repartition(target)
+    return df
+
+
 def doc_lines(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """One row per document with its raw lines as an array:
     ``(doc_id, lines ARRAY<STRING>)``."""
@@ -121,7 +131,7 @@ def limit_lines(docs: DataFrame, max_lines: int | None, text_col: str = "text",
 
 def corpus_lines(spark: SparkSession, sf_dir: str, normalize: bool = False) -> DataFrame:
     """Cleaned lines of the ``documents`` table (the test corpus)."""
-    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = spread(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
     return clean_lines(read_lines(docs), normalize=normalize)
 
 
