@@ -441,6 +441,42 @@ def q_sampled_text_bigram(spark, sf):
     return generation(spark, sf, "sample", model_type="bigram")
 
 
+# ------------------------------------------------------------- G2-G5 A11 A12
+
+TREE_COLS = ["prompt_id", "node_id", "parent_id", "depth", "choice_rank", "token_id", "piece",
+             "count", "score", "probability", "cumulative_score", "text", "is_terminal"]
+
+
+def tree_nodes(spark, sf, max_depth=K.TREE_MAX_DEPTH):
+    from gramloom.plans.generate import prepare_model
+    from gramloom.plans.tree import TreeParams, expand_tree
+    v = vocab(spark, sf)
+    enc = prompt_contexts(spark, sf, v)
+    k = TOP_K
+    tri = prepare_model(C.followers_table(trigram(spark, sf, v), v, k, ["w1", "w2"], VOCAB_SIZE), ["w1", "w2"])
+    bi = prepare_model(C.followers_table(bigram_ids(spark, sf, v).withColumnRenamed("w2", "w3"), v, k,
+                                         ["w1"], VOCAB_SIZE), ["w1"])
+    return expand_tree(enc, tri, bi, TreeParams(max_depth=max_depth))
+
+
+def rounded_nodes(nodes):
+    out = nodes.select(*TREE_COLS)
+    for c in ("count", "score", "probability", "cumulative_score"):
+        out = out.withColumn(c, F.round(c, 6))
+    return out
+
+
+@register("tree_nodes")
+def q_tree_nodes(spark, sf):
+    return rounded_nodes(tree_nodes(spark, sf))
+
+
+@register("tree_csv")
+def q_tree_csv(spark, sf):
+    from gramloom.plans.tree import csv_tokens
+    return csv_tokens(tree_nodes(spark, sf))
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 
