@@ -30,13 +30,13 @@ def bigram_counts(lines: DataFrame, tokenizer: str = "word", line_col: str = "li
         F.count(F.lit(1)).alias("cnt"))
 
 
-def _marked_tokens(tokens, n_bos: int, eos: bool):
+def _marked_tokens(tokens, n_bos: int, eos: bool, bos_id: int = K.BOS_ID):
     """Pad a string-token array with sentinel markers carried beside the
     token: struct(s = sentinel id or null, t = token or null)."""
     def mark(sid):
         return F.struct(F.lit(sid).cast("int").alias("s"), F.lit(None).cast("string").alias("t"))
     body = F.transform(tokens, lambda x: F.struct(F.lit(None).cast("int").alias("s"), x.alias("t")))
-    parts = [F.array_repeat(mark(K.BOS_ID), n_bos), body]
+    parts = [F.array_repeat(mark(bos_id), n_bos), body]
     if eos:
         parts.append(F.array(mark(K.EOS_ID)))
     return F.concat(*parts)
@@ -44,7 +44,8 @@ def _marked_tokens(tokens, n_bos: int, eos: bool):
 
 def id_ngram_rows(lines: DataFrame, vocab: DataFrame, n: int, n_bos: int | None = None,
                   eos: bool = True, tokenizer: str = "word", vocab_bound: int | None = None,
-                  line_col: str = "line", extra_cols: list[str] | None = None) -> DataFrame:
+                  line_col: str = "line", extra_cols: list[str] | None = None,
+                  bos_id: int = K.BOS_ID) -> DataFrame:
     """One row per n-gram occurrence with integer ids ``w1..wn``.
 
     Windows are built on the string tokens inside each row and exploded;
@@ -54,7 +55,7 @@ def id_ngram_rows(lines: DataFrame, vocab: DataFrame, n: int, n_bos: int | None
     n_bos = n - 1 if n_bos is None else n_bos
     extra_cols = extra_cols or []
     padded = lines.select(*extra_cols, _marked_tokens(
-        tokens_expr(F.col(line_col), tokenizer), n_bos, eos).alias("_p"))
+        tokens_expr(F.col(line_col), tokenizer), n_bos, eos, bos_id).alias("_p"))
     grams = padded.select(*extra_cols, F.explode(A.ngram_structs("_p", n, COLS[:n])).alias("g"))
     flat = grams.select(*extra_cols, *[F.col(f"g.{c}.s").alias(f"s{i}") for i, c in enumerate(COLS[:n])],
                         *[F.col(f"g.{c}.t").alias(f"t{i}") for i, c in enumerate(COLS[:n])])

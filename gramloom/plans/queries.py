@@ -477,6 +477,98 @@ def q_tree_csv(spark, sf):
     return csv_tokens(tree_nodes(spark, sf))
 
 
+# ------------------------------------------------------------- A5-A9 A12
+
+@register("shard_lookup", f"""
+WITH {PROMPTS_SQL}, {S.TRIGRAM}
+SELECT pw.prompt_id, t.w1, t.w2, t.w3, t.cnt FROM pw JOIN trigram t ON t.w1 = pw.w1 AND t.w2 = pw.w2""")
+def q_shard_lookup(spark, sf):
+    """A7 + A9: write the model in 64 context-hash shards, then answer the
+    prompt contexts from the shards they hash to."""
+    from gramloom.sources import store as ST
+    v = vocab(spark, sf)
+    path = ST.scratch_path(spark, "trigram_shards")
+    ST.write_sharded(trigram(spark, sf, v), path, SHARDS)
+    ctx = prompt_contexts(spark, sf, v).select("prompt_id", "w1", "w2")
+    return ST.read_sharded(spark, path, ctx).select("prompt_id", "w1", "w2", "w3", "cnt")
+
+
+@register("store_roundtrip", f"""
+{TRIGRAM_SQL}
+SELECT w1, w2, w3, cnt FROM trigram""")
+def q_store_roundtrip(spark, sf):
+    """A5: write the merged model clustered by context and read it back."""
+    from gramloom.sources import store as ST
+    path = ST.scratch_path(spark, "trigram")
+    ST.write_trigram(trigram(spark, sf), path)
+    return spark.read.parquet(path).select("w1", "w2", "w3", "cnt")
+
+
+@register("generation_json")
+def q_generation_json(spark, sf):
+    from gramloom.sources import store as ST
+    return ST.generation_json(generation(spark, sf, "sample"))
+
+
+# ------------------------------------------------------------- H1-H6 F7 G6
+
+NEURAL_K = K.NEURAL_CONTEXT_SIZE
+
+
+@register("neural_samples", f"""
+WITH {S.VOCAB},
+nlines AS (SELECT doc_id, line_no, line FROM clean_lines),
+{S.ngram_ids(NEURAL_K + 1, NEURAL_K, False, 'nlines', extra='doc_id, line_no', bos_id=VOCAB_SIZE)}
+SELECT doc_id, line_no, w1 AS c1, w2 AS c2, w3 AS c3, w4 AS c4, w5 AS target FROM g""")
+def q_neural_samples(spark, sf):
+    from gramloom.plans import neural as N
+    v = vocab(spark, sf)
+    cfg = N.NeuralConfig(vocab_size=VOCAB_SIZE + 1, bos_token_id=VOCAB_SIZE)
+    smp = N.build_samples(L.corpus_lines(spark, sf, normalize=False), v, cfg, VOCAB_SIZE)
+    return smp.select("doc_id", "line_no", *[F.col("context")[i].alias(f"c{i + 1}") for i in range(NEURAL_K)],
+                      "target")
+
+
+SMALL_VOCAB = 500
+
+
+def small_neural(spark, sf, epochs=2):
+    """A small configuration (500-piece vocabulary, narrow layers) so the
+    numpy training stays quick on one machine; the code path is the same."""
+    from gramloom.plans import neural as N
+    lines = L.corpus_lines(spark, sf, normalize=False)
+    v = cut_lineage(VO.build_vocab(lines, "word", SMALL_VOCAB))
+    cfg = N.NeuralConfig(vocab_size=SMALL_VOCAB + 1, embed_dim=16, hidden_dim=32, bos_token_id=SMALL_VOCAB)
+    smp = cut_lineage(N.build_samples(lines, v, cfg, SMALL_VOCAB))
+    weights, hist = N.train(smp, cfg, epochs=epochs)
+    return v, cfg, weights, hist
+
+
+@register("neural_batches")
+def q_neural_batches(spark, sf):
+    from gramloom.plans import neural as N
+    v = vocab(spark, sf)
+    cfg = N.NeuralConfig(vocab_size=VOCAB_SIZE + 1, bos_token_id=VOCAB_SIZE)
+    smp = N.build_samples(L.corpus_lines(spark, sf, normalize=False), v, cfg, VOCAB_SIZE)
+    sh = N.shuffle_samples(smp, K.NEURAL_SEED, 1)
+    return sh.select("doc_id", "line_no", "target", F.spark_partition_id().alias("part"), "_h")
+
+
+@register("neural_train_loss")
+def q_neural_train_loss(spark, sf):
+    _, _, _, hist = small_neural(spark, sf)
+    return spark.createDataFrame(hist, "epoch int, avg_loss double")
+
+
+@register("neural_text")
+def q_neural_text(spark, sf):
+    from gramloom.plans import neural as N
+    v, cfg, weights, _ = small_neural(spark, sf, epochs=1)
+    acc, _ = PR.split_requests(requests(spark, sf))
+    enc = LK.encode_prompts(acc, v, SMALL_VOCAB)
+    return N.generate_neural(enc, weights, cfg, v)
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 

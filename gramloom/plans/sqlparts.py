@@ -63,11 +63,11 @@ vocab0 AS (SELECT 0 AS id, '{K.UNK_PIECE}' AS piece, 0.0::DOUBLE AS score, 0::BI
 vocab AS (SELECT CAST(id AS INTEGER) AS id, piece, score, cnt, {cacheable('piece', 'id')} AS cacheable FROM vocab0)"""
 
 
-def ngram_ids(n: int, n_bos: int, eos: bool, src: str, extra: str = "") -> str:
+def ngram_ids(n: int, n_bos: int, eos: bool, src: str, extra: str = "", bos_id: int = K.BOS_ID) -> str:
     """CTE ``g`` with ``w1..wn`` ids (plus ``extra`` columns of ``src``), one
     row per n-gram occurrence, via list positions and joins to ``vocab``."""
     body = f"[{{'s': NULL::INTEGER, 't': x}} for x in {words('line')}]"
-    bos = f"[{{'s': {K.BOS_ID}::INTEGER, 't': NULL::VARCHAR}} for x in range({n_bos})]"
+    bos = f"[{{'s': {bos_id}::INTEGER, 't': NULL::VARCHAR}} for x in range({n_bos})]"
     parts = f"list_concat({bos}, {body}"
     if eos:
         parts += f", [{{'s': {K.EOS_ID}::INTEGER, 't': NULL::VARCHAR}}]"

@@ -68,3 +68,23 @@ def maybe_broadcast(df: DataFrame, row_bound: int | None) -> DataFrame:
     if row_bound is not None and row_bound <= BROADCAST_ROW_LIMIT:
         return F.broadcast(df)
     return df
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``gramloom`` importable in Python workers (needed by the pandas
+    functions) by shipping a zip of the package with ``addPyFile``; done
+    once per SparkContext."""
+    import shutil
+    sc = spark.sparkContext
+    key = sc.applicationId
+    if key in _SHIPPED:
+        return
+    pkg_dir = os.path.dirname(os.path.abspath(__file__))
+    root = os.path.dirname(pkg_dir)
+    out = tempfile.mkdtemp(prefix="gramloom-pyfiles-")
+    archive = shutil.make_archive(os.path.join(out, "gramloom"), "zip", root_dir=root, base_dir="gramloom")
+    sc.addPyFile(archive)
+    _SHIPPED.add(key)
