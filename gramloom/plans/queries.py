@@ -569,6 +569,41 @@ def q_neural_text(spark, sf):
     return N.generate_neural(enc, weights, cfg, v)
 
 
+# ------------------------------------------------------------- C1 C2 C3 (subword)
+
+SUBWORD_VOCAB = 2000
+
+
+def subword_vocab(spark, sf):
+    from gramloom.operators import subword as SW
+    return cut_lineage(SW.train_unigram(L.corpus_lines(spark, sf, normalize=False), SUBWORD_VOCAB))
+
+
+@register("subword_vocab")
+def q_subword_vocab(spark, sf):
+    return subword_vocab(spark, sf).withColumn("score", F.round("score", 6))
+
+
+@register("subword_tokens")
+def q_subword_tokens(spark, sf):
+    from gramloom.operators import subword as SW
+    v = subword_vocab(spark, sf)
+    conv = L.read_table(spark, sf, "conversations").select("conv_id", "turn", "text")
+    enc = SW.encode_subword(conv, ["conv_id", "turn"], "text", v)
+    return enc.select("conv_id", "turn", F.size("ids").alias("n_pieces"),
+                      VO.decode_expr(F.col("ids_tok"), "subword").alias("decoded"))
+
+
+@register("subword_trigram_counts")
+def q_subword_trigram_counts(spark, sf):
+    """D2 over subword ids of the normalised corpus lines."""
+    from gramloom.operators import subword as SW
+    v = subword_vocab(spark, sf)
+    lines = L.corpus_lines(spark, sf, normalize=True)
+    enc = SW.encode_subword(lines, ["doc_id", "line_no"], "line", v)
+    return C.ids_ngram_counts(enc, "ids", 3)
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 
