@@ -604,6 +604,24 @@ def q_subword_trigram_counts(spark, sf):
     return C.ids_ngram_counts(enc, "ids", 3)
 
 
+# ------------------------------------------------------------- A4 D4 D5 streaming
+
+@register("streamed_merged", f"""
+{TRIGRAM_SQL}
+SELECT w1, w2, w3, cnt FROM trigram""")
+def q_streamed_merged(spark, sf):
+    """The corpus lines written as 4 text files, streamed one file per
+    micro-batch into restartable partials, then merged."""
+    from gramloom.sources import store as ST
+    from gramloom.streaming import stream_partial_counts, write_corpus_files
+    v = vocab(spark, sf)
+    src = ST.scratch_path(spark, "corpus_files")
+    write_corpus_files(L.read_lines(docs(spark, sf)), src, 4)
+    parts = ST.scratch_path(spark, "stream_parts")
+    stream_partial_counts(spark, src, v, parts, ST.scratch_path(spark, "stream_ckpt"), vocab_bound=VOCAB_SIZE)
+    return C.merge_partials(spark.read.parquet(parts)).select("w1", "w2", "w3", "cnt")
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 
