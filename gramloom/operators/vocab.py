@@ -90,20 +90,25 @@ def encode_tokens(df: DataFrame, key_cols: list[str], tokens_col: str, vocab: Da
     return out.withColumn(out_col, F.transform(f"{out_col}_tok", lambda x: x["id"]))
 
 
-def decode_expr(tok_col, tokenizer: str = "word"):
-    """C3 for arrays that carry their pieces: join pieces (a space between
-    words, nothing between characters; subword pieces turn their boundary
-    mark into a space and lose the leading one)."""
-    pieces = F.transform(F.col(tok_col) if isinstance(tok_col, str) else tok_col,
-                         lambda x: x["piece"])
+def decode_pieces(pieces, tokenizer: str = "word"):
+    """C3 on an array of piece strings: a space between words, nothing
+    between characters; subword pieces turn their boundary mark into a
+    space and lose the leading one."""
+    p = F.col(pieces) if isinstance(pieces, str) else pieces
     if tokenizer == "word":
-        return F.array_join(pieces, " ")
+        return F.array_join(p, " ")
     if tokenizer == "char":
-        return F.array_join(pieces, "")
-    joined = F.replace(F.array_join(pieces, ""), F.lit(K.SPACE_MARK), F.lit(" "))
+        return F.array_join(p, "")
+    joined = F.replace(F.array_join(p, ""), F.lit(K.SPACE_MARK), F.lit(" "))
     return F.regexp_replace(joined, "^ ", "")
 
 
+def decode_expr(tok_col, tokenizer: str = "word"):
+    """C3 for arrays of ``struct<id, piece, ...>``."""
+    c = F.col(tok_col) if isinstance(tok_col, str) else tok_col
+    return decode_pieces(F.transform(c, lambda x: x["piece"]), tokenizer)
+
+
 def char_coverage(lines: DataFrame, coverage: float = 1.0, line_col: str = "line") -> DataFrame:
     """Characters by count with their cumulative share; a character is
     kept while the share of more frequent characters is below ``coverage``.

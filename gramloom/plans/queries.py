@@ -250,10 +250,11 @@ def q_cache_scores(spark, sf):
     v = vocab(spark, sf)
     ctx = prompt_contexts(spark, sf, v)
     c = ctx.select("prompt_id", "ctx").withColumn(
-        "recent", SC.recent_cacheable(F.col("ctx"), K.CACHE_RECENT_WINDOW))
-    ids = F.array_distinct(F.transform(F.filter("ctx", lambda x: x["cacheable"]), lambda x: x["id"]))
+        "recent", SC.recent_cacheable(F.col("ctx"), K.CACHE_RECENT_WINDOW)).withColumn(
+        "cids", SC.cacheable_ids(F.col("ctx")))
+    ids = F.array_distinct(F.col("cids"))
     return c.select("prompt_id", F.explode(F.transform(ids, lambda t: F.struct(
-        t.alias("token_id"), SC.cache_score(F.col("ctx"), F.col("recent"), t).alias("score")))).alias("s")) \
+        t.alias("token_id"), SC.cache_score(F.col("cids"), F.col("recent"), t).alias("score")))).alias("s")) \
         .select("prompt_id", "s.token_id", F.round("s.score", 6).alias("score"))
 
 
@@ -265,8 +266,9 @@ def ranked_frame(spark, sf, k=TOP_K, alpha=K.CACHE_ALPHA, window=K.CACHE_RECENT_
     bi = C.followers_table(bigram_ids(spark, sf, v).withColumnRenamed("w2", "w3"), v, k, ["w1"], VOCAB_SIZE)
     j = LK.backoff_followers(ctx, tri, bi).filter(F.col("followers").isNotNull())
     j = j.withColumn("recent", SC.recent_cacheable(F.col("ctx"), window)) \
+        .withColumn("cids", SC.cacheable_ids(F.col("ctx"))) \
         .withColumn("cands", SC.tree_candidates(F.col("followers"), k))
-    j = j.withColumn("scored", SC.scored(F.col("cands"), F.col("ctx"), F.col("recent"), alpha,
+    j = j.withColumn("scored", SC.scored(F.col("cands"), F.col("cids"), F.col("recent"), alpha,
                                          gen_len, min_len, temperature))
     return j.filter(F.size("scored") > 0).withColumn("ranked", SC.normalise(F.col("scored")))
 

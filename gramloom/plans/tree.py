@@ -55,11 +55,12 @@ def rank_with_backoff(df: DataFrame, tri: DataFrame, bi: DataFrame | None, gen_l
         j = j.withColumn("_fol", F.col("_tri"))
     j = j.drop("w1", "w2", "_tri")
     j = (j.withColumn("_cands", SC.tree_candidates(F.coalesce("_fol", F.array()), p.top_k))
-         .withColumn("_recent", SC.recent_cacheable(F.col("ctx"), p.window)))
-    j = j.withColumn("_scored", SC.scored(F.col("_cands"), F.col("ctx"), F.col("_recent"), p.alpha,
+         .withColumn("_recent", SC.recent_cacheable(F.col("ctx"), p.window))
+         .withColumn("_cids", SC.cacheable_ids(F.col("ctx"))))
+    j = j.withColumn("_scored", SC.scored(F.col("_cands"), F.col("_cids"), F.col("_recent"), p.alpha,
                                           gen_len, p.min_len, p.temperature))
     return (j.withColumn("ranked", F.when(F.size("_scored") > 0, SC.normalise(F.col("_scored"))))
-            .drop("_fol", "_cands", "_recent", "_scored"))
+            .drop("_fol", "_cands", "_recent", "_cids", "_scored"))
 
 
 def _tok(c):
