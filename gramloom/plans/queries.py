@@ -428,7 +428,10 @@ def generation(spark, sf, mode, model_type="trigram", seed=K.NEURAL_SEED):
     return generate(enc, model, model_type, mode, seed)
 
 
-@register("greedy_text")
+@register("greedy_text", f"""
+WITH RECURSIVE {PROMPTS_SQL}, {S.TRIGRAM},
+{S.greedy_sql(K.GEN_MAX_TOKENS, TOP_K, K.CACHE_ALPHA, K.GEN_TEMPERATURE, K.CACHE_RECENT_WINDOW, K.GEN_MIN_LEN_BEFORE_EOS)}
+SELECT prompt_id, text, n_generated::INTEGER AS n_generated, stop, 'trigram' AS model_type FROM gen_out""")
 def q_greedy_text(spark, sf):
     return generation(spark, sf, "greedy")
 

@@ -151,3 +151,49 @@ sc AS (SELECT t.prompt_id, t.w3, t.cnt, t.pos,
 sc2 AS (SELECT *, exp(lw - max(lw) OVER (PARTITION BY prompt_id)) AS e FROM sc),
 ranked AS (SELECT prompt_id, CAST(row_number() OVER (PARTITION BY prompt_id ORDER BY lw DESC, pos ASC) AS INTEGER) AS rank,
                   w3 AS token_id, cnt, e / sum(e) OVER (PARTITION BY prompt_id) AS probability FROM sc2)"""
+
+
+def greedy_sql(max_tokens: int, top_k: int, alpha: float, temperature: float, window: int, min_len: int) -> str:
+    """Plain greedy generation (G1 with F6 instead of a draw) as a recursive
+    CTE over ``pw``/``penc``/``vocab``/``trigram``; ``gen_out`` holds one
+    finished row per prompt."""
+    return f"""
+ptoks AS (SELECT e.prompt_id, list({{'id': e.id, 'c': v.cacheable}} ORDER BY e.pos) AS toks,
+                 list(CASE WHEN e.id = 0 THEN '{K.UNK_SURFACE}' ELSE v.piece END ORDER BY e.pos) AS pieces
+          FROM penc e JOIN vocab v ON v.id = e.id GROUP BY e.prompt_id),
+gbase AS (SELECT prompt_id, list_concat([{{'id': {K.BOS_ID}, 'c': false}}, {{'id': {K.BOS_ID}, 'c': false}}], toks) AS ctx,
+                 pieces FROM ptoks),
+cands AS (SELECT t.w1, t.w2, t.w3, t.cnt,
+                 row_number() OVER (PARTITION BY t.w1, t.w2 ORDER BY t.cnt DESC, t.w3 ASC) AS pos,
+                 CASE WHEN t.w3 = {K.EOS_ID} THEN '{K.EOS_PIECE}' WHEN t.w3 = 0 THEN '{K.UNK_SURFACE}' ELSE v.piece END AS piece,
+                 coalesce(v.cacheable, false) AS cacheable
+          FROM trigram t LEFT JOIN vocab v ON v.id = t.w3
+          QUALIFY pos <= {top_k}),
+gen(prompt_id, ctx, pieces, n, stop) AS (
+  SELECT prompt_id, ctx, pieces, 0, CAST(NULL AS VARCHAR) FROM gbase
+  UNION ALL
+  SELECT prompt_id,
+         CASE WHEN adv THEN list_append(ctx, {{'id': w3, 'c': cacheable}}) ELSE ctx END,
+         CASE WHEN adv THEN list_append(pieces, piece) ELSE pieces END,
+         n + CASE WHEN adv THEN 1 ELSE 0 END,
+         CASE WHEN w3 IS NULL THEN 'miss' WHEN w3 = {K.EOS_ID} THEN 'eos'
+              WHEN n + 1 >= {max_tokens} THEN 'max_tokens' END
+  FROM (
+    SELECT s.*, (s.w3 IS NOT NULL AND s.w3 <> {K.EOS_ID}) AS adv,
+           row_number() OVER (PARTITION BY s.prompt_id ORDER BY s.lw DESC NULLS LAST, s.pos) AS rk
+    FROM (
+      SELECT g.prompt_id, g.ctx, g.pieces, g.n, c.w3, c.cnt, c.pos, c.piece, c.cacheable,
+             ln(greatest(c.cnt::DOUBLE
+                 * (CASE WHEN c.w3 = {K.EOS_ID} THEN (CASE WHEN g.n < {min_len} THEN {K.EOS_EARLY_FACTOR} ELSE {K.EOS_LATE_FACTOR} END) ELSE 1.0 END)
+                 * (1.0 + {alpha} * (
+                     coalesce(list_sum(list_transform([x.id FOR x IN g.ctx[-{window}:] IF x.c],
+                         lambda x, i: CASE WHEN x = c.w3 THEN i / len([y.id FOR y IN g.ctx[-{window}:] IF y.c]) ELSE 0.0 END)), 0.0)
+                     + CASE WHEN len(list_filter(g.ctx, lambda x: x.c AND x.id = c.w3)) > 0
+                            THEN sqrt(len(list_filter(g.ctx, lambda x: x.c AND x.id = c.w3))) ELSE 0.0 END)),
+                 {K.MIN_WEIGHT})) / {temperature} AS lw
+      FROM gen g LEFT JOIN cands c ON c.w1 = g.ctx[-2].id AND c.w2 = g.ctx[-1].id
+      WHERE g.stop IS NULL) s
+  ) t WHERE rk = 1
+),
+gen_out AS (SELECT prompt_id, {strip_symbols("array_to_string(pieces, ' ')")} AS text, n AS n_generated, stop
+            FROM gen WHERE stop IS NOT NULL)"""
