@@ -70,16 +70,25 @@ def id_ngram_rows(lines: DataFrame, vocab: DataFrame, n: int, n_bos: int | None
 
 def ngram_counts(lines: DataFrame, vocab: DataFrame, n: int = 3, n_bos: int | None = None,
                  eos: bool = True, tokenizer: str = "word", vocab_bound: int | None = None,
-                 line_col: str = "line") -> DataFrame:
-    """D3: ``(w1..wn INT, cnt BIGINT)``; n=3 is D2."""
+                 line_col: str = "line", contexts: DataFrame | None = None,
+                 contexts_bound: int | None = None) -> DataFrame:
+    """D3: ``(w1..wn INT, cnt BIGINT)``; n=3 is D2.
+
+    With ``contexts`` (the first n-1 ids of the wanted n-grams) only those
+    contexts are counted: the occurrences are semi-joined with the contexts
+    *before* the aggregation, so other n-grams never reach the shuffle."""
     rows = id_ngram_rows(lines, vocab, n, n_bos, eos, tokenizer, vocab_bound, line_col)
+    if contexts is not None:
+        keys = COLS[:n - 1]
+        rows = rows.join(maybe_broadcast(contexts.select(*keys).distinct(), contexts_bound), keys, "left_semi")
     return rows.groupBy(*COLS[:n]).agg(F.count(F.lit(1)).alias("cnt"))
 
 
 def trigram_counts(lines: DataFrame, vocab: DataFrame, tokenizer: str = "word",
-                   vocab_bound: int | None = None, line_col: str = "line") -> DataFrame:
+                   vocab_bound: int | None = None, line_col: str = "line",
+                   contexts: DataFrame | None = None, contexts_bound: int | None = None) -> DataFrame:
     """``(w1, w2, w3, cnt)`` over ``[-1,-1] ++ ids ++ [-2]``."""
-    return ngram_counts(lines, vocab, 3, 2, True, tokenizer, vocab_bound, line_col)
+    return ngram_counts(lines, vocab, 3, 2, True, tokenizer, vocab_bound, line_col, contexts, contexts_bound)
 
 
 def ids_ngram_counts(df: DataFrame, ids_col: str, n: int = 3, n_bos: int | None = None,

@@ -65,3 +65,10 @@ def backoff_followers(contexts: DataFrame, tri_followers: DataFrame, bi_follower
                          .when(F.col("_bi").isNotNull(), F.lit("bigram")))
             .withColumn("followers", F.coalesce("_tri", "_bi"))
             .drop("_tri", "_bi", "_last"))
+
+
+def restrict_to_contexts(model: DataFrame, contexts: DataFrame, keys: list[str]) -> DataFrame:
+    """Keep only the model rows whose context is asked for (left semi join).
+    When the model is a count aggregate, Catalyst pushes the semi join below
+    the aggregate, so n-gram rows of other contexts never reach the shuffle."""
+    return model.join(contexts.select(*keys).distinct(), keys, "left_semi")

@@ -134,7 +134,8 @@ def prefix_rows(lines: DataFrame, key_cols: list[str], line_col: str = "line") -
                 F.expr("substring(_s, 1, plen)").alias("prefix"))
 
 
-def bigram_to_ids(bigram: DataFrame, vocab: DataFrame, vocab_bound: int | None) -> DataFrame:
+def bigram_to_ids(bigram: DataFrame, vocab: DataFrame, vocab_bound: int | None,
+                  first_ids: DataFrame | None = None, first_bound: int | None = None) -> DataFrame:
     """Re-key a string bigram model by id: ``<BOS>`` -> -1, ``<EOS>`` ->
     -2, other pieces via the vocabulary, unknown -> 0.  Several unknown
     strings that land on the same key are summed."""
@@ -153,5 +154,7 @@ def bigram_to_ids(bigram: DataFrame, vocab: DataFrame, vocab_bound: int | None)
                 .when(F.col(name) == K.EOS_PIECE, F.lit(K.EOS_ID))
                 .otherwise(F.coalesce(F.col(f"_i{name}"), F.lit(K.UNK_ID))))
 
-    return (j.select(to_id("w1").alias("w1"), to_id("w2").alias("w2"), "cnt")
-            .groupBy("w1", "w2").agg(F.sum("cnt").alias("cnt")))
+    keyed = j.select(to_id("w1").alias("w1"), to_id("w2").alias("w2"), "cnt")
+    if first_ids is not None:
+        keyed = keyed.join(maybe_broadcast(first_ids.select("w1").distinct(), first_bound), "w1", "left_semi")
+    return keyed.groupBy("w1", "w2").agg(F.sum("cnt").alias("cnt"))

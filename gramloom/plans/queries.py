@@ -50,9 +50,13 @@ def vocab(spark, sf):
     return cut_lineage(VO.build_vocab(L.corpus_lines(spark, sf, normalize=False), "word", VOCAB_SIZE))
 
 
-def trigram(spark, sf, vocab_df=None):
+def trigram(spark, sf, vocab_df=None, contexts=None):
+    """The trigram model; with ``contexts`` only the asked contexts are
+    counted (their number is bounded by the prompts, counted first)."""
     v = vocab_df if vocab_df is not None else vocab(spark, sf)
-    return C.trigram_counts(L.corpus_lines(spark, sf, normalize=True), v, vocab_bound=VOCAB_SIZE)
+    bound = contexts.count() if contexts is not None else None
+    return C.trigram_counts(L.corpus_lines(spark, sf, normalize=True), v, vocab_bound=VOCAB_SIZE,
+                            contexts=contexts, contexts_bound=bound)
 
 
 # ------------------------------------------------------------------ A1 B1-B3
@@ -181,8 +185,10 @@ def prompt_contexts(spark, sf, v):
     return LK.encode_prompts(acc, v, VOCAB_SIZE)
 
 
-def bigram_ids(spark, sf, v):
-    return VO.bigram_to_ids(C.bigram_counts(L.corpus_lines(spark, sf, normalize=False)), v, VOCAB_SIZE)
+def bigram_ids(spark, sf, v, first_ids=None):
+    bound = first_ids.count() if first_ids is not None else None
+    return VO.bigram_to_ids(C.bigram_counts(L.corpus_lines(spark, sf, normalize=False)), v, VOCAB_SIZE,
+                            first_ids, bound)
 
 
 PROMPTS_SQL = f"{S.VOCAB}, {S.prompts_sql()}"
@@ -193,8 +199,8 @@ WITH {PROMPTS_SQL}, {S.TRIGRAM}
 SELECT pw.prompt_id, t.w1, t.w2, t.w3, t.cnt FROM pw JOIN trigram t ON t.w1 = pw.w1 AND t.w2 = pw.w2""")
 def q_next_exact(spark, sf):
     v = vocab(spark, sf)
-    ctx = prompt_contexts(spark, sf, v)
-    return ctx.select("prompt_id", "w1", "w2").join(trigram(spark, sf, v), ["w1", "w2"]) \
+    ctx = cut_lineage(prompt_contexts(spark, sf, v))
+    return ctx.select("prompt_id", "w1", "w2").join(trigram(spark, sf, v, ctx), ["w1", "w2"]) \
         .select("prompt_id", "w1", "w2", "w3", "cnt")
 
 
@@ -205,8 +211,8 @@ r AS (SELECT pw.prompt_id, t.w3, t.cnt, row_number() OVER (PARTITION BY pw.promp
 SELECT prompt_id, CAST(rank AS INTEGER) AS rank, w3, cnt FROM r WHERE rank <= {TOP_K}""")
 def q_next_top_k(spark, sf):
     v = vocab(spark, sf)
-    ctx = prompt_contexts(spark, sf, v)
-    fol = C.followers_table(trigram(spark, sf, v), v, TOP_K, ["w1", "w2"], VOCAB_SIZE)
+    ctx = cut_lineage(prompt_contexts(spark, sf, v))
+    fol = C.followers_table(trigram(spark, sf, v, ctx), v, TOP_K, ["w1", "w2"], VOCAB_SIZE)
     j = ctx.select("prompt_id", "w1", "w2").join(fol, ["w1", "w2"])
     return j.select("prompt_id", F.posexplode(LK.top_k_of("followers", TOP_K)).alias("rank", "f")) \
         .select("prompt_id", (F.col("rank") + 1).cast("int").alias("rank"),
@@ -218,8 +224,8 @@ WITH {PROMPTS_SQL}, {S.BIGRAM_IDS}
 SELECT pw.prompt_id, b.w1, b.w2, b.cnt FROM pw JOIN bigram_ids b ON b.w1 = pw.w2""")
 def q_next_bigram(spark, sf):
     v = vocab(spark, sf)
-    ctx = prompt_contexts(spark, sf, v).select("prompt_id", F.col("w2").alias("w1"))
-    return ctx.join(bigram_ids(spark, sf, v), "w1").select("prompt_id", "w1", "w2", "cnt")
+    ctx = cut_lineage(prompt_contexts(spark, sf, v)).select("prompt_id", F.col("w2").alias("w1"))
+    return ctx.join(bigram_ids(spark, sf, v, ctx), "w1").select("prompt_id", "w1", "w2", "cnt")
 
 
 def backoff_long(ctx, tri, bi):
@@ -238,7 +244,9 @@ WITH {PROMPTS_SQL}, {S.TRIGRAM}, {S.BIGRAM_IDS}, {S.BACKOFF}
 SELECT prompt_id, source, w3, cnt FROM fol""")
 def q_next_backoff(spark, sf):
     v = vocab(spark, sf)
-    return backoff_long(prompt_contexts(spark, sf, v), trigram(spark, sf, v), bigram_ids(spark, sf, v))
+    ctx = cut_lineage(prompt_contexts(spark, sf, v))
+    last = ctx.select(F.col("w2").alias("w1"))
+    return backoff_long(ctx, trigram(spark, sf, v, ctx), bigram_ids(spark, sf, v, last))
 
 
 # ------------------------------------------------------------- F1-F4 F6
@@ -261,9 +269,12 @@ def q_cache_scores(spark, sf):
 def ranked_frame(spark, sf, k=TOP_K, alpha=K.CACHE_ALPHA, window=K.CACHE_RECENT_WINDOW,
                  temperature=K.GEN_TEMPERATURE, gen_len=0, min_len=K.GEN_MIN_LEN_BEFORE_EOS):
     v = vocab(spark, sf)
-    ctx = prompt_contexts(spark, sf, v)
-    tri = C.followers_table(trigram(spark, sf, v), v, k, ["w1", "w2"], VOCAB_SIZE)
-    bi = C.followers_table(bigram_ids(spark, sf, v).withColumnRenamed("w2", "w3"), v, k, ["w1"], VOCAB_SIZE)
+    ctx = cut_lineage(prompt_contexts(spark, sf, v))
+    tri_m = trigram(spark, sf, v, ctx)
+    last = ctx.select(F.col("w2").alias("w1"))
+    bi_m = bigram_ids(spark, sf, v, last)
+    tri = C.followers_table(tri_m, v, k, ["w1", "w2"], VOCAB_SIZE)
+    bi = C.followers_table(bi_m.withColumnRenamed("w2", "w3"), v, k, ["w1"], VOCAB_SIZE)
     j = LK.backoff_followers(ctx, tri, bi).filter(F.col("followers").isNotNull())
     j = j.withColumn("recent", SC.recent_cacheable(F.col("ctx"), window)) \
         .withColumn("cids", SC.cacheable_ids(F.col("ctx"))) \
