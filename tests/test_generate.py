@@ -113,3 +113,99 @@ def test_tree_laws(spark):
             kids[r.parent_id].append(r.choice_rank)
         for ranks in kids.values():
             assert sorted(ranks) == list(range(1, len(ranks) + 1))
+
+
+SINGLE = set(K.SINGLE_CHAR_WORDS)
+
+
+def word_like(t):
+    if not t:
+        return False
+    if t in SINGLE or len(t) >= 2:
+        return True
+    return not unicodedata.category(t[-1]).startswith(("L", "N"))
+
+
+def followers(ctx, tri, bi):
+    got = tri.get((ctx[-2], ctx[-1]) if len(ctx) >= 2 else (K.BOS_ID, K.BOS_ID))
+    if not got:
+        got = bi.get(ctx[-1] if ctx else K.BOS_ID)
+    return got
+
+
+def ranked(fol, ctx, vocab, gen_len, top_k=K.GEN_TOP_K, temp=K.GEN_TEMPERATURE):
+    if not fol:
+        return []
+    sc = cache_scores(ctx, vocab, K.CACHE_RECENT_WINDOW)
+    out = []
+    for t, c in fol:
+        if t == K.BOS_ID or (t != K.EOS_ID and not cacheable(t, vocab)):
+            continue
+        out.append((t, float(c), weight(t, c, sc, gen_len) / max(temp, K.MIN_TEMPERATURE)))
+        if len(out) >= top_k:
+            break
+    if not out:
+        return []
+    m = max(x[2] for x in out)
+    tot = sum(math.exp(x[2] - m) for x in out)
+    res = [(t, c, math.exp(lw - m) / tot, lw) for t, c, lw in out]
+    return [r[:3] for r in sorted(res, key=lambda r: -r[3])]
+
+
+def brute_tree(toks, vocab, tri, bi, max_depth, bf=2, max_sub=4):
+    ctx0 = [K.BOS_ID, K.BOS_ID] + [t[0] for t in toks]
+    gen0 = [t[1] for t in toks]
+    root = dict(node_id=0, parent_id=None, depth=0, ctx=ctx0, gen=gen0, score=1.0, cum=0.0, term=False)
+    nodes, frontier = [root], [root]
+    for depth in range(1, max_depth + 1):
+        nxt = []
+        for par in frontier:
+            cands = ranked(followers(par["ctx"], tri, bi), par["ctx"], vocab, par["depth"])
+            for rank, (t, c, p) in enumerate(cands[:bf], start=1):
+                if t == K.EOS_ID:
+                    node = dict(token_id=t, piece=K.EOS_PIECE, ctx=par["ctx"], gen=par["gen"], count=c,
+                                probability=p, cum=par["cum"] - math.log(max(p, 1e-12)), term=True)
+                else:
+                    ctx, gen, added = par["ctx"] + [t], par["gen"] + [piece(t, vocab)], [piece(t, vocab)]
+                    prob, count, cum = p, c, par["cum"] - math.log(max(p, 1e-12))
+                    for _ in range(max_sub - 1):
+                        if word_like(strip_symbols(" ".join(added))):
+                            break
+                        cc = ranked(followers(ctx, tri, bi), ctx, vocab, len(added))
+                        if not cc:
+                            break
+                        t2, count, p2 = cc[0]
+                        if t2 == K.EOS_ID:
+                            break
+                        ctx, gen, added = ctx + [t2], gen + [piece(t2, vocab)], added + [piece(t2, vocab)]
+                        prob *= p2
+                        cum -= math.log(max(p2, 1e-12))
+                    node = dict(token_id=t, piece=strip_symbols(" ".join(added)), ctx=ctx, gen=gen,
+                                count=count, probability=prob, cum=cum, term=False)
+                node.update(node_id=len(nodes), parent_id=par["node_id"], depth=depth, choice_rank=rank,
+                            score=par["score"] * node["probability"])
+                nodes.append(node)
+                if not node["term"]:
+                    nxt.append(node)
+        frontier = nxt
+        if not frontier:
+            break
+    return nodes
+
+
+def test_tree_matches_brute_force(spark, world):
+    vocab, tri, bi, prompts = world
+    got = defaultdict(dict)
+    for r in Q.tree_nodes(spark, SF, max_depth=3).select(*Q.TREE_COLS).collect():
+        got[r.prompt_id][r.node_id] = r
+    for pid, toks in prompts.items():
+        want = brute_tree(toks, vocab, tri, bi, 3)
+        assert len(got[pid]) == len(want), pid
+        for w in want[1:]:
+            g = got[pid][w["node_id"]]
+            assert (g.parent_id, g.depth, g.choice_rank, g.token_id, g.piece, g.is_terminal) == \
+                (w["parent_id"], w["depth"], w["choice_rank"], w["token_id"], w["piece"], w["term"]), (pid, w["node_id"])
+            assert abs(g["count"] - w["count"]) < 1e-9
+            assert abs(g.probability - w["probability"]) < 1e-9 and abs(g.score - w["score"]) < 1e-9
+            assert abs(g.cumulative_score - w["cum"]) < 1e-6
+            assert g.text == strip_symbols(" ".join(w["gen"]))
