@@ -31,6 +31,7 @@ from pyspark.sql.types import StringType
 
 from gramloom import constants as K
 from gramloom.functions import text as T
+from gramloom.operators.vocab import top_n_by_count
 from gramloom.session import cut_lineage, ship_package
 
 RESERVED = 3
@@ -73,8 +74,8 @@ def seed_pieces(chunks: DataFrame, seed_size: int, max_piece_len: int = 16) -> D
     ex = ex.filter(~F.substring("piece", 2, max_piece_len).contains(K.SPACE_MARK))
     agg = ex.groupBy("piece").agg(F.sum("freq").alias("freq"))
     chars = agg.filter(F.length("piece") == 1)
-    multi = (agg.filter(F.length("piece") > 1)
-             .orderBy((F.col("freq") * F.length("piece")).desc(), F.col("piece").asc()).limit(seed_size))
+    scored = agg.filter(F.length("piece") > 1).withColumn("_score", F.col("freq") * F.length("piece"))
+    multi = top_n_by_count(scored, seed_size, "_score", "piece").drop("_score")
     pieces = chars.unionByName(multi)
     return pieces.select("piece", F.log(F.col("freq") / F.sum("freq").over(Window.partitionBy())).alias("logp"))
 

@@ -34,6 +34,22 @@ def piece_counts(lines: DataFrame, tokenizer: str = "word", line_col: str = "lin
             .groupBy("piece").agg(F.count(F.lit(1)).alias("cnt")))
 
 
+def top_n_by_count(counts: DataFrame, n: int, cnt_col: str = "cnt", key_col: str = "piece") -> DataFrame:
+    """The ``n`` rows with the largest count (ties: key ascending).
+
+    ``orderBy().limit(n)`` alone would merge up to n rows from *every*
+    partition in one task.  Instead the count cut-off is found first from
+    the histogram of count values (at most sqrt(2 * total) distinct values,
+    so that running sum is small), and only rows at or above it (about n,
+    plus ties at the cut-off) go through the final top-n."""
+    hist = counts.groupBy(cnt_col).agg(F.count(F.lit(1)).alias("_n"))
+    cum = hist.withColumn("_above", F.sum("_n").over(
+        Window.orderBy(F.col(cnt_col).desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    cutoff = cum.filter(F.col("_above") >= n).agg(F.max(cnt_col)).first()[0]
+    cand = counts if cutoff is None else counts.filter(F.col(cnt_col) >= F.lit(cutoff))
+    return cand.orderBy(F.col(cnt_col).desc(), F.col(key_col).asc()).limit(n)
+
+
 def reserved_rows(spark) -> DataFrame:
     rows = [(K.UNK_ID, K.UNK_PIECE)] + [(i + 1, p) for i, p in enumerate(K.CONTROL_PIECES)]
     return spark.createDataFrame(rows, "id int, piece string").select(
@@ -50,8 +66,7 @@ def build_vocab(lines: DataFrame, tokenizer: str = "word", vocab_size: int = K.D
     spark = lines.sparkSession
     counts = piece_counts(lines, tokenizer, line_col).filter(
         ~F.col("piece").isin(K.UNK_PIECE, *K.CONTROL_PIECES))
-    top = counts.orderBy(F.col("cnt").desc(), F.col("piece").asc()).limit(
-        max(vocab_size - RESERVED, 0))
+    top = top_n_by_count(counts, max(vocab_size - RESERVED, 0))
     # ``top`` holds at most vocab_size rows: numbering and the score's
     # normaliser run on that bounded set.
     learned = top.select(
