@@ -376,6 +376,19 @@ def q_shard_sizes(spark, sf):
     return C.shard_sizes(trigram(spark, sf), SHARDS)
 
 
+@register("shard_reduce", f"""
+WITH {S.VOCAB},
+chunked AS (SELECT CAST((row_number() OVER (ORDER BY doc_id, line_no) - 1) // {1000} AS INTEGER) AS part_id, line FROM norm_lines),
+{S.ngram_ids(3, 2, True, 'chunked', extra='part_id')},
+parts AS (SELECT part_id, w1, w2, w3, count(*)::BIGINT AS cnt FROM g GROUP BY 1, 2, 3, 4)
+SELECT CAST(((xor(w1::BIGINT * {K.SHARD_MULTIPLIER}, w2::BIGINT) % {SHARDS}) + {SHARDS}) % {SHARDS} AS INTEGER) AS shard,
+       w1, w2, w3, sum(cnt)::BIGINT AS cnt FROM parts GROUP BY 1, 2, 3, 4""")
+def q_shard_reduce(spark, sf):
+    """Partial models bucketed by context hash and reduced per shard."""
+    parts = C.partial_counts(docs(spark, sf), vocab(spark, sf), 1000, vocab_bound=VOCAB_SIZE)
+    return C.shard_and_reduce(parts, SHARDS)
+
+
 @register("model_nested_roundtrip", f"""
 {TRIGRAM_SQL}
 SELECT w1, w2, w3, cnt FROM trigram""")
@@ -576,6 +589,14 @@ def q_neural_train_loss(spark, sf):
     return spark.createDataFrame(hist, "epoch int, avg_loss double")
 
 
+@register("neural_json")
+def q_neural_json(spark, sf):
+    from gramloom.plans import neural as N
+    v, cfg, weights, _ = small_neural(spark, sf, epochs=1)
+    acc, _ = PR.split_requests(requests(spark, sf))
+    return N.neural_json(N.generate_neural(LK.encode_prompts(acc, v, SMALL_VOCAB), weights, cfg, v))
+
+
 @register("neural_text")
 def q_neural_text(spark, sf):
     from gramloom.plans import neural as N

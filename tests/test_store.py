@@ -98,3 +98,31 @@ def test_neural_samples_golden(spark):
     got = sorted((tuple(r.context), r.target) for r in N.build_samples(lines, v, cfg, 100).collect())
     a, b, c = ids["a"], ids["b"], ids["c"]
     assert got == sorted([((99, 99, 99, 99), a), ((99, 99, 99, a), b), ((99, 99, a, b), c)])
+
+
+def test_softmax_top_k():
+    import numpy as np
+    from gramloom.plans.neural import softmax_top_k
+    logits = np.log(np.array([[1.0, 4.0, 2.0, 3.0]]))
+    idx, p = softmax_top_k(logits, 2, 1.0)
+    assert idx.tolist() == [[1, 3]] and np.allclose(p, [[4 / 7, 3 / 7]])
+    idx, p = softmax_top_k(logits, 0, 1.0)
+    assert np.allclose(p[0][idx[0]], [0.1, 0.4, 0.2, 0.3])
+    idx, p = softmax_top_k(logits, 2, 0.5)
+    assert np.allclose(p, [[16 / 25, 9 / 25]])
+
+
+def test_read_text_files_and_export(spark, tmp_path):
+    from gramloom.sources.lines import clean_lines, read_text_files
+    (tmp_path / "a.txt").write_text("x y\n\n z \n", encoding="utf-8")
+    lines = read_text_files(spark, str(tmp_path))
+    got = sorted((r.line_no, r.line) for r in lines.collect())
+    assert got == [(0, "x y"), (1, ""), (2, " z ")]
+    assert [r.line for r in clean_lines(lines).orderBy("line_no").collect()] == ["x y", "z"]
+    m = model_df(spark, [(1, 2, 3, 4), (1, 2, 5, 6)])
+    ST.export_counts_table(m, "gramloom_counts_test")
+    assert spark.table("gramloom_counts_test").count() == 2
+    assert ST.duplicate_keys(spark.table("gramloom_counts_test")).count() == 0
+    ST.export_counts_table(m.limit(1), "gramloom_counts_test")
+    assert spark.table("gramloom_counts_test").count() == 1
+    spark.sql("DROP TABLE gramloom_counts_test")
