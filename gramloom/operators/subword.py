@@ -35,6 +35,8 @@ from gramloom.operators.vocab import top_n_by_count
 from gramloom.session import cut_lineage, ship_package
 
 RESERVED = 3
+# expected count given to a required character that no segmentation uses
+REQUIRED_FLOOR = 0.5
 CHUNK_SCHEMA = "chunk string, freq long"
 
 
@@ -215,11 +217,16 @@ def train_unigram(lines: DataFrame, vocab_size: int = K.DEFAULT_VOCAB_SIZE,
     chunks = cut_lineage(word_chunks(sample, line_col))
     target = max(vocab_size - RESERVED, 1)
     pieces = seed_pieces(chunks, seed_factor * target, max_piece_len).toPandas()  # bounded by seed size
+    # character coverage 1.0: every character of the sample stays a piece,
+    # even when longer pieces absorb all of its probability mass
+    required = [p for p in pieces["piece"] if len(p) == 1]
     while True:
         for _ in range(em_iters):
             counts_df = _e_step(chunks, pieces, max_piece_len).groupBy("piece").agg(
                 F.sum("ecount").alias("ecount"))
             counts = dict((r.piece, r.ecount) for r in counts_df.toLocalIterator())
+            for ch in required:
+                counts[ch] = max(counts.get(ch, 0.0), REQUIRED_FLOOR)
             total = sum(counts.values())
             pieces = pd.DataFrame({"piece": list(counts)})
             pieces["logp"] = [math.log(counts[p] / total) for p in pieces["piece"]]
