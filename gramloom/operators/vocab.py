@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 
 from gramloom import constants as K
 from gramloom.functions import text as T
-from gramloom.session import maybe_broadcast
+from gramloom.session import cut_lineage, maybe_broadcast
+from pyspark import StorageLevel
 
 RESERVED = 3
 
@@ -42,12 +43,15 @@ def top_n_by_count(counts: DataFrame, n: int, cnt_col: str = "cnt", key_col: str
     the histogram of count values (at most sqrt(2 * total) distinct values,
     so that running sum is small), and only rows at or above it (about n,
     plus ties at the cut-off) go through the final top-n."""
+    counts = counts.persist(StorageLevel.MEMORY_AND_DISK)  # read twice below
     hist = counts.groupBy(cnt_col).agg(F.count(F.lit(1)).alias("_n"))
     cum = hist.withColumn("_above", F.sum("_n").over(
         Window.orderBy(F.col(cnt_col).desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)))
     cutoff = cum.filter(F.col("_above") >= n).agg(F.max(cnt_col)).first()[0]
     cand = counts if cutoff is None else counts.filter(F.col(cnt_col) >= F.lit(cutoff))
-    return cand.orderBy(F.col(cnt_col).desc(), F.col(key_col).asc()).limit(n)
+    top = cut_lineage(cand.orderBy(F.col(cnt_col).desc(), F.col(key_col).asc()).limit(n))  # n rows
+    counts.unpersist()
+    return top
 
 
 def reserved_rows(spark) -> DataFrame:
