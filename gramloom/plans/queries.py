@@ -500,6 +500,20 @@ def q_tree_nodes(spark, sf):
     return rounded_nodes(tree_nodes(spark, sf))
 
 
+@register("tree_depth1", f"""
+WITH RECURSIVE {PROMPTS_SQL}, {S.TRIGRAM}, {S.BIGRAM_IDS}, {S.BACKOFF}, {S.cache_scores_sql(K.CACHE_RECENT_WINDOW)},
+{S.ranked_sql(TOP_K, K.CACHE_ALPHA, K.GEN_TEMPERATURE, 0, K.GEN_MIN_LEN_BEFORE_EOS)},
+{S.PROMPT_BASE},
+{S.tree_depth1_sql(TOP_K, K.TREE_BRANCH_FACTOR, K.CACHE_ALPHA, K.GEN_TEMPERATURE, K.CACHE_RECENT_WINDOW,
+                   K.GEN_MIN_LEN_BEFORE_EOS, K.TREE_MAX_SUBTOKENS_PER_WORD)}
+SELECT prompt_id, node_id, parent_id, depth, choice_rank, token_id, piece, round(count, 6) AS count,
+       round(score, 6) AS score, round(probability, 6) AS probability,
+       round(cumulative_score, 6) AS cumulative_score, text, is_terminal FROM tree1""")
+def q_tree_depth1(spark, sf):
+    """G2-G5 at depth 1: every root and its grown first-level words."""
+    return rounded_nodes(tree_nodes(spark, sf, max_depth=1))
+
+
 @register("tree_csv")
 def q_tree_csv(spark, sf):
     from gramloom.plans.tree import csv_tokens

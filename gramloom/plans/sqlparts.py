@@ -153,16 +153,19 @@ ranked AS (SELECT prompt_id, CAST(row_number() OVER (PARTITION BY prompt_id ORDE
                   w3 AS token_id, cnt, e / sum(e) OVER (PARTITION BY prompt_id) AS probability FROM sc2)"""
 
 
-def greedy_sql(max_tokens: int, top_k: int, alpha: float, temperature: float, window: int, min_len: int) -> str:
-    """Plain greedy generation (G1 with F6 instead of a draw) as a recursive
-    CTE over ``pw``/``penc``/``vocab``/``trigram``; ``gen_out`` holds one
-    finished row per prompt."""
-    return f"""
+PROMPT_BASE = f"""
 ptoks AS (SELECT e.prompt_id, list({{'id': e.id, 'c': v.cacheable}} ORDER BY e.pos) AS toks,
                  list(CASE WHEN e.id = 0 THEN '{K.UNK_SURFACE}' ELSE v.piece END ORDER BY e.pos) AS pieces
           FROM penc e JOIN vocab v ON v.id = e.id GROUP BY e.prompt_id),
 gbase AS (SELECT prompt_id, list_concat([{{'id': {K.BOS_ID}, 'c': false}}, {{'id': {K.BOS_ID}, 'c': false}}], toks) AS ctx,
-                 pieces FROM ptoks),
+                 pieces FROM ptoks)"""
+
+
+def greedy_sql(max_tokens: int, top_k: int, alpha: float, temperature: float, window: int, min_len: int) -> str:
+    """Plain greedy generation (G1 with F6 instead of a draw) as a recursive
+    CTE over ``pw``/``penc``/``vocab``/``trigram``; ``gen_out`` holds one
+    finished row per prompt."""
+    return f"""{PROMPT_BASE},
 cands AS (SELECT t.w1, t.w2, t.w3, t.cnt,
                  row_number() OVER (PARTITION BY t.w1, t.w2 ORDER BY t.cnt DESC, t.w3 ASC) AS pos,
                  CASE WHEN t.w3 = {K.EOS_ID} THEN '{K.EOS_PIECE}' WHEN t.w3 = 0 THEN '{K.UNK_SURFACE}' ELSE v.piece END AS piece,
@@ -197,3 +200,87 @@ gen(prompt_id, ctx, pieces, n, stop) AS (
 ),
 gen_out AS (SELECT prompt_id, {strip_symbols("array_to_string(pieces, ' ')")} AS text, n AS n_generated, stop
             FROM gen WHERE stop IS NOT NULL)"""
+
+
+def word_like(x: str) -> str:
+    parts = ", ".join(sql_str(w) for w in K.SINGLE_CHAR_WORDS)
+    return (f"(CASE WHEN length({x}) = 0 THEN false WHEN {x} IN ({parts}) THEN true "
+            f"WHEN length({x}) >= 2 THEN true ELSE regexp_matches({x}, '^[^\\p{{L}}\\p{{N}}]$') END)")
+
+
+def tree_depth1_sql(top_k: int, branch: int, alpha: float, temperature: float, window: int,
+                    min_len: int, max_sub: int) -> str:
+    """Depth-1 prediction tree: root rows plus the first ``branch`` ranked
+    children of every root, each grown into a word by at most
+    ``max_sub - 1`` further back-off lookups (recursive CTE ``grow``).
+    Needs ``ranked`` (root candidates), ``gbase``, ``trigram``,
+    ``bigram_ids`` and ``vocab``; defines ``tree1``."""
+    cache = (f"coalesce(list_sum(list_transform([x.id FOR x IN s.ctx[-{window}:] IF x.c], "
+             f"lambda x, i: CASE WHEN x = c.w3 THEN i / len([y.id FOR y IN s.ctx[-{window}:] IF y.c]) ELSE 0.0 END)), 0.0)"
+             f" + CASE WHEN len(list_filter(s.ctx, lambda x: x.c AND x.id = c.w3)) > 0 "
+             f"THEN sqrt(len(list_filter(s.ctx, lambda x: x.c AND x.id = c.w3))) ELSE 0.0 END")
+    added_text = strip_symbols("array_to_string(s.added, ' ')")
+    return f"""
+tri_ctx AS (SELECT DISTINCT w1, w2 FROM trigram),
+elig_all AS (SELECT 't' AS src, w1 AS k1, w2 AS k2, w3, cnt FROM trigram
+             UNION ALL SELECT 'b', w1, -999, w2, cnt FROM bigram_ids),
+cand_all AS (SELECT e.src, e.k1, e.k2, e.w3, e.cnt,
+                    CASE WHEN e.w3 = {K.EOS_ID} THEN '{K.EOS_PIECE}' WHEN e.w3 = 0 THEN '{K.UNK_SURFACE}' ELSE v.piece END AS piece,
+                    coalesce(v.cacheable, false) AS cacheable,
+                    row_number() OVER (PARTITION BY e.src, e.k1, e.k2 ORDER BY e.cnt DESC, e.w3 ASC) AS pos
+             FROM elig_all e LEFT JOIN vocab v ON v.id = e.w3
+             WHERE e.w3 <> {K.BOS_ID} AND (e.w3 = {K.EOS_ID} OR coalesce(v.cacheable, false))
+             QUALIFY pos <= {top_k}),
+kids AS (SELECT r.prompt_id, r.rank AS choice_rank, r.token_id, r.cnt, r.probability,
+                CASE WHEN r.token_id = {K.EOS_ID} THEN '{K.EOS_PIECE}' WHEN r.token_id = 0 THEN '{K.UNK_SURFACE}' ELSE v.piece END AS piece,
+                coalesce(v.cacheable, false) AS cacheable
+         FROM ranked r LEFT JOIN vocab v ON v.id = r.token_id WHERE r.rank <= {branch}),
+grow(prompt_id, choice_rank, token_id, ctx, added, prob, cnt, cum, growing, it, term) AS (
+  SELECT k.prompt_id, k.choice_rank, k.token_id,
+         CASE WHEN k.token_id = {K.EOS_ID} THEN g.ctx ELSE list_append(g.ctx, {{'id': k.token_id, 'c': k.cacheable}}) END,
+         CASE WHEN k.token_id = {K.EOS_ID} THEN []::VARCHAR[] ELSE [k.piece] END,
+         k.probability, k.cnt::DOUBLE, -ln(greatest(k.probability, {K.MIN_PROBABILITY})),
+         k.token_id <> {K.EOS_ID}, 0, k.token_id = {K.EOS_ID}
+  FROM kids k JOIN gbase g USING (prompt_id)
+  UNION ALL
+  SELECT prompt_id, choice_rank, token_id,
+         CASE WHEN ext THEN list_append(ctx, {{'id': w3, 'c': ccache}}) ELSE ctx END,
+         CASE WHEN ext THEN list_append(added, cpiece) ELSE added END,
+         CASE WHEN ext THEN prob * p ELSE prob END,
+         CASE WHEN NOT wl AND w3 IS NOT NULL THEN ccnt::DOUBLE ELSE cnt END,
+         CASE WHEN ext THEN cum - ln(greatest(p, {K.MIN_PROBABILITY})) ELSE cum END,
+         ext, it + 1, term
+  FROM (
+    SELECT q.*, (NOT q.wl AND q.w3 IS NOT NULL AND q.w3 <> {K.EOS_ID}) AS ext
+    FROM (
+      SELECT r.*, r.e / sum(r.e) OVER (PARTITION BY r.prompt_id, r.choice_rank) AS p,
+             row_number() OVER (PARTITION BY r.prompt_id, r.choice_rank ORDER BY r.lw DESC NULLS LAST, r.pos) AS rk
+      FROM (
+        SELECT t.*, exp(t.lw - max(t.lw) OVER (PARTITION BY t.prompt_id, t.choice_rank)) AS e
+        FROM (
+          SELECT s.prompt_id, s.choice_rank, s.token_id, s.ctx, s.added, s.prob, s.cnt, s.cum, s.it, s.term,
+                 {word_like(added_text)} AS wl,
+                 c.w3, c.cnt AS ccnt, c.pos, c.piece AS cpiece, c.cacheable AS ccache,
+                 ln(greatest(c.cnt::DOUBLE
+                     * (CASE WHEN c.w3 = {K.EOS_ID} THEN (CASE WHEN len(s.added) < {min_len} THEN {K.EOS_EARLY_FACTOR} ELSE {K.EOS_LATE_FACTOR} END) ELSE 1.0 END)
+                     * (1.0 + {alpha} * ({cache})), {K.MIN_WEIGHT})) / greatest({temperature}, {K.MIN_TEMPERATURE}) AS lw
+          FROM grow s
+          LEFT JOIN tri_ctx tc ON tc.w1 = s.ctx[-2].id AND tc.w2 = s.ctx[-1].id
+          LEFT JOIN cand_all c ON c.src = CASE WHEN tc.w1 IS NULL THEN 'b' ELSE 't' END
+                              AND c.k1 = CASE WHEN tc.w1 IS NULL THEN s.ctx[-1].id ELSE s.ctx[-2].id END
+                              AND c.k2 = CASE WHEN tc.w1 IS NULL THEN -999 ELSE s.ctx[-1].id END
+          WHERE s.growing AND s.it < {max_sub - 1}) t) r) q
+    WHERE q.rk = 1) z
+),
+grown AS (SELECT * FROM grow QUALIFY row_number() OVER (PARTITION BY prompt_id, choice_rank ORDER BY it DESC) = 1),
+tree1 AS (
+  SELECT prompt_id, 0 AS node_id, NULL::INTEGER AS parent_id, 0 AS depth, 0 AS choice_rank, NULL::INTEGER AS token_id,
+         '{K.TREE_ROOT_PIECE}' AS piece, 0.0::DOUBLE AS count, 1.0::DOUBLE AS score, 1.0::DOUBLE AS probability,
+         0.0::DOUBLE AS cumulative_score, {strip_symbols("array_to_string(pieces, ' ')")} AS text, false AS is_terminal
+  FROM gbase
+  UNION ALL
+  SELECT w.prompt_id, CAST(w.choice_rank AS INTEGER), 0, 1, CAST(w.choice_rank AS INTEGER), w.token_id,
+         CASE WHEN w.term THEN '{K.EOS_PIECE}' ELSE {strip_symbols("array_to_string(w.added, ' ')")} END,
+         w.cnt, w.prob, w.prob, w.cum,
+         {strip_symbols("array_to_string(list_concat(g.pieces, w.added), ' ')")}, w.term
+  FROM grown w JOIN gbase g USING (prompt_id))"""
