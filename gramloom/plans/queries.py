@@ -460,6 +460,14 @@ def q_greedy_text(spark, sf):
     return generation(spark, sf, "greedy")
 
 
+@register("greedy_text_bigram", f"""
+WITH RECURSIVE {PROMPTS_SQL}, {S.BIGRAM_IDS},
+{S.greedy_sql(K.GEN_MAX_TOKENS, TOP_K, K.CACHE_ALPHA, K.GEN_TEMPERATURE, K.CACHE_RECENT_WINDOW, K.GEN_MIN_LEN_BEFORE_EOS, "bigram")}
+SELECT prompt_id, text, n_generated::INTEGER AS n_generated, stop, 'bigram' AS model_type FROM gen_out""")
+def q_greedy_text_bigram(spark, sf):
+    return generation(spark, sf, "greedy", model_type="bigram")
+
+
 @register("sampled_text")
 def q_sampled_text(spark, sf):
     return generation(spark, sf, "sample")

@@ -161,16 +161,24 @@ gbase AS (SELECT prompt_id, list_concat([{{'id': {K.BOS_ID}, 'c': false}}, {{'id
                  pieces FROM ptoks)"""
 
 
-def greedy_sql(max_tokens: int, top_k: int, alpha: float, temperature: float, window: int, min_len: int) -> str:
+def greedy_sql(max_tokens: int, top_k: int, alpha: float, temperature: float, window: int, min_len: int,
+               model: str = "trigram") -> str:
     """Plain greedy generation (G1 with F6 instead of a draw) as a recursive
-    CTE over ``pw``/``penc``/``vocab``/``trigram``; ``gen_out`` holds one
+    CTE over ``pw``/``penc``/``vocab`` and ``trigram`` (context = last two
+    ids) or ``bigram_ids`` (context = last id); ``gen_out`` holds one
     finished row per prompt."""
+    if model == "bigram":
+        src = "(SELECT w1, 0 AS w2, w2 AS w3, cnt FROM bigram_ids)"
+        on = "c.w1 = g.ctx[-1].id"
+    else:
+        src = "trigram"
+        on = "c.w1 = g.ctx[-2].id AND c.w2 = g.ctx[-1].id"
     return f"""{PROMPT_BASE},
 cands AS (SELECT t.w1, t.w2, t.w3, t.cnt,
                  row_number() OVER (PARTITION BY t.w1, t.w2 ORDER BY t.cnt DESC, t.w3 ASC) AS pos,
                  CASE WHEN t.w3 = {K.EOS_ID} THEN '{K.EOS_PIECE}' WHEN t.w3 = 0 THEN '{K.UNK_SURFACE}' ELSE v.piece END AS piece,
                  coalesce(v.cacheable, false) AS cacheable
-          FROM trigram t LEFT JOIN vocab v ON v.id = t.w3
+          FROM {src} t LEFT JOIN vocab v ON v.id = t.w3
           QUALIFY pos <= {top_k}),
 gen(prompt_id, ctx, pieces, n, stop) AS (
   SELECT prompt_id, ctx, pieces, 0, CAST(NULL AS VARCHAR) FROM gbase
@@ -194,7 +202,7 @@ gen(prompt_id, ctx, pieces, n, stop) AS (
                      + CASE WHEN len(list_filter(g.ctx, lambda x: x.c AND x.id = c.w3)) > 0
                             THEN sqrt(len(list_filter(g.ctx, lambda x: x.c AND x.id = c.w3))) ELSE 0.0 END)),
                  {K.MIN_WEIGHT})) / {temperature} AS lw
-      FROM gen g LEFT JOIN cands c ON c.w1 = g.ctx[-2].id AND c.w2 = g.ctx[-1].id
+      FROM gen g LEFT JOIN cands c ON {on}
       WHERE g.stop IS NULL) s
   ) t WHERE rk = 1
 ),
