@@ -194,6 +194,22 @@ def bigram_ids(spark, sf, v, first_ids=None):
 PROMPTS_SQL = f"{S.VOCAB}, {S.prompts_sql()}"
 
 
+FLAGSHIP_K = 3
+
+
+@register("top_followers", f"""
+WITH {S.VOCAB}, {S.TRIGRAM},
+r AS (SELECT w1, w2, w3, cnt, row_number() OVER (PARTITION BY w1, w2 ORDER BY cnt DESC, w3 ASC) AS rank FROM trigram)
+SELECT w1, w2, CAST(rank AS INTEGER) AS rank, w3, cnt FROM r WHERE rank <= {FLAGSHIP_K}""")
+def q_top_followers(spark, sf):
+    """E2 over the whole model: what follows each two-word context most
+    often (top 3, ties by id)."""
+    v = vocab(spark, sf)
+    fol = C.followers_table(trigram(spark, sf, v), v, FLAGSHIP_K, ["w1", "w2"], VOCAB_SIZE)
+    return fol.select("w1", "w2", F.posexplode(F.slice("followers", 1, FLAGSHIP_K)).alias("r", "f")).select(
+        "w1", "w2", (F.col("r") + 1).cast("int").alias("rank"), F.col("f.w3").alias("w3"), F.col("f.cnt").alias("cnt"))
+
+
 @register("next_exact", f"""
 WITH {PROMPTS_SQL}, {S.TRIGRAM}
 SELECT pw.prompt_id, t.w1, t.w2, t.w3, t.cnt FROM pw JOIN trigram t ON t.w1 = pw.w1 AND t.w2 = pw.w2""")

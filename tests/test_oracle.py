@@ -7,7 +7,7 @@ import __spark_entry__ as E
 from scripts.oracle_check import TABLES, digest
 
 SF = "/root/testdata/sf0.001"
-FAST = ["lines_normalized", "vocab_ids", "bigram_counts", "trigram_counts", "tokens_word",
+FAST = ["top_followers", "lines_normalized", "vocab_ids", "bigram_counts", "trigram_counts", "tokens_word",
         "next_top_k", "next_backoff", "cache_scores", "ranked_candidates", "shard_sizes",
         "trigram_partials", "limit_lines", "word_like", "char_coverage"]
 
@@ -39,4 +39,4 @@ def test_query_matches_oracle(spark, con, name):
 
 def test_entry_smoke(spark):
     df = E.entry(spark)
-    assert df.count() >= 0 and len(df.columns) > 0
+    assert df.count() > 0 and df.columns == ["w1", "w2", "rank", "w3", "cnt"]

@@ -76,7 +76,7 @@ def test_neural_save_load(spark):
     from gramloom.plans import neural as N
     cfg = N.NeuralConfig(vocab_size=11, embed_dim=4, hidden_dim=5, bos_token_id=10)
     w = N.init_weights(cfg, 1)
-    df = spark.createDataFrame(N.weights_to_rows(w, 1), N.WEIGHT_SCHEMA)
+    df = N.weights_frame(spark, w, 1)
     path = ST.scratch_path(spark, "nn")
     N.save_neural(df, cfg, path)
     df2, cfg2 = N.load_neural(spark, path)
