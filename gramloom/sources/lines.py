@@ -8,8 +8,6 @@ another into a line-oriented file.  Lines keep their source order through
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -133,12 +131,3 @@ def corpus_lines(spark: SparkSession, sf_dir: str, normalize: bool = False) -> D
     """Cleaned lines of the ``documents`` table (the test corpus)."""
     docs = spread(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
     return clean_lines(read_lines(docs), normalize=normalize)
-
-
-def shuffle_partitions_for(spark: SparkSession, approx_bytes: int | None = None,
-                           target_bytes: int = 128 << 20) -> int:
-    """Partition count for a stage of ``approx_bytes`` input."""
-    base = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    if not approx_bytes:
-        return base
-    return max(base, math.ceil(approx_bytes / target_bytes))
