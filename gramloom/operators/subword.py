@@ -37,6 +37,10 @@ from gramloom.session import cut_lineage, ship_package
 RESERVED = 3
 # expected count given to a required character that no segmentation uses
 REQUIRED_FLOOR = 0.5
+# expected counts travel as fixed-point integers (1/65536 units): their sums
+# are exact and independent of the order in which partial sums arrive, so a
+# rerun (or a recomputed task) learns the same vocabulary
+FIXED_POINT = 1 << 16
 CHUNK_SCHEMA = "chunk string, freq long"
 
 
@@ -156,6 +160,8 @@ def viterbi(s: str, logp: dict, max_len: int, unk_logp: float = -1e9):
 # ----------------------------------------------------------------- training
 
 def _e_step(chunks: DataFrame, pieces_pdf: pd.DataFrame, max_len: int) -> DataFrame:
+    """Expected piece counts of one EM round, ``(piece, ecount_fx BIGINT)``
+    per task, in fixed-point units."""
     spark = chunks.sparkSession
     bc = spark.sparkContext.broadcast(dict(zip(pieces_pdf["piece"], pieces_pdf["logp"])))
 
@@ -163,19 +169,17 @@ def _e_step(chunks: DataFrame, pieces_pdf: pd.DataFrame, max_len: int) -> DataFr
         logp = bc.value
         for pdf in batches:
             acc: dict = {}
-            ll = 0.0
             for s, f in zip(pdf["chunk"], pdf["freq"]):
                 z, ec = forward_backward(s, logp, max_len)
                 if z is None:
                     continue
-                ll += z * f
                 for p, c in ec.items():
-                    acc[p] = acc.get(p, 0.0) + c * f
+                    acc[p] = acc.get(p, 0) + int(round(c * FIXED_POINT)) * int(f)
+            acc = {p: v for p, v in acc.items() if v > 0}
             if acc:
-                yield pd.DataFrame({"piece": list(acc), "ecount": list(acc.values()),
-                                    "ll": [ll] + [0.0] * (len(acc) - 1)})
+                yield pd.DataFrame({"piece": list(acc), "ecount_fx": list(acc.values())})
 
-    return chunks.mapInPandas(run, "piece string, ecount double, ll double")
+    return chunks.mapInPandas(run, "piece string, ecount_fx long")
 
 
 def _prune_losses(pieces_pdf: pd.DataFrame, counts: dict, max_len: int, spark) -> pd.DataFrame:
@@ -223,13 +227,16 @@ def train_unigram(lines: DataFrame, vocab_size: int = K.DEFAULT_VOCAB_SIZE,
     while True:
         for _ in range(em_iters):
             counts_df = _e_step(chunks, pieces, max_piece_len).groupBy("piece").agg(
-                F.sum("ecount").alias("ecount"))
-            counts = dict((r.piece, r.ecount) for r in counts_df.toLocalIterator())
+                F.sum("ecount_fx").alias("ecount_fx"))
+            fx = dict((r.piece, int(r.ecount_fx)) for r in counts_df.toLocalIterator())
+            floor = int(REQUIRED_FLOOR * FIXED_POINT)
             for ch in required:
-                counts[ch] = max(counts.get(ch, 0.0), REQUIRED_FLOOR)
-            total = sum(counts.values())
-            pieces = pd.DataFrame({"piece": list(counts)})
-            pieces["logp"] = [math.log(counts[p] / total) for p in pieces["piece"]]
+                fx[ch] = max(fx.get(ch, 0), floor)
+            total = sum(fx.values())
+            counts = {p: v / FIXED_POINT for p, v in fx.items()}
+            order = sorted(fx)
+            pieces = pd.DataFrame({"piece": order,
+                                   "logp": [math.log(fx[p]) - math.log(total) for p in order]})
         if len(pieces) <= target:
             break
         losses = _prune_losses(pieces, counts, max_piece_len, spark)

@@ -39,3 +39,15 @@ def test_viterbi_prefers_likely_pieces():
     assert SW.viterbi("▁ba", logp, 16)[0] == ["▁", "b", "a"]
     z, counts = SW.forward_backward("▁ab", logp, 16)
     assert abs(sum(len(p) * c for p, c in counts.items()) - 3) < 1e-9
+
+
+def test_training_is_reproducible_across_partitionings(spark):
+    lines = corpus_lines(spark, SF)
+    a = [tuple(r) for r in SW.train_unigram(lines, vocab_size=300, seed_factor=4).orderBy("id").collect()]
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "3")
+    try:
+        b = [tuple(r) for r in SW.train_unigram(lines, vocab_size=300, seed_factor=4).orderBy("id").collect()]
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+    assert a == b
