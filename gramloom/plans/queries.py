@@ -163,7 +163,7 @@ l1 AS (SELECT conv_id, turn, parts, unnest(generate_series(1, len(parts))) AS i
 l2 AS (SELECT conv_id, turn, CAST(i - 1 AS INTEGER) AS line_no, {S.strip('parts[i]')} AS s FROM l1),
 p0 AS (SELECT conv_id, turn, line_no, s, unnest(generate_series(1, length(s))) AS plen FROM l2 WHERE length(s) > 0),
 p1 AS (SELECT conv_id, turn, line_no, CAST(plen AS INTEGER) AS plen, substring(s, 1, plen) AS prefix FROM p0)
-SELECT conv_id, turn, line_no, plen, len({S.words(S.strip('prefix'))}) AS n_tokens,
+SELECT conv_id, turn, line_no, plen, CAST(len({S.words(S.strip('prefix'))}) AS INTEGER) AS n_tokens,
        {S.words(S.strip('prefix'))}[-1] AS last_token FROM p1""")
 def q_prefix_tokens(spark, sf):
     conv = L.read_table(spark, sf, "conversations").select("conv_id", "turn", "text")
