@@ -457,7 +457,7 @@ def generation(spark, sf, mode, model_type="trigram", seed=K.NEURAL_SEED):
     from gramloom.plans.generate import generate, prepare_model
     v = vocab(spark, sf)
     acc, _ = PR.split_requests(requests(spark, sf))
-    enc = LK.encode_prompts(acc, v, VOCAB_SIZE)
+    enc = cut_lineage(LK.encode_prompts(acc, v, VOCAB_SIZE))  # read three times below
     k = max(TOP_K, enc.agg(F.max("top_k")).first()[0] or TOP_K)
     if model_type == "bigram":
         model = C.followers_table(bigram_ids(spark, sf, v).withColumnRenamed("w2", "w3"), v, k, ["w1"], VOCAB_SIZE)
@@ -465,7 +465,9 @@ def generation(spark, sf, mode, model_type="trigram", seed=K.NEURAL_SEED):
     else:
         model = prepare_model(C.followers_table(trigram(spark, sf, v), v, k, ["w1", "w2"], VOCAB_SIZE),
                               ["w1", "w2"])
-    return generate(enc, model, model_type, mode, seed)
+    out = generate(enc, model, model_type, mode, seed)
+    model.unpersist()  # the result reads only checkpointed steps and the prompts
+    return out
 
 
 @register("greedy_text", f"""
@@ -509,7 +511,10 @@ def tree_nodes(spark, sf, max_depth=K.TREE_MAX_DEPTH):
     tri = prepare_model(C.followers_table(trigram(spark, sf, v), v, k, ["w1", "w2"], VOCAB_SIZE), ["w1", "w2"])
     bi = prepare_model(C.followers_table(bigram_ids(spark, sf, v).withColumnRenamed("w2", "w3"), v, k,
                                          ["w1"], VOCAB_SIZE), ["w1"])
-    return expand_tree(enc, tri, bi, TreeParams(max_depth=max_depth))
+    nodes = expand_tree(enc, tri, bi, TreeParams(max_depth=max_depth))
+    tri.unpersist()  # every level is checkpointed already
+    bi.unpersist()
+    return nodes
 
 
 def rounded_nodes(nodes):
