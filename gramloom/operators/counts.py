@@ -30,12 +30,20 @@ def bigram_counts(lines: DataFrame, tokenizer: str = "word", line_col: str = "li
         F.count(F.lit(1)).alias("cnt"))
 
 
-def _marked_tokens(tokens, n_bos: int, eos: bool, bos_id: int = K.BOS_ID):
+def _marked_tokens(tokens, n_bos: int, eos: bool, bos_id: int = K.BOS_ID, literal_sentinels: bool = False):
     """Pad a string-token array with sentinel markers carried beside the
-    token: struct(s = sentinel id or null, t = token or null)."""
+    token: struct(s = sentinel id or null, t = token or null).  With
+    ``literal_sentinels`` a word spelled like a sentinel piece takes the
+    sentinel id, as in the string-keyed bigram model."""
     def mark(sid):
         return F.struct(F.lit(sid).cast("int").alias("s"), F.lit(None).cast("string").alias("t"))
-    body = F.transform(tokens, lambda x: F.struct(F.lit(None).cast("int").alias("s"), x.alias("t")))
+
+    def literal(x):
+        if not literal_sentinels:
+            return F.lit(None).cast("int")
+        return (F.when(x == K.BOS_PIECE, F.lit(K.BOS_ID)).when(x == K.EOS_PIECE, F.lit(K.EOS_ID))
+                .otherwise(F.lit(None)).cast("int"))
+    body = F.transform(tokens, lambda x: F.struct(literal(x).alias("s"), x.alias("t")))
     parts = [F.array_repeat(mark(bos_id), n_bos), body]
     if eos:
         parts.append(F.array(mark(K.EOS_ID)))
@@ -45,7 +53,7 @@ def _marked_tokens(tokens, n_bos: int, eos: bool, bos_id: int = K.BOS_ID):
 def id_ngram_rows(lines: DataFrame, vocab: DataFrame, n: int, n_bos: int | None = None,
                   eos: bool = True, tokenizer: str = "word", vocab_bound: int | None = None,
                   line_col: str = "line", extra_cols: list[str] | None = None,
-                  bos_id: int = K.BOS_ID) -> DataFrame:
+                  bos_id: int = K.BOS_ID, literal_sentinels: bool = False) -> DataFrame:
     """One row per n-gram occurrence with integer ids ``w1..wn``.
 
     Windows are built on the string tokens inside each row and exploded;
@@ -55,7 +63,7 @@ def id_ngram_rows(lines: DataFrame, vocab: DataFrame, n: int, n_bos: int | None
     n_bos = n - 1 if n_bos is None else n_bos
     extra_cols = extra_cols or []
     padded = lines.select(*extra_cols, _marked_tokens(
-        tokens_expr(F.col(line_col), tokenizer), n_bos, eos, bos_id).alias("_p"))
+        tokens_expr(F.col(line_col), tokenizer), n_bos, eos, bos_id, literal_sentinels).alias("_p"))
     grams = padded.select(*extra_cols, F.explode(A.ngram_structs("_p", n, COLS[:n])).alias("g"))
     flat = grams.select(*extra_cols, *[F.col(f"g.{c}.s").alias(f"s{i}") for i, c in enumerate(COLS[:n])],
                         *[F.col(f"g.{c}.t").alias(f"t{i}") for i, c in enumerate(COLS[:n])])
@@ -117,6 +125,20 @@ def partial_counts(docs: DataFrame, vocab: DataFrame, lines_per_chunk: int = K.D
     return rows.groupBy("part_id", "w1", "w2", "w3").agg(F.count(F.lit(1)).alias("cnt"))
 
 
+def bigram_id_counts(lines: DataFrame, vocab: DataFrame, tokenizer: str = "word",
+                     vocab_bound: int | None = None, line_col: str = "line",
+                     first_ids: DataFrame | None = None, first_bound: int | None = None) -> DataFrame:
+    """D1 keyed by id, counted directly: ``(w1, w2, cnt)`` over ``[-1] ++ ids
+    ++ [-2]`` with words spelled ``<BOS>``/``<EOS>`` taking the sentinel ids.
+    Equal to counting strings and re-keying them (C6, collisions summed),
+    but with one aggregation; with ``first_ids`` only those first ids are
+    counted (filtered before the shuffle)."""
+    rows = id_ngram_rows(lines, vocab, 2, 1, True, tokenizer, vocab_bound, line_col, literal_sentinels=True)
+    if first_ids is not None:
+        rows = rows.join(maybe_broadcast(first_ids.select("w1").distinct(), first_bound), "w1", "left_semi")
+    return rows.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("cnt"))
+
+
 def merge_partials(parts: DataFrame) -> DataFrame:
     """Sum the partial models; independent of chunking and order."""
     return parts.groupBy("w1", "w2", "w3").agg(F.sum("cnt").cast("bigint").alias("cnt"))

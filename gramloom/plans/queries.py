@@ -186,9 +186,11 @@ def prompt_contexts(spark, sf, v):
 
 
 def bigram_ids(spark, sf, v, first_ids=None):
+    """Id-keyed bigram model for lookups (counted directly by id); with
+    ``first_ids`` only the asked previous tokens are counted."""
     bound = first_ids.count() if first_ids is not None else None
-    return VO.bigram_to_ids(C.bigram_counts(L.corpus_lines(spark, sf, normalize=False)), v, VOCAB_SIZE,
-                            first_ids, bound)
+    return C.bigram_id_counts(L.corpus_lines(spark, sf, normalize=False), v, vocab_bound=VOCAB_SIZE,
+                              first_ids=first_ids, first_bound=bound)
 
 
 PROMPTS_SQL = f"{S.VOCAB}, {S.prompts_sql()}"
@@ -375,7 +377,9 @@ def q_cacheable_vocab(spark, sf):
 WITH {S.VOCAB}, {S.BIGRAM_IDS}
 SELECT w1, w2, cnt FROM bigram_ids""")
 def q_bigram_by_id(spark, sf):
-    return bigram_ids(spark, sf, vocab(spark, sf))
+    """The string-keyed bigram model re-keyed by id."""
+    v = vocab(spark, sf)
+    return VO.bigram_to_ids(C.bigram_counts(L.corpus_lines(spark, sf, normalize=False)), v, VOCAB_SIZE)
 
 
 TRIGRAM_SQL = f"WITH {S.VOCAB}, {S.TRIGRAM}"

@@ -56,3 +56,16 @@ def test_global_line_index_dense(spark):
     idx = indexed_lines(doc_lines(docs))
     rows = idx.select("doc_id", "line_no", "idx").orderBy("doc_id", "line_no").collect()
     assert [r.idx for r in rows] == list(range(len(rows)))
+
+
+def test_direct_id_bigrams_equal_rekeyed_strings(spark):
+    from gramloom.sources.lines import clean_lines
+    rows = ["a b <EOS> c", "zz yy a", "<BOS> a q", "b"]
+    lines = clean_lines(spark.createDataFrame([(0, i, s) for i, s in enumerate(rows)],
+                                              "doc_id long, line_no int, line string"))
+    v = VO.build_vocab(spark.createDataFrame([(0, 0, "a a b c")], "doc_id long, line_no int, line string"),
+                       "word", 10)
+    direct = C.bigram_id_counts(lines, v, vocab_bound=10)
+    rekeyed = VO.bigram_to_ids(C.bigram_counts(lines), v, 10)
+    assert sorted(map(tuple, direct.collect())) == sorted(map(tuple, rekeyed.collect()))
+    assert rekeyed.filter("w1 = 0").count() > 0 and rekeyed.filter("w2 = -2 AND w1 >= 3").count() > 0
