@@ -555,6 +555,19 @@ def q_tree_csv(spark, sf):
 
 # ------------------------------------------------------------- A5-A9 A12
 
+@register("tree_json")
+def q_tree_json(spark, sf):
+    """A11 + A12: write every prompt's tree CSV, then one JSON summary row
+    per prompt (model type, CSV folder, node count)."""
+    from gramloom.plans.tree import tree_summary, write_tree_csv
+    from gramloom.session import cut_lineage as _cut
+    from gramloom.sources import store as ST
+    nodes = _cut(tree_nodes(spark, sf))
+    path = ST.scratch_path(spark, "tree_csv")
+    write_tree_csv(nodes, path)
+    return tree_summary(nodes, "trigram", path)
+
+
 @register("shard_lookup", f"""
 WITH {PROMPTS_SQL}, {S.TRIGRAM}
 SELECT pw.prompt_id, t.w1, t.w2, t.w3, t.cnt FROM pw JOIN trigram t ON t.w1 = pw.w1 AND t.w2 = pw.w2""")
