@@ -22,11 +22,15 @@ REQUEST_TYPES = {"max_tokens": "int", "top_k": "int", "temperature": "double",
                  "min_len_before_eos": "int", "cache_alpha": "double", "cache_recent_window": "int"}
 
 
+# prompt_id = conv_id * PROMPT_TURNS + turn: unique for turns below 2**20
+# and conversation ids below 2**43
+PROMPT_TURNS = 1 << 20
+
+
 def conversation_requests(conversations: DataFrame) -> DataFrame:
-    """Every user turn of ``conversations`` as a request (settings unset).
-    ``prompt_id`` = conv_id * 1000 + turn."""
+    """Every user turn of ``conversations`` as a request (settings unset)."""
     return conversations.filter(F.col("role") == "user").select(
-        (F.col("conv_id") * 1000 + F.col("turn")).cast("bigint").alias("prompt_id"),
+        (F.col("conv_id").cast("bigint") * PROMPT_TURNS + F.col("turn")).cast("bigint").alias("prompt_id"),
         F.col("text").alias("prompt"),
         *[F.lit(None).cast(t).alias(c) for c, t in REQUEST_TYPES.items()])
 

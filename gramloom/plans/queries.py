@@ -18,6 +18,7 @@ from gramloom.operators import lookup as LK
 from gramloom.operators import score as SC
 from gramloom.operators import vocab as VO
 from gramloom.plans import prompts as PR
+from gramloom.plans.prompts import PROMPT_TURNS
 from gramloom.plans import sqlparts as S
 from gramloom.sources import lines as L
 from gramloom.session import cut_lineage
@@ -113,7 +114,7 @@ REQ_COLS = "prompt_id, prompt, max_tokens, top_k, temperature, min_len_before_eo
 
 
 @register("prompt_requests", f"""
-WITH req AS (SELECT (conv_id * 1000 + turn)::BIGINT AS prompt_id, text AS prompt FROM conversations WHERE role = 'user')
+WITH req AS (SELECT (conv_id::BIGINT * {PROMPT_TURNS} + turn)::BIGINT AS prompt_id, text AS prompt FROM conversations WHERE role = 'user')
 SELECT prompt_id, prompt, {K.GEN_MAX_TOKENS} AS max_tokens, {K.GEN_TOP_K} AS top_k,
        {K.GEN_TEMPERATURE}::DOUBLE AS temperature, {K.GEN_MIN_LEN_BEFORE_EOS} AS min_len_before_eos,
        {K.CACHE_ALPHA}::DOUBLE AS cache_alpha, {K.CACHE_RECENT_WINDOW} AS cache_recent_window
@@ -123,7 +124,7 @@ def q_prompt_requests(spark, sf):
 
 
 @register("prompt_rejects", f"""
-WITH req AS (SELECT (conv_id * 1000 + turn)::BIGINT AS prompt_id, text AS prompt FROM conversations WHERE role = 'user')
+WITH req AS (SELECT (conv_id::BIGINT * {PROMPT_TURNS} + turn)::BIGINT AS prompt_id, text AS prompt FROM conversations WHERE role = 'user')
 SELECT prompt_id, prompt, '{K.REJECT_REASON_PROMPT}' AS reason
 FROM req WHERE prompt IS NULL OR length({S.strip('prompt')}) = 0""")
 def q_prompt_rejects(spark, sf):

@@ -5,6 +5,7 @@ pre-registered test tables; ``oracle_sql()`` composes them."""
 
 from gramloom import constants as K
 from gramloom.functions.text import NEWLINE_PATTERN, SYMBOL_PATTERN, WS_CLASS
+from gramloom.plans.prompts import PROMPT_TURNS
 
 WS = WS_CLASS
 NL = NEWLINE_PATTERN.replace("\r", r"\r").replace("\n", r"\n")
@@ -90,7 +91,7 @@ def prompts_sql(vocab_ready: bool = True) -> str:
     ``ctxpos(prompt_id, pos, id, cacheable)`` lists the context by position
     (1-based, the two start markers first)."""
     return f"""
-req AS (SELECT (conv_id * 1000 + turn)::BIGINT AS prompt_id, text AS prompt FROM conversations WHERE role = 'user'),
+req AS (SELECT (conv_id::BIGINT * {PROMPT_TURNS} + turn)::BIGINT AS prompt_id, text AS prompt FROM conversations WHERE role = 'user'),
 acc AS (SELECT * FROM req WHERE prompt IS NOT NULL AND length({strip('prompt')}) > 0),
 ptok0 AS (SELECT prompt_id, {words(strip('prompt'))} AS ws FROM acc),
 ptok AS (SELECT prompt_id, unnest(ws) AS piece, generate_subscripts(ws, 1) AS pos FROM ptok0),
