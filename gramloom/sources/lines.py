@@ -43,14 +43,27 @@ def read_lines(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id")
 
 
 def read_text_files(spark: SparkSession, path: str) -> DataFrame:
-    """A1 for plain text files: every line becomes a row.  Each file is one
-    document; ``line_no`` follows the scan order of that file."""
+    """A1 for plain text files: every line becomes a row
+    ``(doc_id, line_no BIGINT, line)``; each file is one document and
+    ``line_no`` is the dense line number within the file.
+
+    A large file is split over many scan tasks.  Within a task its lines
+    are contiguous with consecutive ``monotonically_increasing_id`` values,
+    and its splits come in file order, so the number is the lines of the
+    file in earlier tasks plus the position inside this task.  Those
+    per-(file, task) counts are a small table: no file is ever sorted or
+    gathered in one task."""
     raw = spark.read.text(path).select(
         F.xxhash64(F.input_file_name()).alias("doc_id"),
-        F.monotonically_increasing_id().alias("_pos"),
+        F.spark_partition_id().alias("_part"),
+        F.monotonically_increasing_id().alias("_mid"),
         F.col("value").alias("line"))
-    w = Window.partitionBy("doc_id").orderBy("_pos")
-    return raw.select("doc_id", (F.row_number().over(w) - 1).cast("int").alias("line_no"), "line")
+    stats = raw.groupBy("doc_id", "_part").agg(F.min("_mid").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    stats = stats.withColumn("_off", F.sum("_n").over(
+        Window.partitionBy("doc_id").orderBy("_part").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+        - F.col("_n"))
+    return raw.join(stats, ["doc_id", "_part"]).select(
+        "doc_id", (F.col("_off") + F.col("_mid") - F.col("_first")).alias("line_no"), "line")
 
 
 def clean_lines(lines: DataFrame, normalize: bool = False, line_col: str = "line") -> DataFrame:

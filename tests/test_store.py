@@ -126,3 +126,23 @@ def test_read_text_files_and_export(spark, tmp_path):
     ST.export_counts_table(m.limit(1), "gramloom_counts_test")
     assert spark.table("gramloom_counts_test").count() == 1
     spark.sql("DROP TABLE gramloom_counts_test")
+
+
+def test_text_file_line_numbers_across_splits(spark, tmp_path):
+    from gramloom.sources.lines import read_text_files
+    lines = [f"line {i} " + "x" * (i % 50) for i in range(20000)]
+    (tmp_path / "big.txt").write_text("\n".join(lines) + "\n", encoding="utf-8")
+    (tmp_path / "small.txt").write_text("a\nb\n", encoding="utf-8")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "65536")
+    try:
+        df = read_text_files(spark, str(tmp_path))
+        assert df.rdd.getNumPartitions() > 4
+        rows = df.collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    by_doc = {}
+    for r in rows:
+        by_doc.setdefault(r.doc_id, []).append((r.line_no, r.line))
+    got = sorted(sorted(v) for v in by_doc.values())
+    assert got == sorted([list(enumerate(["a", "b"])), list(enumerate(lines))])
