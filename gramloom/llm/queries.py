@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gramloom.llm import packing, quality, simhash
+from gramloom.llm import decontaminate, packing, quality, secrets, simhash
 from gramloom.llm.common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -42,6 +42,18 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
+@query("op4_benchmark_decontamination", decontaminate.ORACLE)
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every (document, test item) pair with the item in the document."""
+    return decontaminate.leaks(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
+@query("op6_secret_scans")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every document, by a ledger that starts empty."""
+    return secrets.digest(secrets.find_secrets(read_table(spark, sf_dir, "documents")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 
