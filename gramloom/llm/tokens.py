@@ -20,23 +20,47 @@ import numpy as np
 UNSAFE = re.compile("[^\t\n\x0b\x0c\r\x20-\x7e¡-įı-ɏ]")
 
 
+class Memo:
+    """A bounded map with two generations: a full young one becomes the old
+    one, and what is asked again moves back to the young."""
+
+    def __init__(self, items: int):
+        self.items, self.young, self.old = items, {}, {}
+
+    def recall(self, keys: set[str]) -> set[str]:
+        """Make ``keys`` known where the old generation has them; the rest."""
+        if len(self.young) > self.items:
+            self.old, self.young = self.young, {k: v for k in keys if (v := self.young.get(k)) is not None}
+        young, old, rest = self.young, self.old, set()
+        for k in keys:
+            if k not in young:
+                v = old.get(k)
+                if v is None:
+                    rest.add(k)
+                else:
+                    young[k] = v
+        return rest
+
+
 class Encoder:
     """Encodes texts to little-endian ids (``dtype``) without special tokens.
 
-    ``memo_items`` bounds both memos; a full memo starts over."""
+    ``memo_items`` bounds each generation of both memos."""
 
-    def __init__(self, path: str, memo_items: int = 250_000):
+    def __init__(self, path: str, memo_items: int = 300_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         self.tok = Tokenizer.from_file(path)
         self.dtype = np.dtype("<u2" if self.tok.get_vocab_size() <= 1 << 16 else "<u4")
-        self.memo_items = memo_items
-        self.units: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
+        self.units, self.pieces = Memo(memo_items), Memo(memo_items)
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.special = [t["content"] for t in spec.get("added_tokens") or []]
         self.split = self._unit_split(spec)
+        suffix = spec["model"].get("end_of_word_suffix")
+        self.last = np.zeros(self.tok.get_vocab_size(), bool)  # ids that end a piece
+        if self.split is not None:
+            self.last[[i for t, i in spec["model"]["vocab"].items() if t.endswith(suffix)]] = True
 
     @staticmethod
     def _unit_split(spec: dict):
@@ -47,25 +71,28 @@ class Encoder:
         steps = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])
         if (norms == ["NFC", "Replace", "Lowercase"] and [s["type"] for s in steps] == ["Split", "ByteLevel"]
                 and steps[0]["behavior"] == "Removed" and steps[0]["invert"] and not steps[1]["use_regex"]
-                and not spec.get("post_processor")):
+                and not spec.get("post_processor") and spec["model"].get("end_of_word_suffix")):
             return regex.compile(steps[0]["pattern"]["Regex"])
         return None
 
     def _learn(self, units: set[str]) -> None:
-        if len(self.pieces) > self.memo_items:
-            self.pieces = {}
-        parts = {u: self.split.findall(u) for u in units}
-        new = list({p for ps in parts.values() for p in ps}.difference(self.pieces))
+        """Make all ``units`` known."""
+        parts = {u: self.split.findall(u) for u in self.units.recall(units)}
+        new = list(self.pieces.recall({p for ps in parts.values() for p in ps}))
+        known = self.pieces.young
         for at in range(0, len(new), 5000):
             some = new[at:at + 5000]
-            enc = self.tok.encode(some, is_pretokenized=True, add_special_tokens=False)
-            ids = np.array(enc.ids, self.dtype)
-            ends = np.searchsorted(np.array(enc.word_ids), np.arange(len(some) + 1))
-            for k, p in enumerate(some):
-                self.pieces[p] = ids[ends[k]:ends[k + 1]].tobytes()
-        get = self.pieces.__getitem__
+            ids = np.array(self.tok.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, self.dtype)
+            ends = np.flatnonzero(self.last[ids]) + 1
+            if len(ends) != len(some):
+                raise ValueError("the tokenizer doesn't encode pieces one by one")
+            raw, wide, lo = ids.tobytes(), self.dtype.itemsize, 0
+            for p, hi in zip(some, (ends * wide).tolist()):
+                known[p] = raw[lo:hi]
+                lo = hi
+        get, young = known.__getitem__, self.units.young
         for u, ps in parts.items():
-            self.units[u] = b"".join(map(get, ps))
+            young[u] = b"".join(map(get, ps))
 
     def encode(self, texts: list[str], end: bytes = b"") -> list[bytes]:
         """Ids of each text as bytes, ``end`` appended to each."""
@@ -78,11 +105,12 @@ class Encoder:
                 plain.append(k)
                 units.append(t.lower().split())
         if plain:
-            if len(self.units) > self.memo_items:
-                self.units = {}
-            memo = self.units
+            memo = self.units.young
             self._learn({u for us in units for u in us if u not in memo})
-            get = self.units.__getitem__
+            if self.units.young is not memo:  # a new generation began: the rest of the batch moves too
+                memo = self.units.young
+                self._learn({u for us in units for u in us if u not in memo})
+            get = self.units.young.__getitem__
             for k, us in zip(plain, units):
                 out[k] = b"".join(map(get, us)) + end
         if rest:
