@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gramloom.llm import decontaminate, packing, quality, secrets, simhash
+from gramloom.llm import decontaminate, huffman, packing, quality, secrets, simhash
 from gramloom.llm.common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -54,6 +54,12 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.find_secrets(read_table(spark, sf_dir, "documents")))
 
 
+@query("op5_token_id_output")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents read back from the Huffman-coded files."""
+    return huffman.read_ids(huffman.write_ids(read_table(spark, sf_dir, "documents")), with_ids=False)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 
