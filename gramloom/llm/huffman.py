@@ -150,7 +150,7 @@ def _open(path: str, mode: str):
     store, name = fs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else f"file://{path}")
     if mode == "w":
         store.create_dir(name.rpartition("/")[0])
-        return store.open_output_stream(name)
+        return store.open_output_stream(name, compression=None)
     return store.open_input_file(name)
 
 
@@ -314,5 +314,5 @@ def read_ids(manifest: DataFrame, with_ids: bool = True) -> DataFrame:
     ship_package(manifest.sparkSession)
     files = manifest.select("file", "base", "doc_ids")
     parts = max(1, files.count())
-    return files.repartition(parts, "file").mapInArrow(
+    return files.repartition(parts).mapInArrow(
         _read(with_ids), "doc_id long, start long, n_tokens long, ids_crc32 long" + (", ids binary" if with_ids else ""))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gramloom.llm import decontaminate, huffman, packing, quality, secrets, simhash
+from gramloom.llm import decontaminate, huffman, packing, quality, secrets, simhash, toxicity, warc
 from gramloom.llm.common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -60,6 +60,23 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return huffman.read_ids(huffman.write_ids(read_table(spark, sf_dir, "documents")), with_ids=False)
 
 
+@query("op2_toxicity")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score, verdict and offending sentences of every document."""
+    docs = read_table(spark, sf_dir, "documents")
+    scored = toxicity.score(docs, toxicity.train(docs, read_table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score",
+                         (F.col("score") >= 0.5).cast("int").alias("predicted"),
+                         F.size("offending").alias("n_offending"))
+
+
+@query("op9_warc")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's record, read back from the archives."""
+    manifest = warc.write_pages(read_table(spark, sf_dir, "pages"))
+    return warc.read_pages(manifest, with_payload=False).drop("url")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 
