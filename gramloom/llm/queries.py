@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gramloom.llm import decontaminate, huffman, packing, quality, secrets, simhash, toxicity, warc
+from gramloom.llm import decontaminate, html, huffman, packing, quality, secrets, simhash, toxicity, warc
 from gramloom.llm.common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -77,6 +77,13 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_pages(manifest, with_payload=False).drop("url")
 
 
+@query("op10_html_extraction")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    return (html.extract(read_table(spark, sf_dir, "pages"))
+            .select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 
