@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gramloom.llm import decontaminate, html, huffman, packing, quality, secrets, simhash, toxicity, warc
+from gramloom.llm import decontaminate, html, huffman, licenses, packing, quality, secrets, simhash, toxicity, warc
 from gramloom.llm.common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -84,6 +84,12 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
             .select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars")))
 
 
+@query("op3_license_scans", licenses.oracle())
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licences named or quoted by each document."""
+    return licenses.scan(read_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 
