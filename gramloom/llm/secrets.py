@@ -134,11 +134,10 @@ class Ledger:
         todo = (first.select("blob", "at", F.explode(kinds).alias("r")).select("blob", "at", "r.*")
                 .join(self.scanned(), ["blob", "kind", "version"], "left_anti"))
         todo = stored(todo.groupBy("blob", "at").agg(F.collect_set(F.struct("kind", "version")).alias("pairs")), "todo")
-        n = todo.count()
-        if n == 0:
+        if todo.isEmpty():
             return listed
-        need = todo.select(F.col("blob").alias("b"), "at", F.col("pairs.kind").alias("todo"))
-        need = maybe_broadcast(need, n) if n <= 50_000 else need.hint("shuffle_hash")
+        # Texts meet their pairs by (blob, id): no sort, and a group of copies is spread.
+        need = todo.select(F.col("blob").alias("b"), "at", F.col("pairs.kind").alias("todo")).hint("shuffle_hash")
         blobs = (texts.join(need, (F.col("blob") == F.col("b")) & F.col("doc_id").eqNullSafe(F.col("at")))
                  .select("blob", "t", "todo"))
         spans(blobs, rules).distinct().write.mode("append").parquet(f"{self.path}/findings")
