@@ -94,7 +94,7 @@ def spans(blobs: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
             .filter("r is not null").select("blob", "r.*"))
     each = rows.select("blob", "kind", "version", "least", F.posexplode(F.arrays_zip(
         F.slice("gaps", 1, F.size("sizes")).alias("gap"), F.col("sizes").alias("size"), F.col("marks").alias("mark")))
-        .alias("at", "m"))
+        .alias("at", "m")).distinct()  # repeated rows bring a blob twice
     upto = Window.partitionBy("blob", "kind").orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     ended = each.withColumn("end", F.sum(F.col("m.gap") + F.col("m.size")).over(upto))
     return (ended.filter("m.mark >= least")
@@ -140,7 +140,7 @@ class Ledger:
         need = todo.select(F.col("blob").alias("b"), "at", F.col("pairs.kind").alias("todo")).hint("shuffle_hash")
         blobs = (texts.join(need, (F.col("blob") == F.col("b")) & F.col("doc_id").eqNullSafe(F.col("at")))
                  .select("blob", "t", "todo"))
-        spans(blobs, rules).distinct().write.mode("append").parquet(f"{self.path}/findings")
+        spans(blobs, rules).write.mode("append").parquet(f"{self.path}/findings")
         (todo.select("blob", F.explode("pairs").alias("p")).select("blob", "p.*")
          .write.mode("append").parquet(f"{self.path}/scanned"))
         return listed
