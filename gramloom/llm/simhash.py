@@ -48,6 +48,7 @@ BLOCKS = 7
 FANOUT = 16
 NODE_LIMIT = 1 << 17
 CHUNK = 1 << 16
+SALTS = 32
 
 
 def fingerprint_of(text: str, shingle: int = SHINGLE, seed: int = SEED) -> int:
@@ -279,10 +280,13 @@ def classes(fps: DataFrame, max_bits: int = MAX_BITS, blocks: int = BLOCKS,
     the fingerprint that document has."""
     first = stored(fps.groupBy("fp").agg(F.min("doc_id").alias("doc")), "distinct")
     roots = components(links(first.select("fp"), max_bits, blocks, node_limit))
-    joined = first.join(roots.withColumnRenamed("node", "fp"), "fp", "left")
+    # Salted: the fingerprints of a large class meet its result in SALTS tasks.
+    joined = (first.join(roots.withColumnRenamed("node", "fp"), "fp", "left")
+              .withColumn("salt", F.expr(f"cast(pmod(xxhash64(fp), {SALTS}L) as int)")))
     best = (joined.filter("root is not null").groupBy("root")
-            .agg(F.min(F.struct(F.col("doc").isNull().alias("no"), "doc", "fp")).alias("best")))
-    return (joined.join(best, "root", "left")
+            .agg(F.min(F.struct(F.col("doc").isNull().alias("no"), "doc", "fp")).alias("best"))
+            .withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))))
+    return (joined.join(best, ["root", "salt"], "left")
             .select("fp", F.when(F.col("best").isNull(), F.col("doc")).otherwise(F.col("best.doc")).alias("component_id"),
                     F.coalesce("best.fp", "fp").alias("rep_fp")))
 
