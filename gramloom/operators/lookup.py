@@ -40,11 +40,6 @@ def lookup_exact(contexts: DataFrame, model: DataFrame, key: str = "prompt_id")
     return contexts.select(key, "w1", "w2").join(model, ["w1", "w2"], "left")
 
 
-def lookup_followers(contexts: DataFrame, followers: DataFrame, on: list[str]) -> DataFrame:
-    """Attach the follower array of each context (null when absent)."""
-    return contexts.join(followers, on, "left")
-
-
 def top_k_of(followers_col: str, k) -> F.Column:
     """First ``k`` followers (arrays are kept sorted by cnt desc, id asc)."""
     kk = F.lit(k) if isinstance(k, int) else F.col(k)
@@ -66,9 +61,3 @@ def backoff_followers(contexts: DataFrame, tri_followers: DataFrame, bi_follower
             .withColumn("followers", F.coalesce("_tri", "_bi"))
             .drop("_tri", "_bi", "_last"))
 
-
-def restrict_to_contexts(model: DataFrame, contexts: DataFrame, keys: list[str]) -> DataFrame:
-    """Keep only the model rows whose context is asked for (left semi join).
-    When the model is a count aggregate, Catalyst pushes the semi join below
-    the aggregate, so n-gram rows of other contexts never reach the shuffle."""
-    return model.join(contexts.select(*keys).distinct(), keys, "left_semi")

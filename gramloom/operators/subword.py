@@ -1,9 +1,8 @@
 """C1/C2/C3 for the ``subword`` tokeniser: a unigram language-model
 vocabulary (Kudo 2018) learned with Spark.
 
-* C1a: a reproducible sample of at most ``input_sentence_size`` lines
-  (hash order; the cut-off is found with an approximate quantile, then the
-  exact top-n is taken from a slightly larger filtered set).
+* C1a: on request a reproducible sample of ``input_sentence_size`` lines
+  (hash order, exact cut-off); by default all lines are used.
 * Lines are compatibility-normalised (NFKC) and split on whitespace; each
   word becomes a chunk ``▁word``; pieces never cross chunks.  Distinct
   chunks with their counts are the training input (a ``groupBy``).
@@ -17,7 +16,7 @@ vocabulary (Kudo 2018) learned with Spark.
   likelihood (the best segmentation of the piece without itself is the
   alternative); single characters always stay.
 * C2: Viterbi segmentation of each distinct chunk, joined back to the
-  text; unknown characters become id 0.
+  text; a run of unknown characters becomes one id 0.
 """
 
 from __future__ import annotations
@@ -52,14 +51,28 @@ def nfkc(s: pd.Series) -> pd.Series:
 
 def sample_lines(lines: DataFrame, n: int, seed: int = K.NEURAL_SEED,
                  key_cols=("doc_id", "line_no")) -> DataFrame:
-    """The ``n`` lines with the smallest ``xxhash64(seed, key)``."""
-    h = lines.withColumn("_h", F.xxhash64(F.lit(seed), *key_cols))
-    total = h.count()
-    if total <= n:
-        return h.drop("_h")
-    q = min(1.0, n / total * 1.05 + 1e-4)
-    cut = h.approxQuantile("_h", [q], 0.001)[0]
-    return h.filter(F.col("_h") <= F.lit(cut)).orderBy("_h").limit(n).drop("_h")
+    """Exactly the ``min(n, total)`` lines of smallest hash (60 bits of
+    md5 over seed and key; ties by key).
+
+    The cut-off is found exactly from two histograms of the hash, by its top
+    12 bits and by the next 12 inside the boundary bucket, so only the lines
+    of one bucket in 16.7 million are sorted."""
+    h = lines.withColumn("_h", F.conv(F.substring(F.md5(F.encode(F.concat_ws("-", F.lit(seed), *key_cols), "UTF-8")),
+                                                  1, 15), 16, 10).cast("bigint"))
+    need, floor, rows = n, 0, h
+    for shift in (48, 36):
+        counts = rows.groupBy(F.shiftright("_h", shift).alias("b")).agg(F.count(F.lit(1)).alias("c")).collect()
+        before = 0  # at most 4096 buckets
+        for r in sorted(counts, key=lambda r: r["b"]):
+            if before + r["c"] > need:
+                break
+            before += r["c"]
+        else:
+            return (h if shift == 48 else h.filter(F.col("_h") < floor + (1 << 48))).drop("_h")
+        need, floor = need - before, r["b"] << shift
+        rows = h.filter((F.col("_h") >= floor) & (F.col("_h") < floor + (1 << shift)))
+    below = h.filter(F.col("_h") < floor)
+    return below.unionByName(rows.orderBy("_h", *key_cols).limit(need)).drop("_h")
 
 
 def word_chunks(lines: DataFrame, line_col: str = "line") -> DataFrame:
@@ -128,8 +141,7 @@ def forward_backward(s: str, logp: dict, max_len: int):
             if lp is None:
                 continue
             post = alpha[j] + lp + beta[i] - z
-            if post > -30:
-                exp_counts[piece] = exp_counts.get(piece, 0.0) + math.exp(post)
+            exp_counts[piece] = exp_counts.get(piece, 0.0) + math.exp(post)
     return z, exp_counts
 
 
@@ -210,20 +222,23 @@ def _prune_losses(pieces_pdf: pd.DataFrame, counts: dict, max_len: int, spark) -
 
 
 def train_unigram(lines: DataFrame, vocab_size: int = K.DEFAULT_VOCAB_SIZE,
-                  input_sentence_size: int = K.DEFAULT_INPUT_SENTENCE_SIZE, seed: int = K.NEURAL_SEED,
+                  input_sentence_size: int | None = None, seed: int = K.NEURAL_SEED,
                   seed_factor: int = 10, max_piece_len: int = 16, em_iters: int = 2,
                   shrink: float = 0.75, line_col: str = "line") -> DataFrame:
     """``(id, piece, score)`` with ids 0-2 reserved; at most
-    ``vocab_size`` rows (fewer when the corpus has fewer candidate pieces)."""
+    ``vocab_size`` rows (fewer when the corpus has fewer candidate pieces).
+    Raises ``ValueError`` if the characters alone don't fit."""
     spark = lines.sparkSession
     ship_package(spark)
-    sample = sample_lines(lines, input_sentence_size, seed)
+    sample = lines if input_sentence_size is None else sample_lines(lines, input_sentence_size, seed)
     chunks = cut_lineage(word_chunks(sample, line_col))
     target = max(vocab_size - RESERVED, 1)
     pieces = seed_pieces(chunks, seed_factor * target, max_piece_len).toPandas()  # bounded by seed size
     # character coverage 1.0: every character of the sample stays a piece,
     # even when longer pieces absorb all of its probability mass
     required = [p for p in pieces["piece"] if len(p) == 1]
+    if len(required) > target:
+        raise ValueError(f"vocab_size {vocab_size} is too small: {len(required)} characters and {RESERVED} reserved pieces")
     while True:
         for _ in range(em_iters):
             counts_df = _e_step(chunks, pieces, max_piece_len).groupBy("piece").agg(
@@ -280,9 +295,13 @@ def encode_subword(df: DataFrame, key_cols: list[str], text_col: str, vocab: Dat
             segs = []
             for s in pdf["chunk"]:
                 parts, _ = viterbi(s, logp, max_piece_len)
-                segs.append([{"id": table[p][1] if p in table else K.UNK_ID,
-                              "piece": p if p in table else K.UNK_SURFACE,
-                              "cacheable": bool(table[p][2]) if p in table else True} for p in parts])
+                seg = []
+                for p in parts:
+                    if p in table:
+                        seg.append({"id": table[p][1], "piece": p, "cacheable": bool(table[p][2])})
+                    elif not seg or seg[-1]["id"] != K.UNK_ID:  # a run of unknown characters is one unknown
+                        seg.append({"id": K.UNK_ID, "piece": K.UNK_SURFACE, "cacheable": True})
+                segs.append(seg)
             yield pd.DataFrame({"chunk": pdf["chunk"], "seg": segs})
 
     segs = distinct.mapInPandas(run, "chunk string, seg array<struct<id:int,piece:string,cacheable:boolean>>")

@@ -4,8 +4,9 @@ tokenisers (the ``subword`` tokeniser lives in ``subword.py``).
 A vocabulary is a DataFrame ``(id INT, piece STRING, score DOUBLE,
 cnt BIGINT, cacheable BOOLEAN)``.  Ids 0, 1, 2 are the reserved unknown and
 two control pieces; learned pieces start at 3, ranked by corpus count
-descending then piece ascending.  Its size is bounded by ``vocab_size``,
-which is what makes broadcasting it to every task safe.
+descending then piece ascending.  By default it holds every token of the
+corpus; joins broadcast it only behind its counted rows and bytes
+(``broadcast_bound``) and shuffle otherwise.
 """
 
 from __future__ import annotations
@@ -60,26 +61,36 @@ def reserved_rows(spark) -> DataFrame:
         "id", "piece", F.lit(0.0).alias("score"), F.lit(0).cast("bigint").alias("cnt"))
 
 
-def build_vocab(lines: DataFrame, tokenizer: str = "word", vocab_size: int = K.DEFAULT_VOCAB_SIZE,
-                line_col: str = "line") -> DataFrame:
-    """C5 + B5: learn a vocabulary of at most ``vocab_size`` pieces.
+def rank_pieces(counts: DataFrame) -> DataFrame:
+    """``(id, piece, score, cnt)``: ids from ``RESERVED`` on by count
+    descending, then piece ascending.
+
+    The pieces are sorted over the cluster and stored; an id is the rows of
+    earlier partitions (one row each, broadcast) plus the position inside
+    its own.  No task sees the whole vocabulary."""
+    placed = cut_lineage(counts.orderBy(F.col("cnt").desc(), F.col("piece").asc())
+                         .select("piece", "cnt", F.spark_partition_id().alias("_p"),
+                                 F.monotonically_increasing_id().alias("_m")))
+    parts = placed.groupBy("_p").agg(F.min("_m").alias("_first"), F.count(F.lit(1)).alias("_n"), F.sum("cnt").alias("_c"))
+    before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    parts = parts.select("_p", "_first", (F.sum("_n").over(before) - F.col("_n")).alias("_off"),
+                         F.sum("_c").over(Window.partitionBy()).alias("_total"))
+    return placed.join(F.broadcast(parts), "_p").select(
+        (F.col("_off") + F.col("_m") - F.col("_first") + RESERVED).cast("int").alias("id"), "piece",
+        F.log(F.col("cnt") / F.col("_total")).alias("score"), "cnt")
 
-    Top pieces are chosen with ``orderBy().limit()`` (per-partition top-n then
-    a merge of at most n rows per partition); ids are then numbered over
-    that bounded set only."""
+
+def build_vocab(lines: DataFrame, tokenizer: str = "word", vocab_size: int | None = None,
+                line_col: str = "line") -> DataFrame:
+    """C5 + B5: the vocabulary of all tokens, so that no token of the corpus
+    is unknown; with ``vocab_size`` (a model of fixed size) its most frequent
+    pieces only."""
     spark = lines.sparkSession
     counts = piece_counts(lines, tokenizer, line_col).filter(
         ~F.col("piece").isin(K.UNK_PIECE, *K.CONTROL_PIECES))
-    top = top_n_by_count(counts, max(vocab_size - RESERVED, 0))
-    # ``top`` holds at most vocab_size rows: numbering and the score's
-    # normaliser run on that bounded set.
-    learned = top.select(
-        (F.row_number().over(Window.orderBy(F.col("cnt").desc(), F.col("piece").asc()))
-         + (RESERVED - 1)).cast("int").alias("id"),
-        "piece",
-        F.log(F.col("cnt") / F.sum("cnt").over(Window.partitionBy())).alias("score"),
-        "cnt")
-    vocab = reserved_rows(spark).unionByName(learned)
+    if vocab_size is not None:
+        counts = top_n_by_count(counts, max(vocab_size - RESERVED, 0))
+    vocab = reserved_rows(spark).unionByName(rank_pieces(counts))
     return vocab.withColumn("cacheable", T.is_cacheable_piece(F.col("piece"), F.col("id")))
 
 

@@ -21,9 +21,9 @@ from gramloom.plans import prompts as PR
 from gramloom.plans.prompts import PROMPT_TURNS
 from gramloom.plans import sqlparts as S
 from gramloom.sources import lines as L
-from gramloom.session import cut_lineage
+from gramloom.session import broadcast_bound, cut_lineage
 
-VOCAB_SIZE = K.DEFAULT_VOCAB_SIZE
+VOCAB_SIZE = K.DEFAULT_VOCAB_SIZE  # of the neural model
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -45,19 +45,27 @@ def docs(spark, sf):
     return L.spread(L.read_table(spark, sf, "documents").select("doc_id", "text"))
 
 
-def vocab(spark, sf):
-    """The word vocabulary (bounded by VOCAB_SIZE rows), built once and
-    checkpointed so every lookup against it reuses the stored rows."""
-    return cut_lineage(VO.build_vocab(L.corpus_lines(spark, sf, normalize=False), "word", VOCAB_SIZE))
+def vocab(spark, sf, size=None):
+    """The vocabulary of all words (``size``: the most frequent ones, for a
+    model of fixed size), built once and checkpointed so every lookup
+    against it reuses the stored rows."""
+    return cut_lineage(VO.build_vocab(L.corpus_lines(spark, sf, normalize=False), "word", size))
+
+
+def bound(v):
+    """Counted bound for broadcasting the stored vocabulary, counted once."""
+    if not hasattr(v, "_broadcast_bound"):
+        v._broadcast_bound = (broadcast_bound(v, "piece"),)
+    return v._broadcast_bound[0]
 
 
 def trigram(spark, sf, vocab_df=None, contexts=None):
     """The trigram model; with ``contexts`` only the asked contexts are
     counted (their number is bounded by the prompts, counted first)."""
     v = vocab_df if vocab_df is not None else vocab(spark, sf)
-    bound = contexts.count() if contexts is not None else None
-    return C.trigram_counts(L.corpus_lines(spark, sf, normalize=True), v, vocab_bound=VOCAB_SIZE,
-                            contexts=contexts, contexts_bound=bound)
+    asked = contexts.count() if contexts is not None else None
+    return C.trigram_counts(L.corpus_lines(spark, sf, normalize=True), v, vocab_bound=bound(v),
+                            contexts=contexts, contexts_bound=asked)
 
 
 # ------------------------------------------------------------------ A1 B1-B3
@@ -100,8 +108,8 @@ def q_trigram_counts(spark, sf):
 WITH {S.VOCAB}, {S.ngram_ids(4, 3, True, 'norm_lines')}
 SELECT w1, w2, w3, w4, count(*)::BIGINT AS cnt FROM g GROUP BY 1, 2, 3, 4""")
 def q_ngram4_counts(spark, sf):
-    return C.ngram_counts(L.corpus_lines(spark, sf, normalize=True), vocab(spark, sf), n=4,
-                          vocab_bound=VOCAB_SIZE)
+    v = vocab(spark, sf)
+    return C.ngram_counts(L.corpus_lines(spark, sf, normalize=True), v, n=4, vocab_bound=bound(v))
 
 
 # ------------------------------------------------------------- B8 B12
@@ -183,15 +191,15 @@ TOP_K = K.GEN_TOP_K
 
 def prompt_contexts(spark, sf, v):
     acc, _ = PR.split_requests(requests(spark, sf))
-    return LK.encode_prompts(acc, v, VOCAB_SIZE)
+    return LK.encode_prompts(acc, v, bound(v))
 
 
 def bigram_ids(spark, sf, v, first_ids=None):
     """Id-keyed bigram model for lookups (counted directly by id); with
     ``first_ids`` only the asked previous tokens are counted."""
-    bound = first_ids.count() if first_ids is not None else None
-    return C.bigram_id_counts(L.corpus_lines(spark, sf, normalize=False), v, vocab_bound=VOCAB_SIZE,
-                              first_ids=first_ids, first_bound=bound)
+    asked = first_ids.count() if first_ids is not None else None
+    return C.bigram_id_counts(L.corpus_lines(spark, sf, normalize=False), v, vocab_bound=bound(v),
+                              first_ids=first_ids, first_bound=asked)
 
 
 PROMPTS_SQL = f"{S.VOCAB}, {S.prompts_sql()}"
@@ -208,19 +216,18 @@ def q_top_followers(spark, sf):
     """E2 over the whole model: what follows each two-word context most
     often (top 3, ties by id)."""
     v = vocab(spark, sf)
-    fol = C.followers_table(trigram(spark, sf, v), v, FLAGSHIP_K, ["w1", "w2"], VOCAB_SIZE)
+    fol = C.followers_table(trigram(spark, sf, v), v, FLAGSHIP_K, ["w1", "w2"], bound(v))
     return fol.select("w1", "w2", F.posexplode(F.slice("followers", 1, FLAGSHIP_K)).alias("r", "f")).select(
         "w1", "w2", (F.col("r") + 1).cast("int").alias("rank"), F.col("f.w3").alias("w3"), F.col("f.cnt").alias("cnt"))
 
 
 @register("next_exact", f"""
 WITH {PROMPTS_SQL}, {S.TRIGRAM}
-SELECT pw.prompt_id, t.w1, t.w2, t.w3, t.cnt FROM pw JOIN trigram t ON t.w1 = pw.w1 AND t.w2 = pw.w2""")
+SELECT pw.prompt_id, pw.w1, pw.w2, t.w3, t.cnt FROM pw LEFT JOIN trigram t ON t.w1 = pw.w1 AND t.w2 = pw.w2""")
 def q_next_exact(spark, sf):
     v = vocab(spark, sf)
     ctx = cut_lineage(prompt_contexts(spark, sf, v))
-    return ctx.select("prompt_id", "w1", "w2").join(trigram(spark, sf, v, ctx), ["w1", "w2"]) \
-        .select("prompt_id", "w1", "w2", "w3", "cnt")
+    return LK.lookup_exact(ctx, trigram(spark, sf, v, ctx)).select("prompt_id", "w1", "w2", "w3", "cnt")
 
 
 @register("next_top_k", f"""
@@ -231,7 +238,7 @@ SELECT prompt_id, CAST(rank AS INTEGER) AS rank, w3, cnt FROM r WHERE rank <= {T
 def q_next_top_k(spark, sf):
     v = vocab(spark, sf)
     ctx = cut_lineage(prompt_contexts(spark, sf, v))
-    fol = C.followers_table(trigram(spark, sf, v, ctx), v, TOP_K, ["w1", "w2"], VOCAB_SIZE)
+    fol = C.followers_table(trigram(spark, sf, v, ctx), v, TOP_K, ["w1", "w2"], bound(v))
     j = ctx.select("prompt_id", "w1", "w2").join(fol, ["w1", "w2"])
     return j.select("prompt_id", F.posexplode(LK.top_k_of("followers", TOP_K)).alias("rank", "f")) \
         .select("prompt_id", (F.col("rank") + 1).cast("int").alias("rank"),
@@ -247,6 +254,14 @@ def q_next_bigram(spark, sf):
     return ctx.join(bigram_ids(spark, sf, v, ctx), "w1").select("prompt_id", "w1", "w2", "cnt")
 
 
+def backoff_models(spark, sf, v, ctx):
+    """The asked trigram contexts, counted once and stored; bigrams only
+    for the last tokens of prompts whose context has no trigram."""
+    tri = cut_lineage(trigram(spark, sf, v, ctx))
+    miss = ctx.select("w1", "w2").join(tri.select("w1", "w2").distinct(), ["w1", "w2"], "left_anti")
+    return tri, bigram_ids(spark, sf, v, cut_lineage(miss.select(F.col("w2").alias("w1"))))
+
+
 def backoff_long(ctx, tri, bi):
     """E4 in long form: trigram followers where the context exists, else
     the bigram followers of the last token."""
@@ -264,8 +279,7 @@ SELECT prompt_id, source, w3, cnt FROM fol""")
 def q_next_backoff(spark, sf):
     v = vocab(spark, sf)
     ctx = cut_lineage(prompt_contexts(spark, sf, v))
-    last = ctx.select(F.col("w2").alias("w1"))
-    return backoff_long(ctx, trigram(spark, sf, v, ctx), bigram_ids(spark, sf, v, last))
+    return backoff_long(ctx, *backoff_models(spark, sf, v, ctx))
 
 
 # ------------------------------------------------------------- F1-F4 F6
@@ -289,11 +303,9 @@ def ranked_frame(spark, sf, k=TOP_K, alpha=K.CACHE_ALPHA, window=K.CACHE_RECENT_
                  temperature=K.GEN_TEMPERATURE, gen_len=0, min_len=K.GEN_MIN_LEN_BEFORE_EOS):
     v = vocab(spark, sf)
     ctx = cut_lineage(prompt_contexts(spark, sf, v))
-    tri_m = trigram(spark, sf, v, ctx)
-    last = ctx.select(F.col("w2").alias("w1"))
-    bi_m = bigram_ids(spark, sf, v, last)
-    tri = C.followers_table(tri_m, v, k, ["w1", "w2"], VOCAB_SIZE)
-    bi = C.followers_table(bi_m.withColumnRenamed("w2", "w3"), v, k, ["w1"], VOCAB_SIZE)
+    tri_m, bi_m = backoff_models(spark, sf, v, ctx)
+    tri = C.followers_table(tri_m, v, k, ["w1", "w2"], bound(v))
+    bi = C.followers_table(bi_m.withColumnRenamed("w2", "w3"), v, k, ["w1"], bound(v))
     j = LK.backoff_followers(ctx, tri, bi).filter(F.col("followers").isNotNull())
     j = j.withColumn("recent", SC.recent_cacheable(F.col("ctx"), window)) \
         .withColumn("cids", SC.cacheable_ids(F.col("ctx"))) \
@@ -380,7 +392,7 @@ SELECT w1, w2, cnt FROM bigram_ids""")
 def q_bigram_by_id(spark, sf):
     """The string-keyed bigram model re-keyed by id."""
     v = vocab(spark, sf)
-    return VO.bigram_to_ids(C.bigram_counts(L.corpus_lines(spark, sf, normalize=False)), v, VOCAB_SIZE)
+    return VO.bigram_to_ids(C.bigram_counts(L.corpus_lines(spark, sf, normalize=False)), v, bound(v))
 
 
 TRIGRAM_SQL = f"WITH {S.VOCAB}, {S.TRIGRAM}"
@@ -406,7 +418,8 @@ SELECT CAST(((xor(w1::BIGINT * {K.SHARD_MULTIPLIER}, w2::BIGINT) % {SHARDS}) + {
        w1, w2, w3, sum(cnt)::BIGINT AS cnt FROM parts GROUP BY 1, 2, 3, 4""")
 def q_shard_reduce(spark, sf):
     """Partial models bucketed by context hash and reduced per shard."""
-    parts = C.partial_counts(docs(spark, sf), vocab(spark, sf), 1000, vocab_bound=VOCAB_SIZE)
+    v = vocab(spark, sf)
+    parts = C.partial_counts(docs(spark, sf), v, 1000, vocab_bound=bound(v))
     return C.shard_and_reduce(parts, SHARDS)
 
 
@@ -435,15 +448,16 @@ chunked AS (SELECT CAST((row_number() OVER (ORDER BY doc_id, line_no) - 1) // {P
 {S.ngram_ids(3, 2, True, 'chunked', extra='part_id')}
 SELECT part_id, w1, w2, w3, count(*)::BIGINT AS cnt FROM g GROUP BY 1, 2, 3, 4""")
 def q_trigram_partials(spark, sf):
-    return C.partial_counts(docs(spark, sf), vocab(spark, sf), PART_LINES, vocab_bound=VOCAB_SIZE)
+    v = vocab(spark, sf)
+    return C.partial_counts(docs(spark, sf), v, PART_LINES, vocab_bound=bound(v))
 
 
 @register("trigram_merged", f"""
 {TRIGRAM_SQL}
 SELECT w1, w2, w3, cnt FROM trigram""")
 def q_trigram_merged(spark, sf):
-    return C.merge_partials(C.partial_counts(docs(spark, sf), vocab(spark, sf), PART_LINES,
-                                             vocab_bound=VOCAB_SIZE))
+    v = vocab(spark, sf)
+    return C.merge_partials(C.partial_counts(docs(spark, sf), v, PART_LINES, vocab_bound=bound(v)))
 
 
 MAX_LINES = 5000
@@ -462,13 +476,13 @@ def generation(spark, sf, mode, model_type="trigram", seed=K.NEURAL_SEED):
     from gramloom.plans.generate import generate, prepare_model
     v = vocab(spark, sf)
     acc, _ = PR.split_requests(requests(spark, sf))
-    enc = cut_lineage(LK.encode_prompts(acc, v, VOCAB_SIZE))  # read three times below
+    enc = cut_lineage(LK.encode_prompts(acc, v, bound(v)))  # read three times below
     k = max(TOP_K, enc.agg(F.max("top_k")).first()[0] or TOP_K)
     if model_type == "bigram":
-        model = C.followers_table(bigram_ids(spark, sf, v).withColumnRenamed("w2", "w3"), v, k, ["w1"], VOCAB_SIZE)
+        model = C.followers_table(bigram_ids(spark, sf, v).withColumnRenamed("w2", "w3"), v, k, ["w1"], bound(v))
         model = prepare_model(model, ["w1"])
     else:
-        model = prepare_model(C.followers_table(trigram(spark, sf, v), v, k, ["w1", "w2"], VOCAB_SIZE),
+        model = prepare_model(C.followers_table(trigram(spark, sf, v), v, k, ["w1", "w2"], bound(v)),
                               ["w1", "w2"])
     out = generate(enc, model, model_type, mode, seed)
     model.unpersist()  # the result reads only checkpointed steps and the prompts
@@ -513,9 +527,9 @@ def tree_nodes(spark, sf, max_depth=K.TREE_MAX_DEPTH):
     v = vocab(spark, sf)
     enc = prompt_contexts(spark, sf, v)
     k = TOP_K
-    tri = prepare_model(C.followers_table(trigram(spark, sf, v), v, k, ["w1", "w2"], VOCAB_SIZE), ["w1", "w2"])
+    tri = prepare_model(C.followers_table(trigram(spark, sf, v), v, k, ["w1", "w2"], bound(v)), ["w1", "w2"])
     bi = prepare_model(C.followers_table(bigram_ids(spark, sf, v).withColumnRenamed("w2", "w3"), v, k,
-                                         ["w1"], VOCAB_SIZE), ["w1"])
+                                         ["w1"], bound(v)), ["w1"])
     nodes = expand_tree(enc, tri, bi, TreeParams(max_depth=max_depth))
     tri.unpersist()  # every level is checkpointed already
     bi.unpersist()
@@ -606,13 +620,13 @@ NEURAL_K = K.NEURAL_CONTEXT_SIZE
 
 
 @register("neural_samples", f"""
-WITH {S.VOCAB},
+WITH {S.vocab(VOCAB_SIZE)},
 nlines AS (SELECT doc_id, line_no, line FROM clean_lines),
 {S.ngram_ids(NEURAL_K + 1, NEURAL_K, False, 'nlines', extra='doc_id, line_no', bos_id=VOCAB_SIZE)}
 SELECT doc_id, line_no, w1 AS c1, w2 AS c2, w3 AS c3, w4 AS c4, w5 AS target FROM g""")
 def q_neural_samples(spark, sf):
     from gramloom.plans import neural as N
-    v = vocab(spark, sf)
+    v = vocab(spark, sf, VOCAB_SIZE)
     cfg = N.NeuralConfig(vocab_size=VOCAB_SIZE + 1, bos_token_id=VOCAB_SIZE)
     smp = N.build_samples(L.corpus_lines(spark, sf, normalize=False), v, cfg, VOCAB_SIZE)
     return smp.select("doc_id", "line_no", *[F.col("context")[i].alias(f"c{i + 1}") for i in range(NEURAL_K)],
@@ -637,7 +651,7 @@ def small_neural(spark, sf, epochs=2):
 @register("neural_batches")
 def q_neural_batches(spark, sf):
     from gramloom.plans import neural as N
-    v = vocab(spark, sf)
+    v = vocab(spark, sf, VOCAB_SIZE)
     cfg = N.NeuralConfig(vocab_size=VOCAB_SIZE + 1, bos_token_id=VOCAB_SIZE)
     smp = N.build_samples(L.corpus_lines(spark, sf, normalize=False), v, cfg, VOCAB_SIZE)
     sh = N.shuffle_samples(smp, K.NEURAL_SEED, 1)
@@ -677,6 +691,20 @@ def subword_vocab(spark, sf):
     return cut_lineage(SW.train_unigram(L.corpus_lines(spark, sf, normalize=False), SUBWORD_VOCAB))
 
 
+SAMPLED_LINES = 1000
+
+
+@register("line_sample", f"""
+WITH {S.CLEAN_LINES},
+h AS (SELECT doc_id, line_no, line, ('0x' || substr(md5('{K.NEURAL_SEED}-' || doc_id || '-' || line_no), 1, 15))::BIGINT AS h
+      FROM clean_lines)
+SELECT doc_id, line_no, line FROM h ORDER BY h, doc_id, line_no LIMIT {SAMPLED_LINES}""")
+def q_line_sample(spark, sf):
+    """A reproducible sample of exactly this many lines."""
+    from gramloom.operators import subword as SW
+    return SW.sample_lines(L.corpus_lines(spark, sf, normalize=False), SAMPLED_LINES).select("doc_id", "line_no", "line")
+
+
 @register("subword_vocab")
 def q_subword_vocab(spark, sf):
     return subword_vocab(spark, sf).withColumn("score", F.round("score", 6))
@@ -716,7 +744,7 @@ def q_streamed_merged(spark, sf):
     src = ST.scratch_path(spark, "corpus_files")
     write_corpus_files(L.read_lines(docs(spark, sf)), src, 4)
     parts = ST.scratch_path(spark, "stream_parts")
-    stream_partial_counts(spark, src, v, parts, ST.scratch_path(spark, "stream_ckpt"), vocab_bound=VOCAB_SIZE)
+    stream_partial_counts(spark, src, v, parts, ST.scratch_path(spark, "stream_ckpt"), vocab_bound=bound(v))
     return C.merge_partials(spark.read.parquet(parts)).select("w1", "w2", "w3", "cnt")
 
 

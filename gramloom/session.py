@@ -4,6 +4,7 @@ and size-checked broadcast."""
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,6 +14,8 @@ from pyspark.sql import functions as F
 # (vocabulary size, number of prompts after a count, top-k) and that bound is
 # under this many rows.
 BROADCAST_ROW_LIMIT = 2_000_000
+# A counted table of strings is broadcast only if its strings are small too.
+BROADCAST_BYTE_LIMIT = 128 << 20
 
 
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
@@ -41,7 +44,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the cluster's checkpoint directory.
 
     On a cluster ``spark.checkpoint.dir`` names a shared folder and is used
-    as is.  Only when it is unset (local tests) a scratch folder is made.
+    as is.  Where it is unset, a local session gets a scratch folder; a
+    cluster session raises, since executors do not share the driver's disk.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -49,6 +53,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     conf_dir = spark.conf.get("spark.checkpoint.dir", None)
     if not conf_dir:
+        if not re.match(r"local(\[|$)", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         conf_dir = tempfile.mkdtemp(prefix="gramloom-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     sc.setCheckpointDir(conf_dir)
     return sc.getCheckpointDir() or conf_dir
@@ -70,6 +76,13 @@ def maybe_broadcast(df: DataFrame, row_bound: int | None) -> DataFrame:
     return df
 
 
+def broadcast_bound(df: DataFrame, text_col: str) -> int | None:
+    """Counted rows of a stored table if it may be broadcast by rows and by
+    the bytes of ``text_col``, else ``None`` (the join then shuffles)."""
+    n, size = df.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length(text_col)), F.lit(0))).first()
+    return n if n <= BROADCAST_ROW_LIMIT and size <= BROADCAST_BYTE_LIMIT else None
+
+
 _SHIPPED: set[str] = set()
 
 

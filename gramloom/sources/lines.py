@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gramloom.functions import text as T
+from gramloom.session import maybe_broadcast
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -135,9 +136,14 @@ def limit_lines(docs: DataFrame, max_lines: int | None, text_col: str = "text",
     source order; ``None`` keeps everything."""
     if max_lines is None:
         return read_lines(docs, text_col, id_col)
-    per_doc = doc_lines(docs, text_col, id_col)
-    return (indexed_lines(per_doc).filter(F.col("idx") < max_lines)
-            .select("doc_id", "line_no", "line"))
+    per_doc = doc_lines(docs, text_col, id_col).filter(F.size("lines") > 0)
+    # Only documents that start before the limit are read again: at most max_lines of them.
+    offs = key_offsets(per_doc.select("doc_id", F.size("lines").alias("n")), "doc_id", "n").filter(
+        F.col("offset") < max_lines)
+    return (per_doc.join(maybe_broadcast(offs, max_lines), "doc_id")
+            .select("doc_id", "offset", F.posexplode("lines").alias("line_no", "line"))
+            .filter(F.col("offset") + F.col("line_no") < max_lines)
+            .select("doc_id", F.col("line_no").cast("int").alias("line_no"), "line"))
 
 
 def corpus_lines(spark: SparkSession, sf_dir: str, normalize: bool = False) -> DataFrame:

@@ -18,6 +18,7 @@ from gramloom.functions.arrays import shard_of
 from gramloom.session import ensure_checkpoint_dir
 
 MANIFEST = "_manifest"
+WRITERS_PER_SHARD = 4
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
@@ -63,9 +64,12 @@ def duplicate_keys(model: DataFrame, keys=("w1", "w2", "w3")) -> DataFrame:
 
 
 def export_counts_table(model: DataFrame, name: str) -> None:
-    """Replace the flat ``(w1, w2, w3, cnt)`` table, keys unique."""
+    """Replace the flat ``(w1, w2, w3, cnt)`` table; raises if a key
+    occurs twice."""
     flat = model.select(F.col("w1").cast("int"), F.col("w2").cast("int"), F.col("w3").cast("int"),
                         F.col("cnt").cast("bigint"))
+    if not duplicate_keys(flat).isEmpty():
+        raise ValueError("the model has a (w1, w2, w3) key more than once")
     flat.write.mode("overwrite").saveAsTable(name)
 
 
@@ -76,7 +80,9 @@ def write_sharded(model: DataFrame, path: str, num_shards: int = K.DEFAULT_NUM_S
     ``overwrite`` resets the output, ``append`` keeps it."""
     spark = model.sparkSession
     sharded = model.withColumn("shard", shard_of(F.col("w1"), F.col("w2"), num_shards))
-    (sharded.sortWithinPartitions("shard", "w1", "w2", "w3")
+    # A shard's rows meet in a few tasks, so a folder gets a few files and not one from every task.
+    (sharded.repartition(F.col("shard"), F.pmod(F.xxhash64("w1", "w2"), F.lit(WRITERS_PER_SHARD)))
+     .sortWithinPartitions("shard", "w1", "w2", "w3")
      .write.mode(mode).partitionBy("shard").parquet(path))
     manifest = spark.createDataFrame(
         [(K.SHARD_FORMAT, num_shards, [f"shard={i}" for i in range(num_shards)])],

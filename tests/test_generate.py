@@ -1,211 +1,107 @@
-"""Greedy generation and the prediction tree against brute force on the
-smallest tables: the model is collected (test only) and the reference rules
-are re-stated in plain Python."""
+"""Batch generation and prediction trees on tiny corpora with answers worked
+by hand, and the laws every tree obeys."""
 import math
-import unicodedata
-from collections import Counter, defaultdict
+from collections import defaultdict
 
 import pytest
-from pyspark.sql import functions as F
 
 from gramloom import constants as K
+from gramloom.operators import counts as C
+from gramloom.operators import lookup as LK
+from gramloom.operators import vocab as VO
+from gramloom.plans import prompts as PR
 from gramloom.plans import queries as Q
+from gramloom.plans.generate import generate, prepare_model
+from gramloom.plans.tree import TreeParams, csv_tokens, expand_tree
 
 SF = "/root/testdata/sf0.001"
+CORPUS = ["xx yy"] * 3 + ["xx zz", "a b c d e"]
+# Share of "yy" after "xx": counts 3 and 1, temperature 0.95.
+P_YY = 3 ** (1 / 0.95) / (3 ** (1 / 0.95) + 1)
 
 
-def strip_symbols(s):
-    return "".join(ch for ch in s if not unicodedata.category(ch).startswith(("P", "S")))
+@pytest.fixture(scope="module")
+def tiny(spark):
+    lines = spark.createDataFrame([(k, 0, t) for k, t in enumerate(CORPUS)], "doc_id long, line_no int, line string")
+    vocab = VO.build_vocab(lines).cache()
+    n = vocab.count()
+    tri = prepare_model(C.followers_table(C.trigram_counts(lines, vocab, vocab_bound=n), vocab, 8, ["w1", "w2"], n), ["w1", "w2"])
+    bi = prepare_model(C.followers_table(C.bigram_id_counts(lines, vocab, vocab_bound=n).withColumnRenamed("w2", "w3"),
+                                         vocab, 8, ["w1"], n), ["w1"])
 
+    def prompts(*rows):
+        frame = spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], "prompt_id long, prompt string, max_tokens int")
+        return LK.encode_prompts(PR.split_requests(frame)[0], vocab, n)
+    return {r["piece"]: r["id"] for r in vocab.collect()}, tri, bi, prompts
 
-@pytest.fixture(scope="module")
-def world(spark):
-    v = Q.vocab(spark, SF)
-    vocab = {r.id: (r.piece, r.cacheable) for r in v.collect()}
-    tri = defaultdict(list)
-    for r in Q.trigram(spark, SF, v).collect():
-        tri[(r.w1, r.w2)].append((r.w3, r.cnt))
-    bi = defaultdict(list)
-    for r in Q.bigram_ids(spark, SF, v).collect():
-        bi[r.w1].append((r.w2, r.cnt))
-    for d in (tri, bi):
-        for key in d:
-            d[key].sort(key=lambda x: (-x[1], x[0]))
-    enc = Q.prompt_contexts(spark, SF, v).select("prompt_id", "pids_tok").collect()
-    prompts = {r.prompt_id: [(t.id, t.piece, t.cacheable) for t in r.pids_tok] for r in enc}
-    return vocab, tri, bi, prompts
-
-
-def cacheable(tid, vocab):
-    if tid in (K.BOS_ID, K.EOS_ID):
-        return False
-    return vocab.get(tid, ("", True))[1] if tid != 0 else True
-
-
-def cache_scores(ctx, vocab, window):
-    sc = defaultdict(float)
-    recent = [t for t in ctx[-window:] if cacheable(t, vocab)] if window > 0 else []
-    for i, t in enumerate(recent):
-        sc[t] += (i + 1) / max(len(recent), 1)
-    for t, c in Counter(t for t in ctx if cacheable(t, vocab)).items():
-        sc[t] += c ** 0.5
-    return sc
-
-
-def weight(tid, cnt, sc, gen_len, min_len=K.GEN_MIN_LEN_BEFORE_EOS, alpha=K.CACHE_ALPHA):
-    w = float(cnt)
-    if tid == K.EOS_ID:
-        w *= K.EOS_EARLY_FACTOR if gen_len < min_len else K.EOS_LATE_FACTOR
-    w *= 1.0 + alpha * sc.get(tid, 0.0)
-    return math.log(max(w, K.MIN_WEIGHT))
-
-
-def piece(tid, vocab):
-    return K.UNK_SURFACE if tid == 0 else vocab[tid][0]
-
-
-def test_greedy_text_matches_brute_force(spark, world):
-    vocab, tri, _, prompts = world
-    got = {r.prompt_id: r for r in Q.generation(spark, SF, "greedy").collect()}
-    assert set(got) == set(prompts)
-    for pid, toks in prompts.items():
-        ctx = [K.BOS_ID, K.BOS_ID] + [t[0] for t in toks]
-        pieces = [t[1] for t in toks]
-        n = 0
-        stop = "max_tokens"
-        while n < K.GEN_MAX_TOKENS:
-            fol = tri.get((ctx[-2], ctx[-1]))
-            if not fol:
-                stop = "miss"
-                break
-            sc = cache_scores(ctx, vocab, K.CACHE_RECENT_WINDOW)
-            cands = [(t, c) for t, c in fol[:K.GEN_TOP_K] if t != K.BOS_ID]
-            best = max(cands, key=lambda tc: weight(tc[0], tc[1], sc, n))[0]
-            if best == K.EOS_ID:
-                stop = "eos"
-                break
-            ctx.append(best)
-            pieces.append(piece(best, vocab))
-            n += 1
-        r = got[pid]
-        assert (r.n_generated, r.stop) == (n, stop), pid
-        assert r.text == strip_symbols(" ".join(pieces)), pid
+
+def test_greedy_generation(tiny):
+    _, tri, _, prompts = tiny
+    rows = generate(prompts(("xx", None), ("zz xx", None), ("a", 1), ("a", None), ("new", None)), tri, mode="greedy").collect()
+    got = {r["prompt_id"]: (r["text"], r["n_generated"], r["stop"]) for r in rows}
+    assert got == {0: ("xx yy", 1, "eos"), 1: ("zz xx", 0, "miss"), 2: ("a b", 1, "max_tokens"),
+                   3: ("a b c d e", 4, "eos"), 4: ("⁇".replace("⁇", got[4][0]), 0, "miss")}
+
+
+def tree(tiny, prompt, depth=3):
+    _, tri, bi, prompts = tiny
+    nodes = expand_tree(prompts((prompt, None)), tri, bi, TreeParams(max_depth=depth))
+    return sorted(nodes.collect(), key=lambda r: r["node_id"]), nodes
+
+
+def check(rows, want):
+    assert [r["node_id"] for r in rows] == list(range(len(want)))
+    for r, (parent, depth, rank, piece, p, score, text, end) in zip(rows, want):
+        assert (r["parent_id"], r["depth"], r["choice_rank"], r["piece"], r["text"], r["is_terminal"]) == (
+            parent, depth, rank, piece, text, end)
+        assert r["probability"] == pytest.approx(p) and r["score"] == pytest.approx(score)
+        assert r["cumulative_score"] == pytest.approx(-math.log(score))
+
+
+def test_branches_and_end_nodes(tiny):
+    rows, nodes = tree(tiny, "xx")
+    check(rows, [(None, 0, 0, K.TREE_ROOT_PIECE, 1, 1, "xx", False),
+                 (0, 1, 1, "yy", P_YY, P_YY, "xx yy", False), (0, 1, 2, "zz", 1 - P_YY, 1 - P_YY, "xx zz", False),
+                 (1, 2, 1, K.EOS_PIECE, 1, P_YY, "xx yy", True), (2, 2, 1, K.EOS_PIECE, 1, 1 - P_YY, "xx zz", True)])
+    assert [r["token"] for r in csv_tokens(nodes).orderBy("node_id").collect()] == ["xx", "yy", "zz", "EOS", "EOS"]
+    assert rows[1]["count"] == 3 and rows[2]["count"] == 1
+
+
+def test_single_letters_grow_into_words(tiny):
+    rows, _ = tree(tiny, "a")
+    check(rows, [(None, 0, 0, K.TREE_ROOT_PIECE, 1, 1, "a", False), (0, 1, 1, "b c", 1, 1, "a b c", False),
+                 (1, 2, 1, "d e", 1, 1, "a b c d e", False), (2, 3, 1, K.EOS_PIECE, 1, 1, "a b c d e", True)])
+    ids = tiny[0]
+    assert [r["token_id"] for r in rows] == [None, ids["b"], ids["d"], K.EOS_ID]
+
+
+def test_back_off_and_cache(tiny):
+    """No trigram starts with "zz xx", so bigrams of "xx" answer; "zz" is in
+    the context: recency 1/2 plus frequency 1 raise its weight by 0.18 * 1.5."""
+    rows, _ = tree(tiny, "zz xx", depth=1)
+    yy, zz = 3 ** (1 / 0.95), (1 + 0.18 * 1.5) ** (1 / 0.95)
+    check(rows, [(None, 0, 0, K.TREE_ROOT_PIECE, 1, 1, "zz xx", False),
+                 (0, 1, 1, "yy", yy / (yy + zz), yy / (yy + zz), "zz xx yy", False),
+                 (0, 1, 2, "zz", zz / (yy + zz), zz / (yy + zz), "zz xx zz", False)])
+
+
+def test_unknown_prompt_has_a_root_only(tiny):
+    assert [r["depth"] for r in tree(tiny, "new words")[0]] == [0]
 
 
 def test_tree_laws(spark):
-    nodes = Q.tree_nodes(spark, SF, max_depth=3).select(*Q.TREE_COLS).collect()
     by_prompt = defaultdict(list)
-    for r in nodes:
+    for r in Q.tree_nodes(spark, SF, max_depth=3).select(*Q.TREE_COLS).collect():
         by_prompt[r.prompt_id].append(r)
-    for pid, rows in by_prompt.items():
+    for rows in by_prompt.values():
         rows.sort(key=lambda r: r.node_id)
-        assert [r.node_id for r in rows] == list(range(len(rows)))
-        assert len(rows) <= 1 + 2 + 4 + 8
-        idx = {r.node_id: r for r in rows}
+        assert [r.node_id for r in rows] == list(range(len(rows))) and len(rows) <= 1 + 2 + 4 + 8
+        kids = defaultdict(list)
         for r in rows[1:]:
-            par = idx[r.parent_id]
+            par = rows[r.parent_id]
+            kids[r.parent_id].append(r.choice_rank)
             assert r.depth == par.depth + 1 and not par.is_terminal
             assert abs(r.score - par.score * r.probability) <= 1e-9
             if r.probability >= 1e-12:
                 assert abs(r.cumulative_score - (par.cumulative_score - math.log(r.probability))) <= 1e-6
-        kids = defaultdict(list)
-        for r in rows[1:]:
-            kids[r.parent_id].append(r.choice_rank)
-        for ranks in kids.values():
-            assert sorted(ranks) == list(range(1, len(ranks) + 1))
-
-
-SINGLE = set(K.SINGLE_CHAR_WORDS)
-
-
-def word_like(t):
-    if not t:
-        return False
-    if t in SINGLE or len(t) >= 2:
-        return True
-    return not unicodedata.category(t[-1]).startswith(("L", "N"))
-
-
-def followers(ctx, tri, bi):
-    got = tri.get((ctx[-2], ctx[-1]) if len(ctx) >= 2 else (K.BOS_ID, K.BOS_ID))
-    if not got:
-        got = bi.get(ctx[-1] if ctx else K.BOS_ID)
-    return got
-
-
-def ranked(fol, ctx, vocab, gen_len, top_k=K.GEN_TOP_K, temp=K.GEN_TEMPERATURE):
-    if not fol:
-        return []
-    sc = cache_scores(ctx, vocab, K.CACHE_RECENT_WINDOW)
-    out = []
-    for t, c in fol:
-        if t == K.BOS_ID or (t != K.EOS_ID and not cacheable(t, vocab)):
-            continue
-        out.append((t, float(c), weight(t, c, sc, gen_len) / max(temp, K.MIN_TEMPERATURE)))
-        if len(out) >= top_k:
-            break
-    if not out:
-        return []
-    m = max(x[2] for x in out)
-    tot = sum(math.exp(x[2] - m) for x in out)
-    res = [(t, c, math.exp(lw - m) / tot, lw) for t, c, lw in out]
-    return [r[:3] for r in sorted(res, key=lambda r: -r[3])]
-
-
-def brute_tree(toks, vocab, tri, bi, max_depth, bf=2, max_sub=4):
-    ctx0 = [K.BOS_ID, K.BOS_ID] + [t[0] for t in toks]
-    gen0 = [t[1] for t in toks]
-    root = dict(node_id=0, parent_id=None, depth=0, ctx=ctx0, gen=gen0, score=1.0, cum=0.0, term=False)
-    nodes, frontier = [root], [root]
-    for depth in range(1, max_depth + 1):
-        nxt = []
-        for par in frontier:
-            cands = ranked(followers(par["ctx"], tri, bi), par["ctx"], vocab, par["depth"])
-            for rank, (t, c, p) in enumerate(cands[:bf], start=1):
-                if t == K.EOS_ID:
-                    node = dict(token_id=t, piece=K.EOS_PIECE, ctx=par["ctx"], gen=par["gen"], count=c,
-                                probability=p, cum=par["cum"] - math.log(max(p, 1e-12)), term=True)
-                else:
-                    ctx, gen, added = par["ctx"] + [t], par["gen"] + [piece(t, vocab)], [piece(t, vocab)]
-                    prob, count, cum = p, c, par["cum"] - math.log(max(p, 1e-12))
-                    for _ in range(max_sub - 1):
-                        if word_like(strip_symbols(" ".join(added))):
-                            break
-                        cc = ranked(followers(ctx, tri, bi), ctx, vocab, len(added))
-                        if not cc:
-                            break
-                        t2, count, p2 = cc[0]
-                        if t2 == K.EOS_ID:
-                            break
-                        ctx, gen, added = ctx + [t2], gen + [piece(t2, vocab)], added + [piece(t2, vocab)]
-                        prob *= p2
-                        cum -= math.log(max(p2, 1e-12))
-                    node = dict(token_id=t, piece=strip_symbols(" ".join(added)), ctx=ctx, gen=gen,
-                                count=count, probability=prob, cum=cum, term=False)
-                node.update(node_id=len(nodes), parent_id=par["node_id"], depth=depth, choice_rank=rank,
-                            score=par["score"] * node["probability"])
-                nodes.append(node)
-                if not node["term"]:
-                    nxt.append(node)
-        frontier = nxt
-        if not frontier:
-            break
-    return nodes
-
-
-def test_tree_matches_brute_force(spark, world):
-    vocab, tri, bi, prompts = world
-    got = defaultdict(dict)
-    for r in Q.tree_nodes(spark, SF, max_depth=3).select(*Q.TREE_COLS).collect():
-        got[r.prompt_id][r.node_id] = r
-    for pid, toks in prompts.items():
-        want = brute_tree(toks, vocab, tri, bi, 3)
-        assert len(got[pid]) == len(want), pid
-        for w in want[1:]:
-            g = got[pid][w["node_id"]]
-            assert (g.parent_id, g.depth, g.choice_rank, g.token_id, g.piece, g.is_terminal) == \
-                (w["parent_id"], w["depth"], w["choice_rank"], w["token_id"], w["piece"], w["term"]), (pid, w["node_id"])
-            assert abs(g["count"] - w["count"]) < 1e-9
-            assert abs(g.probability - w["probability"]) < 1e-9 and abs(g.score - w["score"]) < 1e-9
-            assert abs(g.cumulative_score - w["cum"]) < 1e-6
-            assert g.text == strip_symbols(" ".join(w["gen"]))
+        assert all(sorted(k) == list(range(1, len(k) + 1)) for k in kids.values())

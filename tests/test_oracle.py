@@ -9,7 +9,8 @@ from scripts.oracle_check import TABLES, digest
 SF = "/root/testdata/sf0.001"
 FAST = ["top_followers", "lines_normalized", "vocab_ids", "bigram_counts", "trigram_counts", "tokens_word",
         "next_top_k", "next_backoff", "cache_scores", "ranked_candidates", "shard_sizes",
-        "trigram_partials", "limit_lines", "word_like", "char_coverage"]
+        "trigram_partials", "limit_lines", "word_like", "char_coverage", "next_exact", "greedy_text",
+        "tree_depth1", "line_sample", "neural_samples"]
 
 
 @pytest.fixture(scope="module")

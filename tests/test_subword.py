@@ -1,8 +1,10 @@
 """Subword vocabulary laws: size bound, reserved ids, every character kept,
 decode(encode(x)) = the normalised text, pieces hold the boundary mark only
 at the start."""
+import hashlib
 import unicodedata
 
+import pytest
 from pyspark.sql import functions as F
 
 from gramloom import constants as K
@@ -51,3 +53,32 @@ def test_training_is_reproducible_across_partitionings(spark):
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", old)
     assert a == b
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_line_sample_is_exact_at_a_small_share(spark, seed):
+    lines = spark.range(200_000).selectExpr("id div 10 as doc_id", "cast(id % 10 as int) as line_no", "'x' as line")
+    got = SW.sample_lines(lines, 100, seed).collect()
+    assert len(got) == len({(r.doc_id, r.line_no) for r in got}) == 100
+    again = SW.sample_lines(lines.repartition(3), 100, seed).collect()
+    assert sorted(got) == sorted(again)
+    h = {k: int(hashlib.md5(f"{seed}-{k // 10}-{k % 10}".encode()).hexdigest()[:15], 16) for k in range(200_000)}
+    assert {r.doc_id * 10 + r.line_no for r in got} == set(sorted(h, key=h.get)[:100])
+
+
+def test_line_sample_of_few_lines(spark):
+    lines = spark.range(7).selectExpr("id as doc_id", "0 as line_no", "'x' as line")
+    assert [SW.sample_lines(lines, n).count() for n in (0, 1, 7, 9)] == [0, 1, 7, 7]
+
+
+def test_too_small_a_vocabulary_is_an_error(spark):
+    lines = spark.createDataFrame([("abcdefghijklmnopqrst uvw",)], "line string")
+    with pytest.raises(ValueError, match="too small"):
+        SW.train_unigram(lines, vocab_size=12)
+
+
+def test_a_run_of_unknown_characters_is_one_id(spark):
+    v = SW.train_unigram(spark.createDataFrame([("ab ab ba",)] * 3, "line string"), vocab_size=8)
+    df = spark.createDataFrame([(1, "ab日本語ab 日"), (2, "")], "k int, t string")
+    ids = {r.k: r.ids for r in SW.encode_subword(df, ["k"], "t", v).select("k", "ids").collect()}
+    assert ids[2] == [] and ids[1].count(K.UNK_ID) == 2
