@@ -289,7 +289,7 @@ def write_ids(docs: DataFrame, tokenizer: str | None = None, end_id: int = END_I
     wide = enc.dtype.itemsize
     text = text_or_empty(text_col)
     rows = spread(docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), text.alias("t"), F.xxhash64(text).alias("tie")))
-    table = stored(rows.mapInArrow(_tokenise(path, end_id), "doc_id long, tie long, ids binary"), "ids")
+    table = stored(rows.mapInArrow(_tokenise(path, end_id), "doc_id long, tie long, ids binary"), "ids", "zstd")
     size = max(enc.tok.get_vocab_size(), end_id + 1)
     counts = (table.select("ids").mapInArrow(_count(wide, size), "id int, n long")
               .groupBy("id").agg(F.sum("n").alias("n")).collect())  # at most one row per vocabulary entry

@@ -27,10 +27,12 @@ class Memo:
     def __init__(self, items: int):
         self.items, self.young, self.old = items, {}, {}
 
+    def age(self) -> None:
+        if len(self.young) > self.items:
+            self.old, self.young = self.young, {}
+
     def recall(self, keys: set[str]) -> set[str]:
         """Make ``keys`` known where the old generation has them; the rest."""
-        if len(self.young) > self.items:
-            self.old, self.young = self.young, {k: v for k in keys if (v := self.young.get(k)) is not None}
         young, old, rest = self.young, self.old, set()
         for k in keys:
             if k not in young:
@@ -47,7 +49,7 @@ class Encoder:
 
     ``memo_items`` bounds each generation of both memos."""
 
-    def __init__(self, path: str, memo_items: int = 300_000):
+    def __init__(self, path: str, memo_items: int = 450_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         self.tok = Tokenizer.from_file(path)
@@ -78,6 +80,7 @@ class Encoder:
     def _learn(self, units: set[str]) -> None:
         """Make all ``units`` known."""
         parts = {u: self.split.findall(u) for u in self.units.recall(units)}
+        self.pieces.age()
         new = list(self.pieces.recall({p for ps in parts.values() for p in ps}))
         known = self.pieces.young
         for at in range(0, len(new), 5000):
@@ -105,11 +108,9 @@ class Encoder:
                 plain.append(k)
                 units.append(t.lower().split())
         if plain:
+            self.units.age()
             memo = self.units.young
             self._learn({u for us in units for u in us if u not in memo})
-            if self.units.young is not memo:  # a new generation began: the rest of the batch moves too
-                memo = self.units.young
-                self._learn({u for us in units for u in us if u not in memo})
             get = self.units.young.__getitem__
             for k, us in zip(plain, units):
                 out[k] = b"".join(map(get, us)) + end
