@@ -50,10 +50,11 @@ def shard_of(w1, w2, num_shards: int) -> Column:
 
 
 def uniform01(*cols) -> Column:
-    """Deterministic uniform in (0,1) from a 64-bit hash of ``cols``: the top
-    53 bits, centred.  Recomputation after a lost task yields the same draw."""
-    h = F.xxhash64(*cols)
-    return (F.shiftrightunsigned(h, 11).cast("double") + F.lit(0.5)) / F.lit(float(2 ** 53))
+    """Deterministic uniform in (0,1): the first 52 bits of the md5 of the
+    columns joined by ``-``, centred.  Recomputation after a lost task yields
+    the same draw, and any engine with md5 can repeat it."""
+    digits = F.substring(F.md5(F.encode(F.concat_ws("-", *[c.cast("string") for c in cols]), "UTF-8")), 1, 13)
+    return (F.conv(digits, 16, 10).cast("double") + F.lit(0.5)) / F.lit(float(2 ** 52))
 
 
 def gumbel(*cols) -> Column:

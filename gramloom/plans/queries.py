@@ -505,12 +505,21 @@ def q_greedy_text_bigram(spark, sf):
     return generation(spark, sf, "greedy", model_type="bigram")
 
 
-@register("sampled_text")
+SAMPLED_SQL = f"""
+WITH RECURSIVE {PROMPTS_SQL}, {S.TRIGRAM},
+{S.greedy_sql(K.GEN_MAX_TOKENS, TOP_K, K.CACHE_ALPHA, K.GEN_TEMPERATURE, K.CACHE_RECENT_WINDOW, K.GEN_MIN_LEN_BEFORE_EOS, seed=K.NEURAL_SEED)}"""
+
+
+@register("sampled_text", f"""{SAMPLED_SQL}
+SELECT prompt_id, text, n_generated::INTEGER AS n_generated, stop, 'trigram' AS model_type FROM gen_out""")
 def q_sampled_text(spark, sf):
     return generation(spark, sf, "sample")
 
 
-@register("sampled_text_bigram")
+@register("sampled_text_bigram", f"""
+WITH RECURSIVE {PROMPTS_SQL}, {S.BIGRAM_IDS},
+{S.greedy_sql(K.GEN_MAX_TOKENS, TOP_K, K.CACHE_ALPHA, K.GEN_TEMPERATURE, K.CACHE_RECENT_WINDOW, K.GEN_MIN_LEN_BEFORE_EOS, "bigram", K.NEURAL_SEED)}
+SELECT prompt_id, text, n_generated::INTEGER AS n_generated, stop, 'bigram' AS model_type FROM gen_out""")
 def q_sampled_text_bigram(spark, sf):
     return generation(spark, sf, "sample", model_type="bigram")
 
@@ -608,7 +617,8 @@ def q_store_roundtrip(spark, sf):
     return spark.read.parquet(path).select("w1", "w2", "w3", "cnt")
 
 
-@register("generation_json")
+@register("generation_json", f"""{SAMPLED_SQL}
+SELECT prompt_id, to_json({{'text': text, 'model_type': 'trigram'}})::VARCHAR AS json FROM gen_out""")
 def q_generation_json(spark, sf):
     from gramloom.sources import store as ST
     return ST.generation_json(generation(spark, sf, "sample"))

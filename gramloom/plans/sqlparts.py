@@ -169,11 +169,14 @@ gbase AS (SELECT prompt_id, list_concat([{{'id': {K.BOS_ID}, 'c': false}}, {{'id
 
 
 def greedy_sql(max_tokens: int, top_k: int, alpha: float, temperature: float, window: int, min_len: int,
-               model: str = "trigram") -> str:
-    """Plain greedy generation (G1 with F6 instead of a draw) as a recursive
-    CTE over ``pw``/``penc``/``vocab`` and ``trigram`` (context = last two
-    ids) or ``bigram_ids`` (context = last id); ``gen_out`` holds one
-    finished row per prompt."""
+               model: str = "trigram", seed: int | None = None) -> str:
+    """Generation (G1) as a recursive CTE over ``pw``/``penc``/``vocab`` and
+    ``trigram`` (context = last two ids) or ``bigram_ids`` (context = last
+    id): greedy (F6), or with ``seed`` the draw F5 with noise from md5;
+    ``gen_out`` holds one finished row per prompt."""
+    noise = "0.0" if seed is None else (
+        f"(-ln(-ln((('0x' || substr(md5('{seed}-' || s.prompt_id || '-' || s.n || '-' || s.w3), 1, 13))::BIGINT + 0.5) "
+        f"/ {2 ** 52}.0)))")
     if model == "bigram":
         src = "(SELECT w1, 0 AS w2, w2 AS w3, cnt FROM bigram_ids)"
         on = "c.w1 = g.ctx[-1].id"
@@ -198,7 +201,7 @@ gen(prompt_id, ctx, pieces, n, stop) AS (
               WHEN n + 1 >= {max_tokens} THEN 'max_tokens' END
   FROM (
     SELECT s.*, (s.w3 IS NOT NULL AND s.w3 <> {K.EOS_ID}) AS adv,
-           row_number() OVER (PARTITION BY s.prompt_id ORDER BY s.lw DESC NULLS LAST, s.pos) AS rk
+           row_number() OVER (PARTITION BY s.prompt_id ORDER BY s.lw + {noise} DESC NULLS LAST, s.pos) AS rk
     FROM (
       SELECT g.prompt_id, g.ctx, g.pieces, g.n, c.w3, c.cnt, c.pos, c.piece, c.cacheable,
              ln(greatest(c.cnt::DOUBLE
