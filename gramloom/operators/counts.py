@@ -18,7 +18,8 @@ from gramloom.operators.vocab import learned_pieces, tokens_expr
 from gramloom.session import maybe_broadcast
 from gramloom.sources import lines as L
 
-COLS = ["w1", "w2", "w3", "w4", "w5", "w6", "w7", "w8"]
+# column names by position, for any n-gram length or context size in use
+COLS = [f"w{i}" for i in range(1, 257)]
 
 
 def bigram_counts(lines: DataFrame, tokenizer: str = "word", line_col: str = "line") -> DataFrame:

@@ -28,9 +28,12 @@ PROMPT_TURNS = 1 << 20
 
 
 def conversation_requests(conversations: DataFrame) -> DataFrame:
-    """Every user turn of ``conversations`` as a request (settings unset)."""
+    """Every user turn of ``conversations`` as a request (settings unset).
+    Ids beyond the bounds of ``prompt_id`` are an error, not a collision."""
+    fits = F.col("turn").between(0, PROMPT_TURNS - 1) & F.col("conv_id").between(0, (1 << 43) - 1)
+    key = (F.col("conv_id").cast("bigint") * PROMPT_TURNS + F.col("turn")).cast("bigint")
     return conversations.filter(F.col("role") == "user").select(
-        (F.col("conv_id").cast("bigint") * PROMPT_TURNS + F.col("turn")).cast("bigint").alias("prompt_id"),
+        F.when(fits, key).otherwise(F.raise_error(F.lit("conv_id or turn is out of range")).cast("bigint")).alias("prompt_id"),
         F.col("text").alias("prompt"),
         *[F.lit(None).cast(t).alias(c) for c, t in REQUEST_TYPES.items()])
 

@@ -121,9 +121,11 @@ def key_offsets(counts: DataFrame, key: str = "doc_id", n: str = "n",
 
 def indexed_lines(per_doc: DataFrame, lines_col: str = "lines") -> DataFrame:
     """Explode ``(doc_id, lines ARRAY)`` into ``(doc_id, line_no, line, idx)``
-    where ``idx`` is the dense 0-based position in (doc_id, line_no) order."""
+    where ``idx`` is the dense 0-based position in (doc_id, line_no) order.
+    The offsets (one small row per document) are broadcast if the counted
+    documents are few enough, so that no text is shuffled; else joined by key."""
     counts = per_doc.select("doc_id", F.size(lines_col).alias("n"))
-    offs = key_offsets(counts, "doc_id", "n")
+    offs = maybe_broadcast(key_offsets(counts, "doc_id", "n"), per_doc.select("doc_id").count())
     return (per_doc.join(offs, "doc_id")
             .select("doc_id", "offset", F.posexplode(lines_col).alias("line_no", "line"))
             .select("doc_id", F.col("line_no").cast("int").alias("line_no"), "line",
