@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from gramloom import constants as K
 from gramloom.functions import text as T
 from gramloom.session import cut_lineage, maybe_broadcast
+from gramloom.sources.lines import dense_index
 from pyspark import StorageLevel
 
 RESERVED = 3
@@ -63,21 +64,11 @@ def reserved_rows(spark) -> DataFrame:
 
 def rank_pieces(counts: DataFrame) -> DataFrame:
     """``(id, piece, score, cnt)``: ids from ``RESERVED`` on by count
-    descending, then piece ascending.
-
-    The pieces are sorted over the cluster and stored; an id is the rows of
-    earlier partitions (one row each, broadcast) plus the position inside
-    its own.  No task sees the whole vocabulary."""
-    placed = cut_lineage(counts.orderBy(F.col("cnt").desc(), F.col("piece").asc())
-                         .select("piece", "cnt", F.spark_partition_id().alias("_p"),
-                                 F.monotonically_increasing_id().alias("_m")))
-    parts = placed.groupBy("_p").agg(F.min("_m").alias("_first"), F.count(F.lit(1)).alias("_n"), F.sum("cnt").alias("_c"))
-    before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    parts = parts.select("_p", "_first", (F.sum("_n").over(before) - F.col("_n")).alias("_off"),
-                         F.sum("_c").over(Window.partitionBy()).alias("_total"))
-    return placed.join(F.broadcast(parts), "_p").select(
-        (F.col("_off") + F.col("_m") - F.col("_first") + RESERVED).cast("int").alias("id"), "piece",
-        F.log(F.col("cnt") / F.col("_total")).alias("score"), "cnt")
+    descending, then piece ascending, over a cluster-wide sort."""
+    ranked = dense_index(counts.select("piece", "cnt"), [F.col("cnt").desc(), F.col("piece").asc()], "_at")
+    total = ranked.agg(F.sum("cnt")).first()[0] or 1
+    return ranked.select((F.col("_at") + RESERVED).cast("int").alias("id"), "piece",
+                         F.log(F.col("cnt") / F.lit(total)).alias("score"), "cnt")
 
 
 def build_vocab(lines: DataFrame, tokenizer: str = "word", vocab_size: int | None = None,

@@ -658,14 +658,21 @@ def small_neural(spark, sf, epochs=2):
     return v, cfg, weights, hist
 
 
-@register("neural_batches")
+@register("neural_batches", f"""
+WITH {S.vocab(VOCAB_SIZE)},
+nlines AS (SELECT doc_id, line_no, line FROM clean_lines),
+{S.ngram_ids(NEURAL_K + 1, NEURAL_K, False, 'nlines', extra='doc_id, line_no', bos_id=VOCAB_SIZE)},
+h AS (SELECT doc_id, line_no, w1, w2, w3, w4, w5,
+             substr(md5(concat_ws('-', {K.NEURAL_SEED}, 1, doc_id, line_no, w1, w2, w3, w4, w5)), 1, 15) AS h FROM g)
+SELECT doc_id, line_no, w5 AS target,
+       ((row_number() OVER (ORDER BY h, doc_id, line_no, w1, w2, w3, w4, w5) - 1) // {K.NEURAL_BATCH_SIZE})::BIGINT AS batch
+FROM h""")
 def q_neural_batches(spark, sf):
     from gramloom.plans import neural as N
     v = vocab(spark, sf, VOCAB_SIZE)
     cfg = N.NeuralConfig(vocab_size=VOCAB_SIZE + 1, bos_token_id=VOCAB_SIZE)
     smp = N.build_samples(L.corpus_lines(spark, sf, normalize=False), v, cfg, VOCAB_SIZE)
-    sh = N.shuffle_samples(smp, K.NEURAL_SEED, 1)
-    return sh.select("doc_id", "line_no", "target", F.spark_partition_id().alias("part"), "_h")
+    return N.shuffle_batches(smp, K.NEURAL_SEED, 1).select("doc_id", "line_no", "target", "batch")
 
 
 @register("neural_train_loss")

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gramloom.functions import text as T
-from gramloom.session import maybe_broadcast
+from gramloom.session import cut_lineage, maybe_broadcast
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -119,6 +119,21 @@ def key_offsets(counts: DataFrame, key: str = "doc_id", n: str = "n",
             .select(F.col("_k").alias(key), (F.col("_boff") + F.col("_within")).alias("offset")))
 
 
+def dense_index(df: DataFrame, order: list, name: str) -> DataFrame:
+    """``df`` with its dense 0-based position in ``order``.
+
+    The rows are sorted over the cluster and stored; a position is the rows
+    of earlier partitions (one count each, broadcast) plus the place inside
+    its own partition, so no task sees all rows."""
+    placed = cut_lineage(df.orderBy(*order).withColumn("_p", F.spark_partition_id())
+                         .withColumn("_m", F.monotonically_increasing_id()))
+    parts = placed.groupBy("_p").agg(F.min("_m").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    parts = parts.select("_p", "_first", (F.sum("_n").over(
+        Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("_n")).alias("_off"))
+    return (placed.join(F.broadcast(parts), "_p")
+            .withColumn(name, F.col("_off") + F.col("_m") - F.col("_first")).drop("_p", "_m", "_first", "_off"))
+
+
 def indexed_lines(per_doc: DataFrame, lines_col: str = "lines") -> DataFrame:
     """Explode ``(doc_id, lines ARRAY)`` into ``(doc_id, line_no, line, idx)``
     where ``idx`` is the dense 0-based position in (doc_id, line_no) order.
