@@ -100,14 +100,15 @@ def read_manifest(spark: SparkSession, path: str) -> int:
 
 def read_sharded(spark: SparkSession, path: str, contexts: DataFrame | None = None) -> DataFrame:
     """The sharded model; with ``contexts`` (columns w1, w2) only the
-    matching rows, joined on ``shard`` too so Spark prunes the shard folders
-    that no context hashes to."""
+    matching rows, from the shard folders that some context hashes to (their
+    numbers, at most the shard count, are found first)."""
     n = read_manifest(spark, path)
     model = spark.read.parquet(path)
     if contexts is None:
         return model.drop("shard")
     ctx = contexts.withColumn("shard", shard_of(F.col("w1"), F.col("w2"), n))
-    return ctx.join(model, ["shard", "w1", "w2"]).drop("shard")
+    asked = [r["shard"] for r in ctx.select("shard").distinct().collect()]
+    return ctx.join(model.filter(F.col("shard").isin(asked)), ["shard", "w1", "w2"]).drop("shard")
 
 
 def load_model(spark: SparkSession, base: str, table: str | None = None) -> tuple[DataFrame, str]:

@@ -3,6 +3,7 @@ CSV rows, flat export, neural save/load."""
 import csv
 import glob
 import os
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -30,7 +31,7 @@ def test_sharded_lookup_prunes_partitions(spark):
     ST.write_sharded(model_df(spark, [(i, i + 1, 7, 1) for i in range(200)]), path, 64)
     ctx = spark.createDataFrame([(12, 13)], "w1 int, w2 int")
     plan = ST.read_sharded(spark, path, ctx)._jdf.queryExecution().executedPlan().toString()
-    assert "dynamicpruning" in plan.lower()
+    assert re.search(r"PartitionFilters: \[.*shard#\d+ (=|IN) ", plan)
 
 
 def test_load_model_order(spark):
