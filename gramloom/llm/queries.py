@@ -65,7 +65,7 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Score, verdict and offending sentences of every document."""
     docs = read_table(spark, sf_dir, "documents")
     scored = toxicity.score(docs, toxicity.train(docs, read_table(spark, sf_dir, "labels")))
-    return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score",
+    return scored.select("doc_id", F.coalesce(toxicity.held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "score",
                          (F.col("score") >= 0.5).cast("int").alias("predicted"),
                          F.size("offending").alias("n_offending"))
 

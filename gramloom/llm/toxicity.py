@@ -57,7 +57,7 @@ def features(word: str) -> set[int]:
 
 
 def held_out(doc_id: Column) -> Column:
-    """Rows whose labels are never used."""
+    """Rows whose labels are never used (null for a null id)."""
     return crc32_text(doc_id) % 5 == 0
 
 
