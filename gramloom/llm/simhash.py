@@ -286,7 +286,8 @@ def classes(fps: DataFrame, max_bits: int = MAX_BITS, blocks: int = BLOCKS,
     best = (joined.filter("root is not null").groupBy("root")
             .agg(F.min(F.struct(F.col("doc").isNull().alias("no"), "doc", "fp")).alias("best"))
             .withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))))
-    return (joined.join(best, ["root", "salt"], "left")
+    # Not broadcast: the classes grow with the documents.
+    return (joined.join(best.hint("shuffle_hash"), ["root", "salt"], "left")
             .select("fp", F.when(F.col("best").isNull(), F.col("doc")).otherwise(F.col("best.doc")).alias("component_id"),
                     F.coalesce("best.fp", "fp").alias("rep_fp")))
 
