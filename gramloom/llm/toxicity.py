@@ -2,24 +2,26 @@
 
 A document is a bag of sentences.  A sentence scores
 ``p = sigmoid(bias + sum of the weights of its features)``; the document's
-score is their noisy-or, ``1 - prod(1 - p)``: toxic if any sentence is.  Only
+score is their noisy-or, ``1 - prod((1 - p) / (1 - floor))``: toxic if any
+sentence is.  ``floor = sigmoid(bias)`` is what a sentence without features
+has, so such sentences add nothing, however many a text has.  Only
 documents have labels; the weights are learned through the noisy-or by
 gradient steps, so the model finds out which sentences carry the label, and
 ``offending`` names them.  Features are words, the beginnings of words and
 five-letter parts of words.
 
 The model is fitted on a bounded sample: at most ``MAX_LABELS`` labelled
-documents (smallest hashed ids) of at most ``MAX_CHARS`` characters.  Spark
-counts in how many toxic and other documents of the sample each feature
+documents (smallest hashed ids), each with its whole text.  Spark counts in how many toxic and other documents of the sample each feature
 occurs; features that a log-likelihood test finds commoner in toxic ones, at
-most ``MAX_FEATURES``, take part.  So the model has a fixed size and travels
+most ``MAX_FEATURES``, take part.  Of a document only the distinct sentences with
+such features, and how often each occurs, reach the fit.  The model has a fixed size and travels
 with the tasks.  Every document is scored whole, where it lies, by the same
 model.
 
 Defined cases: null and empty texts have no sentence and score 0; null ids or
 labels teach nothing; several labels of an id count as toxic if one says so;
-without labels of both kinds nothing is learned and every score is that of
-the prior bias; repeated rows score alike; extra columns are ignored.
+without labels of both kinds nothing is learned, there is no floor and every
+score is that of the prior bias; repeated rows score alike; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -36,11 +38,11 @@ from pyspark.sql import functions as F
 from gramloom.llm.common import crc32_text, ship_package, spread, stored, text_or_empty
 
 MAX_LABELS = 8_000
-MAX_CHARS = 100_000
 MAX_FEATURES = 4_000
 MIN_G2 = 15.0
 EPOCHS = 150
 PRIOR = -6.0
+START = 0.1  # weight before the first step; at 0 every sentence is at the floor
 
 SENTENCE = re.compile(r"[^.!?\n]+")
 WORD = re.compile(r"\w+")
@@ -61,14 +63,14 @@ def held_out(doc_id: Column) -> Column:
     return crc32_text(doc_id) % 5 == 0
 
 
-def sample(docs: DataFrame, labels: DataFrame, max_labels: int = MAX_LABELS, max_chars: int = MAX_CHARS,
-           id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def sample(docs: DataFrame, labels: DataFrame, max_labels: int = MAX_LABELS, id_col: str = "doc_id",
+           text_col: str = "text") -> DataFrame:
     """The bounded training sample ``(t, toxic)``, stored."""
     known = (labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out(F.col("doc_id")))
              .groupBy(F.col("doc_id").cast("long").alias("k")).agg(F.max("toxic").alias("toxic"))
              .orderBy(F.xxhash64("k"), "k").limit(max_labels))
     rows = spread(docs.select(F.col(f"`{id_col}`").cast("long").alias("k"), text_or_empty(text_col).alias("t")))
-    return stored(rows.filter(F.length("t") <= max_chars).join(F.broadcast(known), "k")  # at most max_labels rows
+    return stored(rows.join(F.broadcast(known), "k")  # at most max_labels rows
                   .dropDuplicates(["k"]).select("t", (F.col("toxic") > 0).alias("toxic")), "sample")
 
 
@@ -117,43 +119,47 @@ def select_features(rows: DataFrame, max_features: int = MAX_FEATURES, min_g2: f
 
 
 def _bags(chosen: dict[int, int]):
-    """Per document its sentences: how many, and which features occur in
-    which."""
+    """Per document its distinct sentences with features: how often each
+    occurs, and which features occur in which."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, list[int]] = {}
         for b in batches:
-            count, spot, feat = [], [], []
+            times, spot, feat = [], [], []
             for t in b.column(0).to_pylist():
-                n, at, fs = 0, [], []
+                alike: dict[tuple[int, ...], int] = {}
                 for s in SENTENCE.findall(t.lower()):
-                    words = WORD.findall(s)
-                    for w in words:
+                    here: list[int] = []
+                    for w in WORD.findall(s):
                         if w not in known:
                             known[w] = [chosen[f] for f in features(w) if f in chosen]
-                        if known[w]:
-                            at += [n] * len(known[w])
-                            fs += known[w]
-                    n += bool(words)
-                count.append(n)
-                spot.append(at)
-                feat.append(fs)
+                        here += known[w]
+                    if here:
+                        key = tuple(sorted(here))
+                        alike[key] = alike.get(key, 0) + 1
+                some = sorted(alike)
+                times.append([alike[x] for x in some])
+                spot.append([k for k, x in enumerate(some) for _ in x])
+                feat.append([f for x in some for f in x])
                 if len(known) > MEMO:
                     known = {}
-            yield pa.RecordBatch.from_arrays([b.column(1), pa.array(count, pa.int32()), pa.array(spot, pa.list_(pa.int32())),
-                                              pa.array(feat, pa.list_(pa.int32()))], names=["toxic", "n", "spots", "feats"])
+            yield pa.RecordBatch.from_arrays([b.column(1), pa.array(times, pa.list_(pa.int64())),
+                                              pa.array(spot, pa.list_(pa.int32())), pa.array(feat, pa.list_(pa.int32()))],
+                                             names=["toxic", "times", "spots", "feats"])
     return run
 
 
-def fit(bags: list[tuple[bool, int, np.ndarray, np.ndarray]], n_features: int, epochs: int = EPOCHS, rate: float = 0.1,
+def fit(bags: list[tuple[bool, np.ndarray, np.ndarray, np.ndarray]], n_features: int, epochs: int = EPOCHS, rate: float = 0.1,
         decay: float = 1e-4) -> tuple[np.ndarray, float]:
-    """Weights and bias from ``(toxic, sentences, sentence of each
-    occurrence, feature of each occurrence)``."""
-    theta, bias = np.zeros(n_features), PRIOR
-    bags = [x for x in bags if x[1]]
+    """Weights and bias from ``(toxic, times of each distinct sentence with
+    features, sentence of each occurrence, feature of each occurrence)``."""
+    n_docs, kinds = len(bags), {x[0] for x in bags}
+    bags = [x for x in bags if len(x[1])]
+    if len(kinds) < 2 or not bags:
+        return np.zeros(n_features), PRIOR
+    theta, bias = np.full(n_features, START), PRIOR
     y = np.array([x[0] for x in bags], bool)
-    if not len(bags) or y.all() or not y.any():
-        return theta, bias
-    n_sent = np.array([x[1] for x in bags])
+    n_sent = np.array([len(x[1]) for x in bags])
+    times = np.concatenate([x[1] for x in bags]).astype(np.float64)
     bag_at = np.cumsum(n_sent) - n_sent
     sent = np.concatenate([at + x[2] for at, x in zip(bag_at, bags)]).astype(np.int64)
     feat = np.concatenate([x[3] for x in bags]).astype(np.int64)
@@ -162,10 +168,12 @@ def fit(bags: list[tuple[bool, int, np.ndarray, np.ndarray]], n_features: int, e
     for step in range(1, epochs + 1):
         z = bias + np.bincount(sent, theta[feat], total)
         p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-        log_none = np.add.reduceat(-np.logaddexp(0, z), bag_at)  # log of "no sentence is toxic"
-        ratio = np.exp(log_none) / np.maximum(-np.expm1(log_none), 1e-9)
-        g = np.where(y_of, -np.repeat(ratio, n_sent), 1.0) * p / len(bags)
-        grad = np.append(np.bincount(feat, g[sent], n_features) + decay * theta, g.sum())
+        floor = 1 / (1 + np.exp(-np.clip(bias, -30, 30)))
+        log_none = np.add.reduceat(times * (np.logaddexp(0, bias) - np.logaddexp(0, z)), bag_at)  # log of "no sentence is toxic"
+        ratio = np.exp(log_none) / np.maximum(-np.expm1(log_none), 0.1 * floor)
+        each = np.where(y_of, -np.repeat(ratio, n_sent), 1.0) * times / n_docs
+        g = each * p
+        grad = np.append(np.bincount(feat, g[sent], n_features) + decay * theta, (each * (p - floor)).sum())
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad * grad
         move = rate * (m / (1 - 0.9 ** step)) / (np.sqrt(v / (1 - 0.999 ** step)) + 1e-8)
         theta, bias = np.maximum(theta - move[:-1], 0), bias - move[-1]
@@ -177,10 +185,10 @@ def train(docs: DataFrame, labels: DataFrame, **params) -> tuple[dict[int, float
     ship_package(docs.sparkSession)
     rows = sample(docs, labels, **params)
     chosen = {f: k for k, f in enumerate(select_features(rows))}
-    got = rows.mapInArrow(_bags(chosen), "toxic boolean, n int, spots array<int>, feats array<int>").toPandas()
-    bags = [(bool(t), int(n), np.asarray(s, np.int64), np.asarray(f, np.int64))
-            for t, n, s, f in zip(got["toxic"], got["n"], got["spots"], got["feats"])]
-    bags.sort(key=lambda b: (b[0], b[1], b[2].tobytes(), b[3].tobytes()))
+    got = rows.mapInArrow(_bags(chosen), "toxic boolean, times array<long>, spots array<int>, feats array<int>").toPandas()
+    bags = [(bool(t), np.asarray(n, np.int64), np.asarray(s, np.int64), np.asarray(f, np.int64))
+            for t, n, s, f in zip(got["toxic"], got["times"], got["spots"], got["feats"])]
+    bags.sort(key=lambda b: (b[0], len(b[1]), b[1].tobytes(), b[2].tobytes(), b[3].tobytes()))
     theta, bias = fit(bags, len(chosen))
     return {f: float(theta[k]) for f, k in chosen.items() if theta[k] > 0}, bias
 
@@ -190,6 +198,7 @@ class Scorer:
 
     def __init__(self, weights: dict[int, float], bias: float):
         self.weights, self.bias, self.memo = weights, bias, {}
+        self.floor = float(np.logaddexp(0, bias)) if weights else 0.0
 
     def _values(self, tokens: list[str]) -> np.ndarray:
         memo, weights = self.memo, self.weights
@@ -211,14 +220,14 @@ class Scorer:
         return self.bias + np.add.reduceat(v[word], at)
 
     def score(self, text: str) -> float:
-        return float(-np.expm1(-np.logaddexp(0, self.sentences(text)).sum()))
+        return float(0.0 - np.expm1((self.floor - np.logaddexp(0, self.sentences(text))).sum()))
 
     def locate(self, text: str, least: float) -> list[dict]:
         """Spans of the sentences that score ``least`` or more."""
         out = []
         for s in SENTENCE.finditer(text):
             z = self.sentences(s[0])
-            if len(z) and (p := float(1 / (1 + np.exp(-np.clip(z[0], -30, 30))))) >= least:
+            if len(z) and (p := float(0.0 - np.expm1(self.floor - np.logaddexp(0, z[0])))) >= least:
                 out.append({"start": s.start(), "end": s.end(), "score": p})
         return out
 

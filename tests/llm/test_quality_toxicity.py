@@ -2,6 +2,7 @@
 import math
 import random
 import re
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -127,6 +128,27 @@ def test_toxicity_on_held_out_documents(toxic_docs):
             assert any(re.search("viles|grotten|vileling", texts[r["doc_id"]][s["start"]:s["end"]]) for s in r["offending"])
 
 
+def test_long_clean_texts_are_not_toxic(toxic_docs):
+    df, labels, texts = toxic_docs
+    weights, bias = toxicity.train(df, labels)
+    scorer = toxicity.Scorer(weights, bias)
+    clean = "\n".join(t for k, t in enumerate(texts) if k % 4)
+    clean = "\n".join([clean] * (1_000_000 // len(clean) + 1))
+    assert len(clean) >= 1_000_000 and scorer.score(clean) < 0.1 and scorer.locate(clean, 0.5) == []
+    assert scorer.score(clean + "\nYou are vilesome.") >= 0.5
+    plain = "Nothing here. " * 80_000  # no feature at all
+    assert scorer.score(plain) == 0
+
+
+def test_whole_long_texts_are_sampled(spark):
+    rng = random.Random(9)
+    rows = [prose(rng, 30_000), prose(rng, 50) + " vilesome.", prose(rng, 50)]
+    labels = spark.createDataFrame([(k, int(k == 1)) for k in range(40)], "doc_id long, toxic int")
+    ids = [k for k in range(40) if zlib.crc32(str(k).encode()) % 5][:3]
+    got = toxicity.sample(documents(spark, rows, ids), labels).collect()
+    assert sorted(len(r["t"]) for r in got) == sorted(map(len, rows)) and len(rows[0]) > 100_000
+
+
 def test_held_out_labels_are_not_read(toxic_docs, spark):
     import zlib
     df, labels, _ = toxic_docs
