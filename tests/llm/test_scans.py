@@ -199,3 +199,16 @@ def test_licenses_equal_brute_force(spark):
 def grams(t):
     w = TOKEN.findall(t.lower())
     return set(zip(w, w[1:]))
+
+
+def test_notices_inside_longer_lines(spark):
+    rng = random.Random(12)
+    words = prose(rng, 400).replace("\n", " ")
+    mit = " ".join(t for _, k, t in templates() if k == "MIT" and len(t) > 200)
+    rows = ["Copyright 2020 X. Licensed under the MIT License.", "The code is available online. Licensed under CC BY-NC 4.0.",
+            f"{words} released under the ISC License {words}", mit, f"{words} Licensed under the MIT License. {words} "
+            f"Licensed under the Apache License, Version 2.0. {words} licensed under the mit license", words,
+            "One.\n" + words + " distributed under\nthe Unlicense.\n" + words, "Licensed under the MIT License."]
+    got = {(r["doc_id"], r["license"]): (r["dice"], r["n_units"]) for r in licenses.scan(documents(spark, rows)).collect()}
+    assert got == {(0, "MIT"): (1.0, 1), (1, "CC-BY-NC-4.0"): (1.0, 1), (2, "ISC"): (1.0, 1), (3, "MIT"): (1.0, 2),
+                   (4, "MIT"): (1.0, 2), (4, "Apache-2.0"): (1.0, 1), (6, "Unlicense"): (1.0, 1), (7, "MIT"): (1.0, 1)}
