@@ -212,3 +212,15 @@ def test_notices_inside_longer_lines(spark):
     got = {(r["doc_id"], r["license"]): (r["dice"], r["n_units"]) for r in licenses.scan(documents(spark, rows)).collect()}
     assert got == {(0, "MIT"): (1.0, 1), (1, "CC-BY-NC-4.0"): (1.0, 1), (2, "ISC"): (1.0, 1), (3, "MIT"): (1.0, 2),
                    (4, "MIT"): (1.0, 2), (4, "Apache-2.0"): (1.0, 1), (6, "Unlicense"): (1.0, 1), (7, "MIT"): (1.0, 1)}
+
+
+def test_gnu_headers_are_told_apart(spark):
+    def header(work, name, version, mark):
+        return (f"    This {work} is free software{mark[0]} you can redistribute it and/or modify\n    it under the terms of the GNU "
+                f"{name}General Public License as published by\n    the Free Software Foundation{mark[1]} either version {version} "
+                "of the License, or\n    (at your option) any later version.")
+    kinds = {"GPL-2.0": ("program", "", "2", ";;"), "GPL-3.0": ("program", "", "3", ":,"), "LGPL-2.1": ("library", "Lesser ", "2.1", ";;"),
+             "LGPL-3.0": ("program", "Lesser ", "3", ":,"), "AGPL-3.0": ("program", "Affero ", "3", ":,")}
+    rows = [form for k in kinds.values() for form in (header(*k), "Code here. " + " ".join(header(*k).split()) + " More code.")]
+    got = sorted((r["doc_id"], r["license"], r["dice"]) for r in licenses.scan(documents(spark, rows)).collect())
+    assert got == [(2 * i + j, k, 1.0) for i, k in enumerate(kinds) for j in (0, 1)]
