@@ -6,11 +6,12 @@
    element), ``frame`` (menus, headers, footers, sidebars, notices, adverts,
    forms, reader comments, told by element, role or class words) or ``open``.
 2. Pages are paired by URL path within each host: all pages are sorted over
-   the cluster by (host, path, id); a page's partner is the neighbour of the
+   the cluster by (host, path, id).  Pages of one host and exactly the same
+   lines that lie side by side are a run; its partner is the neighbour of the
    same host that shares the longer beginning of the path (the earlier one on
-   a tie; a neighbour of exactly the same lines says nothing and is passed
-   over).  Only line hashes travel.  The first and last page of every sorted
-   part are boundary records for the next and previous part, so the pairing
+   a tie), and holds for every page of the run.  Only line hashes travel.  The
+   pages before and after the first and last run of every sorted part, however
+   many parts that run goes over, are its boundary records.  So the pairing
    doesn't depend on the partitioning, and a large host is spread over parts.
 3. The two pages' lines are aligned by longest common subsequence
    (bit-parallel), and shared ``open`` lines are deleted.
@@ -28,6 +29,7 @@ result; extra columns are ignored.
 
 from __future__ import annotations
 
+import hashlib
 import html as entities
 import re
 from collections.abc import Iterator
@@ -35,7 +37,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gramloom.llm.common import ship_package, spread, stored, text_or_empty
@@ -231,37 +233,41 @@ def _outline(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             host, path = host_and_path(url)
             hashes = np.array([xxhash.xxh64_intdigest(x.encode()) for x in lines], np.uint64).view(np.int64)
             rows.append((pid, h, host, path, hashes, [k for k, r in enumerate(regions) if r == OPEN],
-                         ARTICLE not in regions))
-        cols = list(zip(*rows)) or [()] * 7
-        kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.bool_()]
+                         ARTICLE not in regions,
+                         hashlib.blake2b(host.encode() + b"\0" + hashes.tobytes(), digest_size=16).hexdigest()))
+        cols = list(zip(*rows)) or [()] * 8
+        kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.bool_(),
+                 pa.string()]
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)],
-                                         names=["page_id", "h", "host", "path", "hashes", "open", "bare"])
+                                         names=["page_id", "h", "host", "path", "hashes", "open", "bare", "key"])
 
 
-OUTLINE = "page_id long, h long, host string, path string, hashes array<long>, open array<int>, bare boolean"
+OUTLINE = "page_id long, h long, host string, path string, hashes array<long>, open array<int>, bare boolean, key string"
 
 
 def _placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Adds (part, at, first, last) to the sorted rows of a task."""
-    part, at, held = TaskContext.get().partitionId(), 0, None
-
-    def out(b: pa.RecordBatch, last: bool) -> pa.RecordBatch:
-        nonlocal at
-        n = b.num_rows
+    """Adds (part, at, run, head, tail) to the sorted rows of a task: the run
+    of equal keys that a row is in, and if it begins or ends it there."""
+    part, at, run, held, key = TaskContext.get().partitionId(), 0, -1, None, None
+
+    def out(b: pa.RecordBatch, after: str | None) -> pa.RecordBatch:
+        nonlocal at, run, key
+        n, keys = b.num_rows, b.column("key").to_pylist()
+        head = np.array([x != y for x, y in zip(keys, [key, *keys])], bool)
+        tail = np.array([x != y for x, y in zip(keys, [*keys[1:], after])], bool)
+        runs = run + np.cumsum(head)
         pos = np.arange(at, at + n)
-        at += n
-        ends = np.zeros(n, bool)
-        ends[-1] = last
-        return pa.RecordBatch.from_arrays([*b.columns, pa.array(np.full(n, part, np.int32)), pa.array(pos),
-                                           pa.array(pos == 0), pa.array(ends)],
-                                          names=[*b.schema.names, "part", "at", "first", "last"])
+        at, run, key = at + n, int(runs[-1]), keys[-1]
+        return pa.RecordBatch.from_arrays([*b.columns, pa.array(np.full(n, part, np.int32)), pa.array(pos), pa.array(runs),
+                                           pa.array(head), pa.array(tail)],
+                                          names=[*b.schema.names, "part", "at", "run", "head", "tail"])
     for b in batches:
         if b.num_rows:
             if held is not None:
-                yield out(held, False)
+                yield out(held, b.column("key")[0].as_py())
             held = b
     if held is not None:
-        yield out(held, True)
+        yield out(held, None)
 
 
 def _common(a: str, b: str) -> int:
@@ -276,27 +282,36 @@ def _common(a: str, b: str) -> int:
 def _differ(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by (part, at), boundary rows included: deleted lines of
     each page of its own part."""
-    def solve(before, me, after):
-        near = [x for x in (before, after) if x is not None and x["part"] == me["part"] and x["host"] == me["host"]
-                and x["hashes"] != me["hashes"]]
-        if not near or not me["own"]:
-            return None
-        best = max(near, key=lambda x: _common(x["path"], me["path"]))
-        cut = set(shared(me["hashes"], best["hashes"])).intersection(me["open"])
-        return (me["page_id"], me["h"], sorted(cut)) if cut else None
-
-    before = me = None
+    def solve(after, last_path):
+        near = [(_common(x["path"], path), x) for x, path in ((before, first_path), (after, last_path))
+                if x is not None and x["host"] == me["host"]]
+        if not near:
+            return
+        same = set(shared(me["hashes"], max(near, key=lambda x: x[0])[1]["hashes"]))
+        for lines, ids in copies.items():
+            if cut := sorted(same.intersection(lines)):
+                for lo in range(0, len(ids), 1000):
+                    yield _cuts([(*x, cut) for x in ids[lo:lo + 1000]])
+
+    part = before = me = first_path = None  # me: the last page of the run
+    copies: dict[tuple, list] = {}  # pages of the run by open lines
     for b in batches:
-        found = []
         for row in b.to_pylist():
-            if me is not None:
-                found.append(solve(before, me, row))
-            before, me = me, row
-        found = [x for x in found if x]
-        if found:
-            yield _cuts(found)
-    if me is not None and (x := solve(before, me, None)):
-        yield _cuts([x])
+            if me is not None and (row["part"] != part or not row["own"] or row["key"] != me["key"]):
+                after = row if row["part"] == part else None
+                yield from solve(after, me["path"] if row["own"] else row["edge"])
+                before, me, first_path, copies = me, None, None, {}
+            if row["part"] != part:
+                part, before, first_path = row["part"], None, None
+            if not row["own"]:
+                before, first_path = row, row["edge"]
+                continue
+            if me is None and first_path is None:
+                first_path = row["path"]
+            me = row
+            copies.setdefault(tuple(row["open"]), []).append((row["page_id"], row["h"]))
+    if me is not None:
+        yield from solve(None, me["path"])
 
 
 def _cuts(found: list[tuple]) -> pa.RecordBatch:
@@ -310,23 +325,55 @@ def differences(outlines: DataFrame) -> DataFrame:
     partner."""
     order = [F.col("host"), F.col("path"), F.col("page_id").asc_nulls_first(), F.col("h")]
     placed = stored(outlines.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(
-        _placed, OUTLINE + ", part int, at long, first boolean, last boolean"), "placed")
-    parts = placed.filter("first").select("part")  # one row per part
-    by = Window.orderBy("part")
-    beside = F.broadcast(parts.select("part", F.lag("part").over(by).alias("previous"), F.lead("part").over(by).alias("next")))
-    cols = [c for c in placed.columns if c != "part"]
-    ends = placed.filter("first or last").join(beside, "part")
-    rows = (placed.select("part", *cols, F.lit(True).alias("own"))
-            .unionByName(ends.filter("last and next is not null").select(
-                F.col("next").alias("part"), *[F.lit(-1).cast("long").alias(c) if c == "at" else F.col(c) for c in cols],
-                F.lit(False).alias("own")))
-            .unionByName(ends.filter("first and previous is not null").select(
-                F.col("previous").alias("part"), *[F.lit((1 << 62)).alias(c) if c == "at" else F.col(c) for c in cols],
-                F.lit(False).alias("own"))))
+        _placed, OUTLINE + ", part int, at long, run long, head boolean, tail boolean"), "placed")
+    runs = F.broadcast(placed.groupBy("part").agg((F.max("run") + 1).alias("runs")))  # one row per part
+    ends = (placed.filter("head or tail").join(runs, "part").filter("run < 2 or run >= runs - 2")
+            .select("part", "run", "runs", "at", "path", "key", "head", "tail").collect())  # at most eight rows per part
+    beside = placed.sparkSession.createDataFrame(_beside(ends), "part int, at long, to int, place long, edge string")
+    cols = [c for c in placed.columns if c not in ("part", "at")]
+    rows = (placed.select("part", "at", *cols, F.lit(None).cast("string").alias("edge"), F.lit(True).alias("own"))
+            .unionByName(placed.join(F.broadcast(beside), ["part", "at"]).select(
+                F.col("to").alias("part"), F.col("place").alias("at"), *cols, "edge", F.lit(False).alias("own"))))
     return (rows.repartition("part").sortWithinPartitions("part", "at")
             .mapInArrow(_differ, "page_id long, h long, cuts array<int>"))
 
 
+def _beside(ends: list) -> list[tuple]:
+    """From the ends of the outer runs of every part, the boundary rows
+    ``(part, at, part it goes to, place there, edge)``: the pages before and
+    after its outer runs, and the path at that end of the whole run."""
+    runs: dict[int, int] = {}
+    head, tail = {}, {}
+    for r in ends:
+        runs[r["part"]] = r["runs"]
+        if r["head"]:
+            head[r["part"], r["run"]] = r
+        if r["tail"]:
+            tail[r["part"], r["run"]] = r
+    parts, out = sorted(runs), []
+    for i, p in enumerate(parts):
+        me = head[p, 0]
+        edge = me["path"]
+        for q in reversed(parts[:i]):
+            last = runs[q] - 1
+            x = tail[q, last]
+            if x["key"] == me["key"]:  # the run goes on there
+                edge, x = head[q, last]["path"], tail.get((q, last - 1))
+            if x is not None:
+                out.append((q, x["at"], p, -1, edge))
+                break
+        me = tail[p, runs[p] - 1]
+        edge = me["path"]
+        for q in parts[i + 1:]:
+            x = head[q, 0]
+            if x["key"] == me["key"]:
+                edge, x = tail[q, 0]["path"], head.get((q, 1))
+            if x is not None:
+                out.append((q, x["at"], p, 1 << 62, edge))
+                break
+    return out
+
+
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         texts = ["\n".join(main_lines(*lines_of(page), set(cuts or ())))

@@ -142,6 +142,26 @@ def test_neighbours_lose_shared_lines(spark):
     assert all(by[str(k)] == f"own {k}\nmore {k}" for k in range(120) if k != 50)
 
 
+def test_runs_of_copies_lose_shared_lines(spark):
+    """Every copy of a run, which here goes over several partitions, gets the
+    text that it would have alone."""
+    page = "<div>Menu</div><p>{}</p><div>Imprint</div>"
+    rows = [(0, "http://a.example/s/a", page.format("first"))]
+    rows += [(k, f"http://a.example/s/b?copy={k}", page.format("copied")) for k in range(1, 6)]
+    rows += [(6, "http://a.example/s/c", page.format("last"))]
+    rows += [(10 + k, f"http://b.example/{k}", page.format("only copies")) for k in range(3)]
+    for parts in (1, 3, 7, 40):
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        try:
+            got = {r["page_id"]: r["text"] for r in html.extract(pages(spark, rows)).collect()}
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", 8)
+            spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+        assert got == {0: "first", **{k: "copied" for k in range(1, 6)}, 6: "last",
+                       **{10 + k: "Menu\nonly copies\nImprint" for k in range(3)}}
+
+
 def test_article_lines_stay_though_shared(spark):
     same = "<article><p>One article</p></article><div>Menu</div>"
     rows = [(k, f"http://a/{k}", same + f"<div>{k}</div>") for k in range(4)]
