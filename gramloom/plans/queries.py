@@ -643,18 +643,16 @@ def q_neural_samples(spark, sf):
                       "target")
 
 
-SMALL_VOCAB = 500
-
-
-def small_neural(spark, sf, epochs=2):
-    """A small configuration (500-piece vocabulary, narrow layers) so the
-    numpy training stays quick on one machine; the code path is the same."""
+def trained_neural(spark, sf):
+    """Vocabulary, configuration, weights and losses of the model in its full
+    size and all its epochs."""
     from gramloom.plans import neural as N
     lines = L.corpus_lines(spark, sf, normalize=False)
-    v = cut_lineage(VO.build_vocab(lines, "word", SMALL_VOCAB))
-    cfg = N.NeuralConfig(vocab_size=SMALL_VOCAB + 1, embed_dim=16, hidden_dim=32, bos_token_id=SMALL_VOCAB)
-    smp = cut_lineage(N.build_samples(lines, v, cfg, SMALL_VOCAB))
-    weights, hist = N.train(smp, cfg, epochs=epochs)
+    v = cut_lineage(VO.build_vocab(lines, "word", VOCAB_SIZE))
+    cfg = N.NeuralConfig(vocab_size=VOCAB_SIZE + 1, embed_dim=K.NEURAL_EMBED_DIM, hidden_dim=K.NEURAL_HIDDEN_DIM,
+                         bos_token_id=VOCAB_SIZE)
+    smp = cut_lineage(N.build_samples(lines, v, cfg, VOCAB_SIZE))
+    weights, hist = N.train(smp, cfg, epochs=K.NEURAL_EPOCHS)
     return v, cfg, weights, hist
 
 
@@ -677,35 +675,32 @@ def q_neural_batches(spark, sf):
 
 @register("neural_train_loss")
 def q_neural_train_loss(spark, sf):
-    _, _, _, hist = small_neural(spark, sf)
+    _, _, _, hist = trained_neural(spark, sf)
     return spark.createDataFrame(hist, "epoch int, avg_loss double")
 
 
 @register("neural_json")
 def q_neural_json(spark, sf):
     from gramloom.plans import neural as N
-    v, cfg, weights, _ = small_neural(spark, sf, epochs=1)
+    v, cfg, weights, _ = trained_neural(spark, sf)
     acc, _ = PR.split_requests(requests(spark, sf))
-    return N.neural_json(N.generate_neural(LK.encode_prompts(acc, v, SMALL_VOCAB), weights, cfg, v))
+    return N.neural_json(N.generate_neural(LK.encode_prompts(acc, v, VOCAB_SIZE), weights, cfg, v))
 
 
 @register("neural_text")
 def q_neural_text(spark, sf):
     from gramloom.plans import neural as N
-    v, cfg, weights, _ = small_neural(spark, sf, epochs=1)
+    v, cfg, weights, _ = trained_neural(spark, sf)
     acc, _ = PR.split_requests(requests(spark, sf))
-    enc = LK.encode_prompts(acc, v, SMALL_VOCAB)
+    enc = LK.encode_prompts(acc, v, VOCAB_SIZE)
     return N.generate_neural(enc, weights, cfg, v)
 
 
 # ------------------------------------------------------------- C1 C2 C3 (subword)
 
-SUBWORD_VOCAB = 2000
-
-
 def subword_vocab(spark, sf):
     from gramloom.operators import subword as SW
-    return cut_lineage(SW.train_unigram(L.corpus_lines(spark, sf, normalize=False), SUBWORD_VOCAB))
+    return cut_lineage(SW.train_unigram(L.corpus_lines(spark, sf, normalize=False), K.DEFAULT_VOCAB_SIZE))
 
 
 SAMPLED_LINES = 1000
