@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gramloom.llm.common import fresh, scratch_path, spread, stored, text_or_empty
-from gramloom.session import maybe_broadcast
+from gramloom.session import BROADCAST_BYTE_LIMIT, maybe_broadcast
 from gramloom.sources.store import path_present
 
 
@@ -63,7 +63,10 @@ MORE_RULES = (
     Rule("slack", "xox[abeoprs]-[A-Za-z0-9-]{10,}"),
     Rule("google", "AIza[A-Za-z0-9_-]{35,}"),
     Rule("jwt", "eyJ[A-Za-z0-9_-]{8,}\\.eyJ[A-Za-z0-9_-]{8,}\\.[A-Za-z0-9_-]{8,}"),
-    Rule("private_key", "-----BEGIN [A-Z ]*PRIVATE KEY-----"),
+    # The whole block; without an END line the base64 lines that follow.
+    Rule("private_key", "-----BEGIN [A-Z ]*PRIVATE KEY-----(?:\\s*(?:Proc-Type|DEK-Info|Comment|Version): [^\\n]*){0,8}"
+                        "(?:[A-Za-z0-9+/=\\s\\\\]*+-----END [A-Z ]*PRIVATE KEY-----|"
+                        "(?:\\s*\\n[A-Za-z0-9+/=]{16,}){0,1000}(?:\\s*\\n[A-Za-z0-9+/]+={1,2})?)", version=2),
 )
 RULES = BASE_RULES + MORE_RULES
 
@@ -191,9 +194,12 @@ def redact(docs: DataFrame, ledger: Ledger | None = None, rules: tuple[Rule, ...
         "concat(slice(a, 1, size(a) - 1), array(named_struct('s', element_at(a, -1).s, "
         "'e', greatest(element_at(a, -1).e, x.end)))), "
         "concat(a, array(named_struct('s', x.start, 'e', x.end)))))").alias("cuts")), "cuts")
+    # A blob is 64 characters, a span two longs and their place.
+    n, size = cuts.agg(F.count(F.lit(1)), F.coalesce(F.sum(64 + 32 * F.size("cuts")), F.lit(0))).first()
+    bound = n if size <= BROADCAST_BYTE_LIMIT else None
     key, spans_ = fresh(docs, "blob"), fresh(docs, "cuts")
     joined = (spread(docs).withColumn(key, _blob(text_col))
-              .join(maybe_broadcast(cuts.select(F.col("blob").alias(key), F.col("cuts").alias(spans_)), cuts.count()),
+              .join(maybe_broadcast(cuts.select(F.col("blob").alias(key), F.col("cuts").alias(spans_)), bound),
                     key, "left"))
     c = f"`{spans_}`"
     text = F.expr(

@@ -224,3 +224,17 @@ def test_gnu_headers_are_told_apart(spark):
     rows = [form for k in kinds.values() for form in (header(*k), "Code here. " + " ".join(header(*k).split()) + " More code.")]
     got = sorted((r["doc_id"], r["license"], r["dice"]) for r in licenses.scan(documents(spark, rows)).collect())
     assert got == [(2 * i + j, k, 1.0) for i, k in enumerate(kinds) for j in (0, 1)]
+
+
+def test_whole_key_blocks_are_masked(spark, monkeypatch):
+    rng = random.Random(3)
+    lines = ["".join(rng.choice("ABCxyz019+/") for _ in range(64)) for _ in range(25)] + ["QUJD+w=="]
+    begin, end = "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----"
+    body = "\n".join(lines)
+    rows = [f"a\n{begin}\n{body}\n{end}\nz", f"a\n{begin}\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,0F\n\n{body}\n{end}\nz",
+            "a\n" + f"{begin}\n{body}\n{end}".replace("\n", "\\n") + "\nz", "a\n" + f"{begin}\n{body}\n{end}".replace("\n", "\r\n") + "\nz",
+            f"a\n{begin}\n{body}\nz", f"a\n{begin}\nwords that follow\nz", f"{begin}\n{body}\n{end}\nbetween\n{begin}\n{body}\n{end}"]
+    want = [*["a\n[SECRET]\nz"] * 5, "a\n[SECRET]\nwords that follow\nz", "[SECRET]\nbetween\n[SECRET]"]
+    for limit in (secrets.BROADCAST_BYTE_LIMIT, 0):  # with and without a broadcast
+        monkeypatch.setattr(secrets, "BROADCAST_BYTE_LIMIT", limit)
+        assert [r["text"] for r in secrets.redact(documents(spark, rows)).orderBy("doc_id").collect()] == want
