@@ -9,7 +9,8 @@ as Parquet in the shared scratch folder and read again as the next stage's
 2. ``simhash_near_dedup`` leaves one document of each near-duplicate group.
 3. ``benchmark_decontamination`` drops documents that contain a test item.
 4. ``secret_scans`` masks secrets in the texts (documents stay).
-5. ``packing`` returns the pieces of the packed sequences with their ids.
+5. ``packing`` returns the pieces of the packed sequences with their ids, and
+   writes the whole sequences as a table ``sequences`` beside them.
 """
 
 from __future__ import annotations
@@ -39,7 +40,9 @@ def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack(docs)
+    pieces = stored(packing.pack(docs), "pieces")
+    stored(packing.sequences(pieces), "sequences")
+    return pieces
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

@@ -57,6 +57,22 @@ def test_pipeline_equals_plain_stages(spark, folder):
     assert all(n == 4096 for s, n in length.items() if s < max(length))
 
 
+def test_packing_writes_whole_sequences(spark, folder, monkeypatch):
+    written = {}
+
+    def kept(df, name):
+        written[name] = plain(df, name)
+        return written[name]
+    plain = corpus_pipeline.stored
+    monkeypatch.setattr(corpus_pipeline, "stored", kept)
+    docs = spark.read.parquet(f"{folder[0]}/documents.parquet")
+    want = {}
+    for r in corpus_pipeline.pack(spark, docs, folder[0]).orderBy("sequence_id", "offset").collect():
+        want[r["sequence_id"]] = want.get(r["sequence_id"], b"") + r["ids"]
+    got = {r["sequence_id"]: bytes(r["ids"]) for r in written["sequences"].collect()}
+    assert got == want and len(got) > 1
+
+
 def test_stages_keep_the_columns(spark, folder):
     path, _, _ = folder
     docs = spark.read.parquet(f"{path}/documents.parquet")
