@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gramloom.llm import decontaminate, html, huffman, licenses, packing, quality, secrets, simhash, toxicity, warc
+from gramloom.llm import (codes, decontaminate, html, huffman, licenses, packing, quality, search, secrets, simhash,
+                          spelling, toxicity, warc)
 from gramloom.llm.common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -90,6 +91,26 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(read_table(spark, sf_dir, "documents"))
 
 
+@query("op11_exact_top_k", search.ORACLE)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five highest inner products of every fiftieth vector."""
+    return search.top_k(read_table(spark, sf_dir, "embeddings"))
+
+
+@query("op12_spelling_variants", spelling.ORACLE)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Form and root of every word of the documents."""
+    return spelling.group_variants(read_table(spark, sf_dir, "documents"))
+
+
+@query("op13_vector_codes", codes.oracle())
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Code and error of every vector under the final codebooks."""
+    coded, books = codes.compress(read_table(spark, sf_dir, "embeddings"))
+    return codes.with_label_errors(coded).select(
+        "vec_id", "code", "error", "label_error", F.lit(books.digest() if books else None).cast("string").alias("codebooks_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 
