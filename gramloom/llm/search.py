@@ -281,7 +281,7 @@ def top_k(df: DataFrame, every: int = 50, k: int = K, scale: int = SCALE, pivots
         pairs = state.select("at", "sub", "ids", "xs", "kth").mapInArrow(
             _visit(space, meta, lo, hi), "ring int, blocks int, pivot int, g_at int, g_sub int, q_ids binary, q_xs binary, "
             "kth array<long>").withColumn("sub", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        found = (pairs.join(blocks.withColumnRenamed("at", "ring"), ["ring", "sub"])
+        found = (pairs.join(blocks.withColumnRenamed("at", "ring").hint("merge"), ["ring", "sub"])
                  .select("pivot", "g_at", "g_sub", "q_ids", "q_xs", "kth", "ids", "rs", "xs")
                  .mapInArrow(_score(space, k), FOUND))
         if best is not None:
