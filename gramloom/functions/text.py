@@ -16,7 +16,8 @@ WS_CLASS = (
     r"[\x{0009}-\x{000d}\x{001c}-\x{0020}\x{0085}\x{00a0}\x{1680}"
     r"\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 )
-STRIP_PATTERN = f"^{WS_CLASS}+|{WS_CLASS}+$"
+WS_CHARS = "".join(map(chr, (*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B),
+                             0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
 SPLIT_WS_PATTERN = f"{WS_CLASS}+"
 # Unicode general categories P* and S*.
 SYMBOL_PATTERN = r"[\p{P}\p{S}]"
@@ -31,8 +32,9 @@ def _c(col) -> Column:
 
 
 def strip(col) -> Column:
-    """B1: remove Unicode whitespace at both ends."""
-    return F.regexp_replace(_c(col), STRIP_PATTERN, "")
+    """B1: remove Unicode whitespace at both ends (``btrim`` looks at the
+    ends only; a pattern would be tried at every character)."""
+    return F.btrim(_c(col), F.lit(WS_CHARS))
 
 
 def normalize_line(col) -> Column:

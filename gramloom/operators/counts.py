@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 
 from gramloom import constants as K
 from gramloom.functions import arrays as A
-from gramloom.operators.vocab import learned_pieces, tokens_expr
-from gramloom.session import maybe_broadcast
+from gramloom.operators.vocab import head_and_tail, learned_pieces, tokens_expr
+from gramloom.session import cut_lineage, maybe_broadcast
 from gramloom.sources import lines as L
 
 # column names by position, for any n-gram length or context size in use
@@ -51,46 +51,111 @@ def _marked_tokens(tokens, n_bos: int, eos: bool, bos_id: int = K.BOS_ID, litera
     return F.concat(*parts)
 
 
-def id_ngram_rows(lines: DataFrame, vocab: DataFrame, n: int, n_bos: int | None = None,
-                  eos: bool = True, tokenizer: str = "word", vocab_bound: int | None = None,
-                  line_col: str = "line", extra_cols: list[str] | None = None,
-                  bos_id: int = K.BOS_ID, literal_sentinels: bool = False) -> DataFrame:
-    """One row per n-gram occurrence with integer ids ``w1..wn``.
-
-    Windows are built on the string tokens inside each row and exploded;
-    each position is then mapped to its id with a hash join against the
-    vocabulary (broadcast when its size bound allows, so no shuffle), and
-    unknown tokens become id 0."""
+def gram_rows(lines: DataFrame, n: int, n_bos: int | None = None, eos: bool = True, tokenizer: str = "word",
+              line_col: str = "line", extra_cols: list[str] | None = None, bos_id: int = K.BOS_ID,
+              literal_sentinels: bool = False) -> DataFrame:
+    """One row per n-gram occurrence: for every position ``i`` a sentinel id
+    ``s<i>`` or a token ``t<i>``.  Windows are built inside each row."""
     n_bos = n - 1 if n_bos is None else n_bos
     extra_cols = extra_cols or []
     padded = lines.select(*extra_cols, _marked_tokens(
         tokens_expr(F.col(line_col), tokenizer), n_bos, eos, bos_id, literal_sentinels).alias("_p"))
     grams = padded.select(*extra_cols, F.explode(A.ngram_structs("_p", n, COLS[:n])).alias("g"))
-    flat = grams.select(*extra_cols, *[F.col(f"g.{c}.s").alias(f"s{i}") for i, c in enumerate(COLS[:n])],
+    return grams.select(*extra_cols, *[F.col(f"g.{c}.s").alias(f"s{i}") for i, c in enumerate(COLS[:n])],
                         *[F.col(f"g.{c}.t").alias(f"t{i}") for i, c in enumerate(COLS[:n])])
+
+
+def _with_ids(rows: DataFrame, vocab: DataFrame, n: int, keep: list[str], vocab_bound: int | None) -> DataFrame:
+    """``w1..wn`` for rows of :func:`gram_rows`, by one join per position."""
     v = learned_pieces(vocab).select("piece", "id")
     for i in range(n):
-        vi = maybe_broadcast(v.select(F.col("piece").alias(f"p{i}"), F.col("id").alias(f"i{i}")),
-                             vocab_bound)
-        flat = flat.join(vi, F.col(f"t{i}") == F.col(f"p{i}"), "left")
-    return flat.select(*extra_cols, *[
+        vi = maybe_broadcast(v.select(F.col("piece").alias(f"p{i}"), F.col("id").alias(f"i{i}")), vocab_bound)
+        rows = rows.join(vi, F.col(f"t{i}") == F.col(f"p{i}"), "left")
+    return rows.select(*keep, *[
         F.coalesce(F.col(f"s{i}"), F.col(f"i{i}"), F.lit(K.UNK_ID)).alias(COLS[i]) for i in range(n)])
 
 
+def _split_by_head(rows: DataFrame, vocab: DataFrame, n: int, keep: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Ids for a vocabulary too large to broadcast: ``(settled, open)``.
+
+    The head of the vocabulary (its most frequent pieces, bounded in rows
+    and bytes) is broadcast and settles every row of common words where it
+    lies.  Only rows with a
+    word of the tail are shuffled, once per position.  Words of the head,
+    sentinels and settled positions meet the tail under a salted key without
+    a partner, and a word of the tail is rare, so no key is hot."""
+    head, tail = head_and_tail(vocab)
+    for i in range(n):
+        rows = rows.join(head.select(F.col("piece").alias(f"p{i}"), F.col("id").alias(f"i{i}")),
+                         F.col(f"t{i}") == F.col(f"p{i}"), "left")
+    known = [F.coalesce(F.col(f"s{i}"), F.col(f"i{i}")) for i in range(n)]
+    rows = cut_lineage(rows.select(*keep, *[k.alias(COLS[i]) for i, k in enumerate(known)],
+                                   *[F.when(k.isNull(), F.col(f"t{i}")).alias(f"t{i}") for i, k in enumerate(known)]))
+    is_open = F.coalesce(*[F.col(f"t{i}") for i in range(n)]).isNotNull()
+    opened = rows.filter(is_open)
+    # Tokens hold no white space, or are one character: a space and a number is none of them.
+    salt = F.concat(F.lit(" -"), F.pmod(F.xxhash64(*COLS[:n], *[f"t{i}" for i in range(n)]), F.lit(1 << 16)).cast("string"))
+    for i in range(n):
+        opened = (opened.withColumn("_k", F.coalesce(F.col(f"t{i}"), salt))
+                  .join(tail.select(F.col("piece").alias("_k"), F.col("id").alias("_id")), "_k", "left")
+                  .withColumn(COLS[i], F.coalesce(COLS[i], "_id", F.lit(K.UNK_ID))).drop("_k", "_id"))
+    cols = [*keep, *COLS[:n]]
+    return rows.filter(~is_open).select(*cols), opened.select(*cols)
+
+
+def id_ngram_rows(lines: DataFrame, vocab: DataFrame, n: int, n_bos: int | None = None,
+                  eos: bool = True, tokenizer: str = "word", vocab_bound: int | None = None,
+                  line_col: str = "line", extra_cols: list[str] | None = None,
+                  bos_id: int = K.BOS_ID, literal_sentinels: bool = False) -> DataFrame:
+    """One row per n-gram occurrence with integer ids ``w1..wn``; unknown
+    tokens become id 0.  Behind its size bound the vocabulary is broadcast;
+    else its head is, and only rows with rarer words are shuffled."""
+    keep = extra_cols or []
+    rows = gram_rows(lines, n, n_bos, eos, tokenizer, line_col, keep, bos_id, literal_sentinels)
+    if vocab_bound is not None:
+        return _with_ids(rows, vocab, n, keep, vocab_bound)
+    settled, opened = _split_by_head(rows, vocab, n, keep)
+    return settled.unionByName(opened)
+
+
+def id_ngram_counts(lines: DataFrame, vocab: DataFrame, n: int, n_bos: int | None = None, eos: bool = True,
+                    tokenizer: str = "word", vocab_bound: int | None = None, line_col: str = "line",
+                    by: list[str] | None = None, literal_sentinels: bool = False, contexts: DataFrame | None = None,
+                    contexts_bound: int | None = None) -> DataFrame:
+    """``(*by, w1..wn, cnt)``: n-grams counted by id.
+
+    With a vocabulary that may be broadcast, occurrences get their ids where
+    they lie and one exchange counts them.  With an open vocabulary the
+    *strings* are counted in that one exchange, and ids are joined to the
+    distinct rows; of these, only rows with a word outside the vocabulary's
+    head move again (they are summed once more, since unknown words share
+    id 0).  ``contexts`` (the first ``n - 1`` ids) limits what is counted."""
+    by = by or []
+    ids = COLS[:n]
+    asked = None
+    if contexts is not None:
+        asked = maybe_broadcast(contexts.select(*ids[:-1]).distinct(), contexts_bound)
+    rows = gram_rows(lines, n, n_bos, eos, tokenizer, line_col, by, K.BOS_ID, literal_sentinels)
+    if vocab_bound is not None:
+        rows = _with_ids(rows, vocab, n, by, vocab_bound)
+        if asked is not None:  # before the aggregation, so other n-grams never reach the shuffle
+            rows = rows.join(asked, ids[:-1], "left_semi")
+        return rows.groupBy(*by, *ids).agg(F.count(F.lit(1)).alias("cnt"))
+    counted = rows.groupBy(*rows.columns).agg(F.count(F.lit(1)).alias("cnt"))
+    settled, opened = _split_by_head(counted, vocab, n, [*by, "cnt"])
+    opened = opened.groupBy(*by, *ids).agg(F.sum("cnt").alias("cnt"))
+    out = settled.select(*by, *ids, "cnt").unionByName(opened)
+    return out if asked is None else out.join(asked, ids[:-1], "left_semi").select(*by, *ids, "cnt")
+
+
 def ngram_counts(lines: DataFrame, vocab: DataFrame, n: int = 3, n_bos: int | None = None,
                  eos: bool = True, tokenizer: str = "word", vocab_bound: int | None = None,
                  line_col: str = "line", contexts: DataFrame | None = None,
                  contexts_bound: int | None = None) -> DataFrame:
-    """D3: ``(w1..wn INT, cnt BIGINT)``; n=3 is D2.
-
-    With ``contexts`` (the first n-1 ids of the wanted n-grams) only those
-    contexts are counted: the occurrences are semi-joined with the contexts
-    *before* the aggregation, so other n-grams never reach the shuffle."""
-    rows = id_ngram_rows(lines, vocab, n, n_bos, eos, tokenizer, vocab_bound, line_col)
-    if contexts is not None:
-        keys = COLS[:n - 1]
-        rows = rows.join(maybe_broadcast(contexts.select(*keys).distinct(), contexts_bound), keys, "left_semi")
-    return rows.groupBy(*COLS[:n]).agg(F.count(F.lit(1)).alias("cnt"))
+    """D3: ``(w1..wn INT, cnt BIGINT)``; n=3 is D2.  With ``contexts`` (the
+    first n-1 ids of the wanted n-grams) only those contexts are counted."""
+    return id_ngram_counts(lines, vocab, n, n_bos, eos, tokenizer, vocab_bound, line_col,
+                           contexts=contexts, contexts_bound=contexts_bound)
 
 
 def trigram_counts(lines: DataFrame, vocab: DataFrame, tokenizer: str = "word",
@@ -122,8 +187,7 @@ def partial_counts(docs: DataFrame, vocab: DataFrame, lines_per_chunk: int = K.D
     per_doc = L.valid_doc_lines(docs, normalize=True, text_col=text_col)
     lines = L.indexed_lines(per_doc).withColumn(
         "part_id", F.floor(F.col("idx") / F.lit(lines_per_chunk)).cast("int"))
-    rows = id_ngram_rows(lines, vocab, 3, 2, True, tokenizer, vocab_bound, extra_cols=["part_id"])
-    return rows.groupBy("part_id", "w1", "w2", "w3").agg(F.count(F.lit(1)).alias("cnt"))
+    return id_ngram_counts(lines, vocab, 3, 2, True, tokenizer, vocab_bound, by=["part_id"])
 
 
 def bigram_id_counts(lines: DataFrame, vocab: DataFrame, tokenizer: str = "word",
@@ -134,10 +198,8 @@ def bigram_id_counts(lines: DataFrame, vocab: DataFrame, tokenizer: str = "word"
     Equal to counting strings and re-keying them (C6, collisions summed),
     but with one aggregation; with ``first_ids`` only those first ids are
     counted (filtered before the shuffle)."""
-    rows = id_ngram_rows(lines, vocab, 2, 1, True, tokenizer, vocab_bound, line_col, literal_sentinels=True)
-    if first_ids is not None:
-        rows = rows.join(maybe_broadcast(first_ids.select("w1").distinct(), first_bound), "w1", "left_semi")
-    return rows.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("cnt"))
+    return id_ngram_counts(lines, vocab, 2, 1, True, tokenizer, vocab_bound, line_col, literal_sentinels=True,
+                           contexts=first_ids, contexts_bound=first_bound)
 
 
 def merge_partials(parts: DataFrame) -> DataFrame:

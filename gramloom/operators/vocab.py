@@ -90,14 +90,40 @@ def learned_pieces(vocab: DataFrame) -> DataFrame:
     return vocab.filter(F.col("id") >= RESERVED).select("piece", "id", "cacheable")
 
 
+# The part of a vocabulary of any size that is broadcast: at most so many pieces of at most so many characters (ids
+# descend in frequency).
+HEAD_PIECES = 200_000
+HEAD_PIECE_LENGTH = 64
+
+
+def head_and_tail(vocab: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The learned pieces in two: a head of bounded rows and bytes, ready to
+    broadcast, and the rest."""
+    v = learned_pieces(vocab)
+    in_head = (F.col("id") < RESERVED + HEAD_PIECES) & (F.length("piece") <= HEAD_PIECE_LENGTH)
+    return F.broadcast(v.filter(in_head)), v.filter(~in_head)
+
+
+def join_pieces(rows: DataFrame, token_col: str, vocab: DataFrame, vocab_bound: int | None) -> DataFrame:
+    """Add ``id`` and ``cacheable`` of each token (null: unknown).  Behind
+    its bound the vocabulary is broadcast; else its head is, and only rows
+    of other tokens are shuffled, whose words are rare."""
+    if vocab_bound is not None:
+        return rows.join(maybe_broadcast(learned_pieces(vocab).withColumnRenamed("piece", token_col), vocab_bound),
+                         token_col, "left")
+    head, tail = (v.withColumnRenamed("piece", token_col) for v in head_and_tail(vocab))
+    tried = cut_lineage(rows.join(head, token_col, "left"))
+    rest = tried.filter(F.col("id").isNull()).drop("id", "cacheable").join(tail, token_col, "left")
+    return tried.filter(F.col("id").isNotNull()).unionByName(rest)
+
+
 def encode_tokens(df: DataFrame, key_cols: list[str], tokens_col: str, vocab: DataFrame,
                   vocab_bound: int | None, out_col: str = "ids") -> DataFrame:
     """Map a token array to ids (unknown -> 0), keeping order, and add
     the per-token pieces and cacheable flags as ``<out>_tok`` (array of
     ``struct<id INT, piece STRING, cacheable BOOLEAN>``)."""
-    v = maybe_broadcast(learned_pieces(vocab), vocab_bound)
-    exploded = df.select(*key_cols, F.posexplode(tokens_col).alias("_pos", "piece"))
-    joined = (exploded.join(v, "piece", "left")
+    exploded = df.select(*key_cols, F.posexplode(F.slice(tokens_col, 1, F.size(tokens_col))).alias("_pos", "piece"))
+    joined = (join_pieces(exploded, "piece", vocab, vocab_bound)
               .select(*key_cols, "_pos", F.struct(
                   F.coalesce("id", F.lit(K.UNK_ID)).alias("id"),
                   F.when(F.col("id").isNull(), F.lit(K.UNK_SURFACE)).otherwise(F.col("piece")).alias("piece"),

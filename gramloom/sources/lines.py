@@ -37,9 +37,13 @@ def doc_lines(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -
 
 
 def read_lines(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """A1: raw lines ``(doc_id, line_no, line)``; blank lines included."""
-    return (doc_lines(docs, text_col, id_col)
-            .select("doc_id", F.posexplode("lines").alias("line_no", "line"))
+    """A1: raw lines ``(doc_id, line_no, line)``; blank lines included.
+
+    The split is exploded as an expression: for a plain array *column*
+    Catalyst adds a filter on its size, which would split every text once
+    more, below the exchange of :func:`spread`, in the few tasks of the scan."""
+    return (docs.select(F.col(id_col).alias("doc_id"),
+                        F.posexplode(T.split_lines(F.col(text_col))).alias("line_no", "line"))
             .withColumn("line_no", F.col("line_no").cast("int")))
 
 
@@ -134,6 +138,12 @@ def dense_index(df: DataFrame, order: list, name: str) -> DataFrame:
             .withColumn(name, F.col("_off") + F.col("_m") - F.col("_first")).drop("_p", "_m", "_first", "_off"))
 
 
+def _inner(lines_col: str):
+    """The array as an expression, so that exploding it adds no filter that
+    computes it once more (see :func:`read_lines`)."""
+    return F.slice(lines_col, 1, F.size(lines_col))
+
+
 def indexed_lines(per_doc: DataFrame, lines_col: str = "lines") -> DataFrame:
     """Explode ``(doc_id, lines ARRAY)`` into ``(doc_id, line_no, line, idx)``
     where ``idx`` is the dense 0-based position in (doc_id, line_no) order.
@@ -142,7 +152,7 @@ def indexed_lines(per_doc: DataFrame, lines_col: str = "lines") -> DataFrame:
     counts = per_doc.select("doc_id", F.size(lines_col).alias("n"))
     offs = maybe_broadcast(key_offsets(counts, "doc_id", "n"), per_doc.select("doc_id").count())
     return (per_doc.join(offs, "doc_id")
-            .select("doc_id", "offset", F.posexplode(lines_col).alias("line_no", "line"))
+            .select("doc_id", "offset", F.posexplode(_inner(lines_col)).alias("line_no", "line"))
             .select("doc_id", F.col("line_no").cast("int").alias("line_no"), "line",
                     (F.col("offset") + F.col("line_no")).alias("idx")))
 
@@ -158,7 +168,7 @@ def limit_lines(docs: DataFrame, max_lines: int | None, text_col: str = "text",
     offs = key_offsets(per_doc.select("doc_id", F.size("lines").alias("n")), "doc_id", "n").filter(
         F.col("offset") < max_lines)
     return (per_doc.join(maybe_broadcast(offs, max_lines), "doc_id")
-            .select("doc_id", "offset", F.posexplode("lines").alias("line_no", "line"))
+            .select("doc_id", "offset", F.posexplode(_inner("lines")).alias("line_no", "line"))
             .filter(F.col("offset") + F.col("line_no") < max_lines)
             .select("doc_id", F.col("line_no").cast("int").alias("line_no"), "line"))
 

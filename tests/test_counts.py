@@ -69,3 +69,59 @@ def test_direct_id_bigrams_equal_rekeyed_strings(spark):
     rekeyed = VO.bigram_to_ids(C.bigram_counts(lines), v, 10)
     assert sorted(map(tuple, direct.collect())) == sorted(map(tuple, rekeyed.collect()))
     assert rekeyed.filter("w1 = 0").count() > 0 and rekeyed.filter("w2 = -2 AND w1 >= 3").count() > 0
+
+
+def _rows(df):
+    return sorted(tuple(r) for r in df.select(*sorted(df.columns)).collect())
+
+
+def _open_corpus(spark):
+    from gramloom.sources.lines import corpus_lines
+    lines = corpus_lines(spark, "/root/testdata/sf0.001", normalize=True)
+    extra = spark.createDataFrame([(-1, i, s) for i, s in enumerate(
+        ["<BOS> x <EOS>", "zzz " * 40 + "y" * 100, "q", "q unseen1 unseen2 q", "q unseen2 unseen1 q"])],
+        "doc_id long, line_no int, line string")
+    return lines.unionByName(extra)
+
+
+def test_open_vocabulary_counts_equal_bounded(spark, monkeypatch):
+    """Without a broadcast bound: head broadcast, tail joined on distinct rows."""
+    from gramloom.session import cut_lineage
+    monkeypatch.setattr(VO, "HEAD_PIECES", 50)
+    lines = cut_lineage(_open_corpus(spark))
+    for size in (None, 400):  # whole, and cut: unknown words share id 0
+        v = cut_lineage(VO.build_vocab(lines, "word", size))
+        assert _rows(C.trigram_counts(lines, v)) == _rows(C.trigram_counts(lines, v, vocab_bound=10 ** 6))
+        assert _rows(C.bigram_id_counts(lines, v)) == _rows(C.bigram_id_counts(lines, v, vocab_bound=10 ** 6))
+    tri = C.trigram_counts(lines, v, vocab_bound=10 ** 6)
+    asked = cut_lineage(tri.select("w1", "w2").distinct().limit(30))
+    assert _rows(C.trigram_counts(lines, v, contexts=asked, contexts_bound=30)) == _rows(
+        C.trigram_counts(lines, v, vocab_bound=10 ** 6, contexts=asked, contexts_bound=30))
+    rows = lambda b: C.id_ngram_rows(lines, v, 2, extra_cols=["doc_id"], vocab_bound=b)
+    assert _rows(rows(None)) == _rows(rows(10 ** 6))
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    assert _rows(C.partial_counts(docs, v, 100)) == _rows(C.partial_counts(docs, v, 100, vocab_bound=10 ** 6))
+
+
+def test_open_vocabulary_counts_strings_before_any_shuffled_join(spark, monkeypatch):
+    """One exchange before the ids: the first job has an aggregate and
+    broadcast joins only."""
+    seen = []
+    cut = C.cut_lineage
+    lines = lines_df(spark)
+    v = cut(VO.build_vocab(lines, "word"))
+    monkeypatch.setattr(C, "cut_lineage", lambda df: seen.append(
+        df._jdf.queryExecution().executedPlan().toString()) or cut(df))
+    C.trigram_counts(lines, v)
+    plan = seen[0]
+    assert "SortMergeJoin" not in plan and "ShuffledHashJoin" not in plan
+    assert plan.count("BroadcastHashJoin") == 3 and plan.count("hashpartitioning(s0") == 1
+
+
+def test_exploding_lines_adds_no_filter_on_the_split(spark):
+    from gramloom.sources import lines as L
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    per_doc = L.valid_doc_lines(docs, normalize=True)
+    for df in (L.read_lines(docs), L.indexed_lines(per_doc)):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert "Filter (size(" not in plan
