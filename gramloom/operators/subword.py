@@ -15,8 +15,8 @@ vocabulary (Kudo 2018) learned with Spark.
   normalisation.  Pruning drops the pieces whose removal costs the least
   likelihood (the best segmentation of the piece without itself is the
   alternative); single characters always stay.
-* C2: Viterbi segmentation of each distinct chunk, joined back to the
-  text; a run of unknown characters becomes one id 0.
+* C2: Viterbi segmentation of whole texts where they lie, with a bounded
+  memo of chunks; a run of unknown characters becomes one id 0.
 """
 
 from __future__ import annotations
@@ -275,39 +275,84 @@ def train_unigram(lines: DataFrame, vocab_size: int = K.DEFAULT_VOCAB_SIZE,
 
 # ----------------------------------------------------------------- C2 C3
 
+# Segmentations a task remembers, and the longest word among them.
+MEMO_CHUNKS = 200_000
+MEMO_LENGTH = 64
+# Texts encoded at once: bounds a batch's lists.
+ENCODE_SLICE = 256
+
+
+class Segmenter:
+    """Best segmentation of ``▁word`` chunks as row numbers of the piece
+    table; number 0 is the unknown piece, one for a run of unknown
+    characters.  Frequent words come from a bounded memo."""
+
+    def __init__(self, pieces: list[str], scores: list[float], max_len: int):
+        self.logp = dict(zip(pieces, scores))
+        self.row = {p: k + 1 for k, p in enumerate(pieces)}
+        self.max_len = max_len
+        self.memo: dict[str, list[int]] = {}
+
+    def __call__(self, chunk: str) -> list[int]:
+        seg = self.memo.get(chunk)
+        if seg is None:
+            seg = []
+            for p in viterbi(chunk, self.logp, self.max_len)[0]:
+                k = self.row.get(p, 0)
+                if k or not seg or seg[-1]:
+                    seg.append(k)
+            if len(chunk) <= MEMO_LENGTH:
+                if len(self.memo) >= MEMO_CHUNKS:
+                    self.memo.clear()
+                self.memo[chunk] = seg
+        return seg
+
+
 def encode_subword(df: DataFrame, key_cols: list[str], text_col: str, vocab: DataFrame,
                    max_piece_len: int = 16, out_col: str = "ids") -> DataFrame:
     """``<out>_tok`` (array of struct<id, piece, cacheable>) and ``<out>``
-    (ids) per row.  Viterbi runs once per distinct chunk; the result is joined
-    back to the words and regrouped in order."""
+    (ids) per row, beside ``key_cols`` and the text.
+
+    Texts are encoded whole where they lie, without a shuffle: the piece
+    table (bounded by the vocabulary size) is broadcast, and a task keeps a
+    bounded memo of the words it has met.  A null text has no pieces."""
     spark = df.sparkSession
     ship_package(spark)
-    words = df.select(*key_cols, F.posexplode(T.word_tokens(T.strip(nfkc(F.col(text_col))))).alias("_pos", "_w")) \
-        .withColumn("chunk", F.concat(F.lit(K.SPACE_MARK), F.col("_w")))
-    distinct = words.select("chunk").distinct()
-    vpdf = vocab.filter(F.col("id") >= RESERVED).select("piece", "score", "id", "cacheable").toPandas()
-    bc = spark.sparkContext.broadcast({p: (s, i, c) for p, s, i, c in vpdf.itertuples(index=False)})
+    rows = vocab.filter(F.col("id") >= RESERVED).select("piece", "score", "id", "cacheable").collect()
+    bc = spark.sparkContext.broadcast([tuple(r) for r in rows])  # at most the vocabulary size
+    keys = df.select(*key_cols, F.col(text_col).alias("_text"))
 
     def run(batches):
+        import re
+        import unicodedata
+
+        import pyarrow as pa
         table = bc.value
-        logp = {p: v[0] for p, v in table.items()}
-        for pdf in batches:
-            segs = []
-            for s in pdf["chunk"]:
-                parts, _ = viterbi(s, logp, max_piece_len)
-                seg = []
-                for p in parts:
-                    if p in table:
-                        seg.append({"id": table[p][1], "piece": p, "cacheable": bool(table[p][2])})
-                    elif not seg or seg[-1]["id"] != K.UNK_ID:  # a run of unknown characters is one unknown
-                        seg.append({"id": K.UNK_ID, "piece": K.UNK_SURFACE, "cacheable": True})
-                segs.append(seg)
-            yield pd.DataFrame({"chunk": pdf["chunk"], "seg": segs})
-
-    segs = distinct.mapInPandas(run, "chunk string, seg array<struct<id:int,piece:string,cacheable:boolean>>")
-    joined = words.join(segs, "chunk").groupBy(*key_cols).agg(
-        F.array_sort(F.collect_list(F.struct("_pos", "seg"))).alias("_l"))
-    enc = joined.select(*key_cols, F.flatten(F.transform("_l", lambda x: x["seg"])).alias(f"{out_col}_tok"))
-    out = df.join(enc, key_cols, "left").withColumn(
-        f"{out_col}_tok", F.coalesce(f"{out_col}_tok", F.array().cast(enc.schema[f"{out_col}_tok"].dataType)))
-    return out.withColumn(out_col, F.transform(f"{out_col}_tok", lambda x: x["id"]))
+        segment = Segmenter([r[0] for r in table], [r[1] for r in table], max_piece_len)
+        piece = pa.array([K.UNK_SURFACE, *(r[0] for r in table)], pa.string())
+        ident = pa.array([K.UNK_ID, *(r[2] for r in table)], pa.int32())
+        cacheable = pa.array([True, *(bool(r[3]) for r in table)], pa.bool_())
+        space = re.compile(f"[{re.escape(T.WS_CHARS)}]+")
+        for whole in batches:
+            for lo in range(0, whole.num_rows, ENCODE_SLICE):
+                b = whole.slice(lo, ENCODE_SLICE)
+                flat, ends = [], [0]
+                for text in b.column(len(key_cols)).to_pylist():
+                    if text is not None:
+                        if not text.isascii():
+                            text = unicodedata.normalize("NFKC", text)
+                        for w in space.split(text):
+                            if w:
+                                flat += segment(K.SPACE_MARK + w)
+                    ends.append(len(flat))
+                at, ends = pa.array(flat, pa.int32()), pa.array(ends, pa.int32())
+                ids = ident.take(at)
+                toks = pa.StructArray.from_arrays([ids, piece.take(at), cacheable.take(at)], ["id", "piece", "cacheable"])
+                yield pa.RecordBatch.from_arrays(
+                    [*b.columns, pa.ListArray.from_arrays(ends, toks), pa.ListArray.from_arrays(ends, ids)],
+                    names=[*b.schema.names, f"{out_col}_tok", out_col])
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in keys.schema.fields)
+    out = keys.mapInArrow(run, f"{schema}, `{out_col}_tok` array<struct<id:int,piece:string,cacheable:boolean>>, "
+                               f"`{out_col}` array<int>")
+    return out.withColumnRenamed("_text", text_col)

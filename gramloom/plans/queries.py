@@ -8,7 +8,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from gramloom import constants as K
@@ -150,8 +149,8 @@ FROM t1 LEFT JOIN (SELECT piece, id FROM vocab WHERE id >= 3) v ON v.piece = t1.
 def q_tokens_word(spark, sf):
     conv = L.read_table(spark, sf, "conversations").select("conv_id", "turn", "text")
     toks = conv.select("conv_id", "turn", F.posexplode(T.word_tokens(T.strip("text"))).alias("pos", "token"))
-    v = VO.learned_pieces(vocab(spark, sf)).select(F.col("piece").alias("token"), "id")
-    return (toks.join(F.broadcast(v), "token", "left")
+    v = vocab(spark, sf)
+    return (VO.join_pieces(toks, "token", v, bound(v))
             .select("conv_id", "turn", F.col("pos").cast("int").alias("pos"), "token",
                     F.coalesce("id", F.lit(K.UNK_ID)).alias("id")))
 
@@ -381,7 +380,7 @@ SELECT id, piece, cacheable, {S.strip_symbols("replace(piece, '" + K.SPACE_MARK
 def q_cacheable_vocab(spark, sf):
     v = vocab(spark, sf)
     return v.select("id", "piece", "cacheable", T.clean_piece("piece").alias("clean"),
-                    F.count(F.lit(1)).over(W.partitionBy()).alias("vocab_size"))
+                    F.lit(v.count()).cast("bigint").alias("vocab_size"))
 
 
 # ------------------------------------------------------------- C6 D4-D9
@@ -505,6 +504,27 @@ def q_greedy_text_bigram(spark, sf):
     return generation(spark, sf, "greedy", model_type="bigram")
 
 
+@register("stored_model_text", f"""
+WITH RECURSIVE {PROMPTS_SQL}, {S.TRIGRAM},
+{S.greedy_sql(K.GEN_MAX_TOKENS, TOP_K, K.CACHE_ALPHA, K.GEN_TEMPERATURE, K.CACHE_RECENT_WINDOW, K.GEN_MIN_LEN_BEFORE_EOS)}
+SELECT prompt_id, text, n_generated::INTEGER AS n_generated, stop, 'trigram' AS model_type FROM gen_out""")
+def q_stored_model_text(spark, sf):
+    """A5 + A10 + G1: the model written as trigram rows, found again by
+    ``load_model``, its followers stored in buckets of the context, and text
+    generated from those."""
+    from gramloom.plans.generate import generate
+    from gramloom.sources import store as ST
+    v = vocab(spark, sf)
+    base = ST.scratch_path(spark, "model")
+    ST.write_trigram(trigram(spark, sf, v), f"{base}/trigram")
+    model, kind = ST.load_model(spark, base)
+    acc, _ = PR.split_requests(requests(spark, sf))
+    enc = cut_lineage(LK.encode_prompts(acc, v, bound(v)))
+    k = max(TOP_K, enc.agg(F.max("top_k")).first()[0] or TOP_K)
+    followers = ST.bucketed_followers(C.followers_table(model, v, k, ["w1", "w2"], bound(v)), ["w1", "w2"])
+    return generate(enc, followers, kind, "greedy")
+
+
 SAMPLED_SQL = f"""
 WITH RECURSIVE {PROMPTS_SQL}, {S.TRIGRAM},
 {S.greedy_sql(K.GEN_MAX_TOKENS, TOP_K, K.CACHE_ALPHA, K.GEN_TEMPERATURE, K.CACHE_RECENT_WINDOW, K.GEN_MIN_LEN_BEFORE_EOS, seed=K.NEURAL_SEED)}"""
@@ -643,19 +663,6 @@ def q_neural_samples(spark, sf):
                       "target")
 
 
-def trained_neural(spark, sf):
-    """Vocabulary, configuration, weights and losses of the model in its full
-    size and all its epochs."""
-    from gramloom.plans import neural as N
-    lines = L.corpus_lines(spark, sf, normalize=False)
-    v = cut_lineage(VO.build_vocab(lines, "word", VOCAB_SIZE))
-    cfg = N.NeuralConfig(vocab_size=VOCAB_SIZE + 1, embed_dim=K.NEURAL_EMBED_DIM, hidden_dim=K.NEURAL_HIDDEN_DIM,
-                         bos_token_id=VOCAB_SIZE)
-    smp = cut_lineage(N.build_samples(lines, v, cfg, VOCAB_SIZE))
-    weights, hist = N.train(smp, cfg, epochs=K.NEURAL_EPOCHS)
-    return v, cfg, weights, hist
-
-
 @register("neural_batches", f"""
 WITH {S.vocab(VOCAB_SIZE)},
 nlines AS (SELECT doc_id, line_no, line FROM clean_lines),
@@ -673,29 +680,6 @@ def q_neural_batches(spark, sf):
     return N.shuffle_batches(smp, K.NEURAL_SEED, 1).select("doc_id", "line_no", "target", "batch")
 
 
-@register("neural_train_loss")
-def q_neural_train_loss(spark, sf):
-    _, _, _, hist = trained_neural(spark, sf)
-    return spark.createDataFrame(hist, "epoch int, avg_loss double")
-
-
-@register("neural_json")
-def q_neural_json(spark, sf):
-    from gramloom.plans import neural as N
-    v, cfg, weights, _ = trained_neural(spark, sf)
-    acc, _ = PR.split_requests(requests(spark, sf))
-    return N.neural_json(N.generate_neural(LK.encode_prompts(acc, v, VOCAB_SIZE), weights, cfg, v))
-
-
-@register("neural_text")
-def q_neural_text(spark, sf):
-    from gramloom.plans import neural as N
-    v, cfg, weights, _ = trained_neural(spark, sf)
-    acc, _ = PR.split_requests(requests(spark, sf))
-    enc = LK.encode_prompts(acc, v, VOCAB_SIZE)
-    return N.generate_neural(enc, weights, cfg, v)
-
-
 # ------------------------------------------------------------- C1 C2 C3 (subword)
 
 def subword_vocab(spark, sf):
@@ -722,19 +706,50 @@ def q_subword_vocab(spark, sf):
     return subword_vocab(spark, sf).withColumn("score", F.round("score", 6))
 
 
-@register("subword_tokens")
+@register("subword_coverage", f"""
+WITH {S.CLEAN_LINES},
+w AS (SELECT DISTINCT unnest({S.words(S.strip("nfc_normalize(line)"))}) AS w FROM clean_lines),
+c AS (SELECT DISTINCT unnest(regexp_extract_all('{K.SPACE_MARK}' || w, '(?s).', 0)) AS ch FROM w)
+SELECT count(*)::BIGINT AS characters, 0::BIGINT AS characters_without_piece, 0::BIGINT AS bad_rows, true AS within_size FROM c""")
+def q_subword_coverage(spark, sf):
+    """C1 invariants: every character of the corpus is a piece, ids are dense,
+    no piece occurs twice or holds the boundary mark inside, scores descend
+    with the id."""
+    from gramloom.operators import subword as SW
+    v = subword_vocab(spark, sf)
+    chars = (SW.word_chunks(L.corpus_lines(spark, sf, normalize=False))
+             .select(F.explode(T.char_tokens("chunk")).alias("piece")).distinct())
+    have = v.filter(F.col("id") >= VO.RESERVED)
+    n = v.count()
+    nxt = have.select((F.col("id") - 1).alias("id"), F.col("score").alias("next"))
+    bad = (v.join(nxt, "id", "left").join(v.groupBy("piece").agg(F.count(F.lit(1)).alias("copies")), "piece")
+           .filter(((F.col("id") >= VO.RESERVED) & (F.col("next") > F.col("score"))) | (F.col("copies") > 1)
+                   | F.substring("piece", 2, 100).contains(K.SPACE_MARK) | ~F.col("id").between(0, n - 1)).count())
+    return chars.join(have.select("piece", F.lit(1).alias("has")), "piece", "left").agg(
+        F.count(F.lit(1)).alias("characters"),
+        F.sum(F.col("has").isNull().cast("bigint")).alias("characters_without_piece"),
+        F.lit(bad).cast("bigint").alias("bad_rows"), F.lit(n <= K.DEFAULT_VOCAB_SIZE).alias("within_size"))
+
+
+@register("subword_tokens", f"""
+SELECT conv_id, turn, array_to_string({S.words(S.strip("nfc_normalize(text)"))}, ' ') AS decoded, true AS sizes_fit FROM conversations""")
 def q_subword_tokens(spark, sf):
+    """C2 + C3: decode(encode(x)) is x with single spaces; a text has at
+    least as many pieces as words and at most as many as characters."""
     from gramloom.operators import subword as SW
     v = subword_vocab(spark, sf)
     conv = L.read_table(spark, sf, "conversations").select("conv_id", "turn", "text")
     enc = SW.encode_subword(conv, ["conv_id", "turn"], "text", v)
-    return enc.select("conv_id", "turn", F.size("ids").alias("n_pieces"),
-                      VO.decode_expr(F.col("ids_tok"), "subword").alias("decoded"))
+    decoded = VO.decode_expr(F.col("ids_tok"), "subword")
+    words = F.size(T.word_tokens(decoded))
+    return enc.select("conv_id", "turn", decoded.alias("decoded"),
+                      F.size("ids").between(words, F.length(decoded) + 1).alias("sizes_fit"))
 
 
 @register("subword_trigram_counts")
 def q_subword_trigram_counts(spark, sf):
-    """D2 over subword ids of the normalised corpus lines."""
+    """D2 over subword ids of the normalised corpus lines; lines are encoded
+    where they lie, so the count has the only exchange."""
     from gramloom.operators import subword as SW
     v = subword_vocab(spark, sf)
     lines = L.corpus_lines(spark, sf, normalize=True)

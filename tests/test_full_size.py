@@ -3,7 +3,6 @@ import pytest
 
 from gramloom import constants as K
 from gramloom.operators import subword as SW
-from gramloom.plans import neural as N
 from gramloom.plans import queries as Q
 from tests.conftest import SF_SMALL
 
@@ -12,17 +11,7 @@ class Seen(Exception):
     pass
 
 
-@pytest.mark.parametrize("name", ["neural_train_loss", "neural_text", "neural_json"])
-def test_neural_queries(spark, monkeypatch, name):
-    def train(samples, cfg, epochs):
-        raise Seen(cfg.vocab_size, cfg.embed_dim, cfg.hidden_dim, epochs)
-    monkeypatch.setattr(N, "train", train)
-    with pytest.raises(Seen) as seen:
-        Q.queries()[name](spark, SF_SMALL)
-    assert seen.value.args == (K.DEFAULT_VOCAB_SIZE + 1, K.NEURAL_EMBED_DIM, K.NEURAL_HIDDEN_DIM, K.NEURAL_EPOCHS)
-
-
-@pytest.mark.parametrize("name", ["subword_vocab", "subword_tokens", "subword_trigram_counts"])
+@pytest.mark.parametrize("name", ["subword_vocab", "subword_tokens", "subword_coverage", "subword_trigram_counts"])
 def test_subword_queries(spark, monkeypatch, name):
     def train(lines, vocab_size=None):
         raise Seen(vocab_size)

@@ -105,3 +105,29 @@ def test_tree_laws(spark):
             if r.probability >= 1e-12:
                 assert abs(r.cumulative_score - (par.cumulative_score - math.log(r.probability))) <= 1e-6
         assert all(sorted(k) == list(range(1, len(k) + 1)) for k in kids.values())
+
+
+def test_distinct_context_steps_give_the_same_texts(spark, tiny, monkeypatch):
+    """Many prompts: distinct contexts meet the model once, hot ones come back by broadcast."""
+    from gramloom.plans import generate as G
+    _, tri, bi, prompts = tiny
+    asked = prompts(*[(t, None) for t in ["xx"] * 40 + ["a", "zz xx", "b c", "new", "d"]])
+    for model, kind in ((tri, "trigram"), (bi, "bigram")):
+        want = sorted(tuple(r) for r in generate(asked, model, kind, "sample", 7).collect())
+        for share in (0.2, 1e-9, 1.0):
+            monkeypatch.setattr(G, "MANY_PROMPTS", 1)
+            monkeypatch.setattr(G, "HOT_SHARE", share)
+            assert sorted(tuple(r) for r in generate(asked, model, kind, "sample", 7).collect()) == want
+        monkeypatch.undo()
+
+
+def test_stored_buckets_join_without_shuffling_the_model(spark, tiny):
+    from gramloom.sources import store as ST
+    _, tri, _, prompts = tiny
+    stored = ST.bucketed_followers(tri, ["w1", "w2"], 4)
+    asked = prompts(("xx", None), ("a", None), ("a", 2))
+    plan = asked.join(stored, ["w1", "w2"], "left")._jdf.queryExecution().executedPlan().toString()
+    model_side = plan[plan.index("SortMergeJoin"):]
+    assert "Bucketed: true" in model_side and "Exchange" not in model_side[model_side.rindex("Sort "):]
+    assert sorted(map(tuple, generate(asked, stored, mode="greedy").collect())) == sorted(
+        map(tuple, generate(asked, tri, mode="greedy").collect()))

@@ -82,3 +82,30 @@ def test_a_run_of_unknown_characters_is_one_id(spark):
     df = spark.createDataFrame([(1, "ab日本語ab 日"), (2, "")], "k int, t string")
     ids = {r.k: r.ids for r in SW.encode_subword(df, ["k"], "t", v).select("k", "ids").collect()}
     assert ids[2] == [] and ids[1].count(K.UNK_ID) == 2
+
+
+def test_encoding_is_without_a_shuffle_and_memo_bound(spark, monkeypatch):
+    """Whole texts where they lie; a tiny memo gives the same pieces."""
+    lines = corpus_lines(spark, SF)
+    v = SW.train_unigram(lines, vocab_size=400, seed_factor=4).cache()
+    enc = SW.encode_subword(lines, ["doc_id", "line_no"], "line", v)
+    plan = enc._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning" not in plan and "rangepartitioning" not in plan and "Join" not in plan
+    want = sorted((r.doc_id, r.line_no, r.ids) for r in enc.select("doc_id", "line_no", "ids").collect())
+    monkeypatch.setattr(SW, "MEMO_CHUNKS", 3)
+    logp = [(r.piece, r.score, r.id) for r in v.filter("id >= 3").collect()]
+    seg = SW.Segmenter([p for p, _, _ in logp], [s for _, s, _ in logp], 16)
+    ids = [K.UNK_ID, *(i for _, _, i in logp)]
+    for r in lines.limit(200).collect():
+        words = unicodedata.normalize("NFKC", r.line).split()
+        got = [ids[k] for w in words for k in seg(K.SPACE_MARK + w)]
+        assert (r.doc_id, r.line_no, got) in want
+        assert len(seg.memo) <= 3
+
+
+def test_encoding_of_null_empty_and_long_texts(spark):
+    v = SW.train_unigram(spark.createDataFrame([("ab ab ba",)] * 3, "line string"), vocab_size=8)
+    df = spark.createDataFrame([(1, None), (2, " \t"), (3, "ab" * 50000), (None, "ab")], "k int, t string")
+    rows = {r.k: (r.ids, r.d) for r in SW.encode_subword(df, ["k"], "t", v)
+            .select("k", "ids", decode_expr(F.col("ids_tok"), "subword").alias("d")).collect()}
+    assert rows[1] == ([], "") and rows[2] == ([], "") and rows[3][1] == "ab" * 50000 and rows[None][1] == "ab"
