@@ -1,23 +1,28 @@
 """Operator 5, token-id output: canonical length-limited Huffman coding.
 
-**Write.**  Documents are tokenised where they lie and sorted by id over the
-cluster.  Counts of all ids (at most one row per vocabulary entry) give a
-canonical Huffman code of at most ``MAX_BITS`` bits (package-merge).  Each
-task writes its run of documents as one file in the shared folder; the files'
-totals give global starts.
-
-**File format** (little endian).  ``b"HUFTOK1\\n"``; u32 header length; JSON
-header with ``block`` (ids per block), ``n_ids``, ``n_docs`` and ``lengths``
-(zlib of one code length byte per id, base 64); then sections, each for up to
-``SECTION`` ids of whole documents or parts of a long one: u32 ids, u32
-blocks, u32 payload bytes, u32 end marks; u64 bit offset of every block (the
-checkpoints); u32 positions of the end ids' successors, the document borders;
-the payload bits, most significant first.  Every block starts at its
-checkpoint and can be decoded alone.
-
-**Read.**  A file is read section by section.  Blocks are independent, so the
-decoder steps through all blocks of a section at once: the next ``MAX_BITS``
-bits of each index one table that holds id and length.
+**Write.**  Documents are tokenised where they lie; the same tasks count
+their ids, so the stored ids are not read once more for it.  Counts of all
+ids (at most one row per vocabulary entry) give a canonical Huffman code of
+at most ``MAX_BITS`` bits (package-merge).  Documents are sorted by id over
+the cluster, into as many files as keep a file near ``FILE_BYTES``.  Totals
+give global starts.
+
+**File format** (little endian).  ``b"HUFTOK2\\n"``; u32 header length; JSON
+header with ``block`` (ids per block) and ``lengths`` (zlib of one code
+length byte per id, base 64); then sections, each for about ``SECTION`` ids
+of whole documents or parts of a long one: u32 ids, u32 blocks, u32 payload
+bytes, u32 documents that end here, u32 bytes of their keys; u64 bit offset of
+every block (the checkpoints); u32 positions behind the end ids, the document
+borders; the keys (zlib of one null flag byte each, then i64 differences of
+the document ids); the payload bits, most significant first.  Every block
+starts at its checkpoint and can be decoded alone.
+
+**Read.**  A file is read in splits of about ``SPLIT`` ids that start at a
+section where no document is open; the manifest has one row per split: file,
+byte offset, sections, ids before it.  Document ids and tokens come from the
+file.  Blocks are independent, so the decoder steps through all blocks of a
+section at once: the next ``MAX_BITS`` bits of each index one table that
+holds id and length.
 
 A task that is run again writes a file of another name; the manifest, stored
 with the task's result, names the one that counts.
@@ -44,11 +49,14 @@ from pyspark.sql import functions as F
 from gramloom.llm.common import scratch_path, ship_package, spread, stored, text_or_empty
 from gramloom.llm.tokens import default_tokenizer, encoder
 
-MAGIC = b"HUFTOK1\n"
+MAGIC = b"HUFTOK2\n"
 END_ID = 1
 MAX_BITS = 16
 BLOCK = 256
 SECTION = 1 << 20
+# Ids read by one task at least, and bytes of ids (before coding) of a file.
+SPLIT = 4 << 20
+FILE_BYTES = 256 << 20
 SLICE = 256
 
 
@@ -159,30 +167,45 @@ def _uri(path: str) -> str:
     return path.replace("file:/", "file:///", 1) if path.startswith("file:/") and not path.startswith("file://") else path
 
 
-def _tokenise(path: str, end_id: int):
+def _tokenise(path: str, end_id: int, size: int):
+    """Ids of every document; a task's last row, without a document, holds
+    its counts of all ids."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
         end = np.array([end_id], enc.dtype).tobytes()
+        seen, names = np.zeros(size, np.int64), ["doc_id", "tie", "ids", "counts"]
         for b in batches:
             for lo in range(0, b.num_rows, SLICE):
                 some = b.slice(lo, SLICE)
                 ids = enc.encode(some.column(1).to_pylist(), end)
-                yield pa.RecordBatch.from_arrays(
-                    [some.column(0), some.column(2), pa.array(ids, pa.binary())], names=["doc_id", "tie", "ids"])
+                seen += np.bincount(np.frombuffer(b"".join(ids), enc.dtype), minlength=size)
+                yield pa.RecordBatch.from_arrays([some.column(0), some.column(2), pa.array(ids, pa.binary()),
+                                                  pa.nulls(len(ids), pa.binary())], names=names)
+        if seen.any():
+            yield pa.RecordBatch.from_arrays(
+                [*(pa.nulls(1, t) for t in (pa.int64(), pa.int64(), pa.binary())),
+                 pa.array([zlib.compress(seen.tobytes(), 1)], pa.binary())], names=names)
     return run
 
 
-def _count(wide: int, size: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros(size, np.int64)
-        for b in batches:
-            col = b.column(0)
-            lo, hi = np.frombuffer(col.buffers()[1], np.int32)[[col.offset, col.offset + len(col)]]
-            ids = np.frombuffer(col.buffers()[2], np.uint8)[lo:hi].tobytes()
-            seen += np.bincount(np.frombuffer(ids, f"<u{wide}"), minlength=size)
+def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row per id of the counts of some tasks."""
+    for b in batches:
+        seen = sum(np.frombuffer(zlib.decompress(c), np.int64) for c in b.column(0).to_pylist())
         ids = np.flatnonzero(seen)
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int32()), pa.array(seen[ids])], names=["id", "n"])
-    return run
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int32()), pa.array(np.asarray(seen)[ids], pa.int64())], names=["id", "n"])
+
+
+def _pack_keys(docs: list[int | None]) -> bytes:
+    null = np.array([d is None for d in docs], np.uint8)
+    ids = np.array([0 if d is None else d for d in docs], "<i8")
+    return zlib.compress(null.tobytes() + np.diff(ids, prepend=np.int64(0)).astype("<i8").tobytes(), 1)
+
+
+def _unpack_keys(raw: bytes, n: int) -> list[int | None]:
+    raw = zlib.decompress(raw)
+    ids = np.cumsum(np.frombuffer(raw, "<i8", n, n)).tolist()
+    return [None if raw[k] else d for k, d in enumerate(ids)]
 
 
 def _write(folder: str, lengths_z: bytes, wide: int, block: int):
@@ -191,20 +214,27 @@ def _write(folder: str, lengths_z: bytes, wide: int, block: int):
         codes = canonical(lengths)
         ctx = TaskContext.get()
         name = f"{folder}/part-{ctx.partitionId():06d}-{ctx.taskAttemptId()}.huf"
-        out, n_ids, n_docs, docs = None, 0, 0, []
+        out, at, splits = None, 0, []  # splits: [offset, sections, ids]
         held: list[np.ndarray] = []
         borders: list[int] = []
-        size = 0
+        keys: list[int | None] = []
+        size, whole = 0, True  # whole: no document is open where the next section starts
 
         def flush():
-            nonlocal held, borders, size
+            nonlocal at, held, borders, keys, size, whole
             ids = np.concatenate(held)
             marks, payload = pack_bits(ids, codes, lengths, block)
-            out.write(np.array([len(ids), len(marks), len(payload), len(borders)], "<u4").tobytes())
-            out.write(marks.tobytes())
-            out.write(np.array(borders, "<u4").tobytes())
-            out.write(payload)
-            held, borders, size = [], [], 0
+            packed = _pack_keys(keys)
+            raw = (np.array([len(ids), len(marks), len(payload), len(borders), len(packed)], "<u4").tobytes()
+                   + marks.tobytes() + np.array(borders, "<u4").tobytes() + packed + payload)
+            out.write(raw)
+            if whole and (not splits or splits[-1][2] >= SPLIT):
+                splits.append([at, 0, 0])
+            splits[-1][1] += 1
+            splits[-1][2] += len(ids)
+            at += len(raw)
+            whole = bool(borders) and borders[-1] == size
+            held, borders, keys, size = [], [], [], 0
 
         for b in batches:
             for doc, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
@@ -212,107 +242,119 @@ def _write(folder: str, lengths_z: bytes, wide: int, block: int):
                     out = _open(name, "w")
                     head = json.dumps({"block": block, "lengths": base64.b64encode(lengths_z).decode()}).encode()
                     out.write(MAGIC + np.array([len(head)], "<u4").tobytes() + head)
+                    at = len(MAGIC) + 4 + len(head)
                 ids = np.frombuffer(data, f"<u{wide}")
-                docs.append(doc)
-                n_docs, n_ids = n_docs + 1, n_ids + len(ids)
                 for lo in range(0, len(ids), SECTION):
                     part = ids[lo:lo + SECTION]
                     held.append(part)
                     size += len(part)
                     if lo + SECTION >= len(ids):
                         borders.append(size)
+                        keys.append(doc)
                     if size >= SECTION:
                         flush()
         if out is not None:
             if size:
                 flush()
             out.close()
+            n = len(splits)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([ctx.partitionId()], pa.int32()), pa.array([name]), pa.array([n_docs], pa.int64()),
-                 pa.array([n_ids], pa.int64()), pa.array([docs], pa.list_(pa.int64()))],
-                names=["part", "file", "n_docs", "n_ids", "doc_ids"])
+                [pa.array([ctx.partitionId()] * n, pa.int32()), pa.array(range(n), pa.int32()), pa.array([name] * n),
+                 *(pa.array([s[k] for s in splits], pa.int64()) for k in range(3))],
+                names=["part", "split", "file", "offset", "sections", "n_ids"])
     return run
 
 
-def read_file(path: str) -> Iterator[tuple[int, np.ndarray]]:
-    """``(number in the file, ids)`` of every document of one file."""
+def read_file(path: str, offset: int | None = None, sections: int | None = None) -> Iterator[tuple[int | None, np.ndarray]]:
+    """``(document id, ids)`` of every document of one file, or of the
+    ``sections`` sections at ``offset``."""
     with _open(path, "r") as f:
         if f.read(len(MAGIC)) != MAGIC:
             raise ValueError(f"not a token file: {path}")
         head = json.loads(f.read(int(np.frombuffer(f.read(4), "<u4")[0])))
         sym, size = decode_table(np.frombuffer(zlib.decompress(base64.b64decode(head["lengths"])), np.uint8))
-        number, open_ = 0, []
-        while top := f.read(16):
-            n, blocks, n_payload, n_borders = (int(x) for x in np.frombuffer(top, "<u4"))
+        if offset is not None:
+            f.seek(offset)
+        open_: list[np.ndarray] = []
+        while (sections is None or sections > 0) and (top := f.read(20)):
+            sections = None if sections is None else sections - 1
+            n, blocks, n_payload, n_borders, n_keys = (int(x) for x in np.frombuffer(top, "<u4"))
             marks = np.frombuffer(f.read(8 * blocks), "<u8")
             borders = np.frombuffer(f.read(4 * n_borders), "<u4").astype(np.int64)
+            keys = _unpack_keys(f.read(n_keys), n_borders)
             ids = unpack_bits(f.read(n_payload), marks, n, head["block"], sym, size)
             lo = 0
-            for hi in borders.tolist():
-                yield number, np.concatenate([*open_, ids[lo:hi]]) if open_ else ids[lo:hi]
-                number, open_, lo = number + 1, [], hi
+            for doc, hi in zip(keys, borders.tolist()):
+                yield doc, np.concatenate([*open_, ids[lo:hi]]) if open_ else ids[lo:hi]
+                open_, lo = [], hi
             if lo < n:
                 open_.append(ids[lo:])
 
 
 def _read(with_ids: bool):
+    names = ["doc_id", "start", "n_tokens", "ids_crc32", *(["ids"] if with_ids else [])]
+    kinds = [pa.int64()] * 4 + [pa.binary()]
+
+    def batch(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kinds[k]) for k in range(len(names))], names=names)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc_id", "start", "n_tokens", "ids_crc32", *(["ids"] if with_ids else [])]
         for b in batches:
-            for name, base, docs in zip(*(b.column(k).to_pylist() for k in range(3))):
-                at, rows = base, []
-
-                def batch():
-                    kinds = [pa.int64()] * 4 + [pa.binary()]
-                    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kinds[k])
-                                                       for k in range(len(names))], names=names)
-                for number, ids in read_file(name):
+            for name, offset, sections, at in zip(*(b.column(k).to_pylist() for k in range(4))):
+                rows = []
+                for doc, ids in read_file(name, offset, sections):
                     raw = ids.astype("<u4").tobytes()
-                    rows.append((docs[number], at, len(ids), zlib.crc32(raw), raw))
+                    rows.append((doc, at, len(ids), zlib.crc32(raw), raw if with_ids else None))
                     at += len(ids)
                     if len(rows) == 1024:
-                        yield batch()
+                        yield batch(rows)
                         rows = []
                 if rows:
-                    yield batch()
+                    yield batch(rows)
     return run
 
 
 def write_ids(docs: DataFrame, tokenizer: str | None = None, end_id: int = END_ID, folder: str | None = None,
               block: int = BLOCK, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Write all documents in ascending id order; the stored manifest
-    ``(file, base, doc_ids)``: ``base`` ids precede the file."""
+    ``(part, split, file, offset, sections, n_ids, base)``, a row per split:
+    ``base`` ids precede it."""
     spark = docs.sparkSession
     ship_package(spark)
     path = tokenizer or default_tokenizer()
     enc = encoder(path)
     wide = enc.dtype.itemsize
+    size = max(enc.tok.get_vocab_size(), end_id + 1)
     text = text_or_empty(text_col)
     rows = spread(docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), text.alias("t"), F.xxhash64(text).alias("tie")))
-    table = stored(rows.mapInArrow(_tokenise(path, end_id), "doc_id long, tie long, ids binary"), "ids", "zstd")
-    size = max(enc.tok.get_vocab_size(), end_id + 1)
-    counts = (table.select("ids").mapInArrow(_count(wide, size), "id int, n long")
+    table = stored(rows.mapInArrow(_tokenise(path, end_id, size), "doc_id long, tie long, ids binary, counts binary"),
+                   "ids", "zstd")
+    counts = (table.filter("counts is not null").select("counts").mapInArrow(_counts, "id int, n long")
               .groupBy("id").agg(F.sum("n").alias("n")).collect())  # at most one row per vocabulary entry
     lengths = np.zeros(size, np.uint8)
     for s, n in code_lengths({r["id"]: r["n"] for r in counts}).items():
         lengths[s] = n
     out = _uri(folder or scratch_path(spark, "huffman"))
+    files = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-wide * sum(r["n"] for r in counts) // FILE_BYTES))
     # Rows with equal ids and texts are alike, so their order doesn't show.
-    manifest = stored(table.repartitionByRange(F.col("doc_id").asc_nulls_first(), "tie")
+    manifest = stored(table.filter("counts is null").select("doc_id", "tie", "ids")
+                      .repartitionByRange(files, F.col("doc_id").asc_nulls_first(), "tie")
                       .sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "tie", "ids").select("doc_id", "ids")
                       .mapInArrow(_write(out, zlib.compress(lengths.tobytes(), 9), wide, block),
-                                  "part int, file string, n_docs long, n_ids long, doc_ids array<long>"), "manifest")
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    bases = manifest.select("part", "n_ids").select(  # one row per file
-        F.col("part"), F.coalesce(F.sum("n_ids").over(before), F.lit(0)).alias("base"))
-    return manifest.join(F.broadcast(bases), "part").select("file", "base", "doc_ids")
+                                  "part int, split int, file string, offset long, sections long, n_ids long"), "manifest")
+    before = lambda w: F.coalesce(F.sum("n_ids").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    bases = manifest.groupBy("part").agg(F.sum("n_ids").alias("n_ids")).select(  # one row per file
+        "part", before(Window.orderBy("part")).alias("file_base"))
+    return (manifest.withColumn("in_file", before(Window.partitionBy("part").orderBy("split")))
+            .join(F.broadcast(bases), "part").withColumn("base", F.col("file_base") + F.col("in_file"))
+            .drop("file_base", "in_file"))
 
 
 def read_ids(manifest: DataFrame, with_ids: bool = True) -> DataFrame:
     """``(doc_id, start, n_tokens, ids_crc32[, ids])`` of every document,
     decoded from the files."""
     ship_package(manifest.sparkSession)
-    files = manifest.select("file", "base", "doc_ids")
-    parts = max(1, files.count())
-    return files.repartition(parts).mapInArrow(
+    splits = manifest.select("file", "offset", "sections", "base")
+    parts = max(1, splits.count())
+    return splits.repartition(parts).mapInArrow(
         _read(with_ids), "doc_id long, start long, n_tokens long, ids_crc32 long" + (", ids binary" if with_ids else ""))

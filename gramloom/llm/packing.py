@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gramloom.llm.common import ship_package, spread, stored, text_or_empty
+from gramloom.llm.common import scratch_path, ship_package, spread, stored, text_or_empty
 from gramloom.llm.tokens import default_tokenizer, encoder
 
 END_ID = 2
@@ -60,14 +60,14 @@ def _tokenise(path: str, end_id: int):
 
 
 def tokenised(docs: DataFrame, tokenizer: str | None = None, end_id: int = END_ID, id_col: str = "doc_id",
-              text_col: str = "text") -> DataFrame:
+              text_col: str = "text", compression: str | None = None) -> DataFrame:
     """Stored token ids of every document with global starts:
     ``(doc_id, start, n, ids)``."""
     ship_package(docs.sparkSession)
     rows = spread(docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"),
                               text_or_empty(text_col).alias("text")))
     table = stored(rows.mapInArrow(_tokenise(tokenizer or default_tokenizer(), end_id), TOKEN_SCHEMA),
-                   "tokens")
+                   "tokens", compression)
     totals = table.groupBy("part").agg(F.sum("n").alias("total"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     # One row per task of the job above.
@@ -112,52 +112,53 @@ def pieces(tokens: DataFrame, window: int = WINDOW, wide: int | None = None, wit
 
 
 def pack(docs: DataFrame, tokenizer: str | None = None, end_id: int = END_ID, window: int = WINDOW,
-         id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True) -> DataFrame:
+         id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True, compression: str | None = None) -> DataFrame:
     """Pack ``docs``: rows ``(doc_id, start, length, ids_crc32, doc_tokens,
     sequence_id, offset[, ids])``."""
     path = tokenizer or default_tokenizer()
-    return pieces(tokenised(docs, path, end_id, id_col, text_col), window, encoder(path).dtype.itemsize, with_ids)
+    return pieces(tokenised(docs, path, end_id, id_col, text_col, compression), window, encoder(path).dtype.itemsize, with_ids)
 
 
 def _assemble(window: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        open_: dict[int, list[tuple[int, bytes]]] = {}
-        names = ["sequence_id", "offset", "ids", "whole"]
+    names = ["sequence_id", "offset", "ids", "whole"]
 
-        def batch(rows):
-            return pa.RecordBatch.from_arrays(
-                [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()),
-                 pa.array([r[2] for r in rows], pa.binary()), pa.array([r[3] for r in rows], pa.bool_())], names=names)
+    def batch(rows):
+        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(
+            (pa.int64(), pa.int64(), pa.binary(), pa.bool_()))], names=names)
 
-        last = None
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, parts = None, []
         for b in batches:
             done = []
             for seq, offset, ids in zip(*(b.column(k).to_pylist() for k in range(3))):
-                if last is not None and seq != last:  # the scan left a window: it is whole, or a boundary record
-                    for s, parts in open_.items():
-                        done += _close(s, parts, window)
-                    open_ = {}
-                open_.setdefault(seq, []).append((offset, ids))
-                last = seq
+                if seq != last:  # the scan left a window: it is whole, or a boundary record
+                    done += _close(last, parts, window)
+                    last, parts = seq, []
+                parts.append((offset, ids))
             yield batch(done)
-        yield batch([r for s, parts in open_.items() for r in _close(s, parts, window)])
+        yield batch(_close(last, parts, window))
     return run
 
 
-def _close(seq: int, parts: list[tuple[int, bytes]], window: int) -> list[tuple[int, int, bytes, bool]]:
+def _close(seq: int | None, parts: list[tuple[int, bytes]], window: int) -> list[tuple[int | None, int, bytes, bool]]:
     ids = b"".join(x for _, x in sorted(parts))
     if len(ids) == 4 * window:
         return [(seq, 0, ids, True)]
     return [(seq, at, x, False) for at, x in parts]
 
 
-def sequences(packed: DataFrame, window: int = WINDOW) -> DataFrame:
+def sequences(packed: DataFrame, window: int = WINDOW, compression: str | None = None) -> DataFrame:
     """Whole sequences ``(sequence_id, ids binary, n_tokens)`` of the pieces
-    of :func:`pack`.  Windows whose pieces lie in one task pass through;
-    boundary records are gathered per window (at most ``window`` ids)."""
-    ship_package(packed.sparkSession)
-    rows = stored(packed.select("sequence_id", "offset", "ids").mapInArrow(
-        _assemble(window), "sequence_id long, offset long, ids binary, whole boolean"), "windows")
+    of :func:`pack`, stored once.  Windows whose pieces lie in one task are
+    written whole; boundary records lie beside them and are gathered per
+    window (at most ``window`` ids) when they are read."""
+    spark = packed.sparkSession
+    ship_package(spark)
+    path = scratch_path(spark, "sequences")
+    schema = "sequence_id long, offset long, ids binary, whole boolean"
+    (packed.select("sequence_id", "offset", "ids").mapInArrow(_assemble(window), schema)
+     .write.partitionBy("whole").parquet(path, compression=compression))
+    rows = spark.read.schema(schema).parquet(path)
     border = (rows.filter("not whole").groupBy("sequence_id")
               .agg(F.array_sort(F.collect_list(F.struct("offset", "ids"))).alias("parts"))
               .select("sequence_id", F.expr("aggregate(parts, cast('' as binary), (a, x) -> concat(a, x.ids))")

@@ -20,6 +20,12 @@ import numpy as np
 UNSAFE = re.compile("[^\t\n\x0b\x0c\r\x20-\x7e¡-įı-ɏ]")
 
 
+# Fixed value: the unit pattern of CLIP's tokenizer.  A unit of letters is one match of it, and so is a run of these
+# marks behind one.
+LETTER_PATTERN = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+MARKS = ".,;:!?)(]}[{\"-_/*#"
+
+
 class Memo:
     """A bounded map with two generations: a full young one becomes the old
     one, and what is asked again moves back to the young."""
@@ -33,32 +39,29 @@ class Memo:
 
     def recall(self, keys: set[str]) -> set[str]:
         """Make ``keys`` known where the old generation has them; the rest."""
-        young, old, rest = self.young, self.old, set()
-        for k in keys:
-            if k not in young:
-                v = old.get(k)
-                if v is None:
-                    rest.add(k)
-                else:
-                    young[k] = v
-        return rest
+        old = self.old
+        keys = keys.difference(self.young)
+        known = keys & old.keys()
+        self.young.update((k, old[k]) for k in known)
+        return keys - known
 
 
 class Encoder:
     """Encodes texts to little-endian ids (``dtype``) without special tokens.
 
-    ``memo_items`` bounds each generation of both memos."""
+    ``memo_items`` bounds each generation of the memo."""
 
-    def __init__(self, path: str, memo_items: int = 450_000):
+    def __init__(self, path: str, memo_items: int = 500_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         self.tok = Tokenizer.from_file(path)
         self.dtype = np.dtype("<u2" if self.tok.get_vocab_size() <= 1 << 16 else "<u4")
-        self.units, self.pieces = Memo(memo_items), Memo(memo_items)
+        self.memo = Memo(memo_items)
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.special = [t["content"] for t in spec.get("added_tokens") or []]
         self.split = self._unit_split(spec)
+        self.letters = self.split is not None and self.split.pattern == LETTER_PATTERN
         suffix = spec["model"].get("end_of_word_suffix")
         self.last = np.zeros(self.tok.get_vocab_size(), bool)  # ids that end a piece
         if self.split is not None:
@@ -77,12 +80,22 @@ class Encoder:
             return regex.compile(steps[0]["pattern"]["Regex"])
         return None
 
+    def _pieces(self, unit: str) -> list[str]:
+        """The matches of the pattern in a unit."""
+        if self.letters:
+            core = unit.rstrip(MARKS)
+            if core.isalpha():
+                return [core, unit[len(core):]] if len(core) < len(unit) else [unit]
+        return self.split.findall(unit)
+
     def _learn(self, units: set[str]) -> None:
-        """Make all ``units`` known."""
-        parts = {u: self.split.findall(u) for u in self.units.recall(units)}
-        self.pieces.age()
-        new = list(self.pieces.recall({p for ps in parts.values() for p in ps}))
-        known = self.pieces.young
+        """Make all ``units`` known.  A piece alone is a unit with the same
+        ids, so one memo holds both."""
+        rest = self.memo.recall(units)
+        whole = {u for u in rest if u.isalpha()} if self.letters else set()
+        parts = {u: self._pieces(u) for u in rest - whole}
+        known = self.memo.young
+        new = list(self.memo.recall(whole.union(*parts.values())))
         for at in range(0, len(new), 5000):
             some = new[at:at + 5000]
             ids = np.array(self.tok.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, self.dtype)
@@ -93,9 +106,10 @@ class Encoder:
             for p, hi in zip(some, (ends * wide).tolist()):
                 known[p] = raw[lo:hi]
                 lo = hi
-        get, young = known.__getitem__, self.units.young
+        get = known.__getitem__
         for u, ps in parts.items():
-            young[u] = b"".join(map(get, ps))
+            if u not in known:
+                known[u] = b"".join(map(get, ps))
 
     def encode(self, texts: list[str], end: bytes = b"") -> list[bytes]:
         """Ids of each text as bytes, ``end`` appended to each."""
@@ -108,10 +122,9 @@ class Encoder:
                 plain.append(k)
                 units.append(t.lower().split())
         if plain:
-            self.units.age()
-            memo = self.units.young
-            self._learn({u for us in units for u in us if u not in memo})
-            get = self.units.young.__getitem__
+            self.memo.age()
+            self._learn(set().union(*units).difference(self.memo.young))
+            get = self.memo.young.__getitem__
             for k, us in zip(plain, units):
                 out[k] = b"".join(map(get, us)) + end
         if rest:

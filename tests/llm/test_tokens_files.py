@@ -66,6 +66,26 @@ def test_sequences_join_boundary_records(spark):
     assert {r["sequence_id"]: bytes(r["ids"]) for r in rows} == dict(want) and len(rows) == len(want)
 
 
+def test_sequences_of_an_empty_table(spark):
+    assert packing.sequences(packing.pack(empty(spark))).count() == 0
+
+
+def test_token_files_hold_ids_and_are_read_in_splits(spark, tok, monkeypatch):
+    """Every file alone gives its documents; splits start between documents."""
+    monkeypatch.setattr(huffman, "SECTION", 50)
+    monkeypatch.setattr(huffman, "SPLIT", 200)
+    df = awkward(spark, 4)
+    manifest = huffman.write_ids(df, block=16)
+    files = [r["file"] for r in manifest.select("file").distinct().collect()]
+    assert manifest.count() > len(files)
+    got = [(d is not None, d or 0, ids.tolist()) for f in sorted(files) for d, ids in huffman.read_file(f)]
+    want = sorted((r["doc_id"] is not None, r["doc_id"] or 0, ids_of(tok, r["text"], 1)) for r in df.collect())
+    assert sorted(got) == want and [g[:2] for g in got] == [w[:2] for w in want]
+    rows = huffman.read_ids(manifest).orderBy("start").collect()
+    assert [np.frombuffer(r["ids"], "<u4").tolist() for r in rows] == [g[2] for g in got]
+    assert [r["doc_id"] for r in rows] == [d if known else None for known, d, _ in got]
+
+
 def test_empty_tables(spark):
     assert packing.pack(empty(spark)).count() == 0
     assert huffman.read_ids(huffman.write_ids(empty(spark))).count() == 0
