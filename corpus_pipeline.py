@@ -40,8 +40,8 @@ def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    pieces = stored(packing.pack(docs), "pieces")
-    stored(packing.sequences(pieces), "sequences")
+    pieces = packing.pack(docs, compression="zstd")
+    packing.sequences(pieces, compression="zstd")
     return pieces
 
 
