@@ -60,11 +60,11 @@ def test_pipeline_equals_plain_stages(spark, folder):
 def test_packing_writes_whole_sequences(spark, folder, monkeypatch):
     written = {}
 
-    def kept(df, name):
-        written[name] = plain(df, name)
-        return written[name]
-    plain = corpus_pipeline.stored
-    monkeypatch.setattr(corpus_pipeline, "stored", kept)
+    def kept(*args, **options):
+        written["sequences"] = plain(*args, **options)
+        return written["sequences"]
+    plain = corpus_pipeline.packing.sequences
+    monkeypatch.setattr(corpus_pipeline.packing, "sequences", kept)
     docs = spark.read.parquet(f"{folder[0]}/documents.parquet")
     want = {}
     for r in corpus_pipeline.pack(spark, docs, folder[0]).orderBy("sequence_id", "offset").collect():
