@@ -29,8 +29,10 @@ result; extra columns are ignored.
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import html as entities
+import math
 import re
 from collections.abc import Iterator
 
@@ -97,6 +99,7 @@ def lines_of(page: str) -> tuple[list[str], list[int]]:
     lines: list[str] = []
     regions: list[int] = []
     stack: list[tuple[str, int]] = []  # open elements and their regions
+    depths: dict[str, list[int]] = {}  # depths of the open elements of each name, ascending
     text: list[str] = []
     region, at = OPEN, 0
 
@@ -108,20 +111,26 @@ def lines_of(page: str) -> tuple[list[str], list[int]]:
                 lines.append(line)
                 regions.append(region)
 
+    def pop_to(depth: int) -> None:
+        for t, _ in stack[depth:]:
+            depths[t].pop()
+        del stack[depth:]
+
     def close_to(depth: int) -> None:
         nonlocal region
         flush()
-        del stack[depth:]
+        pop_to(depth)
         region = stack[-1][1] if stack else OPEN
 
     def innermost(tags: set[str] | frozenset[str], stops: set[str] | frozenset[str]) -> int:
         """Depth of the outermost of ``tags`` above the last stop, or -1."""
+        stop = max((depths[t][-1] for t in stops if depths.get(t)), default=-1)
         found = -1
-        for k in range(len(stack) - 1, -1, -1):
-            if stack[k][0] in stops:
-                break
-            if stack[k][0] in tags:
-                found = k
+        for t in tags:
+            if at_of := depths.get(t):
+                k = bisect.bisect(at_of, stop)
+                if k < len(at_of) and (found < 0 or at_of[k] < found):
+                    found = at_of[k]
         return found
 
     while m := TAG.search(page, at):
@@ -133,12 +142,12 @@ def lines_of(page: str) -> tuple[list[str], list[int]]:
             continue
         tag, closing, attrs = tag.lower(), m[1] or m[4], m[3] or m[6] or ""
         if closing:
-            depth = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == tag), -1)
+            depth = depths[tag][-1] if depths.get(tag) else -1
             if depth >= 0:
                 if tag in BLOCKS or any(t in BLOCKS or r != region for t, r in stack[depth:]):
                     close_to(depth)
                 else:
-                    del stack[depth:]
+                    pop_to(depth)
             elif tag in BLOCKS:
                 flush()
             continue
@@ -172,6 +181,7 @@ def lines_of(page: str) -> tuple[list[str], list[int]]:
             flush()
         if tag not in BLOCKS and attrs.endswith("/"):
             continue
+        depths.setdefault(tag, []).append(len(stack))
         stack.append((tag, mine))
         region = mine
     text.append(page[at:])
@@ -188,37 +198,63 @@ def main_lines(lines: list[str], regions: list[int], deleted: set[int]) -> list[
 
 
 def shared(a: list[int], b: list[int]) -> list[int]:
-    """Positions of ``a`` on a longest common subsequence of both."""
+    """Positions of ``a`` on a longest common subsequence of both.  Of the bit
+    rows about the square root of their number is kept; the way back rebuilds
+    the others a stretch at a time."""
     lo = 0
     while lo < min(len(a), len(b)) and a[lo] == b[lo]:
         lo += 1
     hi = 0
     while hi < min(len(a), len(b)) - lo and a[-1 - hi] == b[-1 - hi]:
         hi += 1
-    x, y = a[lo:len(a) - hi], b[lo:len(b) - hi]
+    # A line that the other side lacks is on no common subsequence.
+    either = set(a[lo:len(a) - hi]) & set(b[lo:len(b) - hi])
+    at = [k for k in range(lo, len(a) - hi) if a[k] in either]
+    y = [v for v in b[lo:len(b) - hi] if v in either]
     out = list(range(lo)) + list(range(len(a) - hi, len(a)))
-    if x and y:
-        where: dict[int, int] = {}
-        for k, v in enumerate(x):
-            where[v] = where.get(v, 0) | 1 << k
-        full = (1 << len(x)) - 1
-        s, rows = full, []
-        for v in y:  # zero bits of the row count the common subsequence so far
-            u = s & where.get(v, 0)
-            s = ((s + u) | (s - u)) & full
-            rows.append(s)
-        i, j = len(y), len(x)
-        while i and j:
-            if rows[i - 1] >> (j - 1) & 1:
-                j -= 1
-            else:
-                i -= 1
-                if not i or rows[i - 1] >> (j - 1) & 1:
+    if at:
+        places: dict[int, list[int]] = {}
+        for k, i in enumerate(at):
+            places.setdefault(a[i], []).append(k)
+        where = {v: _bits(ks) for v, ks in places.items()}
+        full = (1 << len(at)) - 1
+
+        def after(s: int, lines: list[int]) -> Iterator[int]:
+            for v in lines:  # zero bits of the row count the common subsequence so far
+                u = s & where[v]
+                s = ((s + u) | (s - u)) & full
+                yield s
+
+        step = math.isqrt(len(y)) + 1
+        marks, s = [full], full
+        for n, s in enumerate(after(full, y), 1):
+            if n % step == 0:
+                marks.append(s)
+        j = len(at)
+        for k in range(len(marks) - 1, -1, -1):
+            if not j:
+                break
+            rows = [marks[k], *after(marks[k], y[k * step:(k + 1) * step])]  # rows[n]: after k * step + n lines
+            i = len(rows) - 1
+            while j and i:
+                if rows[i] >> (j - 1) & 1:
                     j -= 1
-                    out.append(lo + j)
+                elif rows[i - 1] >> (j - 1) & 1:  # this line of the other side brought it
+                    i, j = i - 1, j - 1
+                    out.append(at[j])
+                else:
+                    i -= 1
     return sorted(out)
 
 
+def _bits(places: list[int]) -> int:
+    """The number with these (ascending) bits set."""
+    raw = bytearray(places[-1] // 8 + 1)
+    for k in places:
+        raw[k >> 3] |= 1 << (k & 7)
+    return int.from_bytes(raw, "little")
+
+
 def host_and_path(url: str) -> tuple[str, str]:
     m = re.match(r"(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//([^/?#]*)([^?#]*)", url)
     return (m[1].rpartition("@")[2].lower(), m[2]) if m else ("", re.split(r"[?#]", url)[0])

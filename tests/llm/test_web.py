@@ -115,6 +115,32 @@ def test_shared_is_a_longest_common_subsequence():
         assert len(set(at)) == plain(a, b) and at == sorted(at) and all(any(a[k] == y for y in rest) for k in at)
 
 
+def test_long_pages_are_aligned_in_bounded_memory():
+    """Many lines that differ: few bit rows are held at a time."""
+    import tracemalloc
+    rng = random.Random(2)
+    a, b = ([rng.randrange(3_000) for _ in range(20_000)] for _ in range(2))
+    tracemalloc.start()
+    at = html.shared(a, b)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    rest = iter(b)
+    assert len(at) > 500 and at == sorted(set(at)) and all(any(a[k] == y for y in rest) for k in at)
+    assert peak < 25_000_000  # one row per line would take 50 MB
+    assert html.shared([1, 2, 3], [4, 5]) == [] and html.shared([], [1]) == [] and html.shared([7], [7]) == [0]
+
+
+def test_deep_pages_are_read_in_linear_time():
+    """Unclosed elements before as many blocks."""
+    import time
+    n = 40_000
+    page = "<b>" * n + "".join(f"<p>{k}" for k in range(n)) + "<div>" * n + "<ul><li>x" * n + "</i>" * n
+    began = time.perf_counter()
+    lines, regions = html.lines_of(page)
+    assert lines == [*map(str, range(n)), *["x"] * n] and set(regions) == {html.OPEN}
+    assert time.perf_counter() - began < 30
+
+
 def test_neighbours_lose_shared_lines(spark):
     """Pages without an article element: what near pages share goes, and the
     pairing does not depend on the number of partitions."""
