@@ -223,13 +223,24 @@ class Scorer:
         return float(0.0 - np.expm1((self.floor - np.logaddexp(0, self.sentences(text))).sum()))
 
     def locate(self, text: str, least: float) -> list[dict]:
-        """Spans of the sentences that score ``least`` or more."""
-        out = []
+        """Spans, in text order, of the sentences that score ``least`` or
+        more; where none does, of the strongest ones (ties: the earlier) up to
+        the first that brings their own noisy-or to ``least`` (if all stay
+        below it, of none)."""
+        found, total = [], 0.0
         for s in SENTENCE.finditer(text):
             z = self.sentences(s[0])
-            if len(z) and (p := float(0.0 - np.expm1(self.floor - np.logaddexp(0, z[0])))) >= least:
-                out.append({"start": s.start(), "end": s.end(), "score": p})
-        return out
+            if len(z) and (none := float(self.floor - np.logaddexp(0, z[0]))) < 0:
+                found.append((none, s.start(), s.end()))
+        enough = [x for x in found if 0.0 - np.expm1(x[0]) >= least]
+        if not enough:
+            for k, x in enumerate(found := sorted(found), 1):
+                total += x[0]
+                if 0.0 - np.expm1(total) >= least:
+                    enough = found[:k]
+                    break
+        return [{"start": a, "end": b, "score": float(0.0 - np.expm1(none))}
+                for none, a, b in sorted(enough, key=lambda x: x[1:])]
 
 
 def _score(weights: dict[int, float], bias: float, least: float):
@@ -249,7 +260,9 @@ def _score(weights: dict[int, float], bias: float, least: float):
 def score(docs: DataFrame, model: tuple[dict[int, float], float], least: float = 0.5, id_col: str = "doc_id",
           text_col: str = "text") -> DataFrame:
     """``(doc_id, score, offending)``: ``offending`` has the spans (code
-    points) and scores of the sentences at or above ``least``."""
+    points) and scores of the sentences at or above ``least`` in documents at
+    or above it, and where there are none, of the strongest sentences that
+    reach it together."""
     ship_package(docs.sparkSession)
     rows = spread(docs.select(F.col(f"`{id_col}`").alias("doc_id"), text_or_empty(text_col).alias("t")))
     kind = rows.schema["doc_id"].dataType.simpleString()

@@ -140,6 +140,22 @@ def test_long_clean_texts_are_not_toxic(toxic_docs):
     assert scorer.score(plain) == 0
 
 
+def test_every_positive_text_has_offending_sentences():
+    """Weak sentences that add up: the strongest that reach it together."""
+    weak, mild = (zlib.crc32(f"^{w}$".encode()) for w in ("weak", "mild"))
+    s = toxicity.Scorer({weak: 4.0, mild: 2.0}, -5.0)
+    text = "All fine. So mild. So weak! Nothing. Weak, weak. " + "A weak one. " * 2
+    by = [0.0 - math.expm1(s.floor - math.log1p(math.exp(z))) for z in (-1.0, 3.0)]
+    got = s.locate(text, 0.5)  # one sentence is enough by itself
+    assert [text[x["start"]:x["end"]].strip() for x in got] == ["Weak, weak"] and got[0]["score"] == pytest.approx(by[1])
+    text = "All fine. So mild. So weak! Nothing. " + "A weak one. " * 3
+    assert s.score(text) >= 0.5 > by[0]
+    got = s.locate(text, 0.5)
+    assert [text[x["start"]:x["end"]].strip() for x in got] == ["So weak", "A weak one", "A weak one"]
+    assert 1 - math.prod(1 - x["score"] for x in got) >= 0.5 > 1 - math.prod(1 - x["score"] for x in got[:2])
+    assert s.locate("So weak! So mild.", 0.5) == [] and s.locate("", 0.5) == []
+
+
 def test_whole_long_texts_are_sampled(spark):
     rng = random.Random(9)
     rows = [prose(rng, 30_000), prose(rng, 50) + " vilesome.", prose(rng, 50)]
