@@ -59,6 +59,7 @@ MIN_PROBABILITY = 1e-12
 TREE_MAX_DEPTH = 5
 TREE_BRANCH_FACTOR = 2
 TREE_MAX_SUBTOKENS_PER_WORD = 4
+TREE_CSV_BUCKETS = 64
 TREE_ROOT_PIECE = "<ROOT>"
 
 NEURAL_CONTEXT_SIZE = 4

@@ -181,6 +181,24 @@ def prefix_rows(lines: DataFrame, key_cols: list[str], line_col: str = "line") -
                 F.expr("substring(_s, 1, plen)").alias("prefix"))
 
 
+def prefix_pieces(lines: DataFrame, key_cols: list[str], vocab: DataFrame, vocab_bound: int | None = None,
+                  line_col: str = "line") -> DataFrame:
+    """C4 with its tokens: ``(*key_cols, plen, pieces, ids)`` for every prefix
+    of every stripped line, by words.  All words of a prefix but the last
+    are words of the line, so a line's ids are looked up once, and only the
+    last, possibly unfinished, word of each prefix beside them."""
+    whole = lines.select(*key_cols, F.posexplode(T.word_tokens(T.strip(line_col))).alias("_pos", "_w"))
+    ids = (join_pieces(whole, "_w", vocab, vocab_bound)
+           .groupBy(*key_cols).agg(F.transform(
+               F.array_sort(F.collect_list(F.struct("_pos", F.coalesce("id", F.lit(K.UNK_ID)).alias("id")))),
+               lambda x: x["id"]).alias("_ids")))  # one line's words
+    pre = (prefix_rows(lines, key_cols, line_col).withColumn("pieces", T.word_tokens(T.strip("prefix")))
+           .withColumn("_last", F.element_at("pieces", -1)).drop("prefix"))
+    last = join_pieces(pre, "_last", vocab, vocab_bound)
+    return last.join(ids, key_cols).select(
+        *key_cols, "plen", "pieces",
+        F.concat(F.slice("_ids", 1, F.size("pieces") - 1), F.array(F.coalesce("id", F.lit(K.UNK_ID)))).alias("ids"))
+
 def bigram_to_ids(bigram: DataFrame, vocab: DataFrame, vocab_bound: int | None,
                   first_ids: DataFrame | None = None, first_bound: int | None = None) -> DataFrame:
     """Re-key a string bigram model by id: ``<BOS>`` -> -1, ``<EOS>`` ->

@@ -78,6 +78,21 @@ def q_lines_normalized(spark, sf):
 
 # ----------------------------------------------------------------- C5 B5
 
+CJK_MARKED = f"translate(text, '.,()[]', '{K.NORMALIZE_DELETE}')"
+
+
+@register("lines_normalized_marks", f"""
+WITH d AS (SELECT doc_id, regexp_split_to_array({CJK_MARKED}, '{S.NL}') AS parts FROM documents),
+l AS (SELECT doc_id, parts, unnest(generate_series(1, len(parts))) AS i FROM d)
+SELECT doc_id, CAST(i - 1 AS INTEGER) AS line_no, {S.normalize('parts[i]')} AS line FROM l
+WHERE length({S.normalize('parts[i]')}) > 0""")
+def q_lines_normalized_marks(spark, sf):
+    """B3 on the corpus with its stops, commas and brackets as the marks that
+    normalising deletes (the texts themselves hold none)."""
+    marked = docs(spark, sf).withColumn("text", F.expr(CJK_MARKED))
+    return L.clean_lines(L.read_lines(marked), normalize=True)
+
+
 @register("vocab_ids", f"""
 WITH {S.VOCAB}
 SELECT id, piece, round(score, 6) AS score, cnt, cacheable FROM vocab""")
@@ -138,6 +153,41 @@ def q_prompt_rejects(spark, sf):
     return PR.split_requests(requests(spark, sf))[1]
 
 
+LINE_REQUESTS_SQL = f"""
+WITH {S.RAW_LINES},
+req AS (SELECT doc_id::BIGINT * {PROMPT_TURNS} + line_no AS prompt_id, line AS prompt,
+               CASE line_no % 4 WHEN 1 THEN 0.5 WHEN 2 THEN 0.0 WHEN 3 THEN 1.25 END::DOUBLE AS temperature,
+               CASE WHEN line_no % 3 > 0 THEN 10 * (line_no % 3) END::INTEGER AS top_k,
+               CASE WHEN line_no % 5 > 0 THEN line_no % 5 END::INTEGER AS max_tokens FROM raw_lines)"""
+
+
+def line_requests(spark, sf):
+    """Every raw line of the corpus, blank ones included, as a request; some
+    settings are set by the line number and some are left out."""
+    n = F.col("line_no")
+    return L.read_lines(docs(spark, sf)).select(
+        (F.col("doc_id").cast("bigint") * PROMPT_TURNS + n).alias("prompt_id"), F.col("line").alias("prompt"),
+        F.when(n % 4 == 1, 0.5).when(n % 4 == 2, 0.0).when(n % 4 == 3, 1.25).alias("temperature"),
+        F.when(n % 3 > 0, 10 * (n % 3)).alias("top_k"), F.when(n % 5 > 0, n % 5).alias("max_tokens"))
+
+
+@register("line_requests", f"""{LINE_REQUESTS_SQL}
+SELECT prompt_id, prompt, coalesce(max_tokens, {K.GEN_MAX_TOKENS}) AS max_tokens, coalesce(top_k, {K.GEN_TOP_K}) AS top_k,
+       coalesce(temperature, {K.GEN_TEMPERATURE}) AS temperature, {K.GEN_MIN_LEN_BEFORE_EOS} AS min_len_before_eos,
+       {K.CACHE_ALPHA}::DOUBLE AS cache_alpha, {K.CACHE_RECENT_WINDOW} AS cache_recent_window
+FROM req WHERE length({S.strip('prompt')}) > 0 AND (temperature IS NULL OR temperature > 0)""")
+def q_line_requests(spark, sf):
+    return PR.split_requests(line_requests(spark, sf))[0].select(*REQ_COLS.split(", "))
+
+
+@register("line_rejects", f"""{LINE_REQUESTS_SQL}
+SELECT prompt_id, prompt, CASE WHEN length({S.strip('prompt')}) = 0 THEN '{K.REJECT_REASON_PROMPT}'
+       ELSE 'temperature must be positive' END AS reason
+FROM req WHERE length({S.strip('prompt')}) = 0 OR temperature <= 0""")
+def q_line_rejects(spark, sf):
+    return PR.split_requests(line_requests(spark, sf))[1]
+
+
 # ------------------------------------------------------------- C2 C4
 
 @register("tokens_word", f"""
@@ -183,6 +233,27 @@ def q_prefix_tokens(spark, sf):
                       F.size(toks).alias("n_tokens"), F.element_at(toks, -1).alias("last_token"))
 
 
+@register("prefix_pieces", f"""
+WITH {S.VOCAB},
+l0 AS (SELECT conv_id, turn, regexp_split_to_array(text, '{S.NL}') AS parts FROM conversations),
+l1 AS (SELECT conv_id, turn, parts, unnest(generate_series(1, len(parts))) AS i FROM l0),
+l2 AS (SELECT conv_id, turn, CAST(i - 1 AS INTEGER) AS line_no, {S.strip('parts[i]')} AS s FROM l1),
+p0 AS (SELECT conv_id, turn, line_no, s, unnest(generate_series(1, length(s))) AS plen FROM l2 WHERE length(s) > 0),
+p1 AS (SELECT conv_id, turn, line_no, CAST(plen AS INTEGER) AS plen, {S.words(S.strip('substring(s, 1, plen)'))} AS ws FROM p0),
+p2 AS (SELECT conv_id, turn, line_no, plen, unnest(ws) AS piece, generate_subscripts(ws, 1) AS pos FROM p1)
+SELECT conv_id, turn, line_no, plen, string_agg(piece, ' ' ORDER BY pos) AS pieces,
+       string_agg(coalesce(v.id, 0)::VARCHAR, ',' ORDER BY pos) AS ids
+FROM p2 LEFT JOIN (SELECT piece, id FROM vocab WHERE id >= 3) v USING (piece) GROUP BY 1, 2, 3, 4""")
+def q_prefix_pieces(spark, sf):
+    conv = L.read_table(spark, sf, "conversations").select("conv_id", "turn", "text")
+    lines = L.spread(conv).select("conv_id", "turn", F.posexplode(T.split_lines("text")).alias("line_no", "line")) \
+        .withColumn("line_no", F.col("line_no").cast("int"))
+    v = vocab(spark, sf)
+    out = VO.prefix_pieces(lines, ["conv_id", "turn", "line_no"], v, bound(v))
+    return out.select("conv_id", "turn", "line_no", "plen", F.array_join("pieces", " ").alias("pieces"),
+                      F.array_join(F.transform("ids", lambda x: x.cast("string")), ",").alias("ids"))
+
+
 # ------------------------------------------------------------- E1-E6
 
 TOP_K = K.GEN_TOP_K
@@ -572,7 +643,16 @@ def rounded_nodes(nodes):
     return out
 
 
-@register("tree_nodes")
+TREE_SQL = f"""
+WITH RECURSIVE {PROMPTS_SQL}, {S.TRIGRAM}, {S.BIGRAM_IDS}, {S.PROMPT_BASE},
+{S.tree_sql(TOP_K, K.TREE_BRANCH_FACTOR, K.CACHE_ALPHA, K.GEN_TEMPERATURE, K.CACHE_RECENT_WINDOW,
+            K.GEN_MIN_LEN_BEFORE_EOS, K.TREE_MAX_SUBTOKENS_PER_WORD, K.TREE_MAX_DEPTH)}"""
+
+
+@register("tree_nodes", f"""{TREE_SQL}
+SELECT prompt_id, node_id, parent_id, depth, choice_rank, token_id, piece, round(count, 6) AS count,
+       round(score, 6) AS score, round(probability, 6) AS probability,
+       round(cumulative_score, 6) AS cumulative_score, text, is_terminal FROM tree""")
 def q_tree_nodes(spark, sf):
     return rounded_nodes(tree_nodes(spark, sf))
 
@@ -591,7 +671,12 @@ def q_tree_depth1(spark, sf):
     return rounded_nodes(tree_nodes(spark, sf, max_depth=1))
 
 
-@register("tree_csv")
+TREE_TOKEN_SQL = S.strip_symbols(f"replace(piece, '{K.SPACE_MARK}', '')")
+
+
+@register("tree_csv", f"""{TREE_SQL}
+SELECT prompt_id, node_id, CASE WHEN depth = 0 THEN text
+       WHEN is_terminal AND length({TREE_TOKEN_SQL}) = 0 THEN '{K.EOS_PIECE}' ELSE {TREE_TOKEN_SQL} END AS token FROM tree""")
 def q_tree_csv(spark, sf):
     from gramloom.plans.tree import csv_tokens
     return csv_tokens(tree_nodes(spark, sf))
@@ -599,17 +684,20 @@ def q_tree_csv(spark, sf):
 
 # ------------------------------------------------------------- A5-A9 A12
 
-@register("tree_json")
+@register("tree_json", f"""{TREE_SQL}
+SELECT prompt_id, '{{"model_type":"trigram","output_csv":"tree_csv/bucket='
+       || (('0x' || substr(md5(prompt_id::VARCHAR), 1, 8))::BIGINT % {K.TREE_CSV_BUCKETS})::VARCHAR
+       || '","node_count":' || count(*)::VARCHAR || '}}' AS json
+FROM tree GROUP BY prompt_id""")
 def q_tree_json(spark, sf):
-    """A11 + A12: write every prompt's tree CSV, then one JSON summary row
-    per prompt (model type, CSV folder, node count)."""
-    from gramloom.plans.tree import tree_summary, write_tree_csv
-    from gramloom.session import cut_lineage as _cut
+    """A11 + A12: write all trees as CSV in buckets of prompts, read them
+    back, then one JSON summary row per prompt (model type, folder below the
+    output folder, node count)."""
+    from gramloom.plans.tree import read_tree_buckets, summary_of_buckets, write_tree_buckets
     from gramloom.sources import store as ST
-    nodes = _cut(tree_nodes(spark, sf))
     path = ST.scratch_path(spark, "tree_csv")
-    write_tree_csv(nodes, path)
-    return tree_summary(nodes, "trigram", path)
+    write_tree_buckets(tree_nodes(spark, sf), path)
+    return summary_of_buckets(read_tree_buckets(spark, path, "bigint"), "trigram", "tree_csv")
 
 
 @register("shard_lookup", f"""
@@ -637,6 +725,44 @@ def q_store_roundtrip(spark, sf):
     return spark.read.parquet(path).select("w1", "w2", "w3", "cnt")
 
 
+@register("bigram_store", ORACLE["bigram_counts"])
+def q_bigram_store(spark, sf):
+    """A3: write the bigram model and read it back."""
+    from gramloom.sources import store as ST
+    path = ST.scratch_path(spark, "bigram")
+    ST.write_bigram(QUERIES["bigram_counts"](spark, sf), path)
+    return spark.read.parquet(path)
+
+
+@register("counts_export", f"""
+{TRIGRAM_SQL}
+SELECT w1, w2, w3, cnt FROM trigram""")
+def q_counts_export(spark, sf):
+    """Replace the flat counts table (keys checked) and read it."""
+    from uuid import uuid4
+
+    from gramloom.sources import store as ST
+    name = f"counts_{uuid4().hex[:12]}"
+    ST.export_counts_table(cut_lineage(trigram(spark, sf)), name, ST.scratch_path(spark, "counts_table"))
+    return spark.table(name)
+
+
+@register("shards_appended", f"""
+{TRIGRAM_SQL}
+SELECT w1, w2, w3, cnt FROM trigram""")
+def q_shards_appended(spark, sf):
+    """Reset the shards with one half of the model, keep them and add the
+    other half, read all back."""
+    from gramloom.sources import store as ST
+    path = ST.scratch_path(spark, "appended_shards")
+    model = cut_lineage(trigram(spark, sf))
+    half = F.pmod("w3", F.lit(2)) == 0
+    ST.write_sharded(model.filter(~half), path, SHARDS)  # replaced by the next write
+    ST.write_sharded(model.filter(half), path, SHARDS)
+    ST.write_sharded(model.filter(~half), path, SHARDS, mode="append")
+    return ST.read_sharded(spark, path).select("w1", "w2", "w3", "cnt")
+
+
 @register("generation_json", f"""{SAMPLED_SQL}
 SELECT prompt_id, to_json({{'text': text, 'model_type': 'trigram'}})::VARCHAR AS json FROM gen_out""")
 def q_generation_json(spark, sf):

@@ -302,3 +302,80 @@ tree1 AS (
          w.cnt, w.prob, w.prob, w.cum,
          {strip_symbols("array_to_string(list_concat(g.pieces, w.added), ' ')")}, w.term
   FROM grown w JOIN gbase g USING (prompt_id))"""
+
+
+def tree_sql(top_k: int, branch: int, alpha: float, temperature: float, window: int,
+             min_len: int, max_sub: int, max_depth: int) -> str:
+    """Prediction trees down to ``max_depth`` as one recursive CTE.  A row of
+    ``grown`` is a node in one of three states: ``g`` still grows its word,
+    ``n`` is a finished node that may have children, ``t`` ends with the end
+    token.  One step gives each ``n`` row its first ``branch`` children and
+    each ``g`` row its next piece; the word is finished by a test of its text,
+    by a miss, by the end token or after ``max_sub`` pieces.  ``path`` holds
+    the choice ranks from the root, so node ids are positions by (depth,
+    path).  Needs ``gbase``, ``trigram``, ``bigram_ids`` and ``vocab``;
+    defines ``tree``."""
+    cache = (f"coalesce(list_sum(list_transform([x.id FOR x IN s.ctx[-{window}:] IF x.c], "
+             f"lambda x, i: CASE WHEN x = c.w3 THEN i / len([y.id FOR y IN s.ctx[-{window}:] IF y.c]) ELSE 0.0 END)), 0.0)"
+             f" + sqrt(len(list_filter(s.ctx, lambda x: x.c AND x.id = c.w3)))")
+    return f"""
+tri_ctx AS (SELECT DISTINCT w1, w2 FROM trigram),
+elig_all AS (SELECT 't' AS src, w1 AS k1, w2 AS k2, w3, cnt FROM trigram
+             UNION ALL SELECT 'b', w1, -999, w2, cnt FROM bigram_ids),
+cand_all AS (SELECT e.src, e.k1, e.k2, e.w3, e.cnt,
+                    CASE WHEN e.w3 = {K.EOS_ID} THEN '{K.EOS_PIECE}' WHEN e.w3 = 0 THEN '{K.UNK_SURFACE}' ELSE v.piece END AS piece,
+                    coalesce(v.cacheable, false) AS cacheable,
+                    row_number() OVER (PARTITION BY e.src, e.k1, e.k2 ORDER BY e.cnt DESC, e.w3 ASC) AS pos
+             FROM elig_all e LEFT JOIN vocab v ON v.id = e.w3
+             WHERE e.w3 <> {K.BOS_ID} AND (e.w3 = {K.EOS_ID} OR coalesce(v.cacheable, false))
+             QUALIFY pos <= {top_k}),
+grown(prompt_id, path, state, depth, token_id, ctx, pieces, added, prob, cnt, before, cum, it) AS (
+  SELECT prompt_id, []::BIGINT[], 'n', 0, NULL::INTEGER, ctx, pieces, []::VARCHAR[],
+         1.0::DOUBLE, 0.0::DOUBLE, 1.0::DOUBLE, 0.0::DOUBLE, 0
+  FROM gbase
+  UNION ALL
+  SELECT prompt_id,
+         CASE WHEN state = 'n' THEN list_append(path, rk) ELSE path END,
+         CASE WHEN state = 'n' AND w3 = {K.EOS_ID} THEN 't' WHEN ext THEN 'g' ELSE 'n' END,
+         CASE WHEN state = 'n' THEN depth + 1 ELSE depth END,
+         CASE WHEN state = 'n' THEN w3 ELSE token_id END,
+         CASE WHEN ext THEN list_append(ctx, {{'id': w3, 'c': cacheable}}) ELSE ctx END,
+         CASE WHEN ext THEN list_append(pieces, piece) ELSE pieces END,
+         CASE WHEN state = 'n' AND ext THEN [piece] WHEN state = 'n' THEN []::VARCHAR[]
+              WHEN ext THEN list_append(added, piece) ELSE added END,
+         CASE WHEN state = 'n' THEN p WHEN ext THEN prob * p ELSE prob END,
+         CASE WHEN w3 IS NOT NULL THEN ccnt::DOUBLE ELSE cnt END,
+         CASE WHEN state = 'n' THEN before * prob ELSE before END,
+         CASE WHEN state = 'n' OR ext THEN cum - ln(greatest(p, {K.MIN_PROBABILITY})) ELSE cum END,
+         CASE WHEN state = 'n' THEN 0 ELSE it + 1 END
+  FROM (
+    SELECT r.*, (r.w3 IS NOT NULL AND r.w3 <> {K.EOS_ID}) AS ext,
+           r.e / sum(r.e) OVER (PARTITION BY r.prompt_id, r.path) AS p,
+           row_number() OVER (PARTITION BY r.prompt_id, r.path ORDER BY r.lw DESC NULLS LAST, r.pos) AS rk
+    FROM (
+      SELECT t.*, exp(t.lw - max(t.lw) OVER (PARTITION BY t.prompt_id, t.path)) AS e
+      FROM (
+        SELECT s.*, c.w3, c.cnt AS ccnt, c.pos, c.piece, c.cacheable,
+               ln(greatest(c.cnt::DOUBLE
+                   * (CASE WHEN c.w3 = {K.EOS_ID} THEN
+                        (CASE WHEN (CASE WHEN s.state = 'n' THEN s.depth ELSE len(s.added) END) < {min_len}
+                              THEN {K.EOS_EARLY_FACTOR} ELSE {K.EOS_LATE_FACTOR} END) ELSE 1.0 END)
+                   * (1.0 + {alpha} * ({cache})), {K.MIN_WEIGHT})) / greatest({temperature}, {K.MIN_TEMPERATURE}) AS lw
+        FROM (SELECT *, (state = 'n' OR (it < {max_sub - 1} AND NOT {word_like(strip_symbols("array_to_string(added, ' ')"))})) AS look
+              FROM grown WHERE state = 'g' OR (state = 'n' AND depth < {max_depth})) s
+        LEFT JOIN tri_ctx tc ON tc.w1 = s.ctx[-2].id AND tc.w2 = s.ctx[-1].id
+        LEFT JOIN cand_all c ON s.look
+                            AND c.src = CASE WHEN tc.w1 IS NULL THEN 'b' ELSE 't' END
+                            AND c.k1 = CASE WHEN tc.w1 IS NULL THEN s.ctx[-1].id ELSE s.ctx[-2].id END
+                            AND c.k2 = CASE WHEN tc.w1 IS NULL THEN -999 ELSE s.ctx[-1].id END) t) r) q
+  WHERE q.rk <= CASE WHEN q.state = 'n' THEN {branch} ELSE 1 END AND (q.state = 'g' OR q.w3 IS NOT NULL)
+),
+numbered AS (SELECT *, CAST(row_number() OVER (PARTITION BY prompt_id ORDER BY depth, path) - 1 AS INTEGER) AS node_id
+             FROM grown WHERE state <> 'g'),
+tree AS (SELECT n.prompt_id, n.node_id, u.node_id AS parent_id, n.depth, CAST(coalesce(n.path[-1], 0) AS INTEGER) AS choice_rank,
+                n.token_id,
+                CASE WHEN n.depth = 0 THEN '{K.TREE_ROOT_PIECE}' WHEN n.state = 't' THEN '{K.EOS_PIECE}'
+                     ELSE {strip_symbols("array_to_string(n.added, ' ')")} END AS piece,
+                n.cnt AS count, n.before * n.prob AS score, n.prob AS probability, n.cum AS cumulative_score,
+                {strip_symbols("array_to_string(n.pieces, ' ')")} AS text, n.state = 't' AS is_terminal
+         FROM numbered n LEFT JOIN numbered u ON u.prompt_id = n.prompt_id AND n.depth > 0 AND u.path = n.path[:-2])"""

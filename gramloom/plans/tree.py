@@ -11,7 +11,7 @@ holds at most ``branch_factor ** depth`` rows)."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gramloom import constants as K
@@ -187,6 +187,35 @@ def write_tree_csv(nodes: DataFrame, path: str) -> None:
      .option("header", True).option("escape", '"').csv(path))
 
 
+def bucket_of(prompt_id, buckets: int = K.TREE_CSV_BUCKETS) -> Column:
+    """Bucket of a prompt, from md5 (any store can compute it)."""
+    return F.conv(F.substring(F.md5(prompt_id.cast("string")), 1, 8), 16, 10).cast("long") % buckets
+
+
+def write_tree_buckets(nodes: DataFrame, path: str, buckets: int = K.TREE_CSV_BUCKETS) -> None:
+    """A11 for many prompts: at most ``buckets`` folders (``bucket=<n>/``), however
+    many prompts; columns ``prompt_id, node_id, token`` in that order.
+    A bucket is dealt by prompt, so no task gets a whole one."""
+    rows = csv_tokens(nodes).withColumn("bucket", bucket_of(F.col("prompt_id"), buckets))
+    (rows.repartition("bucket", "prompt_id").sortWithinPartitions("bucket", "prompt_id", "node_id")
+     .write.mode("overwrite").partitionBy("bucket").option("header", True).option("escape", '"').csv(path))
+
+
+def read_tree_buckets(spark, path: str, id_type: str = "string") -> DataFrame:
+    """``(prompt_id, node_id, token, bucket)`` of a folder of buckets."""
+    return (spark.read.schema(f"prompt_id {id_type}, node_id int, token string, bucket long")
+            .option("header", True).option("escape", '"').option("multiLine", True).csv(path))
+
+
+def summary_of_buckets(rows: DataFrame, model_type: str, output_csv: str) -> DataFrame:
+    """A12 from the written rows: one JSON summary per prompt."""
+    cnt = rows.groupBy("prompt_id", "bucket").agg(F.count(F.lit(1)).alias("node_count"))
+    return cnt.select("prompt_id", F.to_json(F.struct(
+        F.lit(model_type).alias("model_type"),
+        F.concat(F.lit(output_csv.rstrip("/") + "/bucket="), F.col("bucket").cast("string")).alias("output_csv"),
+        "node_count")).alias("json"))
+
+
 def tree_summary(nodes: DataFrame, model_type: str, output_csv: str) -> DataFrame:
     """``{"model_type", "output_csv", "node_count"}`` per prompt."""
     cnt = nodes.groupBy("prompt_id").agg(F.count(F.lit(1)).alias("node_count"))

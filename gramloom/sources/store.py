@@ -63,14 +63,15 @@ def duplicate_keys(model: DataFrame, keys=("w1", "w2", "w3")) -> DataFrame:
     return model.groupBy(*keys).count().filter(F.col("count") > 1)
 
 
-def export_counts_table(model: DataFrame, name: str) -> None:
-    """Replace the flat ``(w1, w2, w3, cnt)`` table; raises if a key
-    occurs twice."""
+def export_counts_table(model: DataFrame, name: str, path: str | None = None) -> None:
+    """Replace the flat ``(w1, w2, w3, cnt)`` table (its files in
+    ``path``, default the warehouse); raises if a key occurs twice."""
     flat = model.select(F.col("w1").cast("int"), F.col("w2").cast("int"), F.col("w3").cast("int"),
                         F.col("cnt").cast("bigint"))
     if not duplicate_keys(flat).isEmpty():
         raise ValueError("the model has a (w1, w2, w3) key more than once")
-    flat.write.mode("overwrite").saveAsTable(name)
+    writer = flat.write.mode("overwrite")
+    (writer.option("path", path) if path else writer).saveAsTable(name)
 
 
 def write_sharded(model: DataFrame, path: str, num_shards: int = K.DEFAULT_NUM_SHARDS,

@@ -2,6 +2,7 @@
 CSV rows, flat export, neural save/load."""
 import csv
 import glob
+import json
 import os
 import re
 
@@ -73,6 +74,23 @@ def test_tree_csv_file(spark):
     assert rows == [["token"], ['say "hi"'], ["ab"], ["EOS"], [""]]
 
 
+def test_tree_buckets(spark):
+    """Folders stay few however many prompts; marks inside tokens survive."""
+    from gramloom.plans.tree import read_tree_buckets, summary_of_buckets, write_tree_buckets
+    rows = [(p, n, None if n == 0 else 0, None if n == 0 else 7, "<ROOT>" if n == 0 else f"w{n}", f'say "{p}",\nnow', False)
+            for p in range(40) for n in range(p % 3 + 1)]
+    nodes = spark.createDataFrame(
+        rows, "prompt_id long, node_id int, parent_id int, token_id int, piece string, text string, is_terminal boolean")
+    path = ST.scratch_path(spark, "buckets")
+    write_tree_buckets(nodes, path, buckets=4)
+    assert len(glob.glob(os.path.join(path.replace("file:", ""), "bucket=*"))) <= 4
+    got = read_tree_buckets(spark, path, "bigint")
+    want = {(r[0], r[1], r[5] if r[1] == 0 else r[4]) for r in rows}
+    assert {(r["prompt_id"], r["node_id"], r["token"]) for r in got.collect()} == want
+    by = {r["prompt_id"]: json.loads(r["json"]) for r in summary_of_buckets(got, "trigram", "out/").collect()}
+    assert len(by) == 40 and all(by[p]["node_count"] == p % 3 + 1 and by[p]["output_csv"].startswith("out/bucket=") for p in by)
+
+
 def test_neural_save_load(spark):
     from gramloom.plans import neural as N
     cfg = N.NeuralConfig(vocab_size=11, embed_dim=4, hidden_dim=5, bos_token_id=10)
