@@ -63,10 +63,12 @@ MORE_RULES = (
     Rule("slack", "xox[abeoprs]-[A-Za-z0-9-]{10,}"),
     Rule("google", "AIza[A-Za-z0-9_-]{35,}"),
     Rule("jwt", "eyJ[A-Za-z0-9_-]{8,}\\.eyJ[A-Za-z0-9_-]{8,}\\.[A-Za-z0-9_-]{8,}"),
-    # The whole block; without an END line the base64 lines that follow.
-    Rule("private_key", "-----BEGIN [A-Z ]*PRIVATE KEY-----(?:\\s*(?:Proc-Type|DEK-Info|Comment|Version): [^\\n]*){0,8}"
+    # The whole block; without an END line the base64 lines that follow, however
+    # many.  Possessive loops run without recursion, and nothing after them
+    # could need a line back.
+    Rule("private_key", "-----BEGIN [A-Z ]*PRIVATE KEY-----(?:\\s*(?:Proc-Type|DEK-Info|Comment|Version): [^\\n]*)*+"
                         "(?:[A-Za-z0-9+/=\\s\\\\]*+-----END [A-Z ]*PRIVATE KEY-----|"
-                        "(?:\\s*\\n[A-Za-z0-9+/=]{16,}){0,1000}(?:\\s*\\n[A-Za-z0-9+/]+={1,2})?)", version=2),
+                        "(?:\\s*\\n[A-Za-z0-9+/=]{16,})*+(?:\\s*\\n[A-Za-z0-9+/]+={1,2})?)", version=3),
 )
 RULES = BASE_RULES + MORE_RULES
 

@@ -12,9 +12,14 @@ from tests.llm.data import awkward, documents, empty, prose, texts
 TOKEN = re.compile(r"[^\W_]+")
 
 
-def shingles(t):
+def shingles(t, n=5):
     w = TOKEN.findall((t or "").lower())
-    return {tuple(w[k:k + 5]) for k in range(len(w) - 4)}
+    return {tuple(w[k:k + n]) for k in range(len(w) - n + 1)}
+
+
+def length(item):
+    """Words of an item's shingles: a short item is one shingle."""
+    return min(5, max(1, len(TOKEN.findall((item or "").lower()))))
 
 
 @pytest.fixture(scope="module")
@@ -38,11 +43,13 @@ def leaky(spark):
 def plain_leaks(docs, items):
     out = {}
     for i in items:
-        s = shingles(i["text"])
+        n = length(i["text"])
+        s = shingles(i["text"], n)
         for d in docs:
-            if s and len(s & shingles(d["text"])) >= 0.8 * len(s) - 1e-9:
+            own = shingles(d["text"], n)
+            if s and len(s & own) >= 0.8 * len(s) - 1e-9:
                 k = (str(d["doc_id"]), str(i["item_id"]))
-                out[k] = max(out.get(k, 0), round(len(s & shingles(d["text"])) / len(s), 9))
+                out[k] = max(out.get(k, 0), round(len(s & own) / len(s), 9))
     return out
 
 
@@ -62,14 +69,30 @@ def test_leaks_without_broadcast(leaky, monkeypatch):
 
 def test_remove_leaks_keeps_the_clean(leaky):
     docs, items = leaky
-    all_items = [i for i in items.collect() if shingles(i["text"])]
-    clean = [r for r in docs.collect() if not any(
-        len(shingles(i["text"]) & shingles(r["text"])) >= 0.8 * len(shingles(i["text"])) for i in all_items)]
+    bad = {d for d, _ in plain_leaks(docs.collect(), items.collect())}
+    clean = [r for r in docs.collect() if str(r["doc_id"]) not in bad]
     kept = decontaminate.remove_leaks(docs, items)
     assert kept.dtypes == docs.dtypes
     assert sorted(map(str, kept.collect())) == sorted(map(str, clean))
 
 
+def test_items_of_few_words_are_searched(spark):
+    items = [(1, "Four short words only"), (2, "two words"), (3, "Zebra!"), (4, "..."), (5, None), (6, "a b c d e"), (2, "zebra two")]
+    frame = spark.createDataFrame(items, "item_id long, text string")
+    docs = documents(spark, ["here FOUR, short words; only these", "short words only", "Two words", "two other words",
+                             "zebras", "a zebra two times", "a b c d e f", "a b c d", "", None, "zebra", "zebra " * 3000])
+    got = {(str(r["doc_id"]), str(r["item_id"])): r["containment"] for r in decontaminate.leaks(docs, frame).collect()}
+    assert got == plain_leaks(docs.collect(), frame.collect())
+    assert sorted(got) == [("0", "1"), ("10", "3"), ("11", "3"), ("2", "2"), ("5", "2"), ("5", "3"), ("6", "6")]
+    assert {r["doc_id"] for r in decontaminate.remove_leaks(docs, frame).collect()} == {1, 3, 4, 7, 8, 9}
+
+
+def test_benchmark_columns_may_clash(spark, leaky):
+    docs, items = leaky
+    more = items.selectExpr("*", "'x' as h", "2 as words", "3 as n", "'y' as doc_id", "true as sketch", "1 as text_hash")
+    assert sorted(map(str, decontaminate.leaks(docs, more).collect())) == sorted(map(str, decontaminate.leaks(docs, items).collect()))
+
+
 def test_sketches_cannot_miss(leaky):
     _, items = leaky
     index = decontaminate.item_shingles(items).collect()
@@ -238,3 +261,13 @@ def test_whole_key_blocks_are_masked(spark, monkeypatch):
     for limit in (secrets.BROADCAST_BYTE_LIMIT, 0):  # with and without a broadcast
         monkeypatch.setattr(secrets, "BROADCAST_BYTE_LIMIT", limit)
         assert [r["text"] for r in secrets.redact(documents(spark, rows)).orderBy("doc_id").collect()] == want
+
+
+def test_long_keys_without_an_end_line_are_masked(spark):
+    line = "\n" + "aB3+/" * 12
+    headers = "".join(f"\nComment: number {k}" for k in range(20))
+    begin = "a\n-----BEGIN RSA PRIVATE KEY-----"
+    rows = [f"{begin}{line * 1500}\nQUJD==\nz", f"{begin}{headers}\n{line * 30000}\nz",
+            f"{begin}{headers}\n{line * 30000}\n-----END RSA PRIVATE KEY-----\nz", f"{begin}{' ' * 20000}\nwords"]
+    got = [r["text"] for r in secrets.redact(documents(spark, rows)).orderBy("doc_id").collect()]
+    assert got == [*["a\n[SECRET]\nz"] * 3, f"a\n[SECRET]{' ' * 20000}\nwords"]
