@@ -181,15 +181,28 @@ def partial_counts(docs: DataFrame, vocab: DataFrame, lines_per_chunk: int = K.D
     """Normalised non-blank lines numbered densely in source order are
     cut into chunks of ``lines_per_chunk``; counts per ``part_id``.
 
-    The numbering is exact and distributed: per-document valid line counts
-    get a bucketed prefix sum (``key_offsets``); no window runs over all
-    lines in one task."""
+    The numbering is exact and distributed and reads the text once
+    (``indexed_lines``); no window runs over all lines in one task."""
     per_doc = L.valid_doc_lines(docs, normalize=True, text_col=text_col)
     lines = L.indexed_lines(per_doc).withColumn(
         "part_id", F.floor(F.col("idx") / F.lit(lines_per_chunk)).cast("int"))
     return id_ngram_counts(lines, vocab, 3, 2, True, tokenizer, vocab_bound, by=["part_id"])
 
 
+def partial_stats(parts: DataFrame) -> DataFrame:
+    """D9 per chunk: ``(part_id, n_lines, n_samples, contexts, model_rows)``.
+    Every line ends in one end marker and every n-gram occurrence is a
+    sample, so the partial models hold all of it and no text is read again.
+    (Metrics observed inside the counting job would count the tasks of a
+    stage that runs again after a lost executor twice.)"""
+    per_ctx = parts.groupBy("part_id", "w1", "w2").agg(
+        F.sum(F.when(F.col("w3") == K.EOS_ID, F.col("cnt"))).alias("ends"),
+        F.sum("cnt").alias("c"), F.count(F.lit(1)).alias("nf"))
+    return per_ctx.groupBy("part_id").agg(
+        F.sum("ends").alias("n_lines"), F.sum("c").alias("n_samples"),
+        F.count(F.lit(1)).alias("contexts"), F.sum("nf").alias("model_rows"))
+
+
 def bigram_id_counts(lines: DataFrame, vocab: DataFrame, tokenizer: str = "word",
                      vocab_bound: int | None = None, line_col: str = "line",
                      first_ids: DataFrame | None = None, first_bound: int | None = None) -> DataFrame:

@@ -522,6 +522,21 @@ def q_trigram_partials(spark, sf):
     return C.partial_counts(docs(spark, sf), v, PART_LINES, vocab_bound=bound(v))
 
 
+@register("partial_stats", f"""
+WITH {S.CLEAN_LINES},
+chunked AS (SELECT CAST((row_number() OVER (ORDER BY doc_id, line_no) - 1) // {PART_LINES} AS INTEGER) AS part_id, line FROM norm_lines),
+ls AS (SELECT part_id, count(*)::BIGINT AS n_lines, sum(len({S.words('line')}) + 1)::BIGINT AS n_samples FROM chunked GROUP BY 1),
+padded AS (SELECT part_id, list_concat([NULL, NULL], {S.words('line')}, [chr(10)]) AS p FROM chunked),
+g AS (SELECT part_id, p, unnest(generate_series(1, len(p) - 2)) AS i FROM padded),
+m AS (SELECT DISTINCT part_id, p[i] AS w1, p[i + 1] AS w2, p[i + 2] AS w3 FROM g)
+SELECT part_id, n_lines, n_samples, contexts, model_rows FROM ls JOIN (
+    SELECT part_id, count(DISTINCT (w1, w2))::BIGINT AS contexts, count(*)::BIGINT AS model_rows FROM m GROUP BY 1) USING (part_id)""")
+def q_partial_stats(spark, sf):
+    """D9 per chunk, counted on the strings by the oracle."""
+    v = vocab(spark, sf)
+    return C.partial_stats(C.partial_counts(docs(spark, sf), v, PART_LINES, vocab_bound=bound(v)))
+
+
 @register("trigram_merged", f"""
 {TRIGRAM_SQL}
 SELECT w1, w2, w3, cnt FROM trigram""")

@@ -90,6 +90,22 @@ def valid_doc_lines(docs: DataFrame, normalize: bool = False, text_col: str = "t
 # Exact global positions without a single-partition window over all lines.
 # ---------------------------------------------------------------------------
 
+def _key_ranges(df: DataFrame, key: str, num_buckets: int) -> DataFrame:
+    """``df`` with ``_b``, the number of its key's range (null keys come
+    last).  At most ``num_buckets`` ranges are cut at approximate quantiles,
+    which read the key column only."""
+    probs = [i / num_buckets for i in range(1, num_buckets)]
+    cuts = sorted(set(df.select(key).approxQuantile(key, probs, 0.001))) if num_buckets > 1 else []
+    if not cuts:
+        return df.withColumn("_b", F.lit(0))
+    # JVM-side binary search over the (bounded) cut points.
+    from pyspark.ml.feature import Bucketizer
+    splits = [-float("inf")] + [float(c) for c in cuts] + [float("inf")]
+    return (Bucketizer(splits=splits, inputCol="_kd", outputCol="_bd")
+            .transform(df.withColumn("_kd", F.col(key).cast("double")))
+            .withColumn("_b", F.coalesce(F.col("_bd").cast("int"), F.lit(len(splits)))).drop("_kd", "_bd"))
+
+
 def key_offsets(counts: DataFrame, key: str = "doc_id", n: str = "n",
                 num_buckets: int = 1024) -> DataFrame:
     """For a table with one row per ``key`` and a count ``n``, return
@@ -99,18 +115,7 @@ def key_offsets(counts: DataFrame, key: str = "doc_id", n: str = "n",
     quantiles (balanced even if keys cluster).  Each range does its own
     running sum in parallel; the per-range totals (<= num_buckets rows, a
     proven bound) get a tiny running sum and are broadcast back."""
-    kc = counts.select(F.col(key).alias("_k"), F.col(n).cast("bigint").alias("_n"))
-    probs = [i / num_buckets for i in range(1, num_buckets)]
-    cuts = sorted(set(kc.approxQuantile("_k", probs, 0.001))) if num_buckets > 1 else []
-    if cuts:
-        # JVM-side binary search over the (bounded) cut points.
-        from pyspark.ml.feature import Bucketizer
-        splits = [-float("inf")] + [float(c) for c in cuts] + [float("inf")]
-        kb = Bucketizer(splits=splits, inputCol="_kd", outputCol="_bd").transform(
-            kc.withColumn("_kd", F.col("_k").cast("double"))
-        ).select("_k", "_n", F.col("_bd").cast("int").alias("_b"))
-    else:
-        kb = kc.withColumn("_b", F.lit(0))
+    kb = _key_ranges(counts.select(F.col(key).alias("_k"), F.col(n).cast("bigint").alias("_n")), "_k", num_buckets)
     within = kb.withColumn(
         "_within",
         F.sum("_n").over(Window.partitionBy("_b").orderBy("_k")
@@ -144,17 +149,31 @@ def _inner(lines_col: str):
     return F.slice(lines_col, 1, F.size(lines_col))
 
 
-def indexed_lines(per_doc: DataFrame, lines_col: str = "lines") -> DataFrame:
+def indexed_lines(per_doc: DataFrame, lines_col: str = "lines", num_buckets: int = 1024) -> DataFrame:
     """Explode ``(doc_id, lines ARRAY)`` into ``(doc_id, line_no, line, idx)``
     where ``idx`` is the dense 0-based position in (doc_id, line_no) order.
-    The offsets (one small row per document) are broadcast if the counted
-    documents are few enough, so that no text is shuffled; else joined by key."""
-    counts = per_doc.select("doc_id", F.size(lines_col).alias("n"))
-    offs = maybe_broadcast(key_offsets(counts, "doc_id", "n"), per_doc.select("doc_id").count())
-    return (per_doc.join(offs, "doc_id")
-            .select("doc_id", "offset", F.posexplode(_inner(lines_col)).alias("line_no", "line"))
-            .select("doc_id", F.col("line_no").cast("int").alias("line_no"), "line",
-                    (F.col("offset") + F.col("line_no")).alias("idx")))
+
+    The text is read once.  Documents go to the tasks by ranges of their
+    ids, sorted; the lines are stored with their place in their task.  A
+    range lies in one task, so a line's position is the lines of earlier
+    ranges (at most ``num_buckets`` counts, broadcast) plus its place after
+    the first line of its own range.  Ids are taken to tell documents apart:
+    rows of one id share a range, in any order."""
+    from gramloom.sources.store import scratch_path
+    spark = per_doc.sparkSession
+    ranges = _key_ranges(per_doc.select("doc_id", lines_col), "doc_id", num_buckets)
+    rows = (ranges.repartition("_b").sortWithinPartitions("_b", F.asc_nulls_last("doc_id"))
+            .select("doc_id", "_b", F.posexplode(_inner(lines_col)).alias("line_no", "line"))
+            .withColumn("line_no", F.col("line_no").cast("int")).withColumn("_m", F.monotonically_increasing_id()))
+    path = scratch_path(spark, "lines")
+    rows.write.parquet(path)
+    placed = spark.read.schema(rows.schema).parquet(path)
+    starts = placed.groupBy("_b").agg(F.min("_m").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    starts = starts.select("_b", (F.sum("_n").over(
+        Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+        - F.col("_n") - F.col("_first")).alias("_shift"))
+    return (placed.join(F.broadcast(starts), "_b")
+            .select("doc_id", "line_no", "line", (F.col("_m") + F.col("_shift")).alias("idx")))
 
 
 def limit_lines(docs: DataFrame, max_lines: int | None, text_col: str = "text",

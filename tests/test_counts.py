@@ -125,3 +125,31 @@ def test_exploding_lines_adds_no_filter_on_the_split(spark):
     for df in (L.read_lines(docs), L.indexed_lines(per_doc)):
         plan = df._jdf.queryExecution().optimizedPlan().toString()
         assert "Filter (size(" not in plan
+
+
+def test_line_positions_of_awkward_tables(spark):
+    """Null and far apart ids, null and empty texts, no rows; any number of ranges."""
+    from gramloom.sources.lines import doc_lines, indexed_lines
+    rows = [(None, "last\nlines"), (7, "g\n\nh"), (-3, "a"), (1 << 60, "z"), (5, None), (0, ""), (2, "b\r\nc")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want = ["a", "", "b", "c", "g", "", "h", "z", "last", "lines"]
+    for n in (1, 3, 1024):
+        got = sorted((r.idx, r.line) for r in indexed_lines(doc_lines(docs), num_buckets=n).collect())
+        assert got == list(enumerate(want))
+    assert indexed_lines(doc_lines(docs.limit(0))).count() == 0
+
+
+def test_chunk_numbering_reads_the_text_once(spark):
+    from gramloom.sources import lines as L
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    lines = L.indexed_lines(L.valid_doc_lines(docs, normalize=True))
+    plan = lines._jdf.queryExecution().executedPlan().toString()
+    assert "documents.parquet" not in plan and "SortMergeJoin" not in plan
+
+
+def test_chunk_statistics(spark):
+    docs = spark.createDataFrame([(1, "a b\n\na b"), (2, "c"), (3, "a")], "doc_id long, text string")
+    v = VO.build_vocab(spark.createDataFrame([("a b c",)], "line string"))
+    got = sorted(map(tuple, C.partial_stats(C.partial_counts(docs, v, 2, vocab_bound=9)).select(
+        "part_id", "n_lines", "n_samples", "contexts", "model_rows").collect()))
+    assert got == [(0, 2, 6, 3, 3), (1, 2, 4, 3, 4)]

@@ -9,7 +9,7 @@ from scripts.oracle_check import TABLES, digest
 SF = "/root/testdata/sf0.001"
 FAST = ["top_followers", "lines_normalized", "vocab_ids", "bigram_counts", "trigram_counts", "tokens_word",
         "next_top_k", "next_backoff", "cache_scores", "ranked_candidates", "shard_sizes",
-        "trigram_partials", "limit_lines", "word_like", "char_coverage", "next_exact", "greedy_text",
+        "trigram_partials", "partial_stats", "limit_lines", "word_like", "char_coverage", "next_exact", "greedy_text",
         "tree_depth1", "line_sample", "neural_samples", "tree_nodes", "prefix_pieces", "line_requests", "line_rejects",
         "lines_normalized_marks", "bigram_store", "counts_export", "shards_appended"]
 
