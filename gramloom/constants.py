@@ -41,7 +41,6 @@ SHARD_FORMAT = "trigram-sharded-v1"
 # --- fixed values: training and generation defaults --------------------------
 DEFAULT_LINES_PER_CHUNK = 100000
 DEFAULT_VOCAB_SIZE = 32000
-DEFAULT_INPUT_SENTENCE_SIZE = 200000
 
 GEN_MAX_TOKENS = 80
 GEN_TOP_K = 8

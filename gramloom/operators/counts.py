@@ -103,19 +103,26 @@ def _split_by_head(rows: DataFrame, vocab: DataFrame, n: int, keep: list[str]) -
     return rows.filter(~is_open).select(*cols), opened.select(*cols)
 
 
+def rows_to_ids(rows: DataFrame, vocab: DataFrame, n: int, keep: list[str], vocab_bound: int | None) -> DataFrame:
+    """``(*keep, w1..wn)`` for rows with a sentinel id ``s<i>`` or a token
+    ``t<i>`` per position.  Behind its size bound the vocabulary is
+    broadcast; else its head is, and only rows with rarer words are
+    shuffled."""
+    if vocab_bound is not None:
+        return _with_ids(rows, vocab, n, keep, vocab_bound)
+    settled, opened = _split_by_head(rows, vocab, n, keep)
+    return settled.unionByName(opened)
+
+
 def id_ngram_rows(lines: DataFrame, vocab: DataFrame, n: int, n_bos: int | None = None,
                   eos: bool = True, tokenizer: str = "word", vocab_bound: int | None = None,
                   line_col: str = "line", extra_cols: list[str] | None = None,
                   bos_id: int = K.BOS_ID, literal_sentinels: bool = False) -> DataFrame:
     """One row per n-gram occurrence with integer ids ``w1..wn``; unknown
-    tokens become id 0.  Behind its size bound the vocabulary is broadcast;
-    else its head is, and only rows with rarer words are shuffled."""
+    tokens become id 0 (see :func:`rows_to_ids`)."""
     keep = extra_cols or []
     rows = gram_rows(lines, n, n_bos, eos, tokenizer, line_col, keep, bos_id, literal_sentinels)
-    if vocab_bound is not None:
-        return _with_ids(rows, vocab, n, keep, vocab_bound)
-    settled, opened = _split_by_head(rows, vocab, n, keep)
-    return settled.unionByName(opened)
+    return rows_to_ids(rows, vocab, n, keep, vocab_bound)
 
 
 def id_ngram_counts(lines: DataFrame, vocab: DataFrame, n: int, n_bos: int | None = None, eos: bool = True,

@@ -199,27 +199,16 @@ def prefix_pieces(lines: DataFrame, key_cols: list[str], vocab: DataFrame, vocab
         *key_cols, "plen", "pieces",
         F.concat(F.slice("_ids", 1, F.size("pieces") - 1), F.array(F.coalesce("id", F.lit(K.UNK_ID)))).alias("ids"))
 
-def bigram_to_ids(bigram: DataFrame, vocab: DataFrame, vocab_bound: int | None,
-                  first_ids: DataFrame | None = None, first_bound: int | None = None) -> DataFrame:
+def bigram_to_ids(bigram: DataFrame, vocab: DataFrame, vocab_bound: int | None) -> DataFrame:
     """Re-key a string bigram model by id: ``<BOS>`` -> -1, ``<EOS>`` ->
     -2, other pieces via the vocabulary, unknown -> 0.  Several unknown
     strings that land on the same key are summed."""
-    v = maybe_broadcast(learned_pieces(vocab).select("piece", "id"), vocab_bound)
+    from gramloom.operators.counts import rows_to_ids
 
-    def side(name):
-        vv = v.select(F.col("piece").alias(f"_p{name}"), F.col("id").alias(f"_i{name}"))
-        return vv, F.col(name) == F.col(f"_p{name}")
+    def marked(name, i):
+        sid = F.when(F.col(name) == K.BOS_PIECE, K.BOS_ID).when(F.col(name) == K.EOS_PIECE, K.EOS_ID).cast("int")
+        return sid.alias(f"s{i}"), F.when(sid.isNull(), F.col(name)).alias(f"t{i}")
 
-    v1, c1 = side("w1")
-    v2, c2 = side("w2")
-    j = bigram.join(v1, c1, "left").join(v2, c2, "left")
-
-    def to_id(name):
-        return (F.when(F.col(name) == K.BOS_PIECE, F.lit(K.BOS_ID))
-                .when(F.col(name) == K.EOS_PIECE, F.lit(K.EOS_ID))
-                .otherwise(F.coalesce(F.col(f"_i{name}"), F.lit(K.UNK_ID))))
-
-    keyed = j.select(to_id("w1").alias("w1"), to_id("w2").alias("w2"), "cnt")
-    if first_ids is not None:
-        keyed = keyed.join(maybe_broadcast(first_ids.select("w1").distinct(), first_bound), "w1", "left_semi")
-    return keyed.groupBy("w1", "w2").agg(F.sum("cnt").alias("cnt"))
+    rows = bigram.select("cnt", *marked("w1", 0), *marked("w2", 1))
+    return (rows_to_ids(rows, vocab, 2, ["cnt"], vocab_bound)
+            .groupBy("w1", "w2").agg(F.sum("cnt").alias("cnt")))

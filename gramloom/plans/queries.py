@@ -22,8 +22,6 @@ from gramloom.plans import sqlparts as S
 from gramloom.sources import lines as L
 from gramloom.session import broadcast_bound, cut_lineage
 
-VOCAB_SIZE = K.DEFAULT_VOCAB_SIZE  # of the neural model
-
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLE: dict[str, str] = {}
@@ -44,11 +42,10 @@ def docs(spark, sf):
     return L.spread(L.read_table(spark, sf, "documents").select("doc_id", "text"))
 
 
-def vocab(spark, sf, size=None):
-    """The vocabulary of all words (``size``: the most frequent ones, for a
-    model of fixed size), built once and checkpointed so every lookup
-    against it reuses the stored rows."""
-    return cut_lineage(VO.build_vocab(L.corpus_lines(spark, sf, normalize=False), "word", size))
+def vocab(spark, sf):
+    """The vocabulary of all words, built once and checkpointed so every
+    lookup against it reuses the stored rows."""
+    return cut_lineage(VO.build_vocab(L.corpus_lines(spark, sf, normalize=False)))
 
 
 def bound(v):
@@ -790,24 +787,30 @@ def q_generation_json(spark, sf):
 NEURAL_K = K.NEURAL_CONTEXT_SIZE
 
 
+def neural_samples(spark, sf):
+    """H1 over the whole vocabulary; the start marker is the id after its last."""
+    from gramloom.plans import neural as N
+    v = vocab(spark, sf)
+    n = v.count()
+    cfg = N.NeuralConfig(vocab_size=n + 1, bos_token_id=n)
+    return N.build_samples(L.corpus_lines(spark, sf, normalize=False), v, cfg, bound(v))
+
+
 @register("neural_samples", f"""
-WITH {S.vocab(VOCAB_SIZE)},
-nlines AS (SELECT doc_id, line_no, line FROM clean_lines),
-{S.ngram_ids(NEURAL_K + 1, NEURAL_K, False, 'nlines', extra='doc_id, line_no', bos_id=VOCAB_SIZE)}
+WITH {S.VOCAB},
+nlines AS (SELECT doc_id, line_no, line, n FROM clean_lines, (SELECT count(*) AS n FROM vocab)),
+{S.ngram_ids(NEURAL_K + 1, NEURAL_K, False, 'nlines', extra='doc_id, line_no', bos_id='n')}
 SELECT doc_id, line_no, w1 AS c1, w2 AS c2, w3 AS c3, w4 AS c4, w5 AS target FROM g""")
 def q_neural_samples(spark, sf):
-    from gramloom.plans import neural as N
-    v = vocab(spark, sf, VOCAB_SIZE)
-    cfg = N.NeuralConfig(vocab_size=VOCAB_SIZE + 1, bos_token_id=VOCAB_SIZE)
-    smp = N.build_samples(L.corpus_lines(spark, sf, normalize=False), v, cfg, VOCAB_SIZE)
+    smp = neural_samples(spark, sf)
     return smp.select("doc_id", "line_no", *[F.col("context")[i].alias(f"c{i + 1}") for i in range(NEURAL_K)],
                       "target")
 
 
 @register("neural_batches", f"""
-WITH {S.vocab(VOCAB_SIZE)},
-nlines AS (SELECT doc_id, line_no, line FROM clean_lines),
-{S.ngram_ids(NEURAL_K + 1, NEURAL_K, False, 'nlines', extra='doc_id, line_no', bos_id=VOCAB_SIZE)},
+WITH {S.VOCAB},
+nlines AS (SELECT doc_id, line_no, line, n FROM clean_lines, (SELECT count(*) AS n FROM vocab)),
+{S.ngram_ids(NEURAL_K + 1, NEURAL_K, False, 'nlines', extra='doc_id, line_no', bos_id='n')},
 h AS (SELECT doc_id, line_no, w1, w2, w3, w4, w5,
              substr(md5(concat_ws('-', {K.NEURAL_SEED}, 1, doc_id, line_no, w1, w2, w3, w4, w5)), 1, 15) AS h FROM g)
 SELECT doc_id, line_no, w5 AS target,
@@ -815,10 +818,7 @@ SELECT doc_id, line_no, w5 AS target,
 FROM h""")
 def q_neural_batches(spark, sf):
     from gramloom.plans import neural as N
-    v = vocab(spark, sf, VOCAB_SIZE)
-    cfg = N.NeuralConfig(vocab_size=VOCAB_SIZE + 1, bos_token_id=VOCAB_SIZE)
-    smp = N.build_samples(L.corpus_lines(spark, sf, normalize=False), v, cfg, VOCAB_SIZE)
-    return N.shuffle_batches(smp, K.NEURAL_SEED, 1).select("doc_id", "line_no", "target", "batch")
+    return N.shuffle_batches(neural_samples(spark, sf), K.NEURAL_SEED, 1).select("doc_id", "line_no", "target", "batch")
 
 
 # ------------------------------------------------------------- C1 C2 C3 (subword)
@@ -904,16 +904,17 @@ def q_subword_trigram_counts(spark, sf):
 {TRIGRAM_SQL}
 SELECT w1, w2, w3, cnt FROM trigram""")
 def q_streamed_merged(spark, sf):
-    """The corpus lines written as 4 text files, streamed one file per
-    micro-batch into restartable partials, then merged."""
+    """The corpus lines written as text files of bounded length, streamed a
+    few files per micro-batch into restartable partials, then merged."""
     from gramloom.sources import store as ST
     from gramloom.streaming import stream_partial_counts, write_corpus_files
     v = vocab(spark, sf)
     src = ST.scratch_path(spark, "corpus_files")
-    write_corpus_files(L.read_lines(docs(spark, sf)), src, 4)
+    write_corpus_files(L.read_lines(docs(spark, sf)), src, K.DEFAULT_LINES_PER_CHUNK)
     parts = ST.scratch_path(spark, "stream_parts")
-    stream_partial_counts(spark, src, v, parts, ST.scratch_path(spark, "stream_ckpt"), vocab_bound=bound(v))
-    return C.merge_partials(spark.read.parquet(parts)).select("w1", "w2", "w3", "cnt")
+    stream_partial_counts(spark, src, v, parts, ST.scratch_path(spark, "stream_ckpt"), files_per_chunk=4,
+                          vocab_bound=bound(v))
+    return C.merge_partials(ST.read_partials(spark, parts)).select("w1", "w2", "w3", "cnt")
 
 
 def queries() -> dict[str, Query]:

@@ -10,7 +10,6 @@ from gramloom.plans.prompts import PROMPT_TURNS
 WS = WS_CLASS
 NL = NEWLINE_PATTERN.replace("\r", r"\r").replace("\n", r"\n")
 SYM = SYMBOL_PATTERN
-V = K.DEFAULT_VOCAB_SIZE
 
 
 def strip(x: str) -> str:
@@ -50,16 +49,13 @@ CLEAN_LINES = RAW_LINES + f""",
 clean_lines AS (SELECT doc_id, line_no, {strip('line')} AS line FROM raw_lines WHERE length({strip('line')}) > 0),
 norm_lines AS (SELECT doc_id, line_no, {normalize('line')} AS line FROM raw_lines WHERE length({normalize('line')}) > 0)"""
 
-def vocab(limit: int | None = None) -> str:
-    """CTE ``vocab`` over all words, or the ``limit - 3`` most frequent."""
-    cut = "" if limit is None else f"ORDER BY cnt DESC, piece ASC LIMIT {limit - 3}"
-    return CLEAN_LINES + f""",
+# CTE ``vocab`` over all words.
+VOCAB = CLEAN_LINES + f""",
 vtok AS (SELECT unnest({words('line')}) AS piece FROM clean_lines),
 vcounts AS (SELECT piece, count(*) AS cnt FROM vtok
             WHERE piece NOT IN ('{K.UNK_PIECE}', '{K.CONTROL_PIECES[0]}', '{K.CONTROL_PIECES[1]}') GROUP BY piece),
-vtop AS (SELECT piece, cnt FROM vcounts {cut}),
 learned AS (SELECT CAST(row_number() OVER (ORDER BY cnt DESC, piece ASC) + 2 AS INTEGER) AS id, piece,
-                   ln(cnt::DOUBLE / sum(cnt) OVER ()) AS score, CAST(cnt AS BIGINT) AS cnt FROM vtop),
+                   ln(cnt::DOUBLE / sum(cnt) OVER ()) AS score, CAST(cnt AS BIGINT) AS cnt FROM vcounts),
 vocab0 AS (SELECT 0 AS id, '{K.UNK_PIECE}' AS piece, 0.0::DOUBLE AS score, 0::BIGINT AS cnt
            UNION ALL SELECT 1, '{K.CONTROL_PIECES[0]}', 0.0, 0
            UNION ALL SELECT 2, '{K.CONTROL_PIECES[1]}', 0.0, 0
@@ -67,9 +63,6 @@ vocab0 AS (SELECT 0 AS id, '{K.UNK_PIECE}' AS piece, 0.0::DOUBLE AS score, 0::BI
 vocab AS (SELECT CAST(id AS INTEGER) AS id, piece, score, cnt, {cacheable('piece', 'id')} AS cacheable FROM vocab0)"""
 
 
-VOCAB = vocab()
-
-
 def ngram_ids(n: int, n_bos: int, eos: bool, src: str, extra: str = "", bos_id: int = K.BOS_ID) -> str:
     """CTE ``g`` with ``w1..wn`` ids (plus ``extra`` columns of ``src``), one
     row per n-gram occurrence, via list positions and joins to ``vocab``."""

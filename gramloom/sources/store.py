@@ -52,6 +52,14 @@ def write_partial(parts: DataFrame, path: str) -> None:
      .partitionBy("part_id").parquet(path))
 
 
+def read_partials(spark: SparkSession, path: str) -> DataFrame:
+    """A4: the stored partial counts; raises if there are none, since merging
+    nothing would leave an empty model behind."""
+    if not path_present(spark, path):
+        raise FileNotFoundError(f"no partial counts under {path}")
+    return spark.read.parquet(path)
+
+
 def write_trigram(model: DataFrame, path: str, mode: str = "overwrite") -> None:
     """A5: clustered by context so readers find a context's rows together."""
     (model.repartition("w1", "w2").sortWithinPartitions("w1", "w2", "w3")
@@ -114,7 +122,8 @@ def read_sharded(spark: SparkSession, path: str, contexts: DataFrame | None = No
 
 def load_model(spark: SparkSession, base: str, table: str | None = None) -> tuple[DataFrame, str]:
     """A10: the best available model, in this order: flat table, sharded
-    model, single trigram model; partials only -> error; else bigram."""
+    model, single trigram model; partials only -> error; else bigram; no
+    model at all -> error."""
     if table and spark.catalog.tableExists(table):
         return spark.table(table), "table_trigram"
     if path_present(spark, f"{base}/trigram_shards/{MANIFEST}"):
@@ -124,6 +133,8 @@ def load_model(spark: SparkSession, base: str, table: str | None = None) -> tupl
         return spark.read.parquet(f"{base}/trigram"), "trigram"
     if path_present(spark, f"{base}/trigram_parts"):
         raise FileNotFoundError("only partial trigram counts exist: merge them into shards first")
+    if not path_present(spark, f"{base}/bigram"):
+        raise FileNotFoundError(f"no trigram and no bigram model under {base}")
     return spark.read.parquet(f"{base}/bigram"), "bigram"
 
 

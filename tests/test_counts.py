@@ -97,6 +97,8 @@ def test_open_vocabulary_counts_equal_bounded(spark, monkeypatch):
     asked = cut_lineage(tri.select("w1", "w2").distinct().limit(30))
     assert _rows(C.trigram_counts(lines, v, contexts=asked, contexts_bound=30)) == _rows(
         C.trigram_counts(lines, v, vocab_bound=10 ** 6, contexts=asked, contexts_bound=30))
+    strings = C.bigram_counts(lines)
+    assert _rows(VO.bigram_to_ids(strings, v, None)) == _rows(VO.bigram_to_ids(strings, v, 10 ** 6))
     rows = lambda b: C.id_ngram_rows(lines, v, 2, extra_cols=["doc_id"], vocab_bound=b)
     assert _rows(rows(None)) == _rows(rows(10 ** 6))
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")

@@ -37,11 +37,16 @@ def test_sharded_lookup_prunes_partitions(spark):
 
 def test_load_model_order(spark):
     base = ST.scratch_path(spark, "models")
+    with pytest.raises(FileNotFoundError):
+        ST.load_model(spark, base)
+    with pytest.raises(FileNotFoundError):
+        ST.read_partials(spark, f"{base}/trigram_parts")
     bi = spark.createDataFrame([("<BOS>", "a", 1)], "w1 string, w2 string, cnt bigint")
     ST.write_bigram(bi, f"{base}/bigram")
     assert ST.load_model(spark, base)[1] == "bigram"
     parts = model_df(spark, [(-1, -1, 3, 1)]).withColumn("part_id", F.lit(0))
     ST.write_partial(parts, f"{base}/trigram_parts")
+    assert ST.read_partials(spark, f"{base}/trigram_parts").select("w3", "cnt", "part_id").collect() == [(3, 1, 0)]
     with pytest.raises(FileNotFoundError):
         ST.load_model(spark, base)
     ST.write_trigram(model_df(spark, [(-1, -1, 3, 1)]), f"{base}/trigram")
