@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from gramloom.session import ship_package
 from gramloom.sources.lines import read_table, spread
-from gramloom.sources.store import scratch_path
+from gramloom.sources.store import scratch_path, stored
 
 __all__ = ["crc32_text", "fresh", "read_table", "spread", "stored", "text_or_empty", "scratch_path",
            "ship_package", "SPACE", "WORD"]
@@ -32,16 +32,6 @@ def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(f"`{name}`"), F.lit(""))
 
 
-def stored(df: DataFrame, name: str, compression: str | None = None) -> DataFrame:
-    """Write ``df`` as a table in the shared scratch folder and read it
-    back: the lineage is cut and a lost executor costs no recomputation of
-    what came before."""
-    spark = df.sparkSession
-    path = scratch_path(spark, name)
-    df.write.parquet(path, compression=compression)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def crc32_text(col: Column) -> Column:
     """Unsigned crc32 of the value written as text."""
     return F.crc32(F.encode(col.cast("string"), "UTF-8"))

@@ -155,3 +155,39 @@ def test_chunk_statistics(spark):
     got = sorted(map(tuple, C.partial_stats(C.partial_counts(docs, v, 2, vocab_bound=9)).select(
         "part_id", "n_lines", "n_samples", "contexts", "model_rows").collect()))
     assert got == [(0, 2, 6, 3, 3), (1, 2, 4, 3, 4)]
+
+
+def test_lines_are_encoded_with_a_vocabulary_of_any_size(spark, monkeypatch):
+    """Rare, repeated, unknown and sentinel-like words, empty and null lines."""
+    monkeypatch.setattr(VO, "HEAD_PIECES", 2)
+    rows = ["a b c a c", "", None, "d unseen d c unseen", "<BOS> a <unk>", "b", "c" * 70 + " a　d"]
+    lines = spark.createDataFrame([(i, s) for i, s in enumerate(rows)], "k long, line string")
+    v = VO.build_vocab(spark.createDataFrame([("a a a b b c d <BOS> " + "c" * 70,)], "line string")).cache()
+    ids = {r.piece: r.id for r in v.collect()}
+    for literal in (None, {"<BOS>": -1}):
+        known = ids | {"<unk>": 0} | (literal or {})
+        want = [(i, [known.get(w, 0) for w in (s or "").split()]) for i, s in enumerate(rows)]
+        got = VO.encode_lines(lines, v, ["k"], literal=literal).orderBy("k").collect()
+        assert [(r.k, r.ids) for r in got] == want
+    got = VO.encode_lines(lines.filter("k = 6"), v, ["k"], "char").first()
+    assert got.ids == [ids["c"]] * 70 + [0, ids["a"], 0, ids["d"]]
+
+
+def test_counting_moves_ids_and_rare_words_only(spark, monkeypatch):
+    """No exchange of words in front of the count, however large the vocabulary."""
+    monkeypatch.setattr(VO, "HEAD_PIECES", 1)
+    lines = lines_df(spark)
+    v = VO.build_vocab(lines).cache()
+    plan = C.trigram_counts(lines, v, vocab_bound=10 ** 9)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("hashpartitioning(piece") <= 2 and "hashpartitioning(t" not in plan and "p0" not in plan
+
+
+def test_followers_of_an_open_vocabulary(spark, monkeypatch):
+    """Pieces by the head where it holds them, by a shuffle else: the same rows, and no exchange of the whole model."""
+    monkeypatch.setattr(C, "HEAD_PIECES", 20)
+    lines = _open_corpus(spark)
+    v = VO.build_vocab(lines).cache()
+    model = C.trigram_counts(lines, v, vocab_bound=10 ** 6).cache()
+    as_rows = lambda b: sorted(map(str, C.followers_table(model, v, 4, ["w1", "w2"], b).collect()))
+    assert as_rows(None) == as_rows(10 ** 6)
+    assert "BroadcastHashJoin" in C.with_pieces(model, v, None)._jdf.queryExecution().executedPlan().toString()
