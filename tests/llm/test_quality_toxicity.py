@@ -97,6 +97,20 @@ def test_threshold_sits_in_the_widest_best_gap():
     assert quality.threshold([]) == 0.0
 
 
+def test_every_label_takes_part(spark):
+    labels = spark.range(20_500).selectExpr("id as doc_id", "cast(id % 2 as int) as quality")
+    assert quality.labelled_ids(labels).count() == 20_500
+
+
+def test_threshold_of_a_table_equals_that_of_a_list(spark):
+    rng = random.Random(3)
+    cases = [[], [(0.1, True)], [(0.1, False)], [(0.2, True), (0.2, False)], [(0.5, True), (0.1, False), (0.5, False)]]
+    cases += [[(rng.choice([round(rng.gauss(k % 2, 1), 2), rng.gauss(k % 2, 1)]), k % 2 == 1) for k in range(n)] for n in (7, 3000)]
+    for rows in cases:
+        got = quality.threshold_of(spark.createDataFrame(rows, "s double, good boolean"))
+        assert got == quality.threshold(rows)
+
+
 @pytest.fixture(scope="module")
 def toxic_docs(spark):
     rng = random.Random(8)
