@@ -191,3 +191,20 @@ def test_followers_of_an_open_vocabulary(spark, monkeypatch):
     as_rows = lambda b: sorted(map(str, C.followers_table(model, v, 4, ["w1", "w2"], b).collect()))
     assert as_rows(None) == as_rows(10 ** 6)
     assert "BroadcastHashJoin" in C.with_pieces(model, v, None)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_prefixes_are_made_after_the_ids(spark, monkeypatch):
+    """Every prefix's words and ids, rare and unfinished words included; no exchange or stored table holds a prefix."""
+    monkeypatch.setattr(VO, "HEAD_PIECES", 1)
+    texts = ["ab  abc　a", " x ab", "", "abc"]
+    lines = spark.createDataFrame([(i, s) for i, s in enumerate(texts)], "k long, line string")
+    v = VO.build_vocab(spark.createDataFrame([("ab ab abc x",)], "line string")).cache()
+    ids = {r.piece: r.id for r in v.collect()}
+    want = []
+    for i, s in enumerate(texts):
+        s = s.strip()
+        want += [(i, n, s[:n].split(), [ids.get(w, 0) for w in s[:n].split()]) for n in range(1, len(s) + 1)]
+    df = VO.prefix_pieces(lines, ["k"], v)
+    assert [tuple(r) for r in df.orderBy("k", "plen").collect()] == want
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("Generate explode(sequence(_from") < plan.index("Exchange")
