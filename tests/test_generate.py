@@ -131,3 +131,27 @@ def test_stored_buckets_join_without_shuffling_the_model(spark, tiny):
     assert "Bucketed: true" in model_side and "Exchange" not in model_side[model_side.rindex("Sort "):]
     assert sorted(map(tuple, generate(asked, stored, mode="greedy").collect())) == sorted(
         map(tuple, generate(asked, tri, mode="greedy").collect()))
+
+
+def test_asked_followers_give_the_same_texts_and_trees(spark, monkeypatch):
+    """A large model stays its counts; no follower table of the whole model is made."""
+    from gramloom.plans import generate as G
+    texts = [f"{w} 。 {w} x{i % 7} …{i % 3} end" for i, w in enumerate(["the", "a", "of"] * 12)] + CORPUS + ["<EOS> <BOS> xx"]
+    lines = spark.createDataFrame([(k, 0, t) for k, t in enumerate(texts)], "doc_id long, line_no int, line string")
+    vocab = VO.build_vocab(lines).cache()
+    n = vocab.count()
+    frame = spark.createDataFrame([(k, t, None) for k, t in enumerate(["the", "of 。", "xx", "new", "a"])],
+                                  "prompt_id long, prompt string, max_tokens int")
+    asked = LK.encode_prompts(PR.split_requests(frame)[0], vocab, n)
+    counts = {"trigram": (C.trigram_counts(lines, vocab, vocab_bound=n), ["w1", "w2"]),
+              "bigram": (C.bigram_id_counts(lines, vocab, vocab_bound=n).withColumnRenamed("w2", "w3"), ["w1"])}
+    whole = {m: prepare_model(C.followers_table(c, vocab, 3, keys, n), keys) for m, (c, keys) in counts.items()}
+    monkeypatch.setattr(G, "SMALL_MODEL", 0)
+    monkeypatch.setattr(G, "prepare_model", None)
+    on_ask = {m: G.lookup_model(c, vocab, 3, keys, n, 5) for m, (c, keys) in counts.items()}
+    for m in counts:
+        want, got = (sorted(map(tuple, generate(asked, x[m], m, "sample", 7).collect())) for x in (whole, on_ask))
+        assert got == want
+    trees = [sorted(map(str, expand_tree(asked, x["trigram"], x["bigram"], TreeParams(max_depth=2, top_k=3)).collect()))
+             for x in (whole, on_ask)]
+    assert trees[0] == trees[1]
