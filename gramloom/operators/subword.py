@@ -9,9 +9,9 @@ vocabulary (Kudo 2018) learned with Spark.
 * Seeds: every character plus frequent substrings (up to
   ``max_piece_len``), exploded in the JVM and summed by ``groupBy``; the
   seed table is bounded by ``seed_size``.
-* EM: the E-step runs forward-backward on each distinct chunk in a pandas
-  function with the current pieces broadcast (a bounded table), emitting
-  expected piece counts; the M-step is ``groupBy(piece).sum`` and a
+* EM: the E-step runs forward-backward on many distinct chunks at once, as
+  array arithmetic over the pieces found in them by a trie (a bounded,
+  broadcast table), emitting expected piece counts; the M-step is ``groupBy(piece).sum`` and a
   normalisation.  Pruning drops the pieces whose removal costs the least
   likelihood (the best segmentation of the piece without itself is the
   alternative); single characters always stay.
@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -92,7 +93,9 @@ def seed_pieces(chunks: DataFrame, seed_size: int, max_piece_len: int = 16) -> D
     ex = chunks.select(F.explode(subs).alias("piece"), "freq")
     ex = ex.filter(~F.substring("piece", 2, max_piece_len).contains(K.SPACE_MARK))
     agg = ex.groupBy("piece").agg(F.sum("freq").alias("freq"))
-    chars = agg.filter(F.length("piece") == 1)
+    # Characters alone: taken from the rows below, all substrings would be made once more.
+    chars = chunks.select(F.explode(F.transform(F.sequence(F.lit(1), n), lambda i: F.substring(F.col("chunk"), i, F.lit(1))))
+                          .alias("piece"), "freq").groupBy("piece").agg(F.sum("freq").alias("freq"))
     scored = agg.filter(F.length("piece") > 1).withColumn("_score", F.col("freq") * F.length("piece"))
     multi = top_n_by_count(scored, seed_size, "_score", "piece").drop("_score")
     pieces = chars.unionByName(multi)
@@ -169,27 +172,155 @@ def viterbi(s: str, logp: dict, max_len: int, unk_logp: float = -1e9):
     return out[::-1], best[n]
 
 
+# Words of more characters than this go through the lattice one by one.
+LONG_WORD = 200
+# Characters of the words that go through it together.
+LATTICE_CHARS = 200_000
+
+
+def piece_trie(pieces: list[str], logp: list[float]) -> tuple:
+    """The pieces as a trie in arrays: per level the sorted keys ``node << 21
+    | character`` (the child of the key in place ``k`` of all is node ``k +
+    1``), and the piece that ends in each node (-1: none)."""
+    size = np.array([len(p) for p in pieces], np.int64)
+    flat = np.frombuffer("".join(pieces).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+    first, node, levels, count, ends = np.cumsum(size) - size, np.zeros(len(pieces), np.int64), [], 1, [-1]
+    for at in range(int(size.max(initial=0))):
+        on = np.flatnonzero(size > at)
+        keys, place = np.unique(node[on] << 21 | flat[first[on] + at], return_inverse=True)
+        node[on] = count + place
+        levels.append((count, keys))
+        count += len(keys)
+        ends += [-1] * len(keys)
+    ends = np.array(ends, np.int64)
+    ends[node] = np.arange(len(pieces))
+    return levels, ends, np.array(logp, np.float64)
+
+
+def spans(words: list[str], trie: tuple, max_len: int) -> tuple:
+    """All pieces in the words as arrays ``(word, start, length, piece)``, by
+    word, start, length."""
+    levels, ends, _ = trie
+    size = np.array([len(w) for w in words], np.int64)
+    flat = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+    word = np.repeat(np.arange(len(words)), size)
+    start = np.arange(len(flat)) - np.repeat(np.cumsum(size) - size, size)
+    room = size[word] - start
+    at, node, found = np.arange(len(flat)), np.zeros(len(flat), np.int64), []
+    for length, (base, keys) in enumerate(levels[:max_len], 1):
+        on = room[at] >= length
+        at, node = at[on], node[on]
+        want = node << 21 | flat[at + length - 1]
+        place = np.minimum(np.searchsorted(keys, want), len(keys) - 1)
+        hit = keys[place] == want
+        at, node = at[hit], base + place[hit]
+        piece = ends[node]
+        whole = piece >= 0
+        found.append((at[whole], np.full(int(whole.sum()), length), piece[whole]))
+    at, length, piece = (np.concatenate(x) if found else np.zeros(0, np.int64) for x in (zip(*found) if found else [()] * 3))
+    order = np.argsort(at * (max_len + 1) + length, kind="stable")
+    at, length, piece = at[order], length[order], piece[order]
+    return word[at], start[at], length, piece
+
+
+def _groups(key):
+    """Indices of equal keys, by ascending key."""
+    order = np.argsort(key, kind="stable")
+    cuts = np.flatnonzero(np.diff(key[order])) + 1
+    return np.split(order, cuts) if len(order) else []
+
+
+def _add_logs(total, at, more):
+    """``total[at] = logsumexp(total[at], more)``; no place comes twice."""
+    old = total[at]
+    top = np.maximum(old, more)
+    with np.errstate(invalid="ignore"):
+        total[at] = np.where(top == -np.inf, top, top + np.log(np.exp(old - top) + np.exp(more - top)))
+
+
+def expected_counts(words: list[str], freqs, trie: tuple, max_len: int):
+    """Expected counts of all pieces, summed over the words in fixed-point
+    units: :func:`forward_backward` of many words at once, whose sums are
+    taken in the same order."""
+    word, start, length, piece = spans(words, trie, max_len)
+    lp, size = trie[2][piece], np.array([len(w) for w in words], np.int64)
+    first = np.cumsum(size + 1) - size - 1
+    lo, hi = first[word] + start, first[word] + start + length
+    alpha, beta = np.full(len(words) + int(size.sum()), -np.inf), np.full(len(words) + int(size.sum()), -np.inf)
+    alpha[first], beta[first + size] = 0.0, 0.0
+    for g in _groups((start + length) * (max_len + 1) - length):  # by end, then start
+        _add_logs(alpha, hi[g], alpha[lo[g]] + lp[g])
+    for g in _groups(-start * (max_len + 1) + length):  # by start from the last, then end
+        _add_logs(beta, lo[g], lp[g] + beta[hi[g]])
+    z = alpha[first + size]
+    ok = z[word] > -np.inf
+    post = np.zeros(len(word))
+    post[ok] = np.exp(alpha[lo[ok]] + lp[ok] + beta[hi[ok]] - z[word[ok]])
+    # A piece's places in one word are added up before they are rounded.
+    both, place = np.unique(word * len(trie[2]) + piece, return_inverse=True)
+    units = np.rint(np.bincount(place, post, len(both)) * FIXED_POINT).astype(np.int64)
+    out = np.zeros(len(trie[2]), np.int64)
+    np.add.at(out, both % len(trie[2]), units * np.asarray(freqs, np.int64)[both // len(trie[2])])
+    return out
+
+
+def best_without_itself(pieces: list[str], trie: tuple, max_len: int, unk_logp: float = -1e9):
+    """Per piece of the trie the log-probability of the best segmentation of
+    its text by other pieces (:func:`viterbi` without the piece itself)."""
+    word, start, length, piece = spans(pieces, trie, max_len)
+    size = np.array([len(p) for p in pieces], np.int64)
+    keep = length < size[word]
+    word, start, length, lp = word[keep], start[keep], length[keep], trie[2][piece[keep]]
+    first = np.cumsum(size + 1) - size - 1
+    # Unknown characters, where no piece of one character lies.
+    w = np.repeat(np.arange(len(pieces)), size)
+    s = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+    known = np.zeros(len(w) + len(pieces), bool)
+    known[(first[word] + start)[length == 1]] = True
+    miss = ~known[first[w] + s]
+    word, start = np.concatenate([word, w[miss]]), np.concatenate([start, s[miss]])
+    length, lp = np.concatenate([length, np.ones(miss.sum(), np.int64)]), np.concatenate([lp, np.full(miss.sum(), unk_logp)])
+    lo, hi = first[word] + start, first[word] + start + length
+    best = np.full(len(pieces) + int(size.sum()), -np.inf)
+    best[first] = 0.0
+    for g in _groups((start + length) * (max_len + 1) - length):
+        best[hi[g]] = np.maximum(best[hi[g]], best[lo[g]] + lp[g])
+    return best[first + size]
+
+
+def _slices(words: list[str]):
+    """Ranges of words of about ``LATTICE_CHARS`` characters."""
+    at = np.cumsum([len(w) for w in words]) // LATTICE_CHARS
+    cuts = [0, *(np.flatnonzero(np.diff(at)) + 1).tolist(), len(words)]
+    return [(a, b) for a, b in zip(cuts, cuts[1:]) if a < b]
+
+
 # ----------------------------------------------------------------- training
 
 def _e_step(chunks: DataFrame, pieces_pdf: pd.DataFrame, max_len: int) -> DataFrame:
     """Expected piece counts of one EM round, ``(piece, ecount_fx BIGINT)``
     per task, in fixed-point units."""
     spark = chunks.sparkSession
-    bc = spark.sparkContext.broadcast(dict(zip(pieces_pdf["piece"], pieces_pdf["logp"])))
+    pieces = list(pieces_pdf["piece"])
+    bc = spark.sparkContext.broadcast((pieces, piece_trie(pieces, list(pieces_pdf["logp"]))))
 
     def run(batches):
-        logp = bc.value
+        pieces, trie = bc.value
+        acc = np.zeros(len(pieces), np.int64)
+        row = None
         for pdf in batches:
-            acc: dict = {}
-            for s, f in zip(pdf["chunk"], pdf["freq"]):
-                z, ec = forward_backward(s, logp, max_len)
-                if z is None:
-                    continue
-                for p, c in ec.items():
-                    acc[p] = acc.get(p, 0) + int(round(c * FIXED_POINT)) * int(f)
-            acc = {p: v for p, v in acc.items() if v > 0}
-            if acc:
-                yield pd.DataFrame({"piece": list(acc), "ecount_fx": list(acc.values())})
+            short = pdf["chunk"].str.len() <= LONG_WORD
+            words, freqs = pdf["chunk"][short].tolist(), pdf["freq"][short].to_numpy()
+            for a, b in _slices(words):
+                acc += expected_counts(words[a:b], freqs[a:b], trie, max_len)
+            for s, f in zip(pdf["chunk"][~short], pdf["freq"][~short]):
+                if row is None:
+                    row = {p: k for k, p in enumerate(pieces)}
+                    logp = dict(zip(pieces, trie[2].tolist()))
+                for p, c in forward_backward(s, logp, max_len)[1].items():
+                    acc[row[p]] += int(round(c * FIXED_POINT)) * int(f)
+        on = np.flatnonzero(acc)
+        yield pd.DataFrame({"piece": [pieces[k] for k in on], "ecount_fx": acc[on]})
 
     return chunks.mapInPandas(run, "piece string, ecount_fx long")
 
@@ -197,26 +328,20 @@ def _e_step(chunks: DataFrame, pieces_pdf: pd.DataFrame, max_len: int) -> DataFr
 def _prune_losses(pieces_pdf: pd.DataFrame, counts: dict, max_len: int, spark) -> pd.DataFrame:
     """Per piece: expected count x (its log-prob - log-prob of the best
     segmentation of its text without it).  Computed in tasks over the piece
-    table with the pieces and counts broadcast."""
-    bc = spark.sparkContext.broadcast((dict(zip(pieces_pdf["piece"], pieces_pdf["logp"])), counts))
+    table with the pieces broadcast."""
+    bc = spark.sparkContext.broadcast(piece_trie(list(pieces_pdf["piece"]), list(pieces_pdf["logp"])))
 
     def run(batches):
-        logp, cnt = bc.value
-        logp = dict(logp)
         for pdf in batches:
-            out = []
-            for p in pdf["piece"]:
-                lp = logp[p]
-                if len(p) == 1:
-                    out.append((p, lp, float("inf")))
-                    continue
-                del logp[p]
-                _, alt = viterbi(p, logp, max_len)
-                logp[p] = lp
-                out.append((p, lp, cnt.get(p, 0.0) * (lp - alt)))
-            yield pd.DataFrame(out, columns=["piece", "logp", "loss"])
-
-    df = spark.createDataFrame(pieces_pdf[["piece"]], "piece string")
+            alt = np.full(len(pdf), -np.inf)
+            words = pdf["piece"].tolist()
+            for a, b in _slices(words):
+                alt[a:b] = best_without_itself(words[a:b], bc.value, max_len)
+            loss = np.where(pdf["piece"].str.len() == 1, np.inf, pdf["count"] * (pdf["logp"] - alt))
+            yield pd.DataFrame({"piece": words, "logp": pdf["logp"], "loss": loss})
+
+    rows = pieces_pdf.assign(count=[counts.get(p, 0.0) for p in pieces_pdf["piece"]])
+    df = spark.createDataFrame(rows[["piece", "logp", "count"]], "piece string, logp double, count double")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     return df.repartition(n).mapInPandas(run, "piece string, logp double, loss double").toPandas()
 
@@ -231,7 +356,9 @@ def train_unigram(lines: DataFrame, vocab_size: int = K.DEFAULT_VOCAB_SIZE,
     spark = lines.sparkSession
     ship_package(spark)
     sample = lines if input_sentence_size is None else sample_lines(lines, input_sentence_size, seed)
-    chunks = cut_lineage(word_chunks(sample, line_col))
+    # Dealt evenly over all tasks: every round below reads them.
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    chunks = cut_lineage(word_chunks(sample, line_col).repartition(parts))
     target = max(vocab_size - RESERVED, 1)
     pieces = seed_pieces(chunks, seed_factor * target, max_piece_len).toPandas()  # bounded by seed size
     # character coverage 1.0: every character of the sample stays a piece,

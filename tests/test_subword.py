@@ -109,3 +109,22 @@ def test_encoding_of_null_empty_and_long_texts(spark):
     rows = {r.k: (r.ids, r.d) for r in SW.encode_subword(df, ["k"], "t", v)
             .select("k", "ids", decode_expr(F.col("ids_tok"), "subword").alias("d")).collect()}
     assert rows[1] == ([], "") and rows[2] == ([], "") and rows[3][1] == "ab" * 50000 and rows[None][1] == "ab"
+
+
+def test_many_words_at_once_give_the_counts_and_losses_of_single_words():
+    import random
+    rnd = random.Random(5)
+    words = ["▁" + "".join(rnd.choice("abcé𝄞") for _ in range(rnd.randint(1, 12))) for _ in range(300)] + ["▁zz", "▁"]
+    pieces = sorted({w[i:j] for w in words[:200] for i in range(len(w)) for j in range(i + 1, min(len(w), i + 4) + 1)} - {"z", "é"})
+    logp = {p: -rnd.uniform(1, 9) for p in pieces}
+    freqs = [rnd.randint(1, 50) for _ in words]
+    trie = SW.piece_trie(pieces, list(logp.values()))
+    want = dict.fromkeys(pieces, 0)
+    for w, f in zip(words, freqs):
+        for p, c in SW.forward_backward(w, logp, 4)[1].items():
+            want[p] += int(round(c * SW.FIXED_POINT)) * f
+    assert dict(zip(pieces, SW.expected_counts(words, freqs, trie, 4).tolist())) == want
+    got = SW.best_without_itself(pieces, trie, 4)
+    for p, alt in zip(pieces, got):
+        if len(p) > 1:
+            assert alt == SW.viterbi(p, {q: x for q, x in logp.items() if q != p}, 4)[1]
