@@ -473,8 +473,10 @@ def encode_subword(df: DataFrame, key_cols: list[str], text_col: str, vocab: Dat
                                 flat += segment(K.SPACE_MARK + w)
                     ends.append(len(flat))
                 at, ends = pa.array(flat, pa.int32()), pa.array(ends, pa.int32())
-                ids = ident.take(at)
-                toks = pa.StructArray.from_arrays([ids, piece.take(at), cacheable.take(at)], ["id", "piece", "cacheable"])
+                # take may give its result in chunks
+                ids, pieces, flags = (x.combine_chunks() if isinstance(x, pa.ChunkedArray) else x
+                                      for x in (ident.take(at), piece.take(at), cacheable.take(at)))
+                toks = pa.StructArray.from_arrays([ids, pieces, flags], ["id", "piece", "cacheable"])
                 yield pa.RecordBatch.from_arrays(
                     [*b.columns, pa.ListArray.from_arrays(ends, toks), pa.ListArray.from_arrays(ends, ids)],
                     names=[*b.schema.names, f"{out_col}_tok", out_col])
