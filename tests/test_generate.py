@@ -155,3 +155,23 @@ def test_asked_followers_give_the_same_texts_and_trees(spark, monkeypatch):
     trees = [sorted(map(str, expand_tree(asked, x["trigram"], x["bigram"], TreeParams(max_depth=1, top_k=3)).collect()))
              for x in (whole, on_ask)]
     assert trees[0] == trees[1]
+
+
+def test_trees_of_many_contexts_move_no_model(spark, tiny, monkeypatch):
+    """However many contexts a step may ask for, a large model stays its counts, in buckets of the contexts."""
+    from gramloom.plans import generate as G
+    _, tri, bi, prompts = tiny
+    lines = spark.createDataFrame([(k, 0, t) for k, t in enumerate(CORPUS)], "doc_id long, line_no int, line string")
+    vocab = VO.build_vocab(lines).cache()
+    n = vocab.count()
+    asked = prompts(*[(t, None) for t in ("xx", "a", "zz xx", "new")])
+    monkeypatch.setattr(G, "SMALL_MODEL", 0)
+    monkeypatch.setattr(G, "prepare_model", None)
+    for module in (G, C):
+        monkeypatch.setattr(module, "BROADCAST_ROW_LIMIT", 1)
+    tri_m = G.tree_model(C.trigram_counts(lines, vocab, vocab_bound=n), vocab, 8, ["w1", "w2"], n, 1 << 40)
+    bi_m = G.tree_model(C.bigram_id_counts(lines, vocab, vocab_bound=n).withColumnRenamed("w2", "w3"), vocab, 8, ["w1"], n, 1 << 40)
+    plan = tri_m.ids_of(asked, 9)._jdf.queryExecution().executedPlan().toString()
+    assert "ShuffledHashJoin" in plan and "Bucketed: true" in plan
+    want, got = (sorted(map(str, expand_tree(asked, x, y, TreeParams(max_depth=2)).collect())) for x, y in ((tri, bi), (tri_m, bi_m)))
+    assert got == want and len(got) > 8
