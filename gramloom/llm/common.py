@@ -40,5 +40,6 @@ def crc32_text(col: Column) -> Column:
 def words_of(text: Column) -> Column:
     """Words of a text as an array: runs of non-space characters.  A text
     of white space only has none."""
-    parts = F.split(F.regexp_replace(text, f"^{SPACE}+|{SPACE}+$", ""), f"{SPACE}+")
-    return F.when(text.rlike(WORD), parts).otherwise(F.array().cast("array<string>"))
+    # Looking at the ends only; a pattern would be tried at every character.
+    trimmed = F.btrim(text, F.lit(" \t\n\x0b\f\r"))
+    return F.when(text.rlike(WORD), F.split(trimmed, f"{SPACE}+")).otherwise(F.array().cast("array<string>"))

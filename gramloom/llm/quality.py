@@ -144,7 +144,7 @@ def base_columns(docs: DataFrame, text: str, names: dict[str, str]) -> DataFrame
     out = out.withColumn(lines, F.filter(F.split(text, "\n", -1), lambda x: x.rlike(WORD)))
     out = out.withColumns({
         names["n_words"]: F.size(w).cast("long"),
-        names["word_chars"]: F.length(F.regexp_replace(text, "[\\x20\\x09-\\x0D]+", "")).cast("long"),
+        names["word_chars"]: F.length(F.array_join(w, "")).cast("long"),
         names["n_symbols"]: F.length(F.regexp_replace(text, "[^#*$%&|<>]+", "")).cast("long"),
         names["n_dup_lines"]: (F.size(lines) - F.size(F.array_distinct(lines))).cast("long"),
         h: F.expr(f"if(size({w}) < 3, cast(array() as array<bigint>), transform(sequence(0, greatest(size({w}) - 3, 0)), "
