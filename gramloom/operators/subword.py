@@ -320,7 +320,8 @@ def _e_step(chunks: DataFrame, pieces_pdf: pd.DataFrame, max_len: int) -> DataFr
                 for p, c in forward_backward(s, logp, max_len)[1].items():
                     acc[row[p]] += int(round(c * FIXED_POINT)) * int(f)
         on = np.flatnonzero(acc)
-        yield pd.DataFrame({"piece": [pieces[k] for k in on], "ecount_fx": acc[on]})
+        # As objects: a column of pandas' own strings may become an Arrow array in chunks.
+        yield pd.DataFrame({"piece": pd.Series([pieces[k] for k in on], dtype=object), "ecount_fx": acc[on]})
 
     return chunks.mapInPandas(run, "piece string, ecount_fx long")
 
