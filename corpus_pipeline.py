@@ -39,8 +39,12 @@ def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return secrets.redact(docs)
 
 
+# Python workers outlive their stage, and what they keep lies beside the JVM of the stages after it.
+MEMO_ITEMS = 100_000
+
+
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    pieces = packing.pack(docs, compression="zstd")
+    pieces = packing.pack(docs, compression="zstd", memo_items=MEMO_ITEMS)
     packing.sequences(pieces, compression="zstd")
     return pieces
 

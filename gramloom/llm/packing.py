@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gramloom.llm.common import scratch_path, ship_package, spread, stored, text_or_empty
-from gramloom.llm.tokens import default_tokenizer, encoder
+from gramloom.llm.tokens import MEMO_ITEMS, default_tokenizer, encoder
 
 END_ID = 2
 WINDOW = 4096
@@ -40,9 +40,9 @@ SLICE = 256
 TOKEN_SCHEMA = "doc_id long, part int, start_in_part long, n long, ids binary"
 
 
-def _tokenise(path: str, end_id: int):
+def _tokenise(path: str, end_id: int, memo_items: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(path)
+        enc = encoder(path, memo_items)
         end = np.array([end_id], enc.dtype).tobytes()
         part, at, wide = TaskContext.get().partitionId(), 0, enc.dtype.itemsize
         for b in batches:
@@ -60,13 +60,14 @@ def _tokenise(path: str, end_id: int):
 
 
 def tokenised(docs: DataFrame, tokenizer: str | None = None, end_id: int = END_ID, id_col: str = "doc_id",
-              text_col: str = "text", compression: str | None = None) -> DataFrame:
+              text_col: str = "text", compression: str | None = None, memo_items: int = MEMO_ITEMS) -> DataFrame:
     """Stored token ids of every document with global starts:
-    ``(doc_id, start, n, ids)``."""
+    ``(doc_id, start, n, ids)``.  ``memo_items`` bounds what a worker keeps
+    after its tasks are done."""
     ship_package(docs.sparkSession)
     rows = spread(docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"),
                               text_or_empty(text_col).alias("text")))
-    table = stored(rows.mapInArrow(_tokenise(tokenizer or default_tokenizer(), end_id), TOKEN_SCHEMA),
+    table = stored(rows.mapInArrow(_tokenise(tokenizer or default_tokenizer(), end_id, memo_items), TOKEN_SCHEMA),
                    "tokens", compression)
     totals = table.groupBy("part").agg(F.sum("n").alias("total"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
@@ -112,11 +113,12 @@ def pieces(tokens: DataFrame, window: int = WINDOW, wide: int | None = None, wit
 
 
 def pack(docs: DataFrame, tokenizer: str | None = None, end_id: int = END_ID, window: int = WINDOW,
-         id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True, compression: str | None = None) -> DataFrame:
+         id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True, compression: str | None = None,
+         memo_items: int = MEMO_ITEMS) -> DataFrame:
     """Pack ``docs``: rows ``(doc_id, start, length, ids_crc32, doc_tokens,
     sequence_id, offset[, ids])``."""
     path = tokenizer or default_tokenizer()
-    return pieces(tokenised(docs, path, end_id, id_col, text_col, compression), window, encoder(path).dtype.itemsize, with_ids)
+    return pieces(tokenised(docs, path, end_id, id_col, text_col, compression, memo_items), window, encoder(path).dtype.itemsize, with_ids)
 
 
 def _assemble(window: int):

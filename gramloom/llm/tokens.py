@@ -133,14 +133,18 @@ class Encoder:
         return out  # type: ignore[return-value]
 
 
-_ENCODERS: dict[str, Encoder] = {}
+# Items of a memo's generation; a unit with its ids takes about 200 bytes.
+MEMO_ITEMS = 500_000
 
+_ENCODERS: dict[tuple[str, int], Encoder] = {}
 
-def encoder(path: str) -> Encoder:
-    """One encoder per worker process and file."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+
+def encoder(path: str, memo_items: int = MEMO_ITEMS) -> Encoder:
+    """One encoder per worker process, file and size of its memo."""
+    key = (path, memo_items)
+    if key not in _ENCODERS:
+        _ENCODERS[key] = Encoder(path, memo_items)
+    return _ENCODERS[key]
 
 
 def default_tokenizer() -> str:

@@ -97,3 +97,20 @@ def test_sql_oracles(spark, name):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF}/{t}.parquet')")
     df = entry.queries()[name](spark, SF)
     assert sorted(map(tuple, df.collect())) == sorted(con.execute(entry.oracle_sql()[name]).fetchall())
+
+
+def test_packing_keeps_a_small_memo_in_the_pipeline(spark, monkeypatch):
+    """What a worker keeps after the last stage is bounded by the pipeline's own figure, whatever the operator keeps."""
+    import corpus_pipeline
+    from gramloom.llm import packing, tokens
+    asked = []
+    monkeypatch.setattr(packing, "pack", lambda docs, **kw: asked.append(kw["memo_items"]) or docs)
+    monkeypatch.setattr(packing, "sequences", lambda *a, **kw: None)
+    corpus_pipeline.pack(spark, None, "")
+    assert asked[0] * 4 < tokens.MEMO_ITEMS
+    path = tokens.default_tokenizer()
+    small, large = tokens.encoder(path, 10), tokens.encoder(path)
+    texts = [f"word{k} of some number" for k in range(200)]
+    for t in texts:
+        assert small.encode([t]) == large.encode([t])
+    assert len(small.memo.young) + len(small.memo.old) < 50 < len(large.memo.young)
