@@ -208,3 +208,39 @@ def test_prefixes_are_made_after_the_ids(spark, monkeypatch):
     assert [tuple(r) for r in df.orderBy("k", "plen").collect()] == want
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert plan.index("Generate explode(sequence(_from") < plan.index("Exchange")
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+
+
+def test_counting_tasks_are_bounded_by_their_n_grams(spark, monkeypatch):
+    """More n-grams than the session's partitions hold get more tasks, and the counts are the same."""
+    monkeypatch.setattr(VO, "HEAD_PIECES", 1)
+    lines = lines_df(spark)
+    v = VO.build_vocab(lines).cache()
+    want = sorted(map(tuple, C.trigram_counts(lines, v, vocab_bound=10).collect()))
+    monkeypatch.setattr(C, "TASK_GRAMS", 1)
+    many = C.trigram_counts(lines, v, vocab_bound=10)
+    assert sorted(map(tuple, many.collect())) == want and sum(r[3] for r in want) == 10
+    assert ", 10), REPARTITION_BY_NUM" in _plan(many)
+
+
+def test_merging_partials_moves_nothing_again(spark, monkeypatch):
+    """Partials dealt by their ids are merged where they lie; a chunk's statistics move no n-gram twice."""
+    monkeypatch.setattr(VO, "HEAD_PIECES", 1)
+    docs = spark.createDataFrame([(k, "a b a b\nb c d\n\na b") for k in range(5)] + [(None, "a a"), (1, "a b a b")], "doc_id long, text string")
+    from gramloom.sources.lines import clean_lines, read_lines
+    lines = clean_lines(read_lines(docs), normalize=True)
+    v = VO.build_vocab(lines).cache()
+    direct = C.trigram_counts(lines, v, vocab_bound=10)
+    parts = C.partial_counts(docs, v, 3, vocab_bound=10, deal=["w1", "w2", "w3"])
+    merged = C.merge_partials(parts)
+    assert sorted(map(tuple, merged.collect())) == sorted(map(tuple, direct.collect()))
+    assert "hashpartitioning(part_id" not in _plan(merged) and _plan(merged).count("hashpartitioning(w1") == 1
+    assert _plan(C.shard_and_reduce(parts)).count("hashpartitioning(") == _plan(merged).count("hashpartitioning(")
+    chunks = C.partial_counts(docs, v, 3, vocab_bound=10)
+    assert sorted(map(tuple, chunks.collect())) == sorted(map(tuple, parts.collect()))
+    assert "hashpartitioning(part_id#" in _plan(chunks) and _plan(C.partial_stats(chunks)).count("w1#") > 0
+    stats = [x.split("(", 1)[1].split(")")[0] for x in _plan(C.partial_stats(chunks)).split("Exchange ") if x.startswith("hashpartitioning(part_id")]
+    assert all("w2#" not in x for x in stats)
