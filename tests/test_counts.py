@@ -244,3 +244,33 @@ def test_merging_partials_moves_nothing_again(spark, monkeypatch):
     assert "hashpartitioning(part_id#" in _plan(chunks) and _plan(C.partial_stats(chunks)).count("w1#") > 0
     stats = [x.split("(", 1)[1].split(")")[0] for x in _plan(C.partial_stats(chunks)).split("Exchange ") if x.startswith("hashpartitioning(part_id")]
     assert all("w2#" not in x for x in stats)
+
+
+def test_prompts_are_encoded_where_they_lie(spark, monkeypatch):
+    """Rows stay rows, whatever the vocabulary's size; rows of one key share their tokens, a null key has none."""
+    from gramloom.operators import lookup as LK
+    prompts = spark.createDataFrame([(1, "a a b"), (2, " b　c !"), (None, "a"), (3, ""), (4, "b new"), (4, "a <s>")], "prompt_id long, prompt string")
+    v = VO.build_vocab(spark.createDataFrame([("a a b b b c ! !",)], "line string")).cache()
+    ids = {r.piece: r.id for r in v.collect()}
+    a, b, c, m = ids["a"], ids["b"], ids["c"], ids["!"]
+    want = {(1, a, b, (a, a, b)), (2, c, m, (b, c, m)), (None, -1, -1, ()), (3, -1, -1, ()), (4, 0, 0, (*sorted((a, b)), 0, 0))}
+    for head in (VO.HEAD_PIECES, 1):
+        monkeypatch.setattr(VO, "HEAD_PIECES", head)
+        for bound in (None, 10):
+            got = LK.encode_prompts(prompts, v, bound)
+            rows = got.collect()
+            assert {(r.prompt_id, r.w1, r.w2, tuple(r.pids)) for r in rows} == want and len(rows) == 6
+            flags = {(t.piece, t.cacheable) for r in rows for t in r.pids_tok}
+            assert flags == {("a", True), ("b", True), ("c", True), ("!", False), (K.UNK_SURFACE, True)}
+        if head > 1:
+            assert "Generate" not in _plan(got) and "Join" not in _plan(got)
+
+
+def test_follower_ids_need_no_pieces(spark):
+    lines = _open_corpus(spark)
+    v = VO.build_vocab(lines).cache()
+    model = C.trigram_counts(lines, v, vocab_bound=10 ** 6).cache()
+    rows = lambda t: sorted((r.w1, r.w2, [(f.w3, f.cnt, f.cacheable) for f in r.followers]) for r in t.collect())
+    ids = C.follower_ids(model, v, 4, ["w1", "w2"])
+    assert rows(ids) == rows(C.followers_table(model, v, 4, ["w1", "w2"], 10 ** 6))
+    assert "piece#" not in _plan(ids).split("InMemoryTableScan")[0]
