@@ -175,3 +175,39 @@ def test_trees_of_many_contexts_move_no_model(spark, tiny, monkeypatch):
     assert "ShuffledHashJoin" in plan and "Bucketed: true" in plan
     want, got = (sorted(map(str, expand_tree(asked, x, y, TreeParams(max_depth=2)).collect())) for x, y in ((tri, bi), (tri_m, bi_m)))
     assert got == want and len(got) > 8
+
+
+def test_a_context_is_looked_up_once_however_often_it_is_met(spark, monkeypatch):
+    """Texts meet the same contexts at step after step; a large model is asked for new ones only."""
+    from gramloom.plans import generate as G
+    texts = ["a b a b a b"] * 4 + ["a …x c", "b 。 a"] + CORPUS
+    lines = spark.createDataFrame([(k, 0, t) for k, t in enumerate(texts)], "doc_id long, line_no int, line string")
+    vocab = VO.build_vocab(lines).cache()
+    n = vocab.count()
+    frame = spark.createDataFrame([(k // 2, t, 4) for k, t in enumerate(["a", "a", "b", "new", "xx"])],
+                                  "prompt_id long, prompt string, max_tokens int")
+    asked = LK.encode_prompts(PR.split_requests(frame)[0], vocab, n).cache()
+    counts = C.bigram_id_counts(lines, vocab, vocab_bound=n).withColumnRenamed("w2", "w3").cache()
+    whole = prepare_model(C.followers_table(counts, vocab, 3, ["w1"], n), ["w1"])
+    want = sorted(map(tuple, generate(asked, whole, "bigram", "greedy").collect()))
+    monkeypatch.setattr(G, "SMALL_MODEL", 0)
+    found = G.CountedModel.found
+    for broadcast in (100_000, 1):  # followers of all contexts are broadcast, or of the most shared one
+        monkeypatch.setattr(G, "MET_CONTEXTS", broadcast)
+        looked_up = []
+        monkeypatch.setattr(G.CountedModel, "found", lambda self, contexts, bound: (
+            looked_up.extend(map(tuple, contexts.collect())), found(self, contexts, bound))[1])
+        model = G.lookup_model(counts, vocab, 3, ["w1"], n, 5)
+        assert sorted(map(tuple, generate(asked, model, "bigram", "greedy").collect())) == want
+        assert looked_up and len(set(looked_up)) == len(looked_up)
+
+
+def test_rows_of_a_hot_context_stay_in_their_tasks(spark):
+    from gramloom.plans import generate as G
+    counts = spark.createDataFrame([(5, 6, 3), (6, 5, 2)], "w1 int, w3 int, cnt long")
+    vocab = spark.createDataFrame([(5, "five", True), (6, "six", True)], "id int, piece string, cacheable boolean")
+    rows = spark.range(1000).selectExpr("id", "cast(if(id = 7, 6, 5) as int) as w1").repartition(8).cache()
+    model = G.CountedModel(counts, vocab, 3, ["w1"])
+    got = model.look_up(rows, ["w1"], "followers")
+    assert max(len(p) for p in got.rdd.glom().collect()) <= 130
+    assert got.filter("w1 = 5").selectExpr("followers[0].w3 as w").distinct().collect() == [(6,)]
