@@ -22,6 +22,7 @@ vocabulary (Kudo 2018) learned with Spark.
 from __future__ import annotations
 
 import math
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -418,14 +419,37 @@ class Segmenter:
     def __init__(self, pieces: list[str], scores: list[float], max_len: int):
         self.logp = dict(zip(pieces, scores))
         self.row = {p: k + 1 for k, p in enumerate(pieces)}
+        self.heads = {p[:k] for p in pieces for k in range(1, min(len(p), max_len) + 1)}
         self.max_len = max_len
         self.memo: dict[str, list[int]] = {}
 
+    def best(self, s: str, unk_logp: float = -1e9) -> list[str]:
+        """:func:`viterbi`, from each place as far as some piece begins so."""
+        n, logp, heads = len(s), self.logp, self.heads
+        best, back = [-math.inf] * (n + 1), [0] * (n + 1)
+        best[0] = 0.0
+        for j in range(n):
+            at = best[j]
+            for i in range(j + 1, min(n, j + self.max_len) + 1):
+                piece = s[j:i]
+                lp = logp.get(piece)
+                if lp is None and i - j == 1:
+                    lp = unk_logp
+                if lp is not None and at + lp > best[i]:
+                    best[i], back[i] = at + lp, j
+                if piece not in heads:
+                    break
+        out, i = [], n
+        while i > 0:
+            out.append(s[back[i]:i])
+            i = back[i]
+        return out[::-1]
+
     def __call__(self, chunk: str) -> list[int]:
         seg = self.memo.get(chunk)
         if seg is None:
             seg = []
-            for p in viterbi(chunk, self.logp, self.max_len)[0]:
+            for p in self.best(chunk):
                 k = self.row.get(p, 0)
                 if k or not seg or seg[-1]:
                     seg.append(k)
@@ -435,11 +459,20 @@ class Segmenter:
                 self.memo[chunk] = seg
         return seg
 
+    def of(self, words: list[str]):
+        """The segmentations of a text's words, one after another."""
+        chunks = [K.SPACE_MARK + w for w in words]
+        segs = list(map(self.memo.get, chunks))
+        if None in segs:
+            segs = [self(c) if seg is None else seg for c, seg in zip(chunks, segs)]
+        return chain.from_iterable(segs)
+
 
 def encode_subword(df: DataFrame, key_cols: list[str], text_col: str, vocab: DataFrame,
-                   max_piece_len: int = 16, out_col: str = "ids") -> DataFrame:
+                   max_piece_len: int = 16, out_col: str = "ids", ids_only: bool = False) -> DataFrame:
     """``<out>_tok`` (array of struct<id, piece, cacheable>) and ``<out>``
-    (ids) per row, beside ``key_cols`` and the text.
+    (ids) per row, beside ``key_cols`` and the text; with ``ids_only`` the ids
+    beside ``key_cols``, so that no strings come back.
 
     Texts are encoded whole where they lie, without a shuffle: the piece
     table (bounded by the vocabulary size) is broadcast, and a task keeps a
@@ -451,16 +484,17 @@ def encode_subword(df: DataFrame, key_cols: list[str], text_col: str, vocab: Dat
     keys = df.select(*key_cols, F.col(text_col).alias("_text"))
 
     def run(batches):
-        import re
         import unicodedata
 
         import pyarrow as pa
+
+        def whole_array(x):  # take may give its result in chunks
+            return x.combine_chunks() if isinstance(x, pa.ChunkedArray) else x
         table = bc.value
         segment = Segmenter([r[0] for r in table], [r[1] for r in table], max_piece_len)
         piece = pa.array([K.UNK_SURFACE, *(r[0] for r in table)], pa.string())
         ident = pa.array([K.UNK_ID, *(r[2] for r in table)], pa.int32())
         cacheable = pa.array([True, *(bool(r[3]) for r in table)], pa.bool_())
-        space = re.compile(f"[{re.escape(T.WS_CHARS)}]+")
         for whole in batches:
             for lo in range(0, whole.num_rows, ENCODE_SLICE):
                 b = whole.slice(lo, ENCODE_SLICE)
@@ -469,19 +503,22 @@ def encode_subword(df: DataFrame, key_cols: list[str], text_col: str, vocab: Dat
                     if text is not None:
                         if not text.isascii():
                             text = unicodedata.normalize("NFKC", text)
-                        for w in space.split(text):
-                            if w:
-                                flat += segment(K.SPACE_MARK + w)
+                        flat += segment.of(text.split())  # knows the white space of T.WS_CHARS
                     ends.append(len(flat))
                 at, ends = pa.array(flat, pa.int32()), pa.array(ends, pa.int32())
-                # take may give its result in chunks
-                ids, pieces, flags = (x.combine_chunks() if isinstance(x, pa.ChunkedArray) else x
-                                      for x in (ident.take(at), piece.take(at), cacheable.take(at)))
+                if ids_only:
+                    yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.ListArray.from_arrays(ends, whole_array(ident.take(at)))],
+                                                     names=[*b.schema.names[:-1], out_col])
+                    continue
+                ids, pieces, flags = map(whole_array, (ident.take(at), piece.take(at), cacheable.take(at)))
                 toks = pa.StructArray.from_arrays([ids, pieces, flags], ["id", "piece", "cacheable"])
                 yield pa.RecordBatch.from_arrays(
                     [*b.columns, pa.ListArray.from_arrays(ends, toks), pa.ListArray.from_arrays(ends, ids)],
                     names=[*b.schema.names, f"{out_col}_tok", out_col])
 
+    if ids_only:
+        schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in keys.schema.fields[:-1])
+        return keys.mapInArrow(run, f"{schema}`{out_col}` array<int>")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in keys.schema.fields)
     out = keys.mapInArrow(run, f"{schema}, `{out_col}_tok` array<struct<id:int,piece:string,cacheable:boolean>>, "
                                f"`{out_col}` array<int>")

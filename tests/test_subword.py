@@ -128,3 +128,38 @@ def test_many_words_at_once_give_the_counts_and_losses_of_single_words():
     for p, alt in zip(pieces, got):
         if len(p) > 1:
             assert alt == SW.viterbi(p, {q: x for q, x in logp.items() if q != p}, 4)[1]
+
+
+def test_ids_alone_are_the_same_and_counted_in_bounded_tasks(spark, monkeypatch):
+    """Counting needs no strings of the pieces, and tasks do not grow with the n-grams."""
+    from collections import Counter
+
+    from gramloom.operators import counts as C
+    pieces = ["▁", "▁a", "▁ab", "a", "b", "ab", "c", "abc", "▁abca"]
+    v = spark.createDataFrame([(k + 3, p, -1.0 - k % 3, True) for k, p in enumerate(pieces)],
+                              "id int, piece string, score double, cacheable boolean")
+    texts = ["abc  abca cab", "", None, "xyz ab\x85a", "c c　c ａｂ"] * 3
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k long, t string")
+    want = {r.k: r.ids for r in SW.encode_subword(df, ["k"], "t", v).collect()}
+    alone = SW.encode_subword(df, ["k"], "t", v, ids_only=True).cache()
+    assert alone.columns == ["k", "ids"] and {r.k: r.ids for r in alone.collect()} == want
+    grams = Counter(g for ids in want.values() for x in [[-1, -1, *ids, -2]] for g in zip(x, x[1:], x[2:]))
+    monkeypatch.setattr(C, "TASK_GRAMS", 4)
+    counted = C.ids_ngram_counts(alone, "ids", 3, total=sum(grams.values()))
+    assert {tuple(r)[:3]: r.cnt for r in counted.collect()} == grams
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        assert C.ids_ngram_counts(alone, "ids", 3, total=100).rdd.getNumPartitions() == 25
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
+def test_segmenter_takes_the_pieces_of_viterbi():
+    import random
+    rng = random.Random(5)
+    pieces = sorted({"".join(rng.choice("▁abc") for _ in range(rng.randint(1, 5))) for _ in range(40)} - {"c"})
+    scores = [-float(rng.randint(1, 4)) for _ in pieces]
+    seg = SW.Segmenter(pieces, scores, 4)
+    for _ in range(500):
+        word = "▁" + "".join(rng.choice("abcx") for _ in range(rng.randint(0, 9)))
+        assert seg.best(word) == SW.viterbi(word, dict(zip(pieces, scores)), 4)[0]
