@@ -274,3 +274,21 @@ def test_follower_ids_need_no_pieces(spark):
     ids = C.follower_ids(model, v, 4, ["w1", "w2"])
     assert rows(ids) == rows(C.followers_table(model, v, 4, ["w1", "w2"], 10 ** 6))
     assert "piece#" not in _plan(ids).split("InMemoryTableScan")[0]
+
+
+def test_nesting_moves_nothing_that_was_counted_by_bucket(spark, monkeypatch):
+    """Counts dealt by context and bucket of the follower are nested where they lie."""
+    from gramloom.operators import vocab as VO
+    monkeypatch.setattr(VO, "HEAD_PIECES", 2)
+    texts = [f"a b c{i} d{i % 3} a b" for i in range(30)]
+    lines = spark.createDataFrame([(i, 0, t) for i, t in enumerate(texts)], "doc_id long, line_no int, line string")
+    v = VO.build_vocab(lines).cache()
+    n = v.count()
+    model = C.id_ngram_counts(lines, v, 3, 2, vocab_bound=n, salt_buckets=4)
+    nested = C.to_nested(model, 4)
+    plan = nested._jdf.queryExecution().executedPlan().toString()
+    assert "bucket" not in plan.split("ObjectHashAggregate")[0] and "Exchange hashpartitioning(w1#" in plan
+    above = plan[:plan.index("Exchange hashpartitioning(w1#")]
+    assert "Exchange" not in above and "HashAggregate(keys=[bucket#" in above
+    assert sorted(map(tuple, C.to_long(nested).collect())) == sorted(
+        tuple(r) for r in C.trigram_counts(lines, v, vocab_bound=n).select("w1", "w2", "w3", "cnt").collect())
