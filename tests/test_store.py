@@ -190,3 +190,23 @@ def test_sharded_write_makes_few_files(spark):
     ST.write_sharded(rows, path, 8)
     files = glob.glob(path.replace("file:", "") + "/shard=*/part-*.parquet")
     assert len(files) <= 8 * ST.WRITERS_PER_SHARD
+
+
+def test_flat_export_counts_keys_while_it_writes(spark, tmp_path, monkeypatch):
+    """No second pass over the model; a free path becomes the table, a used one keeps its table until all is checked."""
+    monkeypatch.setattr(ST, "duplicate_keys", None)
+    name, path = "flat_counts_once", str(tmp_path / "flat")
+    try:
+        ST.export_counts_table(model_df(spark, [(1, 2, 3, 4), (1, 2, 5, 6)]), name, path)
+        assert spark.table(name).schema.simpleString() == "struct<w1:int,w2:int,w3:int,cnt:bigint>"
+        assert sorted(map(tuple, spark.table(name).collect())) == [(1, 2, 3, 4), (1, 2, 5, 6)]
+        assert glob.glob(path + "/part-*")
+        with pytest.raises(ValueError):
+            ST.export_counts_table(model_df(spark, [(1, 2, 3, 4)] * 2), name, path)
+        assert spark.table(name).count() == 2
+        ST.export_counts_table(model_df(spark, [(7, 8, 9, 1)]), name, path)
+        assert [tuple(r) for r in spark.table(name).collect()] == [(7, 8, 9, 1)]
+        ST.export_counts_table(model_df(spark, []), name, str(tmp_path / "none"))
+        assert spark.table(name).count() == 0
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
