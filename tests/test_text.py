@@ -39,3 +39,16 @@ def test_cacheable(spark):
 def test_valid_prompt(spark):
     df = spark.createDataFrame([("",), ("   ",), (None,), ("東京",)], "p string")
     assert [r[0] for r in df.select(T.valid_prompt(F.col("p"))).collect()] == [False, False, False, True]
+
+
+def test_prefixes_of_a_line_are_cut_into_words_once(spark):
+    """Every prefix with its words, linear in the line: a line of 6,000 words would take minutes prefix by prefix."""
+    from gramloom.operators.vocab import prefix_rows
+    texts = ["a", " ab  c\u3000\u3000d\x85 ", "\t ", "", None, "\U0001d49c\U0001d49e \u00e9e\u0301 x", "ab " * 6000]
+    df = spark.createDataFrame([(k if k else None, t) for k, t in enumerate(texts)], "k int, line string")
+    got = sorted(((r.k or 0, r.plen, r.prefix, r.n_tokens, r.last_token) for r in prefix_rows(df, ["k"]).filter("k is null or k < 6").collect()))
+    want = [(k, i, t.strip()[:i], len(t.strip()[:i].split()), t.strip()[:i].split()[-1])
+            for k, t in enumerate(texts[:6]) if t for i in range(1, len(t.strip()) + 1)]
+    assert got == sorted(want)
+    last = prefix_rows(df, ["k"]).filter("k = 6").selectExpr("count(*) n", "sum(n_tokens) s", "max(plen) m").first()
+    assert tuple(last) == (17999, 3 * 6000 * 6001 // 2 - 6000, 17999)
